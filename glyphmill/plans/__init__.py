@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hotkeys",)
+MODULES = ("hotkeys", "corpus", "ngrams", "scorers", "phrases", "results")
 
 
 def collect() -> tuple[dict, dict]:
