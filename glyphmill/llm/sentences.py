@@ -58,9 +58,14 @@ STOPS = ".!?…‥。！？｡।॥؟۔"
 EVENT = re.compile(r"[" + re.escape(STOPS) + r";;]+(?:[\s ]?[!?])*|[\"“”‘’«»„‚「」『』《》()\[\]（）【】]|\n")
 THAI_EVENT = re.compile(r"[" + re.escape(STOPS) + r"]+|[\"“”‘’«»()\[\]]|\s+")
 MARKER = re.compile(r"(?:[-*•–‣▪◦·]|\(?\d{1,3}[.)]|\(?[a-z][)])\s+(?=\S)")
+MARK_ALONE = re.compile(r"(?:[-*•–‣▪◦·]|\(?\d{1,3}[.)]|\(?[a-z][)])\s*")
+BULLET = re.compile(r"[*•‣▪◦·]\s+\S")
+SPLIT_ABBREVIATION = re.compile(r"\.\s?\p{L}{1,2}\.")
 BLANK = re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+")
 FULL_STOP_INSIDE = re.compile(r"[\p{Ll}\d]{2}[.!?]+\p{Lu}(?:\p{Ll}|\s|\.\s)")
 NUMBER = re.compile(r"[$€£¥#№v]?\d[\d.,:\-–/%]*$")
+#: List lines shorter than this are taken as lines of their own even if no line of the text is longer.
+LEAST_WIDTH = 50
 _GREEK, _THAI = re.compile(r"\p{Greek}"), re.compile(r"\p{Thai}")
 
 
@@ -180,7 +185,7 @@ class Segmenter:
             if c in PAIRS or c == '"':
                 close = PAIRS.get(c, c)
                 if self.opens(i, a, b, c, close):
-                    stack.append((close, i, not t[start:i].strip() or MARKER.fullmatch(t[start:i].lstrip()) is not None))
+                    stack.append((close, i, not t[start:i].strip() or MARK_ALONE.fullmatch(t[start:i].lstrip()) is not None))
                 continue
             if c in CLOSERS:
                 continue
@@ -211,11 +216,14 @@ class Segmenter:
         if not line or not following:
             return False
         word = following.split(None, 1)[0]
-        fits = len(line) + 1 + (1 if unicodedata.category(word[0]) == "Lo" and not word.isascii() else len(word)) <= self.width
+        needed = len(line) + 1 + (1 if unicodedata.category(word[0]) == "Lo" and not word.isascii() else len(word))
+        fits = needed <= self.width
+        if BULLET.match(following):
+            return True
+        if MARKER.match(following) or MARKER.match(line):
+            return fits or needed <= LEAST_WIDTH or (line[-1] in STOPS and not MARKER.match(line))
         if not fits:
             return False
-        if MARKER.match(following) or MARKER.match(line):
-            return True
         return not (line[-1] in STOPS or line[-1] in CLOSERS) or line[-1] == ","
 
     def begins(self, k: int, b: int) -> tuple[int, str]:
@@ -262,7 +270,7 @@ class Segmenter:
             return end if kind == "upper" and FULL_STOP_INSIDE.match(t, max(start, i - 2), b) else 0
         if not t[start:i].strip():  # nothing but the mark
             return 0
-        if MARKER.fullmatch(t[start : k].lstrip()):
+        if MARK_ALONE.fullmatch(t[start : k].lstrip()):
             return 0
         dots = mark.startswith(("...", "…"))
         if mark == ".":
@@ -272,8 +280,9 @@ class Segmenter:
                 return 0
             if kept is True:
                 return end if kind in ("upper", "open", "caseless", "other") or (self.lower and kind == "lower" and before not in "гд") else 0
-            if before.isupper() and (i - 2 < start or not t[i - 2].isalnum()):
-                return 0  # an initial
+            alone = before.isalpha() and (i - 2 < start or not t[i - 2].isalnum())
+            if alone and (before.isupper() or SPLIT_ABBREVIATION.match(t, i, b)):
+                return 0  # an initial, or the first part of an abbreviation of several
             if before.isdigit() and self.word(k, b).lower() in MONTHS:
                 return 0
         elif c in "!?" and any(t.startswith(n, max(start, i - len(n) + 1)) and kind == "lower" for n in MARKED_NAMES):
@@ -326,7 +335,7 @@ class Segmenter:
                 k, kind = self.begins(m.end(), b)
                 left, right = t[start:i].split(), t[k:b].split(None, 1)
                 before, after = (left[-1] if left else ""), (right[0] if right else "")
-                if not before or MARKER.fullmatch(t[start:k].lstrip()):
+                if not before or MARK_ALONE.fullmatch(t[start:k].lstrip()):
                     continue
                 if NUMBER.match(after) or NUMBER.match(before) or before.endswith("ว่า"):
                     continue
