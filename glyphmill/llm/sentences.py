@@ -169,7 +169,7 @@ class Segmenter:
             c = mark[0]
             skip_to = m.end()
             if c == "\n":
-                if self.breaks(i, a, b):
+                if self.breaks(i, a, b, start):
                     self.emit(start, i)
                     start, stack = i + 1, []
                 continue
@@ -207,7 +207,7 @@ class Segmenter:
             j = t.find(close, j + 1, b)
         return j >= 0
 
-    def breaks(self, i: int, a: int, b: int) -> bool:
+    def breaks(self, i: int, a: int, b: int, start: int) -> bool:
         """Whether the line end at ``i`` ends a unit."""
         t = self.text
         head = max(a, t.rfind("\n", a, i) + 1)
@@ -220,9 +220,10 @@ class Segmenter:
         fits = needed <= self.width
         if BULLET.match(following):
             return True
-        if MARKER.match(following) or MARKER.match(line):
+        if MARKER.match(following) or (MARKER.match(line) and (self.lower or not word[0].islower())):
             return fits or needed <= LEAST_WIDTH or (line[-1] in STOPS and not MARKER.match(line))
-        if not fits:
+        # a heading or greeting fills its line alone, and what follows begins like a sentence of this text
+        if not fits or t[start:head].strip() or (word[0].islower() and not self.lower):
             return False
         return not (line[-1] in STOPS or line[-1] in CLOSERS) or line[-1] == ","
 
