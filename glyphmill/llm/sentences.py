@@ -64,7 +64,7 @@ SPLIT_ABBREVIATION = re.compile(r"\.\s?\p{L}{1,2}\.")
 BLANK = re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+")
 FULL_STOP_INSIDE = re.compile(r"[\p{Ll}\d]{2}[.!?]+\p{Lu}(?:\p{Ll}|\s|\.\s)")
 NUMBER = re.compile(r"[$€£¥#№v]?\d[\d.,:\-–/%]*$")
-#: List lines shorter than this are taken as lines of their own even if no line of the text is longer.
+#: The longest heading or greeting; list lines shorter than this are taken as lines of their own even if no line of the text is longer.
 LEAST_WIDTH = 50
 _GREEK, _THAI = re.compile(r"\p{Greek}"), re.compile(r"\p{Thai}")
 
@@ -223,7 +223,8 @@ class Segmenter:
         if MARKER.match(following) or (MARKER.match(line) and (self.lower or not word[0].islower())):
             return fits or needed <= LEAST_WIDTH or (line[-1] in STOPS and not MARKER.match(line))
         # a heading or greeting fills its line alone, and what follows begins like a sentence of this text
-        if not fits or t[start:head].strip() or (word[0].islower() and not self.lower):
+        alone = not t[start:head].strip() and len(line) <= LEAST_WIDTH and " " in line
+        if not fits or not alone or not (word[0].isupper() or (self.lower and word[0].islower()) or not word[0].isalpha()):
             return False
         return not (line[-1] in STOPS or line[-1] in CLOSERS) or line[-1] == ","
 
