@@ -1,16 +1,21 @@
 """Kneser-Ney language models as tables: many models are trained and queried in one plan.
 
-A query position asks a model for its grams and contexts of every length; one join with the model's statistics answers
-all of them, one aggregate brings a position's answers together, and the recursion over lengths is a column expression.
+A query position asks a model for the grams that end there; one join with the model's statistics answers all of them.
+What a position's contexts need is what the position before asked for, so a window over the sentence hands it on. The
+recursion over lengths is a column expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
-from glyphmill.operators.ngrams import gram_statistics, ngram_counts
+from glyphmill.operators.ngrams import Flat, gram_statistics
 
 STATS = ("cnt", "pre", "suc", "presuc", "ctx")
 
@@ -19,28 +24,38 @@ def train(sentences: DataFrame, model: str = "model_id", order: int = 3, tokens:
     """Statistics of every model's grams of length 0..order, from its sentences."""
     if order < 2:
         raise ValueError("order must be at least 2")
-    return gram_statistics(ngram_counts(sentences, model, order, tokens), model)
+    return gram_statistics(sentences, model, order, tokens)
 
 
 def _asked(queries: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """One row for each key (role g: gram ending at the position, c: context before it) of each position."""
-    p = F.col("_p")
-    at = F.col("pos") + order - 1  # zero-based place in the padded sentence
-    asks = []
-    for k in range(order):
-        context = X.joined(F.slice(p, at - k + 1, F.lit(k))) if k else F.lit("")
-        gram = X.joined(F.slice(p, at - k + 1, F.lit(k + 1)))
-        asks += [F.struct(F.lit(f"c{k}").alias("role"), F.lit(k).alias("len"), context.alias("gram")), F.struct(F.lit(f"g{k + 1}").alias("role"), F.lit(k + 1).alias("len"), gram.alias("gram"))]
-    rows = queries.select(*keys, X.padded(F.col("tokens"), order).alias("_p"))
-    rows = rows.select(*keys, "_p", F.explode(F.sequence(F.lit(0), F.size("_p") - order)).alias("pos"))
-    return rows.select(*keys, "pos", F.element_at("_p", F.col("pos") + order).alias("token"), F.explode(F.array(*asks)).alias("a")).select(*keys, "pos", "token", "a.*")
+    """``(*keys, pos, token, len, gram)``: the grams of length 1..order that end at each position; position -1 is the last start mark."""
+    kinds = [queries.schema[k].dataType.simpleString() for k in keys]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = Flat(b.column(len(keys)), order - 1, 1)
+            for n in range(1, order + 1):
+                last = np.flatnonzero((f.at >= order - 2) & (f.at >= n - 1))
+                rows = pa.array(f.rows[last])
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k).take(rows) for k in range(len(keys))), pa.array((f.at[last] - order + 1).astype(np.int32)), f.take(last), pa.array(np.full(len(last), n, np.int32)), f.joined(last - n + 1, n)],
+                    names=[*keys, "pos", "token", "len", "gram"],
+                )
+
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True)), "pos int", "token string", "len int", "gram string"])
+    return queries.select(*keys, "tokens").mapInArrow(ask, schema)
 
 
 def _answers(stats: DataFrame, queries: DataFrame, keys: list[str], order: int, model: str) -> DataFrame:
     asked = _asked(queries, keys, order)
-    joined = asked.join(stats, [model, "len", "gram"], "left")
-    picks = [F.max(F.when(F.col("role") == role, F.col(s))).alias(f"{role}_{s}") for k in range(order) for role in (f"c{k}", f"g{k + 1}") for s in STATS]
-    return joined.groupBy(*keys, "pos", "token").agg(*picks)
+    joined = asked.join(stats.where("len > 0"), [model, "len", "gram"], "left")
+    # rows meet by sentence, which serves the aggregate by position and the window alike
+    picks = [F.max(F.when(F.col("len") == n, F.col(s))).alias(f"g{n}_{s}") for n in range(1, order + 1) for s in STATS]
+    at = joined.repartition(*keys).groupBy(*keys, "pos", "token").agg(*picks)
+    w = Window.partitionBy(*keys).orderBy("pos")
+    contexts = [F.lag(f"g{n}_{s}").over(w).alias(f"c{n}_{s}") for n in range(1, order) for s in STATS]
+    rows = at.select("*", *contexts).where("pos >= 0")
+    return rows.join(stats.where("len = 0").select(model, *[F.col(s).alias(f"c0_{s}") for s in STATS]), model, "left")
 
 
 def _zero(name: str) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,55 +20,115 @@ def token_counts(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame
     return counts.join(totals, key).select(key, "token", "n", (F.col("n") / F.col("_all")).alias("p"))
 
 
-def ngram_counts(sentences: DataFrame, key: str, order: int = 3, tokens: str = "tokens") -> DataFrame:
-    """``(key, n, gram, count)`` of the padded sentences for n = 1..order; grams are strings with a separator."""
-    def sized(n: int):  # noqa: ANN202
-        return F.transform(X.windows_of(F.col("_p"), n), lambda g: F.struct(F.lit(n).alias("n"), X.joined(g).alias("gram")))
+SEP = "\u0001"
+
+
+class Flat:
+    """Token lists of an Arrow batch laid end to end, each padded with ``starts`` start marks and ``ends`` end marks."""
+
+    def __init__(self, lists: pa.Array, starts: int = 0, ends: int = 0):
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.list_flatten(lists)
+        extended = pa.concat_arrays([values.cast(pa.string()), pa.array([X.PAD_START, X.PAD_END])])
+        self.lengths = n + starts + ends
+        self.rows = np.repeat(np.arange(len(n)), self.lengths)
+        begin = np.cumsum(self.lengths) - self.lengths
+        self.at = np.arange(len(self.rows)) - begin[self.rows]
+        source = self.at - starts + (np.cumsum(n) - n)[self.rows]
+        source = np.where(self.at < starts, len(values), np.where(self.at >= starts + n[self.rows], len(values) + 1, source))
+        self.tokens = extended.take(pa.array(source))
+
+    def starts(self, n: int) -> np.ndarray:
+        """Places where n tokens of one list begin."""
+        return np.flatnonzero(self.at + n <= self.lengths[self.rows])
+
+    def take(self, at: np.ndarray) -> pa.Array:
+        return self.tokens.take(pa.array(at))
+
+    def joined(self, at: np.ndarray, n: int) -> pa.Array:
+        """The n tokens from each place as one string."""
+        if n == 0:
+            return pa.array([""] * len(at), pa.string())
+        return pc.binary_join_element_wise(*[self.take(at + k) for k in range(n)], SEP) if n > 1 else self.take(at)
 
-    p = X.padded(F.col(tokens), order)
-    grams = F.flatten(F.array(*map(sized, range(1, order + 1))))
-    rows = sentences.select(key, p.alias("_p")).select(key, F.explode(grams).alias("g"))
-    return rows.groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("count"))
 
+def _gram_table(sentences: DataFrame, key: str, order: int, tokens: str = "tokens") -> DataFrame:
+    """``(key, n, head, mid, tail, count)``: distinct grams of the padded sentences for n = 1..order in three parts (null where there is none).
 
-def _parts(gram: str, n: str) -> dict:
-    toks = F.split(F.col(gram), "\u0001", -1)
-    return {
-        "prefix": X.joined(F.slice(toks, F.lit(1), F.col(n) - 1)), "suffix": X.joined(F.slice(toks, F.lit(2), F.greatest(F.col(n) - 1, F.lit(0)))),
-        "middle": X.joined(F.slice(toks, F.lit(2), F.greatest(F.col(n) - 2, F.lit(0)))), "first": F.element_at(toks, 1), "last": F.element_at(toks, -1),
-    }
+    Grams are cut and counted batch by batch in Arrow, so what is shuffled is already combined.
+    """
+    kind = sentences.schema[key].dataType.simpleString()
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = Flat(b.column(1), order - 1, 1)
+            none = lambda at: pa.nulls(len(at), pa.string())
+            for n in range(1, order + 1):
+                at = f.starts(n)
+                if not len(at):
+                    continue
+                t = pa.table({
+                    "k": b.column(0).take(pa.array(f.rows[at])), "head": f.take(at), "mid": f.joined(at + 1, n - 2) if n > 2 else none(at), "tail": f.take(at + n - 1) if n > 1 else none(at),
+                }).group_by(["k", "head", "mid", "tail"]).aggregate([([], "count_all")])
+                for x in t.combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays(
+                        [x.column("k"), pa.array(np.full(x.num_rows, n, np.int32)), x.column("head"), x.column("mid"), x.column("tail"), x.column("count_all").cast(pa.int64())],
+                        names=[key, "n", "head", "mid", "tail", "c"],
+                    )
+
+    rows = sentences.select(key, tokens).mapInArrow(grams, f"`{key}` {kind}, n int, head string, mid string, tail string, c bigint")
+    return rows.groupBy(key, "n", "head", "mid", "tail").agg(F.sum("c").alias("count"))
+
+
+def ngram_counts(sentences: DataFrame, key: str, order: int = 3, tokens: str = "tokens") -> DataFrame:
+    """``(key, n, gram, count)`` of the padded sentences for n = 1..order; grams are strings with a separator. Null token lists count as empty ones."""
+    return _gram_table(sentences, key, order, tokens).select(key, "n", F.concat_ws(SEP, "head", "mid", "tail").alias("gram"), "count")
 
 
-def continuation_counts(counts: DataFrame, key: str) -> DataFrame:
+def continuation_counts(sentences: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``(key, word, left_contexts, distinct_bigrams)``: in how many bigrams a word is the last, and how many bigram types there are."""
-    bigrams = counts.where("n = 2").select(key, _parts("gram", "n")["last"].alias("word"))
+    bigrams = _gram_table(sentences, key, 2, tokens).where("n = 2").select(key, F.col("tail").alias("word"))
     per_word = bigrams.groupBy(key, "word").agg(F.count(F.lit(1)).alias("left_contexts"))
     totals = per_word.groupBy(key).agg(F.sum("left_contexts").alias("distinct_bigrams"))
     return per_word.join(totals, key)
 
 
-def gram_statistics(counts: DataFrame, key: str) -> DataFrame:
-    """``(key, len, gram, cnt, pre, suc, presuc, ctx)`` for every gram and context of a model.
+def gram_statistics(sentences: DataFrame, key: str, order: int, tokens: str = "tokens") -> DataFrame:
+    """``(key, gram, len, cnt, pre, suc, presuc, ctx)`` for every gram and context of a model.
 
     cnt: occurrences; pre, suc: distinct words before and after; presuc: distinct pairs around; ctx: occurrences of what it begins.
     Each distinct gram adds to its own row and to those of its suffix, prefix and middle, so one aggregate makes all of them.
     """
-    zero = F.lit(0).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    part = _parts("gram", "n")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def row(length, gram, cnt=zero, pre=zero, suc=zero, presuc=zero, ctx=zero):  # noqa: ANN001, ANN202
         return F.struct(length.cast("int").alias("len"), gram.alias("gram"), cnt.alias("cnt"), pre.alias("pre"), suc.alias("suc"), presuc.alias("presuc"), ctx.alias("ctx"))
 
-    n = F.col("n")
-    always = F.array(
-        row(n, F.col("gram"), cnt=F.col("count")), row(n - 1, part["suffix"], pre=one), row(n - 1, part["prefix"], suc=one, ctx=F.col("count")),
+    n, head, mid, tail = (F.col(c) for c in ("n", "head", "mid", "tail"))
+    longer = n >= 2
+    parts = F.array(
+        row(n, F.concat_ws(SEP, head, mid, tail), cnt=F.col("count")),
+        row(n - 1, F.when(longer, F.concat_ws(SEP, mid, tail)).otherwise(""), pre=one),
+        row(n - 1, F.when(longer, F.concat_ws(SEP, head, mid)).otherwise(""), suc=one, ctx=F.col("count")),
+        row(n - 2, F.coalesce(mid, F.lit("")), presuc=one),
     )
-    around = F.when(n >= 2, F.array(row(n - 2, part["middle"], presuc=one))).otherwise(F.slice(always, 1, 0))
-    rows = counts.select(key, F.explode(F.concat(always, around)).alias("g")).select(key, "g.*")
+    rows = _gram_table(sentences, key, order, tokens).select(key, F.explode(parts).alias("g")).select(key, "g.*").where("len >= 0")
     return rows.groupBy(key, "len", "gram").agg(*[F.sum(c).alias(c) for c in ("cnt", "pre", "suc", "presuc", "ctx")])
 
 
+def gram_positions(docs: DataFrame, n: int, ident: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """``(ident, i, g)``: every n-gram of each document with its place, as a string with a separator."""
+    kind = docs.schema[ident].dataType.simpleString()
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = Flat(b.column(1))
+            at = f.starts(n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(f.rows[at])), pa.array(f.at[at].astype(np.int32)), f.joined(at, n)], names=[ident, "i", "g"])
+
+    return docs.select(ident, tokens).mapInArrow(grams, f"`{ident}` {kind}, i int, g string")
+
+
 def common_ngrams(pairs: DataFrame, tokens: DataFrame, n: int = 2, include_subgrams: bool = False) -> DataFrame:
     """``(pair_id, n, gram)``: the n-grams of length ``n`` or more that two documents share.
 
@@ -73,7 +138,7 @@ def common_ngrams(pairs: DataFrame, tokens: DataFrame, n: int = 2, include_subgr
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    grams = tokens.select("doc_id", F.posexplode(F.transform(X.windows_of(F.col("tokens"), n), X.joined)).alias("i", "g"))
+    grams = gram_positions(tokens, n)
     a = pairs.join(grams, pairs.doc_a == grams.doc_id).select("pair_id", "doc_a", "g", "i")
     b = pairs.join(grams, pairs.doc_b == grams.doc_id).select("pair_id", "g", F.col("i").alias("j"))
     hits = a.join(b, ["pair_id", "g"]).select("pair_id", "doc_a", "i", (F.col("i") - F.col("j")).alias("d"))

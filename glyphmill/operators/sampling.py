@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Items meant to stand in a bucket of the pool.
-BUCKET_ITEMS = 64
+BUCKET_ITEMS = 16
 
 
 def hash_number(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as X
 from glyphmill.operators import lm
 from glyphmill.operators.ngrams import token_counts
+from glyphmill.session import cut
 
 #: Scorers by name, for run_method.
 METHODS: dict[str, Callable[..., DataFrame]] = {}
@@ -129,7 +130,7 @@ def divergence_scores(problems: DataFrame, known: DataFrame, unknown: DataFrame,
     ``ref_docs`` is (problem_id, rep, ref_id) with ref_id in ``known``. Each pair of documents is measured once, however many problems name it.
     """
     side = lambda s, d: token_counts(d, "doc_id").select(F.concat(F.lit(s), "doc_id").alias("id"), "token", "p")
-    p = side("u:", unknown).unionByName(side("k:", known))
+    p = cut(side("u:", unknown).unionByName(side("k:", known)))
     uk = problems.select("problem_id", F.lit(-1).alias("rep"), F.concat(F.lit("u:"), "unknown_id").alias("left_id"), F.concat(F.lit("k:"), "known_id").alias("right_id"))
     ur = ref_docs.join(problems, "problem_id").select("problem_id", F.col("rep").cast("int").alias("rep"), F.concat(F.lit("u:"), "unknown_id").alias("left_id"), F.concat(F.lit("k:"), "ref_id").alias("right_id"))
     named = uk.unionByName(ur).withColumn("pair_id", F.concat_ws("|", "left_id", "right_id"))
@@ -207,11 +208,10 @@ def wasserstein(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Values of both sides are stacked and sorted once for each key: the area between the two distribution functions. Rounded to 12
     places, so that equal distances tie whatever the order of summation.
     """
-    stack = None
-    for s, d in (("a", left), ("b", right)):
-        total = d.groupBy(key).agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
-        x = d.join(total, key).select(key, (F.col("value") / F.col("_s")).alias("x"), *((F.lit(1.0) / F.col("_n") if side == s else F.lit(0.0)).alias(f"w{side}") for side in "ab"))
-        stack = x if stack is None else stack.unionByName(x)
+    sides = left.select(key, "value", F.lit("a").alias("_side")).unionByName(right.select(key, "value", F.lit("b").alias("_side")))
+    one_side = Window.partitionBy(key, "_side")
+    weight = F.lit(1.0) / F.count(F.lit(1)).over(one_side)
+    stack = sides.select(key, (F.col("value") / F.sum("value").over(one_side)).alias("x"), *[F.when(F.col("_side") == s, weight).otherwise(0.0).alias(f"w{s}") for s in "ab"])
     w = Window.partitionBy(key).orderBy("x")
     step = stack.groupBy(key, "x").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
     area = step.select(key, (F.lead("x").over(w) - F.col("x")).alias("gap"), (F.sum("wa").over(w) - F.sum("wb").over(w)).alias("diff"))
@@ -228,7 +228,7 @@ def distribution_distance(problems: DataFrame, known_scores: DataFrame, unknown_
     sizes = both.groupBy("problem_id").agg(F.least(F.count(F.when(F.col("side") == "k", 1)), F.count(F.when(F.col("side") == "u", 1))).alias("size")).where("size > 0")
     rows = both.join(sizes, "problem_id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     w = Window.partitionBy("problem_id", "rep", "side").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("problem_id").cast("string"), "rep", "sent_id")), "sent_id")
-    drawn = rows.withColumn("k", F.row_number().over(w)).where("k <= size").withColumn("run", F.concat_ws("|", F.col("problem_id").cast("string"), "rep"))
+    drawn = cut(rows.withColumn("k", F.row_number().over(w)).where("k <= size").select("problem_id", "side", "value", F.concat_ws("|", F.col("problem_id").cast("string"), "rep").alias("run")))
     emd = wasserstein(drawn.where("side = 'k'"), drawn.where("side = 'u'"), "run")
     names = drawn.select("run", "problem_id").distinct()
     return emd.join(names, "run").groupBy("problem_id").agg(F.avg("emd").alias("score"))
@@ -246,7 +246,7 @@ def impostor_distances(problems: DataFrame, known_scores: DataFrame, unknown_sco
     left = pairs.join(unknown_scores.select(F.col("doc_id").alias("unknown_id"), value), "unknown_id").select("pair", "value")
     right = pairs.join(known_scores.select(F.col("doc_id").alias("other"), value), "other").select("pair", "value")
     emd = wasserstein(left, right, "pair")
-    dist = pairs.join(emd, "pair").select("unknown_id", "other", "emd")
+    dist = cut(pairs.join(emd, "pair").select("unknown_id", "other", "emd"))
     mine = problems.join(dist.withColumnRenamed("other", "known_id"), ["unknown_id", "known_id"]).select("problem_id", F.col("emd").alias("emd_known_unknown"))
     refs = ref_docs.join(problems.select("problem_id", "unknown_id"), "problem_id").join(dist.withColumnRenamed("other", "ref_id"), ["unknown_id", "ref_id"])
     ranks = refs.join(mine, "problem_id").groupBy("problem_id", "emd_known_unknown", "rep").agg((F.sum((F.col("emd") < F.col("emd_known_unknown")).cast("int")) + 1).alias("rank"))

@@ -107,9 +107,9 @@ def with_(*names: str) -> str:
 def sample_sql(name: str, requests: str, pool: str) -> str:
     """CTEs that draw from a pool as sample_for does; ``requests`` has (req_id, k, not_a, not_b), ``pool`` (item, author)."""
     h = "(('0x' || substr(md5('0|' || {c}), 1, 7))::BIGINT)"
-    return f"""{name}_size AS (SELECT greatest(1, count(*) // 64) AS b FROM {pool}),
+    return f"""{name}_size AS (SELECT greatest(1, count(*) // 16) AS b FROM {pool}),
     {name}_pool AS (SELECT item, author, {h.format(c='item')} % b AS bucket FROM {pool}, {name}_size),
-    {name}_want AS (SELECT req_id, k, not_a, not_b, unnest(list_transform(range(least(b, CAST(ceil(3 * k / 64.0) + 2 AS BIGINT))), lambda x: ({h.format(c='req_id')} % b + x) % b)) AS bucket FROM {requests}, {name}_size WHERE k > 0),
+    {name}_want AS (SELECT req_id, k, not_a, not_b, unnest(list_transform(range(least(b, CAST(ceil(3 * k / 16.0) + 2 AS BIGINT))), lambda x: ({h.format(c='req_id')} % b + x) % b)) AS bucket FROM {requests}, {name}_size WHERE k > 0),
     {name} AS (SELECT * FROM (SELECT req_id, item, k, row_number() OVER (PARTITION BY req_id ORDER BY md5('0|' || req_id || '|' || item), item) AS rank
         FROM {name}_want JOIN {name}_pool USING (bucket) WHERE author IS NULL OR ((not_a IS NULL OR author <> not_a) AND (not_b IS NULL OR author <> not_b))) WHERE rank <= k)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as X
 from glyphmill.operators import lm, ngrams as N
 from glyphmill.plans import base as B
-from glyphmill.session import table
+from glyphmill.session import cut, table
 
 ORDER = 3
 
@@ -22,7 +22,7 @@ def ngram_counts(spark, d):  # noqa: ANN001, ANN201
 
 
 def continuation_counts(spark, d):  # noqa: ANN001, ANN201
-    return N.continuation_counts(N.ngram_counts(B.known_sentences(spark, d), "corpus", 2), "corpus")
+    return N.continuation_counts(B.known_sentences(spark, d), "corpus")
 
 
 def _pairs(spark, d):  # noqa: ANN001, ANN202
@@ -31,7 +31,7 @@ def _pairs(spark, d):  # noqa: ANN001, ANN202
 
 def _pair_tokens(spark, d):  # noqa: ANN001, ANN202
     side = lambda s, t: B.doc_tokens(t).select(F.concat(F.lit(s), "doc_id").alias("doc_id"), "tokens")
-    return side("k:", B.known_sentences(spark, d)).unionByName(side("u:", B.unknown_sentences(spark, d)))
+    return cut(side("k:", B.known_sentences(spark, d)).unionByName(side("u:", B.unknown_sentences(spark, d))))
 
 
 def _common(spark, d):  # noqa: ANN001, ANN202

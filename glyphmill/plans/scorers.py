@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from glyphmill.operators import scorers as S
 from glyphmill.plans import base as B
 from glyphmill.plans.ngrams import model_sql, positions_sql, skn_sql, fkn_sql
-from glyphmill.session import table
+from glyphmill.session import cut, table
 
 REPS = 2  # repetitions of sampling in these queries; the operators take any number
 
 
 def _inputs(spark, d):  # noqa: ANN001, ANN202
-    return {"problems": B.samples(spark, d), "known": B.known_sentences(spark, d), "unknown": B.unknown_sentences(spark, d)}
+    # tokenised once and written: every scorer reads its sentences several times
+    return {"problems": B.samples(spark, d), "known": cut(B.known_sentences(spark, d)), "unknown": cut(B.unknown_sentences(spark, d))}
 
 
 def _rounded(df):  # noqa: ANN001, ANN202
@@ -63,7 +64,7 @@ def lambdag_divergences(spark, d):  # noqa: ANN001, ANN201
 
 def _scores(spark, d):  # noqa: ANN001, ANN202
     both = B.known_sentences(spark, d).withColumn("side", F.lit("k")).unionByName(B.unknown_sentences(spark, d).withColumn("side", F.lit("u")))
-    lp = S.unigram_log_probs(both.select(F.concat_ws(":", "side", "doc_id").alias("doc_id"), "sent_id", "tokens"))
+    lp = cut(S.unigram_log_probs(both.select(F.concat_ws(":", "side", "doc_id").alias("doc_id"), "sent_id", "tokens")))
     part = lambda s: lp.where(F.col("doc_id").startswith(s)).withColumn("doc_id", F.expr("substring(doc_id, 3)"))
     return {"problems": B.samples(spark, d), "known_scores": part("k:"), "unknown_scores": part("u:")}
 
