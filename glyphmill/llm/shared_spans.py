@@ -5,10 +5,11 @@ window of w hashes, so cuts depend on nearby characters only and resist insertio
 characters that made one cut to the next cut. Of any run of ``min_chars`` characters two texts share, 64 + 2w - 1 <= min_chars
 gives both the same two successive cuts, hence one equal chunk: no shared run is missed, whatever surrounds it.
 
-Plan. Chunks are made in the map tasks; their digests are grouped (map-side minimum and maximum of the document), and only
-digests of more than one document go on. Around these chunks every run of exactly ``min_chars`` characters gets a 128-bit
-digest; runs found in more than one document cover what is shared. All of it is linear in the text. Pairs come from
-the runs at which a shared passage begins, that is, whose previous characters differ within the group of equal runs.
+Plan. Chunks are made in the map tasks; their digests are grouped (map-side minimum and maximum of a 64-bit document key), and only
+digests of more than one document go on. For the shares, every run of exactly ``min_chars`` characters around these chunks
+gets a 128-bit digest; runs found in more than one document cover what is shared. All of it is linear in the text. For
+the pairs only the first chunk of a shared passage matters: a chunk that always follows the same chunk is never first, so
+groups of one previous digest are left out, and so are, by previous character, all runs but those at which a passage begins.
 """
 
 from __future__ import annotations
@@ -73,50 +74,64 @@ def _codes(text: str) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, min_chars: int = 120) -> DataFrame:
-    """``(digest, doc_id, start, end)``: the chunks of every text of at least ``min_chars`` characters."""
+    """``(digest, prev, doc, start, end)``: the chunks of every text of at least ``min_chars`` characters. ``doc`` is a 64-bit key of the id;
+    ``prev`` is the digest of the chunk before, for a text's first chunk a value of its document's own."""
     window(min_chars)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, dig, st, en = [], [], [], []
+            at, dig, prev, st, en = [], [], [], [], []
+            keys = b.column(0).to_numpy().view(np.uint64)
             for k, text in enumerate(b.column(1).to_pylist()):
                 codes = _codes(text)
                 s, e = chunk_spans(codes, min_chars)
                 raw = memoryview(codes.tobytes())
-                dig += [xxhash.xxh3_64_intdigest(raw[4 * x : 4 * y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-                at += [k] * len(s)
-                st.append(s)
-                en.append(e)
+                d = [xxhash.xxh3_64_intdigest(raw[4 * x : 4 * y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+                if d:
+                    dig += d
+                    prev += [int(keys[k]), *d[:-1]]
+                    at += [k] * len(d)
+                    st.append(s)
+                    en.append(e)
             if at:
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(dig, np.uint64).view(np.int64)), b.column(0).take(pa.array(at)), pa.array(np.concatenate(st), pa.int32()), pa.array(np.concatenate(en), pa.int32())],
-                    names=["digest", "doc_id", "start", "end"],
+                    [signed(dig), signed(prev), b.column(0).take(pa.array(at)), pa.array(np.concatenate(st), pa.int32()), pa.array(np.concatenate(en), pa.int32())],
+                    names=["digest", "prev", "doc", "start", "end"],
                 )
 
-    long_enough = docs.where(F.length("text") >= min_chars).select("doc_id", "text")
-    return long_enough.mapInArrow(cut, "digest bigint, doc_id string, start int, end int")
+    long_enough = docs.where(F.length("text") >= min_chars).select(F.xxhash64("doc_id").alias("doc"), "text")
+    return long_enough.mapInArrow(cut, "digest bigint, prev bigint, doc bigint, start int, end int")
 
 
-def in_several(df: DataFrame, *key: str) -> DataFrame:
-    """The keys that stand in more than one document; minimum and maximum are combined before the shuffle, so hot keys are one row a task."""
-    return df.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select(*key)
+def in_several(df: DataFrame, *key: str, heads: str | None = None) -> DataFrame:
+    """The keys that stand in more than one document; minimum and maximum are combined before the shuffle, so hot keys are one row a task.
+
+    With ``heads`` only keys at which a passage may begin: what that column says stood before is not one and the same everywhere.
+    """
+    before = [F.min(heads).alias("b0"), F.max(heads).alias("b1")] if heads else []
+    found = df.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *before).where("lo <> hi")
+    return (found.where("b0 <> b1 or b0 = -1") if heads else found).select(*key)
 
 
-def shared_runs(docs: DataFrame, min_chars: int = 120) -> DataFrame:
-    """``(d1, d2, doc_id, pos, before)``: every run of exactly ``min_chars`` characters (by 128-bit digest) that contains a chunk
-    found in several documents. ``before`` is the character before the run, -1 at the start of a text."""
+def shared_runs(docs: DataFrame, min_chars: int = 120, heads: bool = False) -> DataFrame:
+    """``(d1, d2, doc, doc_id, pos, before)``: runs of exactly ``min_chars`` characters (by 128-bit digest) that contain a chunk found in several
+    documents; all of them, or with ``heads`` those that may begin a shared passage. ``before`` is the character before the
+    run, -1 at the start of a text."""
     found = chunks(docs, min_chars)
-    spots = found.join(in_several(found, "digest"), "digest", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spots"))
+    wanted = in_several(found, "digest", heads="prev" if heads else None)
+    spots = found.select("digest", "doc", "start", "end").join(wanted, "digest", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spots"))
+    reach = window(min_chars) - 1 if heads else min_chars  # a passage begins within one window before its first chunk
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, spans in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, name, text, spans in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 codes = _codes(text)
                 last = len(codes) - min_chars
                 raw = memoryview(codes.tobytes())
                 pos, upto = [], 0
                 for x in spans:
-                    lo, hi = max(upto, x["end"] - min_chars), min(last, x["start"])
+                    lo, hi = max(upto, x["end"] - min_chars, x["start"] - reach), min(last, x["start"])
                     pos += range(lo, hi + 1)
                     upto = max(upto, hi + 1)
                 if pos:
@@ -125,12 +140,13 @@ def shared_runs(docs: DataFrame, min_chars: int = 120) -> DataFrame:
                     p = np.array(pos)
                     before = np.where(p > 0, codes[np.maximum(p - 1, 0)].astype(np.int64), -1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([doc] * len(p), pa.string()), pa.array(p, pa.int32()), pa.array(before, pa.int32())],
-                        names=["d1", "d2", "doc_id", "pos", "before"],
+                        [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([doc] * len(p), pa.int64()), pa.array([name] * len(p), pa.string()), pa.array(p, pa.int32()), pa.array(before, pa.int32())],
+                        names=["d1", "d2", "doc", "doc_id", "pos", "before"],
                     )
 
     # a document's repeated deliveries meet its spots once each; the later steps count distinct documents only
-    return docs.select("doc_id", "text").join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(runs, "d1 bigint, d2 bigint, doc_id string, pos int, before int")
+    texts = docs.select(F.xxhash64("doc_id").alias("doc"), "doc_id", "text").join(spots, "doc")
+    return texts.select("doc", "doc_id", "text", "spots").mapInArrow(runs, "d1 bigint, d2 bigint, doc bigint, doc_id string, pos int, before int")
 
 
 def shared_pairs(docs: DataFrame, min_chars: int = 120) -> DataFrame:
@@ -139,11 +155,8 @@ def shared_pairs(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     Null ids, null texts and texts shorter than ``min_chars`` are in no pair; repeated deliveries of an id are one document.
     The rows are the result asked for, one for each pair; what is joined are only the runs at which shared passages begin.
     """
-    runs = shared_runs(docs.where("doc_id is not null and text is not null"), min_chars)
-    begins = runs.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1")
-    ).where("lo <> hi and (b0 <> b1 or b0 = -1)").select("d1", "d2")
-    heads = runs.join(begins, ["d1", "d2"], "left_semi").select("d1", "d2", "doc_id", "before")
+    runs = shared_runs(docs.where("doc_id is not null and text is not null"), min_chars, heads=True)
+    heads = runs.join(in_several(runs, "d1", "d2", heads="before"), ["d1", "d2"], "left_semi").select("d1", "d2", "doc_id", "before")
     a, b = (heads.select("d1", "d2", F.col("doc_id").alias(f"doc_id_{x}"), F.col("before").alias(f"before_{x}")) for x in "ab")
     both = a.join(b, ["d1", "d2"]).where("doc_id_a < doc_id_b and (before_a <> before_b or before_a = -1)")
     return both.select("doc_id_a", "doc_id_b").distinct()
