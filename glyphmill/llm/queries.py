@@ -137,7 +137,15 @@ _RANKED = """
                FROM paraphrases WHERE phrase_type = 'paraphrase' AND phrase IS NOT NULL AND isfinite(sum_log_probs)),
          r AS (SELECT *, row_number() OVER (PARTITION BY phrase_no ORDER BY sum_log_probs DESC, phrase, cand_id) AS k FROM c WHERE phrase_no IS NOT NULL)
 """
+_RUNS = """
+    WITH t AS (SELECT doc_id, any_value(text) AS text FROM (SELECT doc_id, text FROM known_texts UNION ALL SELECT doc_id, text FROM unknown_texts WHERE text IS NOT NULL) GROUP BY doc_id),
+         s AS (SELECT doc_id, i, substr(text, i, 120) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM t WHERE length(text) >= 120)),
+         m AS (SELECT s FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1)
+"""
 SQL = {
+    "p2_found": _RUNS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN m ON a.s = m.s JOIN s b ON b.s = m.s WHERE a.doc_id < b.doc_id",
+    "p2_shared_share": _RUNS + """, c AS (SELECT doc_id, CAST(sum(least(120, coalesce(n - i, 120))) AS BIGINT) AS shared FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s JOIN m USING (s)) GROUP BY doc_id)
+        SELECT doc_id, length(text) AS n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / nullif(length(text), 0) AS shared_share FROM t LEFT JOIN c USING (doc_id)""",
     "p3_found": _RANKED + "SELECT phrase_no, cand_id FROM r WHERE k <= 3",
     "p3_ranked": _RANKED + "SELECT phrase_no, cand_id, phrase, sum_log_probs, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 3",
 }
