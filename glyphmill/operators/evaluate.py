@@ -241,6 +241,22 @@ def performance(predictions: DataFrame, keys: list[str], target: str = "target",
     return out
 
 
+def compare_models(frames: dict[str, DataFrame], keys: list[str], ident: str, score: str = "score", target: str = "target", decision_llr: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Predictions and metrics of several models: ``(ident, target, <model>_score, <model>_llr, <model>_error)`` by full join, and
+    ``(*keys, model, <metrics>)``. Each model is calibrated by leave-one-out in its group; a trial missing in a model has nulls there."""
+    from glyphmill.operators.phrases import join_all
+    from glyphmill.operators.results import labelled_errors
+
+    rows, metrics = [], None
+    for name, df in frames.items():
+        p = calibrate_loo(df, keys, ident, score, target).where("pred_prob is not null")
+        e = labelled_errors(p.withColumn("_p", F.col("pred_llr") > decision_llr), target, "_p")
+        rows.append(e.select(ident, target, F.col(score).alias(f"{name}_score"), F.col("pred_llr").alias(f"{name}_llr"), F.col("error").alias(f"{name}_error")))
+        m = performance(p, keys, target, decision_llr).withColumn("model", F.lit(name))
+        metrics = m if metrics is None else metrics.unionByName(m)
+    return join_all(rows, [ident, target]), metrics
+
+
 def single_valued(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``(*keys, *columns)``: columns that have one value in each group; raises where a group has several."""
     missing = [c for c in columns if c not in df.columns]

@@ -140,6 +140,14 @@ def kept_by_list(df: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFra
     return df.join(chosen, keys)
 
 
+def find_phrase(df: DataFrame, place: str, phrase: str | None = None, tokens: list[str] | None = None) -> DataFrame:
+    """``(place, n)``: where a phrase (regardless of case) or a token sequence stands as a candidate, and how often."""
+    if (phrase is None) == (tokens is None):
+        raise ValueError("either a phrase or tokens")
+    hit = F.lower("phrase") == phrase.lower() if phrase is not None else F.col("tokens") == F.array(*map(F.lit, tokens))
+    return df.where(hit).groupBy(place).agg(F.count(F.lit(1)).alias("n"))
+
+
 def saturation(rounds: DataFrame, key: str, eps: float = 0.01, patience: int = 2) -> DataFrame:
     """``(key, stop_round, n_candidates)``: the round after which new candidates no longer add mass.
 

@@ -117,6 +117,13 @@ def beam_infill(spark, d):  # noqa: ANN001, ANN201
     return P.beam(masks, "phrase_num", 5).select("phrase_num", F.array_join("tokens", " ").alias("filled"), B.r6("log_prob").alias("log_prob"))
 
 
+def phrase_search(spark, d):  # noqa: ANN001, ANN201
+    """Samples in which the commonest phrase stands (of equals the first by code points)."""
+    c = candidates(spark, d).where("phrase is not null")
+    top = c.groupBy(F.lower("phrase").alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").first()
+    return P.find_phrase(c.where("sample_id is not null"), "sample_id", top.p if top else "")
+
+
 def json_paraphrases(spark, d):  # noqa: ANN001, ANN201
     """Answers as a service would give them, put together from the table and parsed again."""
     c = candidates(spark, d).where("sample_id is not null and phrase is not null")
@@ -128,7 +135,7 @@ def json_paraphrases(spark, d):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     phrase_pmf_llr, phrase_softmax, llr_excluded, rank_vs_best, candidate_ranks, llr_table, llr_summary, token_threshold_rollup, merged_methods, phrase_list, kept_phrases, saturation,
-    pseudo_ll, beam_infill, json_paraphrases,
+    pseudo_ll, beam_infill, phrase_search, json_paraphrases,
 )}
 
 C = """c AS (SELECT * FROM (SELECT cand_id, any_value(sample_id) AS sample_id, TRY_CAST(nullif(regexp_extract(any_value(phrase_num), '[0-9]+'), '') AS BIGINT) AS phrase_num, any_value(phrase_type) AS phrase_type, any_value(phrase_method) AS phrase_method,
@@ -170,6 +177,7 @@ SQL = {
         SELECT phrase_num, CAST(stop_round AS INTEGER) AS stop_round, CAST(total AS BIGINT) AS n_candidates FROM e JOIN q USING (phrase_num) WHERE round = stop_round""",
     "pseudo_ll": f"""WITH {C}, t AS (SELECT phrase_num, len(tokens) AS n, cand_id AS candidate, round(sum(-1.0::DOUBLE / (length(u) + 1)), 12) AS pll FROM (SELECT phrase_num, tokens, cand_id, unnest(tokens) AS u FROM c WHERE tokens IS NOT NULL AND phrase_type = 'paraphrase') GROUP BY ALL)
         SELECT phrase_num, CAST(n AS INTEGER) AS n, candidate, round(pll, 6) + 0.0 AS pll, CAST(row_number() OVER (PARTITION BY phrase_num, n ORDER BY pll DESC, candidate) AS INTEGER) AS rank FROM t""",
+    "phrase_search": f"WITH {C}, t AS (SELECT lower(phrase) AS p FROM c WHERE phrase IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT sample_id, count(*) AS n FROM c JOIN t ON lower(phrase) = p WHERE sample_id IS NOT NULL GROUP BY sample_id",
     "json_paraphrases": f"""WITH {C}, g AS (SELECT sample_id, phrase_num, list(DISTINCT phrase) AS l, min(phrase) AS phrase FROM c WHERE sample_id IS NOT NULL AND phrase IS NOT NULL GROUP BY ALL),
         q AS (SELECT sample_id, phrase_num, list_sort(list_distinct(list_filter(list_transform(l, lambda s: lower(s)), lambda s: s <> lower(phrase)))) AS p FROM g)
         SELECT sample_id, phrase_num, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, '|')) AS digest FROM q""",

@@ -137,13 +137,29 @@ def calibrate_train_test(spark, d):  # noqa: ANN001, ANN201
     return _r(E.calibrate(t.where("part = 'train'"), t.where("part = 'test'"), ["corpus"]).select("sample_id", "corpus", "target", "score", "pred_prob", "pred_llr"))
 
 
+def _models(spark, d):  # noqa: ANN001, ANN202
+    """Trials of two paraphrasing methods as two models."""
+    t = trials(spark, d).drop("score")
+    c = candidates(spark, d).where("sample_id is not null")
+    mean = lambda m: c.where(F.col("phrase_method") == m).groupBy("sample_id").agg(F.round(F.avg("sum_log_probs"), 10).alias("score"))
+    return E.compare_models({m: t.join(mean(m), "sample_id") for m in ("mask_fill", "varlen_fill")}, ["corpus"], "sample_id")
+
+
+def model_predictions(spark, d):  # noqa: ANN001, ANN201
+    return _r(_models(spark, d)[0])
+
+
+def model_performance(spark, d):  # noqa: ANN001, ANN201
+    return _r(_models(spark, d)[1])
+
+
 def performance(spark, d):  # noqa: ANN001, ANN201
     return _r(E.performance(E.calibrate_loo(trials(spark, d), ["corpus"], "sample_id").where("pred_prob is not null"), ["corpus"]))
 
 
 QUERIES = {f.__name__: f for f in (
     av_results, mean_scores, complete_problems, both_classes_pivot, merge_model_metrics, count_sum_by_prefix, mean_then_sum, describe_scores, histogram_table, score_distribution, stratified_split,
-    cllr, cllr_min, confusion_metrics, labelled_errors, roc, auc, eer, roc_youden, tippett, metrics_v1, calibrate_loo, calibrate_loo_paraphrase, calibrate_train_test, performance,
+    cllr, cllr_min, confusion_metrics, labelled_errors, roc, auc, eer, roc_youden, tippett, metrics_v1, calibrate_loo, calibrate_loo_paraphrase, calibrate_train_test, performance, model_predictions, model_performance,
 )}
 
 _T = f"""WITH {_C}, mm AS (SELECT sample_id, round(avg(lp), 10) AS score FROM c WHERE sample_id IS NOT NULL GROUP BY sample_id),
