@@ -205,4 +205,14 @@ SQL = {
     "roc_youden": _T + """SELECT corpus, threshold, round(tpr, 6) + 0.0 AS tpr, round(fpr, 6) + 0.0 AS fpr, tp, fp, n_neg - fp AS tn, n_pos - tp AS fn, round((tp + n_neg - fp) / (n_pos + n_neg), 6) AS accuracy, round(2 * tp / (2 * tp + fp + n_pos - tp), 6) + 0.0 AS f1
         FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY tpr - fpr DESC, threshold DESC) AS k FROM roc WHERE n_pos > 0 AND n_neg > 0) WHERE k = 1""",
     "tippett": _T + "SELECT corpus, threshold, round(tpr, 6) + 0.0 AS share_true_at_least, round((n_neg - coalesce(lag(fp) OVER (PARTITION BY corpus ORDER BY threshold DESC), 0)) / nullif(n_neg, 0), 6) + 0.0 AS share_false_at_most FROM roc",
+    "metrics_v1": _T + f""", q AS (SELECT corpus, target, round(1 / (1 + exp(-llr)), 6) AS p FROM v), x AS (SELECT *, ln(p / (1 - p)) AS x FROM q WHERE p > 0 AND p < 1),
+        cost AS (SELECT corpus, avg(x) FILTER (target) AS mean_true_llr, -avg(x) FILTER (NOT target) AS mean_false_llr, count(*) FILTER (target) AS true_trials, count(*) FILTER (NOT target) AS false_trials,
+            (avg(-ln(1 + exp(-x))) FILTER (target) + avg(-ln(1 + exp(x))) FILTER (NOT target)) * -0.5 AS cllr, {_COUNTS.format(c='p > 0.5')} FROM x GROUP BY corpus),
+        pg AS (SELECT corpus, p AS threshold, count(*) FILTER (target) AS np, count(*) FILTER (NOT target) AS nn FROM x GROUP BY ALL),
+        po AS (SELECT corpus, threshold, sum(np) OVER w AS tp, sum(nn) OVER w AS fp, sum(np) OVER (PARTITION BY corpus) AS n_pos, sum(nn) OVER (PARTITION BY corpus) AS n_neg FROM pg WINDOW w AS (PARTITION BY corpus ORDER BY threshold DESC)),
+        seg AS (SELECT corpus, n_pos, n_neg, tp, fp, tp / n_pos AS tpr, fp / n_neg AS fpr, coalesce(lag(tp) OVER w, 0) AS tp0, coalesce(lag(fp) OVER w, 0) AS fp0 FROM po WINDOW w AS (PARTITION BY corpus ORDER BY threshold DESC)),
+        au AS (SELECT corpus, sum((fp - fp0) * (tp + tp0) / 2.0) / max(n_pos * n_neg) AS auc FROM seg GROUP BY corpus),
+        er AS (SELECT corpus, min(fp0 / n_neg + (fpr - fp0 / n_neg) * coalesce(a / nullif(a - b, 0), 0)) AS eer FROM (SELECT *, 1 - fp0 / n_neg - tp0 / n_pos AS a, 1 - fpr - tpr AS b FROM seg) WHERE a >= 0 AND b <= 0 GROUP BY corpus)
+        SELECT corpus, round(mean_true_llr, 6) + 0.0 AS mean_true_llr, round(mean_false_llr, 6) + 0.0 AS mean_false_llr, true_trials, false_trials, round(cllr, 6) AS cllr,
+            round((ln(1 + exp(-mean_true_llr)) + ln(1 + exp(-mean_false_llr))) * 0.5, 6) AS cllr_min, tp, fp, fn, tn, {_CONF}, round(auc, 6) + 0.0 AS auc, round(eer, 6) + 0.0 AS eer FROM cost JOIN au USING (corpus) JOIN er USING (corpus)""",
 }
