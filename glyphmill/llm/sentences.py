@@ -66,6 +66,8 @@ FULL_STOP_INSIDE = re.compile(r"[\p{Ll}\d]{2}[.!?]+\p{Lu}(?:\p{Ll}|\s|\.\s)")
 NUMBER = re.compile(r"[$€£¥#№v]?\d[\d.,:\-–/%]*$")
 #: The longest heading or greeting; list lines shorter than this are taken as lines of their own even if no line of the text is longer.
 LEAST_WIDTH = 50
+_LAST_WORD, _FIRST_WORD = re.compile(r"\S+$"), re.compile(r"\S{1,64}")
+_VISIBLE = re.compile(r"\S")
 _GREEK, _THAI = re.compile(r"\p{Greek}"), re.compile(r"\p{Thai}")
 
 
@@ -146,6 +148,14 @@ class Segmenter:
             a += len(part) - len(part.lstrip())
             self.out.append((a, a + len(s)))
 
+    def blank(self, a: int, b: int) -> bool:
+        return _VISIBLE.search(self.text, a, b) is None
+
+    def only_marker(self, a: int, b: int) -> bool:
+        """Whether nothing but a list marker stands between two places."""
+        m = _VISIBLE.search(self.text, a, b)
+        return m is not None and b - m.start() < 64 and MARK_ALONE.fullmatch(self.text, m.start(), b) is not None
+
     def run(self) -> list[tuple[int, int]]:
         at = 0
         for m in BLANK.finditer(self.text):
@@ -185,7 +195,7 @@ class Segmenter:
             if c in PAIRS or c == '"':
                 close = PAIRS.get(c, c)
                 if self.opens(i, a, b, c, close):
-                    stack.append((close, i, not t[start:i].strip() or MARK_ALONE.fullmatch(t[start:i].lstrip()) is not None))
+                    stack.append((close, i, self.blank(start, i) or self.only_marker(start, i)))
                 continue
             if c in CLOSERS:
                 continue
@@ -223,7 +233,7 @@ class Segmenter:
         if MARKER.match(following) or (MARKER.match(line) and (self.lower or not word[0].islower())):
             return fits or needed <= LEAST_WIDTH or (line[-1] in STOPS and not MARKER.match(line))
         # a heading or greeting fills its line alone, and what follows begins like a sentence of this text
-        alone = not t[start:head].strip() and len(line) <= LEAST_WIDTH and " " in line
+        alone = self.blank(start, head) and len(line) <= LEAST_WIDTH and " " in line
         if not fits or not alone or not (word[0].isupper() or (self.lower and word[0].islower()) or not word[0].isalpha()):
             return False
         return not (line[-1] in STOPS or line[-1] in CLOSERS) or line[-1] == ","
@@ -270,9 +280,9 @@ class Segmenter:
             if c in "؟۔":
                 return end
             return end if kind == "upper" and FULL_STOP_INSIDE.match(t, max(start, i - 2), b) else 0
-        if not t[start:i].strip():  # nothing but the mark
+        if self.blank(start, i):  # nothing but the mark
             return 0
-        if MARK_ALONE.fullmatch(t[start : k].lstrip()):
+        if self.only_marker(start, k):
             return 0
         dots = mark.startswith(("...", "…"))
         if mark == ".":
@@ -335,9 +345,9 @@ class Segmenter:
                 if depth:
                     continue
                 k, kind = self.begins(m.end(), b)
-                left, right = t[start:i].split(), t[k:b].split(None, 1)
-                before, after = (left[-1] if left else ""), (right[0] if right else "")
-                if not before or MARK_ALONE.fullmatch(t[start:k].lstrip()):
+                before, after = _LAST_WORD.search(t, max(start, i - 64), i), _FIRST_WORD.match(t, k, b)
+                before, after = (before.group() if before else ""), (after.group() if after else "")
+                if not before or self.only_marker(start, k):
                     continue
                 if NUMBER.match(after) or NUMBER.match(before) or before.endswith("ว่า"):
                     continue
