@@ -16,13 +16,14 @@ from glyphmill.session import cut
 HOT = 100
 
 
-def tf_idf(counts: DataFrame, record: str, term: str = "term", tf: str = "tf", hot: int = HOT) -> DataFrame:
+def tf_idf(counts: DataFrame, record: str, term: str = "term", tf: str = "tf", hot: int = HOT, repeated: bool = False) -> DataFrame:
     """``(record, term, tf, df, n_records, score)`` for every distinct (record, term) of ``counts``.
 
     score = tf / (terms in the record) x (ln((1 + n_records) / (1 + df)) + 1). ``counts`` has one row or several for a (record, term), whose
-    tf are added; null records or terms are left out. Empty input gives an empty result.
+    tf are added, or with ``repeated`` are the same row delivered again and count once; null records or terms are left out. Empty input
+    gives an empty result.
     """
-    pairs = cut(counts.where(F.col(record).isNotNull() & F.col(term).isNotNull()).groupBy(F.col(record).alias("_r"), F.col(term).alias("_t")).agg(F.sum(tf).alias("tf")))
+    pairs = cut(counts.where(F.col(record).isNotNull() & F.col(term).isNotNull()).groupBy(F.col(record).alias("_r"), F.col(term).alias("_t")).agg((F.max(tf) if repeated else F.sum(tf)).alias("tf")))
     lengths = pairs.groupBy("_r").agg(F.sum("tf").alias("length"))
     n_records = lengths.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     df = pairs.groupBy("_t").agg(F.count(F.lit(1)).alias("df"))

@@ -80,8 +80,7 @@ def p6_found(spark, d):  # noqa: ANN001, ANN201
 
 
 def p6_document_terms(spark, d):  # noqa: ANN001, ANN201
-    docs = table(spark, d, "known_texts").select("doc_id", "tokens").dropDuplicates(["doc_id"])
-    return tf_idf(doc_terms(docs, "doc_id", "tokens"), "doc_id")
+    return tf_idf(doc_terms(table(spark, d, "known_texts"), "doc_id", "tokens"), "doc_id", repeated=True)
 
 
 def p6_author_terms(spark, d):  # noqa: ANN001, ANN201

@@ -85,4 +85,6 @@ def test_distinctive_terms(spark):
         r = rows["1", "cat"]
         assert (r.tf, r.df, r.n_records) == (3, 1, 3) and math.isclose(r.score, 3 / 5 * (math.log(4 / 2) + 1))
         assert r.score > rows["1", "the"].score
+    twice = doc_terms(df.union(df), "doc_id", "tokens")
+    assert {(x.doc_id, x.term): x.tf for x in tf_idf(twice, "doc_id", repeated=True).collect()} == {k: x.tf for k, x in rows.items()}
     assert tf_idf(doc_terms(df.where("false"), "doc_id", "tokens"), "doc_id").count() == 0
