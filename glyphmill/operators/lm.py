@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
-from glyphmill.operators.ngrams import Flat, gram_statistics
+from glyphmill.operators.ngrams import SEP, Flat, gram_statistics
 
 STATS = ("cnt", "pre", "suc", "presuc", "ctx")
 
@@ -105,21 +105,63 @@ def perplexity(probabilities: DataFrame, keys: list[str]) -> DataFrame:
     return probabilities.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.pow(F.lit(2.0), -F.avg(F.log2(floored(F.col("p"))))).alias("perplexity"))
 
 
-def next_words(stats: DataFrame, contexts: DataFrame, n: int = 5, discount: float = 0.75, model: str = "model_id") -> DataFrame:
-    """``(model, context, word, p, rank)``: the n likeliest words seen after each one-word context, by the bigram model.
-
-    ``contexts`` is (model, context). Words never seen after the context rank behind all of these and are not listed.
+def _last(parts: Column, k: int) -> Column:
+    """The last k words of an array as one string."""
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), k), SEP) if k else F.lit("")
+
+
+def _simplified_at(stats: DataFrame, rows: DataFrame, k: int, discount: float, model: str) -> DataFrame:
+    """``rows`` (model, context of k words, word, ...) with ``p``, the value of ``simplified_kn`` for the word after the context."""
+    total = stats.where("len = 0").select(model, F.col("presuc").alias("_all"))
+    unigrams = stats.where("len = 1").select(model, F.col("gram").alias("word"), F.col("pre").alias("_pre"))
+    out = rows.join(unigrams, [model, "word"], "left").join(total, model, "left").withColumn("p", F.coalesce(F.try_divide(_zero("_pre"), _zero("_all")), F.lit(0.0))).drop("_pre", "_all")
+    for j in range(1, k + 1):
+        out = out.withColumn("_c", _last(F.split("context", SEP), j)).withColumn("_g", F.concat_ws(SEP, "_c", "word"))
+        seen = stats.where(F.col("len") == j).select(model, F.col("gram").alias("_c"), F.col("ctx").alias("_ctx"), F.col("suc").alias("_suc"))
+        grams = stats.where(F.col("len") == j + 1).select(model, F.col("gram").alias("_g"), F.col("cnt").alias("_cnt"))
+        out = out.join(seen, [model, "_c"], "left").join(grams, [model, "_g"], "left")
+        upper = F.greatest(_zero("_cnt") - discount, F.lit(0.0)) / F.col("_ctx") + discount * F.col("_suc") / F.col("_ctx") * F.col("p")
+        out = out.withColumn("p", F.when(F.col("_ctx") > 0, upper).otherwise(F.col("p"))).drop("_c", "_g", "_ctx", "_suc", "_cnt")
+    return out
+
+
+def _ranked(stats: DataFrame, need: DataFrame, k: int, discount: float, model: str) -> DataFrame:
+    """``(model, context, word, p, rank)``: of the whole vocabulary the ``need`` likeliest words after each context of k words; ``need`` is (model, context, need)."""
+    if k == 0:
+        words = stats.where("len = 1 and cnt > 0").select(model, F.lit("").alias("context"), F.col("gram").alias("word"))
+        rows = _simplified_at(stats, words, 0, discount, model).join(need.select(model, "need"), model)
+    else:
+        own = stats.where(F.col("len") == k).select(model, F.col("gram").alias("context"), F.when(F.col("ctx") > 0, F.col("suc")).otherwise(0).alias("_s"))
+        # words unseen after a context keep the order they have after the shorter one, so its first need + seen words hold all that can come out
+        wide = need.join(own, [model, "context"], "left").select(model, "context", "need", _last(F.split("context", SEP), k - 1).alias("_shorter"), (F.col("need") + F.coalesce("_s", F.lit(0))).alias("_wide"))
+        below = _ranked(stats, wide.groupBy(model, F.col("_shorter").alias("context")).agg(F.max("_wide").alias("need")), k - 1, discount, model)
+        places = wide.select(model, "context", "need", "_shorter", F.explode(F.sequence(F.lit(1), F.col("_wide").cast("int"))).alias("rank"))
+        from_below = places.join(below.select(model, F.col("context").alias("_shorter"), "word", "rank"), [model, "_shorter", "rank"]).select(model, "context", "need", "word")
+        w = F.split("gram", SEP)
+        after = stats.where((F.col("len") == k + 1) & (F.col("cnt") > 0)).select(model, F.array_join(F.slice(w, 1, k), SEP).alias("context"), F.element_at(w, -1).alias("word"))
+        seen = need.join(after, [model, "context"]).select(model, "context", "need", "word")
+        rows = _simplified_at(stats, from_below.unionByName(seen).distinct(), k, discount, model)
+    best = Window.partitionBy(model, "context").orderBy(F.desc("p"), "word")
+    return rows.withColumn("rank", F.row_number().over(best)).where("rank <= need").select(model, "context", "word", "p", "rank")
+
+
+def next_words(stats: DataFrame, contexts: DataFrame, n: int = 5, discount: float = 0.75, model: str = "model_id", order: int = 2) -> DataFrame:
+    """``(model, context, word, p, rank)``: of a model's whole vocabulary the n likeliest words after each context, by the interpolated model of ``simplified_kn``.
+
+    ``contexts`` is (model, context), a context being words joined by U+0001; no more than its last order - 1 words count, and a part of it that is not known
+    passes to the shorter one. Words never seen after the context compete with those seen: each context meets the first n + (words seen after it) of
+    the shorter context's ranking, down to the unigrams, never the whole vocabulary. Fewer than n rows come out only where the vocabulary is smaller; equal p go to the first word.
     """
-    bigrams = stats.where("len = 2 and cnt > 0").select(model, F.split("gram", "\u0001").alias("w"), "cnt").select(model, F.get("w", F.lit(0)).alias("context"), F.get("w", F.lit(1)).alias("word"), "cnt")
-    seen = stats.where("len = 1").select(model, F.col("gram").alias("context"), "ctx", "suc")
-    lower = stats.where("len = 1").select(model, F.col("gram").alias("word"), "pre")
-    total = stats.where("len = 0").select(model, "presuc")
-    rows = contexts.join(bigrams, [model, "context"]).join(seen, [model, "context"]).join(lower, [model, "word"]).join(total, model)
-    p = F.greatest(F.col("cnt") - discount, F.lit(0.0)) / F.col("ctx") + discount * F.col("suc") / F.col("ctx") * F.col("pre") / F.col("presuc")
-    best = F.sort_array(F.collect_list(F.struct((-p).alias("q"), "word")))
-    # a context's candidates are bounded by the words seen after it
-    top = rows.groupBy(model, "context").agg(F.slice(best, 1, n).alias("best"))
-    return top.select(model, "context", F.posexplode("best").alias("k", "b")).select(model, "context", F.col("b.word").alias("word"), (-F.col("b.q")).alias("p"), (F.col("k") + 1).alias("rank"))
+    words = F.filter(F.split("context", SEP), lambda w: w != "")
+    asked = contexts.select(model, "context").distinct().withColumn("_used", _last(words, order - 1)).withColumn("_k", F.least(F.size(words), F.lit(order - 1)))
+    tops = []
+    for k in range(order):
+        need = asked.where(F.col("_k") == k).select(model, F.col("_used").alias("context"), F.lit(n).alias("need")).distinct()
+        tops.append(_ranked(stats, need, k, discount, model))
+    top = tops[0]
+    for t in tops[1:]:
+        top = top.unionByName(t)
+    return asked.select(model, F.col("context").alias("_asked"), F.col("_used").alias("context")).join(top, [model, "context"]).select(model, F.col("_asked").alias("context"), "word", "p", "rank")
 
 
 def generate(stats: DataFrame, models: DataFrame, steps: int = 20, seed: str = "0", model: str = "model_id") -> DataFrame:

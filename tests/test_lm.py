@@ -80,6 +80,40 @@ def test_train_rejects_order_one(spark):
         lm.train(spark.createDataFrame([], "model_id string, tokens array<string>"), order=1)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_next_words_against_every_word_of_the_vocabulary(spark, order):
+    """Unseen words fill up and outrank seen ones; x has many left contexts and never stands after q."""
+    text = ["a x", "b x", "c x", "d x", "e x", "f x", "q y", "q z y", "a b q z"]
+    model = spark.createDataFrame([("m", t.split()) for t in text], "model_id string, tokens array<string>")
+    stats = lm.train(model, order=order)
+    asked = [("q",), ("x",), ("y",), ("never",), ("z", "q"), ("b", "q"), ("never", "q"), ("a", "b")]
+    contexts = spark.createDataFrame([("m", "\u0001".join(c)) for c in asked], "model_id string, context string")
+    got = {}
+    for r in lm.next_words(stats, contexts, 4, order=order).orderBy("rank").collect():
+        got.setdefault(tuple(r.context.split("\u0001")), []).append((r.word, r.p))
+
+    grams = {}
+    for t in text:
+        padded = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+        for k in range(1, order + 1):
+            for i in range(len(padded) - k + 1):
+                grams[tuple(padded[i : i + k])] = grams.get(tuple(padded[i : i + k]), 0) + 1
+    bigrams = [g for g in grams if len(g) == 2]
+
+    def p(word, context):
+        if not context:
+            return sum(g[1] == word for g in bigrams) / len(bigrams)
+        after = {g[-1]: c for g, c in grams.items() if len(g) == len(context) + 1 and g[:-1] == context}
+        lower, total = p(word, context[1:]), sum(after.values())
+        return max(after.get(word, 0) - 0.75, 0) / total + 0.75 * len(after) / total * lower if total else lower
+
+    for c in asked:
+        best = sorted((-p(g[0], c[-(order - 1) :]), g[0]) for g in grams if len(g) == 1)[:4]
+        assert [w for w, _ in got[c]] == [w for _, w in best]
+        assert [v for _, v in got[c]] == pytest.approx([-v for v, _ in best], abs=1e-12)
+    assert "x" in [w for w, _ in got[("q",)]]
+
+
 def test_generated_sentences_repeat_and_use_known_words(spark):
     model = spark.createDataFrame([("m", ["a", "b", "c"]), ("m", ["a", "c"])], "model_id string, tokens array<string>")
     stats = lm.train(model, order=2)
