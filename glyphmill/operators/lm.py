@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators.ngrams import SEP, Flat, gram_statistics
+from glyphmill.session import cut
 
 STATS = ("cnt", "pre", "suc", "presuc", "ctx")
 
@@ -164,22 +165,64 @@ def next_words(stats: DataFrame, contexts: DataFrame, n: int = 5, discount: floa
     return asked.select(model, F.col("context").alias("_asked"), F.col("_used").alias("context")).join(top, [model, "context"]).select(model, F.col("_asked").alias("context"), "word", "p", "rank")
 
 
-def generate(stats: DataFrame, models: DataFrame, steps: int = 20, seed: str = "0", model: str = "model_id") -> DataFrame:
-    """``(model, tokens)``: for each model a sentence drawn word by word from its bigrams, at most ``steps`` words long.
-
-    The draw at each step is fixed by md5 of seed, model and step, so a run can be repeated. A model without sentences gives none.
+def _draw_tables(stats: DataFrame, order: int, discount: float, model: str) -> tuple[DataFrame, DataFrame]:
+    """``(model, len, context, word, lo, hi)`` and ``(model, len, context, own, den, left)``: what each context of the full model gives out itself, laid end to end
+    by word, and its sum, divisor and left-over for the shorter context. Length -1 is the uniform distribution over the vocabulary and the unknown word."""
+    w = F.split("gram", SEP)
+    head = lambda k: F.array_join(F.slice(w, 1, k), SEP) if k else F.lit("")
+    parts = stats.where("len = 1 and cnt > 0").select(model, F.lit(-1).alias("len"), F.lit("").alias("context"), F.col("gram").alias("word"), F.lit(1.0).alias("weight"))
+    parts = parts.unionByName(stats.where("len = 0").select(model, F.lit(-1).alias("len"), F.lit("").alias("context"), F.lit(X.UNKNOWN).alias("word"), F.lit(1.0).alias("weight")))
+    for k in range(order):
+        count = F.col("cnt" if k == order - 1 else "pre")
+        own = stats.where((F.col("len") == k + 1) & (count > discount))
+        parts = parts.unionByName(own.select(model, F.lit(k).alias("len"), head(k).alias("context"), F.element_at(w, -1).alias("word"), (count - discount).alias("weight")))
+    keys = [model, "len", "context"]
+    along = Window.partitionBy(*keys).orderBy("word")
+    draws = parts.withColumn("hi", F.sum("weight").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.coalesce(F.lag("hi").over(along), F.lit(0.0)))
+    draws = cut(draws.select(*keys, "word", "lo", "hi"))
+    # a context counts where it has been seen; below the highest order also only with a word on its left
+    den = F.when(F.col("len") == order - 1, F.col("cnt")).when((F.col("len") == 0) | (F.col("cnt") > 0), F.col("presuc"))
+    known = stats.where(F.col("len") < order).select(model, "len", F.col("gram").alias("context"), den.cast("double").alias("den"), (discount * F.col("suc")).alias("left")).where("den > 0")
+    heads = known.join(draws.where("len >= 0").groupBy(*keys).agg(F.max("hi").alias("own")), keys, "left").select(*keys, F.coalesce("own", F.lit(0.0)).alias("own"), "den", "left")
+    base = draws.where("len = -1").groupBy(*keys).agg(F.max("hi").alias("own")).select(*keys, "own", F.col("own").alias("den"), F.lit(0.0).alias("left"))
+    return draws, cut(heads.unionByName(base))
+
+
+def generate(stats: DataFrame, models: DataFrame, steps: int = 20, seed: str = "0", model: str = "model_id", order: int = 2, discount: float = 0.5) -> DataFrame:
+    """``(model, tokens)``: for each model a sentence drawn word by word from the probabilities of ``full_kn``, at most ``steps`` words long.
+
+    From the longest context down, a draw takes one of the context's own words by discounted count or passes with the left-over mass to the shorter one, and at
+    last to all words alike, so any word of the vocabulary, a start mark or the unknown word can come; marks are left out of the result.
+    Where a context's probabilities do not add up to one they are divided by their sum. The draw at each step is fixed by md5 of seed, model and step, so a run can
+    be repeated. A model without sentences gives none.
     """
-    bigrams = stats.where("len = 2 and cnt > 0").select(model, F.split("gram", "\u0001").alias("w"), "cnt").select(model, F.get("w", F.lit(0)).alias("prev"), F.struct(F.get("w", F.lit(1)).alias("word"), "cnt").alias("next"))
-    after = bigrams.groupBy(model, "prev").agg(F.sort_array(F.collect_list("next")).alias("options")).where(F.col("prev") != "")
-    now = models.select(model, F.array(F.lit(X.PAD_START)).alias("tokens"))
-    for k in range(steps):
-        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(model).cast("string"), F.lit(k))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-        total = F.aggregate("options", F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"])
-        pick = F.aggregate(
-            "options", F.struct((u * total).alias("left"), F.lit(None).cast("string").alias("word")),
-            lambda a, x: F.struct((a["left"] - x["cnt"]).alias("left"), F.when(a["word"].isNull() & (a["left"] < x["cnt"]), x["word"]).otherwise(a["word"]).alias("word")),
-        )["word"]
-        step = now.withColumn("prev", F.element_at("tokens", -1)).join(after, [model, "prev"], "left")
-        ended = (F.col("prev") == X.PAD_END) | F.col("options").isNull()
-        now = step.select(model, F.when(ended, F.col("tokens")).otherwise(F.concat("tokens", F.array(pick))).alias("tokens"))
+    draws, heads = _draw_tables(stats, order, discount, model)
+    levels = range(-1, order)
+    now = models.select(model, F.array_repeat(F.lit(X.PAD_START), order - 1).alias("tokens"))
+    for step in range(steps):
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(model).cast("string"), F.lit(step))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        asked = now.select(model, "tokens", F.explode(F.array(*[F.struct(F.lit(k).alias("len"), _last(F.col("tokens"), max(k, 0)).alias("context")) for k in levels])).alias("c")).select(model, "tokens", "c.*")
+        of = lambda k, c: F.max(F.when(F.col("len") == k, F.col(c)))
+        at = asked.join(heads, [model, "len", "context"], "left").groupBy(model, "tokens").agg(*[of(k, c).alias(f"{c}_{k + 1}") for k in levels for c in ("own", "den", "left")])
+        size, wholes = F.lit(1.0), []
+        for k in range(order):
+            own, den, rest = (F.col(f"{c}_{k + 1}") for c in ("own", "den", "left"))
+            wholes.append(own + rest * size)
+            size = F.when(den.isNotNull(), wholes[k] / den).otherwise(size)
+        at = at.select("*", u.alias("u"), *[x.alias(f"whole_{k}") for k, x in enumerate(wholes)])
+        # what is left of u beyond a context's own words is stretched over the shorter context
+        level, place = F.lit(None).cast("int"), F.lit(None).cast("double")
+        for k in reversed(range(order)):
+            own, whole = F.col(f"own_{k + 1}"), F.col(f"whole_{k}")
+            x = F.col("u") * whole
+            here = level.isNull() & F.col(f"den_{k + 1}").isNotNull()
+            at = at.select("*", F.when(here & (x < own), k).otherwise(level).alias(f"level_{k}"), F.when(here & (x < own), x).otherwise(place).alias(f"place_{k}"), F.when(here & (x >= own), F.coalesce(F.try_divide(x - own, whole - own), F.lit(0.0))).otherwise(F.col("u")).alias("_u")).drop("u").withColumnRenamed("_u", "u")
+            level, place = F.col(f"level_{k}"), F.col(f"place_{k}")
+        at = at.select(model, "tokens", F.coalesce(level, F.lit(-1)).alias("len"), F.coalesce(place, F.col("u") * F.col("own_0")).alias("x"))
+        used = F.lit("")
+        for k in range(1, order):
+            used = F.when(F.col("len") == k, _last(F.col("tokens"), k)).otherwise(used)
+        picked = at.withColumn("context", used).alias("a").join(draws.alias("d"), [F.col(f"a.{c}") == F.col(f"d.{c}") for c in (model, "len", "context")] + [F.col("x") >= F.col("lo"), F.col("x") < F.col("hi")], "left")
+        ended = (F.size("a.tokens") > 0) & (F.element_at("a.tokens", -1) == X.PAD_END) | F.col("d.word").isNull()
+        now = cut(picked.select(F.col(f"a.{model}").alias(model), F.when(ended, F.col("a.tokens")).otherwise(F.concat("a.tokens", F.array("d.word"))).alias("tokens")))
     return now.select(model, F.filter("tokens", lambda t: ~t.isin(X.PAD_START, X.PAD_END)).alias("tokens"))

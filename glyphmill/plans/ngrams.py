@@ -113,8 +113,9 @@ def next_words(spark, d):  # noqa: ANN001, ANN201
 
 
 def kn_generate(spark, d):  # noqa: ANN001, ANN201
-    stats = lm.train(B.known_sentences(spark, d).select(F.col("corpus").alias("model_id"), "tokens"), "model_id", 2)
-    return lm.generate(stats, stats.select("model_id").distinct(), 12)
+    """A sentence of each corpus by the full model, cut off at 12 words."""
+    stats = cut(lm.train(B.known_sentences(spark, d).select(F.col("corpus").alias("model_id"), "tokens"), "model_id", ORDER))
+    return lm.generate(stats, stats.select("model_id").distinct(), 12, order=ORDER)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -121,6 +121,25 @@ def test_generated_sentences_repeat_and_use_known_words(spark):
     assert one == two and set(one[0]) <= {"a", "b", "c"} and one[0][0] == "a"
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_generated_first_words_follow_the_smoothed_probabilities(spark, order):
+    """Words that never begin a sentence come as often as the full model says; 3000 copies of one model draw one word each."""
+    text = ["a b c", "a c", "b c c"]
+    names = [f"m{k:04}" for k in range(3000)]
+    rows = spark.createDataFrame([(m, t.split()) for m in names for t in text], "model_id string, tokens array<string>")
+    stats = lm.train(rows, order=order)
+    drawn = [tuple(r.tokens) for r in lm.generate(stats, stats.select("model_id").distinct(), 1, order=order).collect()]
+    voc = ["a", "b", "c", "<unk>", "<s>", "</s>"]
+    one = lm.train(spark.createDataFrame([("m", t.split()) for t in text], "model_id string, tokens array<string>"), order=order)
+    q = spark.createDataFrame([("m", w, [w]) for w in voc], "model_id string, sent_id string, tokens array<string>")
+    p = {r.sent_id: r.p for r in lm.full_kn(one, q, ["model_id", "sent_id"], order, 0.5).where("pos = 0").collect()}
+    total = sum(p.values())
+    assert len(drawn) == 3000 and all(len(t) <= 1 for t in drawn)
+    for w in ("a", "b", "c", "<unk>"):
+        share = p[w] / total
+        assert share > 0 and drawn.count((w,)) / 3000 == pytest.approx(share, abs=5 * math.sqrt(share * (1 - share) / 3000))
+
+
 def test_cosine_zero_vector_raises(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     with pytest.raises(Exception, match="zero vector"):
