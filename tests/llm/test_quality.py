@@ -1,10 +1,13 @@
 """Kinds of texts on written cases, and any text measured without failing."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphmill.llm.quality import COLUMNS, CommonWords, kind, statistics, text_quality
+from glyphmill.llm import quality
+from glyphmill.llm.quality import COLUMNS, CommonWords, kinds, measure, text_quality
 
 WORDS = "the a of and to we she he they in on it that this der die und wir 的 了 在 我 は を に です".split()
 PROSE = "She carried the old lantern to the harbour and waited there. They said that it would rain. We left the house in the evening."
@@ -19,16 +22,75 @@ CASES = {
 }
 
 
+COMMON = CommonWords(frozenset(WORDS))
+#: Items without any mark, longer than a heading and of many lengths.
+LONG_ITEMS = "\n".join([
+    "Wooden ladders from northern workshops, second hand", "Brass lanterns with spare glass", "Four bicycle tyres, hardly used, green valves and pumps", "Copper kettles",
+    "Printed maps showing railway lines before closure", "Leather saddles", "Theatre programmes", "Garden tools: rakes, forks, spades",
+])
+WRAPPED = """she carried the old lantern to the harbour and waited there for a
+boat that nobody had seen since the last winter while the others on
+the hill were singing and the rain went on and on over the roofs of
+the town until he came down the road with bread and a letter for us
+in which they said that it would be over soon and that we had to be"""
+
+
+def one(text):
+    return {c: v[0] for c, v in measure([text], COMMON).items()}
+
+
+def kind(text):
+    return kinds(measure([text], COMMON))[0]
+
+
 @pytest.mark.parametrize("want,text", [(k, t) for k, ts in CASES.items() for t in ts])
 def test_kinds(want, text):
-    assert kind(statistics(text, CommonWords(frozenset(WORDS)))) == want
+    assert kind(text) == want
+
+
+def test_texts_are_measured_alike_alone_and_together():
+    texts = [t for ts in CASES.values() for t in ts] + [LONG_ITEMS, WRAPPED]
+    together = measure(texts, COMMON)
+    for k, t in enumerate(texts):
+        assert all(v == pytest.approx(together[c][k]) for c, v in one(t).items()), t
+
+
+def test_room_decides_on_lines_without_marks(monkeypatch):
+    assert (kind(LONG_ITEMS), kind(WRAPPED)) == ("list", "prose")
+    assert one(LONG_ITEMS)["room_autocorrelation"] > quality.ROOM > one(WRAPPED)["room_autocorrelation"]
+    monkeypatch.setattr(quality, "room_autocorrelation", lambda room: 0.0)
+    assert kind(LONG_ITEMS) != "list"
+
+
+def test_indentation_decides(monkeypatch):
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice(("harbour", "lantern", "letter", "kettle", "the", "garden", "of", "winter", "station", "we", "that", "rumour")) for _ in range(n))
+    hanging = "\n".join(f"- {some(8)}\n      {some(7)}." for _ in range(9))
+    headed = "\n".join(f"{some(3)}\n    {some(3)}\n    {some(4)}" for _ in range(8))
+    for text in (hanging, headed):
+        assert kind(text) == "list" and one(text)["periodic_indent_share"] > 0.5
+    monkeypatch.setattr(quality.Lines, "indentation_period", lambda self: self.stop & False)
+    assert kind(hanging) != "list"
+
+
+def test_repetition_of_any_period():
+    words = [f"w{k}" for k in range(150)]
+    assert one(" ".join(words * 4))["repeated_share"] == pytest.approx(0.75)
+    assert kind("some words that head the text " + " ".join(words * 5)) == "junk"
+    assert one(" ".join(words))["repeated_share"] == 0
+
+
+def test_long_lines_are_measured_whole():
+    assert kind("\n".join(f"field {k}: {'x' * 400}" for k in range(4))) == "table"
+    assert one("." * 300_000 + "x")["n_chars"] == 300_001
 
 
-@given(st.text(min_size=1).filter(lambda t: t.strip()))
+@given(st.lists(st.text(min_size=1).filter(lambda t: t.strip()), min_size=1, max_size=4))
 @settings(max_examples=300, deadline=None)
-def test_any_text_is_measured(text):
-    s = statistics(text, CommonWords(frozenset(WORDS)))
-    assert set(s) == set(COLUMNS) and kind(s) in CASES and all(0 <= s[c] <= 1.0001 for c in COLUMNS if c.endswith("_share") and c not in ("damage_share", "hex_share"))
+def test_any_text_is_measured(texts):
+    s = measure(texts, COMMON)
+    assert set(s) == set(COLUMNS) and all(k in CASES for k in kinds(s))
+    assert all((v >= 0).all() and (v <= 1.0001).all() for c, v in s.items() if c.endswith("_share") and c not in ("damage_share", "hex_share"))
 
 
 def test_rows(spark):
