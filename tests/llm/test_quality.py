@@ -65,7 +65,7 @@ def test_room_decides_on_lines_without_marks(monkeypatch):
 def test_indentation_decides(monkeypatch):
     rng = random.Random(3)
     some = lambda n: " ".join(rng.choice(("harbour", "lantern", "letter", "kettle", "the", "garden", "of", "winter", "station", "we", "that", "rumour")) for _ in range(n))
-    hanging = "\n".join(f"- {some(8)}\n      {some(7)}." for _ in range(9))
+    hanging = "\n".join(f"- {some(5)}\n      {some(9)}." for _ in range(9))
     headed = "\n".join(f"{some(3)}\n    {some(3)}\n    {some(4)}" for _ in range(8))
     for text in (hanging, headed):
         assert kind(text) == "list" and one(text)["periodic_indent_share"] > 0.5
