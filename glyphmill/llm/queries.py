@@ -70,9 +70,9 @@ def p3_ranked(spark, d):  # noqa: ANN001, ANN201
 
 
 def p4_found(spark, d):  # noqa: ANN001, ANN201
-    known = table(spark, d, "known_texts").dropDuplicates(["doc_id"]).select(F.lit("known").alias("side"), "doc_id", F.lit(0).alias("chunk_id"), "text")
-    unknown = table(spark, d, "unknown_texts").dropDuplicates(["doc_id", "chunk_id"]).select(F.lit("unknown").alias("side"), "doc_id", "chunk_id", F.col("sentence").alias("text"))
-    return sentences(known.unionByName(unknown), "text", "side", "doc_id", "chunk_id")
+    known = table(spark, d, "known_texts").select(F.lit("known").alias("side"), "doc_id", F.lit(0).alias("chunk_id"), "text")
+    unknown = table(spark, d, "unknown_texts").select(F.lit("unknown").alias("side"), "doc_id", "chunk_id", F.col("sentence").alias("text"))
+    return sentences(known.unionByName(unknown), "text", "side", "doc_id", "chunk_id", once=True)
 
 
 def p6_found(spark, d):  # noqa: ANN001, ANN201

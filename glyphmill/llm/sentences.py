@@ -1,23 +1,26 @@
 """Sentence boundaries across languages and scripts by a pushdown automaton.
 
-One pass over the marks of a text (terminators, quotes, brackets, line ends) with a stack of open quotations and brackets.
-Terminators inside an open quotation or bracket never end the sentence; what closes it may. Abbreviations are looked up in a
-trie read backwards from the full stop. Line ends count as white space unless the next word would still have fitted on
+One pass over the marks of a text (terminators, quotes, brackets, line ends) with a stack of open quotations, brackets and list levels.
+Terminators inside an open quotation or bracket never end the sentence; what closes it may. A line with a list mark opens a level of its
+depth and closes all deeper ones together with what was left open inside them; a line that is not deeper than the level leaves it.
+Abbreviations are looked up in a trie read backwards from the full stop. Line ends count as white space unless the next word would still have fitted on
 the line, which tells headings, greetings and list items from wrapped prose. Texts in Thai, which has no full stop, end
-sentences at spaces that do not belong to a number.
+sentences at spaces that do not belong to a number. A name with a mark of its own shows by what follows in lower case in a text whose sentences begin in upper case.
 
-Texts are whole; nothing is cut to a prefix. Nulls and blank texts have no sentences.
+Texts are whole; nothing is cut to a prefix, and the work is linear in the text: the places of closing marks are noted once. Nulls and blank texts have no sentences.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Abbreviations after which a sentence goes on, without their last full stop.
 GOES_ON = """
@@ -32,8 +35,6 @@ z.B z. B d.h d. h bzw Nr Hr Fr Frau Hrn Bd S u.a u. a ca vgl Abb
 MAY_END = """
 etc a.m p.m a. m p. m usw u.s.w и т. д и т.д и т. п т.д т.п др г гг κ.λπ κ.ά κτλ Jr Inc Ltd Co Corp U.S U.K Ph.D
 """
-#: Names written with a mark of their own.
-MARKED_NAMES = ("Zimto!", "Yahoo!", "Jeopardy!", "Joomla!")
 #: Months after an ordinal number with full stop.
 MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember".split()
 #: Words that take a clause up after three dots.
@@ -47,8 +48,8 @@ SPEAKS = frozenset(
 SPEAKER_CLAUSE = (
     re.compile(r"と(?:[^。！？\n]{0,12})(?:言|書|答|叫|聞|尋|思|話)"),
     re.compile(r"[^。！？，\n「『“]{1,8}(?:说|問|问|道|喊|答|叫|写道)(?=[。！？，：]|$)"),
-    re.compile(r"\S+\s+(?:बोली|बोला|बोले|पूछा|कहा|कहती|पूछती)"),
-    re.compile(r"\S+\s(?:ने\s)?(?:कहा|पूछा)"),
+    re.compile(r"[\p{L}\p{M}]++\s+(?:बोली|बोला|बोले|पूछा|कहा|कहती|पूछती)"),
+    re.compile(r"[\p{L}\p{M}]++\s(?:ने\s)?(?:कहा|पूछा)"),
 )
 
 PAIRS = {"“": "”", "‘": "’", "«": "»", "„": "“", "‚": "‘", "「": "」", "『": "』", "《": "》", "(": ")", "[": "]", "（": "）", "【": "】"}
@@ -57,8 +58,8 @@ CLOSERS = frozenset(PAIRS.values()) | {'"'}
 STOPS = ".!?…‥。！？｡।॥؟۔"
 EVENT = re.compile(r"[" + re.escape(STOPS) + r";;]+(?:[\s ]?[!?])*|[\"“”‘’«»„‚「」『』《》()\[\]（）【】]|\n")
 THAI_EVENT = re.compile(r"[" + re.escape(STOPS) + r"]+|[\"“”‘’«»()\[\]]|\s+")
-MARKER = re.compile(r"(?:[-*•–‣▪◦·]|\(?\d{1,3}[.)]|\(?[a-z][)])\s+(?=\S)")
-MARK_ALONE = re.compile(r"(?:[-*•–‣▪◦·]|\(?\d{1,3}[.)]|\(?[a-z][)])\s*")
+MARKER = re.compile(r"(?:[-*•–‣▪◦·]|\(?\d+[.)]|\(?[a-z][)])\s+(?=\S)")
+MARK_ALONE = re.compile(r"(?:[-*•–‣▪◦·]|\(?\d+[.)]|\(?[a-z][)])\s*")
 BULLET = re.compile(r"[*•‣▪◦·]\s+\S")
 SPLIT_ABBREVIATION = re.compile(r"\.\s?\p{L}{1,2}\.")
 BLANK = re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+")
@@ -66,8 +67,12 @@ FULL_STOP_INSIDE = re.compile(r"[\p{Ll}\d]{2}[.!?]+\p{Lu}(?:\p{Ll}|\s|\.\s)")
 NUMBER = re.compile(r"[$€£¥#№v]?\d[\d.,:\-–/%]*$")
 #: The longest heading or greeting; list lines shorter than this are taken as lines of their own even if no line of the text is longer.
 LEAST_WIDTH = 50
-_LAST_WORD, _FIRST_WORD = re.compile(r"\S+$"), re.compile(r"\S{1,64}")
-_VISIBLE = re.compile(r"\S")
+#: Stands in the stack for a list level, where quotations and brackets have their closing mark.
+LEVEL = ""
+_WORD, _LETTERS = re.compile(r"\S+"), re.compile(r"[\p{L}\p{M}]+")
+_LETTER = re.compile(r"\p{L}")
+_FOLLOWED = re.compile(r"\p{L}{2}([.!?])\s+(?:[-*•]\s)?([\p{Ll}\p{Lu}])")
+_VISIBLE, _CLOSER = re.compile(r"\S"), re.compile(r"[\"”’»“‘」』》)\]）】]")
 _GREEK, _THAI = re.compile(r"\p{Greek}"), re.compile(r"\p{Thai}")
 
 
@@ -126,19 +131,32 @@ class Segmenter:
         self.width = max(map(len, (line.strip() for line in text.split("\n"))), default=0)
         self.lower = self._lower_style()
         self.out: list[tuple[int, int]] = []
+        self.seen = (-1, -1)  # a place and the first visible character from there
+        self.closers: dict[str, list[int]] = {}
+        for m in _CLOSER.finditer(text):
+            i, c = m.start(), m.group()
+            if c != "’" or not text[i + 1 : i + 2].isalpha():  # else an apostrophe
+                self.closers.setdefault(c, []).append(i)
 
     def _lower_style(self) -> bool:
-        """Whether sentences of this text begin in lower case."""
+        """Whether sentences of this text begin in lower case. What follows a capitalised word with a mark of its own tells nothing, nor does what follows an abbreviation."""
         low = up = 0
-        for m in re.finditer(r"\p{L}{2}([.!?])\s+(?:[-*•]\s)?([\p{Ll}\p{Lu}])", self.text):
-            name = any(n[:-1] == self.text[max(0, m.start(1) - len(n) + 1) : m.start(1)] for n in MARKED_NAMES)
-            if not name and abbreviation(self.text, m.start(1), 0) is None:
-                if m.group(2).islower():
-                    low += 1
-                else:
-                    up += 1
-        first = re.search(r"^(?:\s|[^\p{L}\n])*(\p{L})", self.text)
-        starts_low = bool(first and first.group(1).islower())
+        for m in _FOLLOWED.finditer(self.text):
+            at = m.start(1)
+            if abbreviation(self.text, at, 0) is not None:
+                continue
+            if m.group(2).isupper():
+                up += 1
+                continue
+            if m.group(1) != ".":
+                k = m.start()
+                while k and self.text[k - 1].isalpha():
+                    k -= 1
+                if self.text[k].isupper():
+                    continue
+            low += 1
+        first = _LETTER.search(self.text)
+        starts_low = bool(first and first.group().islower())
         return low > 0.1 * (low + up) or (low == up and starts_low)
 
     def emit(self, a: int, b: int) -> None:
@@ -148,13 +166,20 @@ class Segmenter:
             a += len(part) - len(part.lstrip())
             self.out.append((a, a + len(s)))
 
+    def first_visible(self, a: int) -> int:
+        """The first character from ``a`` on that is no white space (the text's length if there is none)."""
+        if self.seen[0] != a:
+            m = _VISIBLE.search(self.text, a)
+            self.seen = (a, m.start() if m else len(self.text))
+        return self.seen[1]
+
     def blank(self, a: int, b: int) -> bool:
-        return _VISIBLE.search(self.text, a, b) is None
+        return self.first_visible(a) >= b
 
     def only_marker(self, a: int, b: int) -> bool:
-        """Whether nothing but a list marker stands between two places."""
-        m = _VISIBLE.search(self.text, a, b)
-        return m is not None and b - m.start() < 64 and MARK_ALONE.fullmatch(self.text, m.start(), b) is not None
+        """Whether nothing but a list mark stands between two places."""
+        at = self.first_visible(a)
+        return at < b and MARK_ALONE.fullmatch(self.text, at, b) is not None
 
     def run(self) -> list[tuple[int, int]]:
         at = 0
@@ -164,6 +189,15 @@ class Segmenter:
         self.block(at, len(self.text))
         return self.out
 
+    def enter_line(self, stack: list[tuple[str, int, bool]], a: int, b: int) -> None:
+        """A line on its own begins at ``a``: leaves the list levels it is not below, with all that is open inside them, and opens its own if it has a mark."""
+        head = self.first_visible(a)
+        depth = head - a
+        while stack and (stack[-1][0] != LEVEL or stack[-1][1] >= depth):
+            stack.pop()
+        if head < b and MARKER.match(self.text, head, b):
+            stack.append((LEVEL, depth, True))
+
     def block(self, a: int, b: int) -> None:
         if a >= b or not self.text[a:b].strip():
             return
@@ -172,20 +206,23 @@ class Segmenter:
             return
         t = self.text
         start = a  # of the current sentence
-        stack: list[tuple[str, int, bool]] = []  # closing mark, where it opened, whether that began the sentence
+        stack: list[tuple[str, int, bool]] = []  # closing mark, where it opened, whether that began the sentence; or a list level with its depth
+        self.enter_line(stack, a, b)
         skip_to = a
         while (m := EVENT.search(t, skip_to, b)) is not None:
             i, mark = m.start(), m.group()
             c = mark[0]
             skip_to = m.end()
             if c == "\n":
-                if self.breaks(i, a, b, start):
+                if self.breaks(i, a, b, start, stack):
                     self.emit(start, i)
-                    start, stack = i + 1, []
+                    start = i + 1
+                    self.enter_line(stack, start, b)
                 continue
-            if stack and c == stack[-1][0] and not (c == "’" and i + 1 < b and t[i + 1].isalpha()):
+            inside = bool(stack) and stack[-1][0] != LEVEL
+            if inside and c == stack[-1][0] and not (c == "’" and i + 1 < b and t[i + 1].isalpha()):
                 _, opened, began = stack.pop()
-                if stack:
+                if stack and stack[-1][0] != LEVEL:
                     continue
                 end = self.closed(i, opened, began, b)
                 if end:
@@ -197,9 +234,7 @@ class Segmenter:
                 if self.opens(i, a, b, c, close):
                     stack.append((close, i, self.blank(start, i) or self.only_marker(start, i)))
                 continue
-            if c in CLOSERS:
-                continue
-            if stack:
+            if c in CLOSERS or inside:
                 continue
             end = self.stops(i, m.end(), start, b, mark)
             if end:
@@ -209,20 +244,19 @@ class Segmenter:
 
     def opens(self, i: int, a: int, b: int, c: str, close: str) -> bool:
         """Whether a mark opens something that closes again in this block."""
-        t = self.text
-        if c in "‘‚" and i > a and t[i - 1].isalnum():
+        if c in "‘‚" and i > a and self.text[i - 1].isalnum():
             return False
-        j = t.find(close, i + 1, b)
-        while close == "’" and 0 <= j and j + 1 < b and t[j + 1].isalpha():
-            j = t.find(close, j + 1, b)
-        return j >= 0
+        places = self.closers.get(close, ())
+        k = bisect_right(places, i)
+        return k < len(places) and places[k] < b
 
-    def breaks(self, i: int, a: int, b: int, start: int) -> bool:
+    def breaks(self, i: int, a: int, b: int, start: int, stack: list[tuple[str, int, bool]]) -> bool:
         """Whether the line end at ``i`` ends a unit."""
         t = self.text
         head = max(a, t.rfind("\n", a, i) + 1)
         tail = t.find("\n", i + 1, b)
-        line, following = t[head:i].strip(), t[i + 1 : tail if tail >= 0 else b].strip()
+        line, rest = t[head:i].strip(), t[i + 1 : tail if tail >= 0 else b]
+        following = rest.strip()
         if not line or not following:
             return False
         word = following.split(None, 1)[0]
@@ -230,7 +264,9 @@ class Segmenter:
         fits = needed <= self.width
         if BULLET.match(following):
             return True
-        if MARKER.match(following) or (MARKER.match(line) and (self.lower or not word[0].islower())):
+        depth = len(rest) - len(rest.lstrip())
+        leaves = any(close == LEVEL and depth <= at for close, at, _ in stack) and (self.lower or not word[0].islower())
+        if MARKER.match(following) or leaves:
             return fits or needed <= LEAST_WIDTH or (line[-1] in STOPS and not MARKER.match(line))
         # a heading or greeting fills its line alone, and what follows begins like a sentence of this text
         alone = self.blank(start, head) and len(line) <= LEAST_WIDTH and " " in line
@@ -259,7 +295,7 @@ class Segmenter:
         return k, "dash" if c in "—–" else "other"
 
     def word(self, k: int, b: int) -> str:
-        m = re.compile(r"[\p{L}\p{M}]+").match(self.text, k, b)
+        m = _LETTERS.match(self.text, k, b)
         return m.group() if m else ""
 
     def stops(self, i: int, end: int, start: int, b: int, mark: str) -> int:
@@ -297,8 +333,6 @@ class Segmenter:
                 return 0  # an initial, or the first part of an abbreviation of several
             if before.isdigit() and self.word(k, b).lower() in MONTHS:
                 return 0
-        elif c in "!?" and any(t.startswith(n, max(start, i - len(n) + 1)) and kind == "lower" for n in MARKED_NAMES):
-            return 0
         if kind == "lower":
             if not self.lower:
                 return 0
@@ -337,16 +371,18 @@ class Segmenter:
 
     def thai_block(self, a: int, b: int) -> None:
         t, start, depth = self.text, a, []
+        space = a  # where the white space before the last word ends
         for m in THAI_EVENT.finditer(t, a, b):
             i, c = m.start(), m.group()[0]
             if i < start:
                 continue
             if c.isspace():
+                before, space = t[max(space, start) : i], m.end()
                 if depth:
                     continue
                 k, kind = self.begins(m.end(), b)
-                before, after = _LAST_WORD.search(t, max(start, i - 64), i), _FIRST_WORD.match(t, k, b)
-                before, after = (before.group() if before else ""), (after.group() if after else "")
+                after = _WORD.match(t, k, b)
+                after = after.group() if after else ""
                 if not before or self.only_marker(start, k):
                     continue
                 if NUMBER.match(after) or NUMBER.match(before) or before.endswith("ว่า"):
@@ -368,19 +404,24 @@ def segment(text: str | None) -> list[tuple[int, int]]:
     return Segmenter(text).run()
 
 
-def sentences(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """``(*keep, start_pos, end_pos)``: one row for each sentence of column ``text``; ``keep`` columns are carried along."""
+def sentences(df: DataFrame, text: str, *keep: str, once: bool = False) -> DataFrame:
+    """``(*keep, start_pos, end_pos)``: one row for each sentence of column ``text``; ``keep`` columns are carried along.
+
+    With ``once`` rows equal in ``keep`` are deliveries of one text, which comes once: what is shuffled to tell are places, never texts.
+    """
     types = [df.schema[c].dataType.simpleString() for c in keep]
+    places = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [segment(t) for t in b.column(0).to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = [p for f in found for p in f]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(1 + k).take(pa.array(rows)) for k in range(len(keep))), pa.array([p[0] for p in flat], pa.int32()), pa.array([p[1] for p in flat], pa.int32())],
-                names=[*keep, "start_pos", "end_pos"],
-            )
-
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(keep, types, strict=True)), "start_pos int", "end_pos int"])
-    return df.where(df[text].isNotNull()).select(text, *keep).mapInArrow(split, schema)
+            flat = np.array([p for f in found for p in f], np.int32).reshape(-1, 2)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(places.value_type))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(ends), rows, type=places)], names=[*keep, "_at"])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(keep, types, strict=True)), "_at array<struct<start_pos int, end_pos int>>"])
+    found = df.where(df[text].isNotNull()).select(text, *keep).mapInArrow(split, schema)
+    if once:
+        found = found.groupBy(*keep).agg(F.first("_at").alias("_at"))
+    return found.select(*keep, F.inline("_at"))
