@@ -27,7 +27,7 @@ ENDS = r"[.!?…。！？।॥؟۔:;;]" + CLOSE + "$"
 MARKERS = (r"^[-*•–‣▪◦·+]\s+\S", r"^\(?\d{1,3}[.)]\s+\S", r"^\(?(?:[a-zA-Z]|[ivx]{1,4})\)\s+\S", r"^>\s+\S")
 NUMBERED = r"^(?P<n>\d{1,9})\s+\S"
 LEADER = r"\.{4,}\s*\S{0,8}\s*$|…{2,}\s*\d+\s*$"
-KEY_VALUE = r"^[\pL\pN_.\- ]{1,30}\s*[:=]\s*[^\s:=]"
+KEY_VALUE = r"^[\pL\pN_.\- ]+[:=]\s*[^\s:=]"
 NUMERIC = r"^[-+$€]?\d[\d.,:%/\-]*$|^\pL+_\d+$"
 WORDY = r"[\pL\pN]"
 SENTENCE_GAPS = r"[.!?。！？।]\s*"
@@ -143,6 +143,19 @@ class Lines:
         np.maximum.at(self.width, self.doc, self.length)
         self.room = 1 - self.length / self.width[self.doc]
 
+    def counts(self, mark: str) -> np.ndarray:
+        """How often a mark stands in each line; for marks beyond ASCII and longer ones first by the last byte of the character that tells them, then exactly where that may do."""
+        byte = mark.strip(" ").encode()[-1] if mark.strip(" ") else mark.encode()[-1]
+        offsets, data = np.frombuffer(self.text.buffers()[1], np.int32)[self.text.offset : self.text.offset + self.count + 1], np.frombuffer(self.text.buffers()[2] or b"", np.uint8)
+        at = np.flatnonzero(data == byte)
+        n = np.diff(np.searchsorted(at, offsets))
+        if len(mark.encode()) > 1:
+            likely = n >= 5
+            n = np.zeros(self.count, np.int64)
+            if likely.any():
+                n[likely] = _number(pc.count_substring(self._pick(likely), mark))
+        return n
+
     def by_line(self, of_words: np.ndarray) -> np.ndarray:
         return np.bincount(self.word_line, of_words, self.count)
 
@@ -163,7 +176,7 @@ class Lines:
         """Rows of fields: delimiters in like number as on a neighbouring line, or fields that begin where its fields begin."""
         table = np.zeros(self.count, bool)
         for d in DELIMITERS:
-            n = _number(pc.count_substring(self.text, d))
+            n = self.counts(d)
             hit = _both((n[1:] == n[:-1]) & (n[1:] > 0) & self.near) if n.any() else table
             if hit.any():
                 table[np.flatnonzero(hit)[self._cells(hit, d, CELL_CHARS) >= 0.8]] = True
@@ -197,9 +210,11 @@ class Lines:
 
     def _number_rows(self) -> np.ndarray:
         """Lines of two or more blank-separated fields, as many as a neighbour's, half of them numbers or identifiers."""
-        numeric = self.by_line(_find(self.words, NUMERIC))
-        good = (self.n_words >= 2) & (2 * numeric >= self.n_words)
-        return _both(good[1:] & good[:-1] & (self.n_words[1:] == self.n_words[:-1]) & self.near)
+        like = (self.n_words[1:] == self.n_words[:-1]) & (self.n_words[1:] >= 2) & self.near
+        asked = np.flatnonzero(_both(like)[self.word_line])
+        numeric = np.bincount(self.word_line[asked], _find(self.words.take(pa.array(asked)), NUMERIC), self.count)
+        good = 2 * numeric >= self.n_words
+        return _both(good[1:] & good[:-1] & like)
 
     def _ruled(self) -> np.ndarray:
         """Lines after a rule ("+----+") with as many blank-separated fields as most of them, in texts of two rules or more."""
@@ -242,7 +257,7 @@ class Lines:
         """Lines that are many short items between separators."""
         out = np.zeros(self.count, bool)
         for s in SEPARATORS:
-            many = (_number(pc.count_substring(self.text, s)) >= 5) & ~out
+            many = (self.counts(s) >= 5) & ~out
             if many.any():
                 at = np.flatnonzero(many)
                 good = self._cells(many, s, ITEM_CHARS, ITEM_WORDS) >= 0.9
@@ -330,11 +345,11 @@ def repeated_share(unit: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray
     if len(unit) < 3:
         return out
     size = np.bincount(doc, minlength=n_docs)
-    code = np.unique(unit, return_inverse=True)[1].astype(np.int64)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
-    key = (code[pair] * (int(code.max()) + 1) + code[pair + 1])
-    order = np.lexsort((pair, key, doc[pair]))
-    again = (key[order][1:] == key[order][:-1]) & (doc[pair[order]][1:] == doc[pair[order]][:-1])
+    left, right, own = (v.astype(np.uint64) for v in (unit[pair], unit[pair + 1], doc[pair]))
+    key = ((left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xBF58476D1CE4E5B9) + own) * np.uint64(0x94D049BB133111EB)
+    order = np.argsort(key, kind="stable")
+    again = key[order][1:] == key[order][:-1]
     gap, of = (pair[order][1:] - pair[order][:-1])[again], doc[pair[order]][1:][again]
     if not len(gap):
         return out
