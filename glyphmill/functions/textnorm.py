@@ -108,9 +108,10 @@ def clean_key(c: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def doc_terms(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+def doc_terms(df: DataFrame, id_col: str, tokens_col: str, lengths: bool = False) -> DataFrame:
     """``(id_col, term, tf)``: one row for each term of each row, counted inside the row before anything is shuffled.
 
+    With ``lengths`` also ``length``, the terms of the row counted with repetition, and ``first``, 1 on one of its rows and 0 on the others, so that its sum counts rows.
     Null ids are kept as null; null or empty arrays and tokens that are no terms give no row. Other columns are ignored.
     """
     id_type = df.schema[id_col].dataType.simpleString()
@@ -124,9 +125,10 @@ def doc_terms(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
             keep = codes >= 0
             keys, counts = np.unique(rows[keep] * max(1, len(terms)) + codes[keep], return_counts=True)
             at, code = np.divmod(keys, max(1, len(terms)))
+            more = [np.bincount(rows[keep], minlength=b.num_rows)[at], np.r_[True, at[1:] != at[:-1]][: len(at)].astype(np.int64)] if lengths else []
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array(terms, pa.string()).take(pa.array(code)), pa.array(counts.astype(np.int64))],
-                names=[id_col, "term", "tf"],
+                [b.column(0).take(pa.array(at)), pa.array(terms, pa.string()).take(pa.array(code)), pa.array(counts.astype(np.int64)), *(pa.array(x.astype(np.int64)) for x in more)],
+                names=[id_col, "term", "tf", "length", "first"][: 5 if lengths else 3],
             )
 
-    return df.select(id_col, tokens_col).mapInArrow(count, f"`{id_col}` {id_type}, term string, tf bigint")
+    return df.select(id_col, tokens_col).mapInArrow(count, f"`{id_col}` {id_type}, term string, tf bigint" + (", length bigint, first bigint" if lengths else ""))

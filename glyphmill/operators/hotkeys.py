@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.textnorm import clean_key, clean_term_col
+from glyphmill.operators.deliveries import one_delivery
+from glyphmill.session import cut
 
 
 def key_totals(df: DataFrame, key: Column, value: Column | None = None, out: str = "key_text") -> DataFrame:
@@ -25,11 +27,6 @@ def key_totals(df: DataFrame, key: Column, value: Column | None = None, out: str
     return rows.groupBy(out).agg(*aggs)
 
 
-def one_delivery(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row for each key of repeated deliveries of the same row; keys are spread evenly, since each is one document."""
-    return df.select(key, *columns).dropDuplicates([key])
-
-
 def author_totals(docs: DataFrame) -> DataFrame:
     """``(key_text, records, total)`` by clean author: documents and tokens. Documents of null or blank author are no key."""
     return key_totals(one_delivery(docs, "doc_id", "author", "num_tokens"), clean_key(F.col("author")), F.col("num_tokens").cast("bigint"))
@@ -47,10 +44,14 @@ def term_totals(docs: DataFrame) -> DataFrame:
 
 
 def heavy_keys(docs: DataFrame, author_share: float = 0.04, term_share: float = 0.0073) -> DataFrame:
-    """``(field_name, key_text)``: authors with at least ``author_share`` of all documents, terms with at least ``term_share`` of all occurrences."""
-    authors = author_totals(docs)
-    n_docs = docs.agg(F.countDistinct("doc_id").alias("n")).scalar()
-    terms = term_totals(docs)
-    all_terms = terms.agg(F.sum("total").alias("n")).scalar()
-    heavy = authors.where(F.col("records") >= F.lit(author_share) * n_docs).select(F.lit("author").alias("field_name"), "key_text")
-    return heavy.unionByName(terms.where(F.col("total") >= F.lit(term_share) * all_terms).select(F.lit("token").alias("field_name"), "key_text"))
+    """``(field_name, key_text)``: authors with at least ``author_share`` of all documents, terms with at least ``term_share`` of all occurrences.
+
+    Both tables of totals are written once, for the sums they are measured against are those of their own columns; documents without author count in the sum.
+    """
+    authors = cut(one_delivery(docs, "doc_id", "author").groupBy(clean_key(F.col("author")).alias("key_text")).agg(F.count(F.lit(1)).alias("total")))
+    terms = cut(term_totals(docs))
+    heavy = [
+        t.where((F.col("total") >= F.lit(share) * (t.agg(F.sum("total")).scalar())) & F.col("key_text").isNotNull()).select(F.lit(name).alias("field_name"), "key_text")
+        for name, t, share in (("author", authors, author_share), ("token", terms, term_share))
+    ]
+    return heavy[0].unionByName(heavy[1])
