@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.functions.textnorm import clean_phrase_col, doc_terms, number_in
+from glyphmill.functions.textnorm import clean_key, clean_phrase_col, doc_terms, number_in
 from glyphmill.llm.distinctive_terms import tf_idf
 from glyphmill.llm.mixing import mix, mix_shares
 from glyphmill.llm.packing import pack, pack_fill
@@ -14,6 +14,8 @@ from glyphmill.llm.shared_spans import shared_pairs, shared_share
 from glyphmill.llm.term_frequency import mark, term_frequencies
 from glyphmill.llm.tokenizer import token_count
 from glyphmill.llm.top_n import top_n
+from glyphmill.operators.deliveries import one_delivery
+from glyphmill.plans.folding import TERMS, folded
 from glyphmill.session import cut, table
 
 
@@ -75,19 +77,21 @@ def p4_found(spark, d):  # noqa: ANN001, ANN201
     return sentences(known.unionByName(unknown), "text", "side", "doc_id", "chunk_id", once=True)
 
 
+def _doc_counts(spark, d):  # noqa: ANN001, ANN202
+    return doc_terms(one_delivery(table(spark, d, "known_texts"), "doc_id", "tokens"), "doc_id", "tokens", lengths=True)
+
+
 def p6_found(spark, d):  # noqa: ANN001, ANN201
-    return p6_document_terms(spark, d).where("tf >= 4 and df <= 5").select("doc_id", "term")
+    return tf_idf(_doc_counts(spark, d), "doc_id", least_tf=4, most_df=5).select("doc_id", "term")
 
 
 def p6_document_terms(spark, d):  # noqa: ANN001, ANN201
-    return tf_idf(doc_terms(table(spark, d, "known_texts"), "doc_id", "tokens"), "doc_id", repeated=True)
+    return tf_idf(_doc_counts(spark, d), "doc_id").withColumn("score", F.round("score", 9))
 
 
 def p6_author_terms(spark, d):  # noqa: ANN001, ANN201
-    from glyphmill.functions.textnorm import clean_key
-
-    docs = table(spark, d, "known_texts").select("doc_id", "author", "tokens").dropDuplicates(["doc_id"])
-    return tf_idf(doc_terms(docs.select(clean_key(F.col("author")).alias("author"), "tokens"), "author", "tokens"), "author")
+    docs = one_delivery(table(spark, d, "known_texts"), "doc_id", "author", "tokens")
+    return tf_idf(doc_terms(docs.select(clean_key(F.col("author")).alias("author"), "tokens"), "author", "tokens"), "author").withColumn("score", F.round("score", 9))
 
 
 def _sizes(spark, d):  # noqa: ANN001, ANN202
@@ -131,6 +135,22 @@ QUERIES = {
     )
 }
 
+_FREQ = f"""
+    WITH {TERMS}, {folded('phrases', 'paraphrases', 'phrase')},
+         docs AS (SELECT count(DISTINCT doc_id) AS n FROM known_texts),
+         t AS (SELECT folded AS term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM kt JOIN terms ON token = raw WHERE folded IS NOT NULL GROUP BY folded),
+         c AS (SELECT DISTINCT cand_id, TRY_CAST(nullif(regexp_extract(phrase_num, '[0-9]+'), '') AS BIGINT) AS phrase_no, phrase FROM paraphrases WHERE phrase IS NOT NULL),
+         groups AS (SELECT count(DISTINCT phrase_no) AS n FROM c),
+         p AS (SELECT folded AS term, count(DISTINCT cand_id) AS occurrences, count(DISTINCT phrase_no) AS records FROM c JOIN phrases ON phrase = raw GROUP BY folded),
+         f AS (SELECT 'token' AS field_name, *, CASE WHEN records = 1 THEN 'rare' WHEN records * 5 >= (SELECT n FROM docs) THEN 'common' END AS mark FROM t
+               UNION ALL SELECT 'phrase', *, CASE WHEN occurrences = 1 THEN 'rare' WHEN records >= 5 AND records * 200 >= (SELECT n FROM groups) THEN 'common' END FROM p)
+"""
+_DISTINCTIVE = """,
+         x AS (SELECT {r} AS r, folded AS term, count(*) AS tf FROM kt JOIN terms ON token = raw WHERE folded IS NOT NULL AND {r} IS NOT NULL GROUP BY ALL),
+         n AS (SELECT count(DISTINCT r) AS n_records FROM x), l AS (SELECT r, sum(tf) AS length FROM x GROUP BY r), d AS (SELECT term, count(*) AS df FROM x GROUP BY term),
+         s AS (SELECT r, term, tf, df, n_records, round(tf / length * (ln((1 + n_records)::DOUBLE / (1 + df)) + 1), 9) AS score FROM x JOIN l USING (r) JOIN d USING (term), n)
+"""
+_AUTHOR = r"nullif(lower(regexp_replace(author, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '')"
 _RANKED = """
     WITH c AS (SELECT DISTINCT TRY_CAST(nullif(regexp_extract(phrase_num, '[0-9]+'), '') AS BIGINT) AS phrase_no, cand_id, phrase, sum_log_probs
                FROM paraphrases WHERE phrase_type = 'paraphrase' AND phrase IS NOT NULL AND isfinite(sum_log_probs)),
@@ -142,6 +162,11 @@ _RUNS = """
          m AS (SELECT s FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1)
 """
 SQL = {
+    "p1_frequencies": _FREQ + "SELECT field_name, term, occurrences, records, mark FROM f",
+    "p1_found": _FREQ + "SELECT field_name, term, mark FROM f WHERE mark IS NOT NULL",
+    "p6_document_terms": f"WITH {TERMS}" + _DISTINCTIVE.format(r="doc_id") + "SELECT r AS doc_id, term, tf, df, n_records, score FROM s",
+    "p6_found": f"WITH {TERMS}" + _DISTINCTIVE.format(r="doc_id") + "SELECT r AS doc_id, term FROM s WHERE tf >= 4 AND df <= 5",
+    "p6_author_terms": f"WITH {TERMS}" + _DISTINCTIVE.format(r=_AUTHOR) + "SELECT r AS author, term, tf, df, n_records, score FROM s",
     "p2_found": _RUNS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN m ON a.s = m.s JOIN s b ON b.s = m.s WHERE a.doc_id < b.doc_id",
     "p2_shared_share": _RUNS + """, c AS (SELECT doc_id, CAST(sum(least(120, coalesce(n - i, 120))) AS BIGINT) AS shared FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s JOIN m USING (s)) GROUP BY doc_id)
         SELECT doc_id, length(text) AS n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / nullif(length(text), 0) AS shared_share FROM t LEFT JOIN c USING (doc_id)""",

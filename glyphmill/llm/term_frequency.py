@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.session import cut
+
 
 def _changes(a: pa.Array) -> np.ndarray:
     """Whether each value differs from the one before; the first does."""
@@ -75,7 +77,8 @@ def term_frequencies(pairs: DataFrame, term: str = "term", record: str = "record
         (F.col(ident) if ident else F.lit(0)).alias("ident"),
         (F.col(count).cast("bigint") if count else F.lit(1).cast("bigint")).alias("n"),
     )
-    ordered = rows.repartitionByRange("term", "rec", "ident").sortWithinPartitions("term", "rec", "ident")
+    # the range bounds are sampled in a pass of their own: the rows are written once, so that folding and counting before it run once
+    ordered = cut(rows).repartitionByRange("term", "rec", "ident").sortWithinPartitions("term", "rec", "ident")
     runs = ordered.mapInArrow(_scan, "term string, occurrences bigint, records bigint")
     return runs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions.textnorm import clean_phrase, clean_term, doc_terms, clean_phrase_col, number_in
+from glyphmill.llm import distinctive_terms
 from glyphmill.llm.distinctive_terms import tf_idf
 from glyphmill.llm.term_frequency import term_frequencies
 
@@ -77,14 +78,18 @@ def test_document_terms(spark):
     assert got == {("1", "the"): 2, ("1", "cat"): 3, ("2", "the"): 1, ("2", "dog"): 1, ("3", "the"): 1, ("3", "fish"): 1, (None, "x"): 1}
 
 
-def test_distinctive_terms(spark):
-    df = spark.createDataFrame(DOCS, "doc_id string, tokens array<string>")
-    for hot in (1, 2, 100):  # all terms rare, some, none: the same scores whichever way frequencies are joined
-        rows = {(r.doc_id, r.term): r for r in tf_idf(doc_terms(df, "doc_id", "tokens"), "doc_id", hot=hot).collect()}
+def test_distinctive_terms(spark, monkeypatch):
+    df = spark.createDataFrame(DOCS, "doc_id string, tokens array<string>").withColumn("df", F.lit("clash"))
+    for lengths, hot_rows, most in ((False, 1, 10), (True, 1, 10), (True, 1, 0), (True, 100, 10)):  # terms joined by broadcast, by salt or all alike: the same scores
+        monkeypatch.setattr(distinctive_terms, "BROADCAST_TERMS", most)
+        counts = doc_terms(df, "doc_id", "tokens", lengths=lengths)
+        rows = {(r.doc_id, r.term): r for r in tf_idf(counts, "doc_id", hot_rows=hot_rows).collect()}
         assert len(rows) == 6
         r = rows["1", "cat"]
         assert (r.tf, r.df, r.n_records) == (3, 1, 3) and math.isclose(r.score, 3 / 5 * (math.log(4 / 2) + 1))
         assert r.score > rows["1", "the"].score
-    twice = doc_terms(df.union(df), "doc_id", "tokens")
-    assert {(x.doc_id, x.term): x.tf for x in tf_idf(twice, "doc_id", repeated=True).collect()} == {k: x.tf for k, x in rows.items()}
-    assert tf_idf(doc_terms(df.where("false"), "doc_id", "tokens"), "doc_id").count() == 0
+        few = {(r.doc_id, r.term): r.score for r in tf_idf(counts, "doc_id", least_tf=2, most_df=1, hot_rows=hot_rows).collect()}
+        assert few == {("1", "cat"): r.score}
+        assert tf_idf(counts.where("false"), "doc_id").count() == 0
+    twice = {(x.doc_id, x.term): x.tf for x in tf_idf(doc_terms(df.union(df), "doc_id", "tokens"), "doc_id").collect()}
+    assert twice == {k: 2 * x.tf for k, x in rows.items()}  # rows of a record are added up
