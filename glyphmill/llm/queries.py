@@ -10,7 +10,7 @@ from glyphmill.llm.mixing import mix, mix_shares
 from glyphmill.llm.packing import pack, pack_fill
 from glyphmill.llm.quality import text_quality
 from glyphmill.llm.sentences import sentences
-from glyphmill.llm.shared_spans import shared_pairs, shared_share
+from glyphmill.llm.shared_spans import shared_links, shared_pairs, shared_share
 from glyphmill.llm.term_frequency import mark, term_frequencies
 from glyphmill.llm.tokenizer import token_count
 from glyphmill.llm.top_n import top_n
@@ -57,6 +57,10 @@ def p2_shared_share(spark, d):  # noqa: ANN001, ANN201
     return shared_share(_all_texts(spark, d))
 
 
+def p2_classes(spark, d):  # noqa: ANN001, ANN201
+    return shared_links(_all_texts(spark, d))
+
+
 def _top(spark, d):  # noqa: ANN001, ANN202
     p = table(spark, d, "paraphrases").where("phrase_type = 'paraphrase'")
     rows = p.select(number_in(F.col("phrase_num")).alias("phrase_no"), "sum_log_probs", "phrase", "cand_id")
@@ -130,7 +134,7 @@ def p9_found(spark, d):  # noqa: ANN001, ANN201
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_frequencies, p2_found, p2_shared_share, p3_found, p3_ranked, p4_found, p6_found, p6_document_terms, p6_author_terms,
+        p1_found, p1_frequencies, p2_found, p2_shared_share, p2_classes, p3_found, p3_ranked, p4_found, p6_found, p6_document_terms, p6_author_terms,
         p7_packs, p7_fill, p8_draws, p8_shares, p9_found, p9_quality,
     )
 }
@@ -170,6 +174,8 @@ SQL = {
     "p2_found": _RUNS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN m ON a.s = m.s JOIN s b ON b.s = m.s WHERE a.doc_id < b.doc_id",
     "p2_shared_share": _RUNS + """, c AS (SELECT doc_id, CAST(sum(least(120, coalesce(n - i, 120))) AS BIGINT) AS shared FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s JOIN m USING (s)) GROUP BY doc_id)
         SELECT doc_id, length(text) AS n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / nullif(length(text), 0) AS shared_share FROM t LEFT JOIN c USING (doc_id)""",
+    "p2_classes": _RUNS + """, p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM s a JOIN m ON a.s = m.s JOIN s b ON b.s = m.s WHERE a.doc_id <> b.doc_id), l AS (SELECT a AS doc_id, count(*) AS links FROM p GROUP BY a)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies, coalesce(links, 0) AS links FROM t LEFT JOIN l USING (doc_id) WHERE text IS NOT NULL""",
     "p3_found": _RANKED + "SELECT phrase_no, cand_id FROM r WHERE k <= 3",
     "p3_ranked": _RANKED + "SELECT phrase_no, cand_id, phrase, sum_log_probs, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 3",
 }

@@ -5,11 +5,13 @@ window of w hashes, so cuts depend on nearby characters only and resist insertio
 characters that made one cut to the next cut. Of any run of ``min_chars`` characters two texts share, 64 + 2w - 1 <= min_chars
 gives both the same two successive cuts, hence one equal chunk: no shared run is missed, whatever surrounds it.
 
-Plan. Chunks are made in the map tasks; their digests are grouped (map-side minimum and maximum of a 64-bit document key), and only
-digests of more than one document go on. For the shares, every run of exactly ``min_chars`` characters around these chunks
-gets a 128-bit digest; runs found in more than one document cover what is shared. All of it is linear in the text. For
+Plan. Equal texts are one class, known by their digest, and only one text of each goes on. Chunks are made in the map tasks; their digests are
+grouped (map-side minimum and maximum of a 64-bit key), and only digests of more than one text go on. For the shares, every run of exactly
+``min_chars`` characters around these chunks gets a 128-bit digest; runs found in more than one text cover what is shared. All of it is linear in the text. For
 the pairs only the first chunk of a shared passage matters: a chunk that always follows the same chunk is never first, so
-groups of one previous digest are left out, and so are, by previous character, all runs but those at which a passage begins.
+groups of one previous digest are left out, and so are, by previous character, all runs but those at which a passage begins. Texts that
+meet in a run are joined in blocks, so a passage of very many texts is no single task. Classes become documents again only at the end: for the shares
+and link counts by one row a document, for the pairs, if these are asked for, by their members.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.deliveries import one_delivery
+
 GEAR = 64  # characters that a 64-bit gear hash sees
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)  # splitmix64
 
@@ -149,34 +153,81 @@ def shared_runs(docs: DataFrame, min_chars: int = 120, heads: bool = False) -> D
     return texts.select("doc", "doc_id", "text", "spots").mapInArrow(runs, "d1 bigint, d2 bigint, doc bigint, doc_id string, pos int, before int")
 
 
+#: Texts of one passage that are joined with one another in one task, at most this many with as many.
+BLOCK_TEXTS = 2_000
+
+
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(text_key, doc_id)`` of every document with a text, and ``(doc_id, text)`` of one text a class, called by its key (its MD5)."""
+    there = docs.where("doc_id is not null and text is not null").select(F.md5("text").alias("text_key"), "doc_id", "text")
+    texts = one_delivery(there, "text_key", "text").select(F.col("text_key").alias("doc_id"), "text")
+    return there.select("text_key", "doc_id").distinct(), texts
+
+
+def key_pairs(texts: DataFrame, min_chars: int = 120, block: int = BLOCK_TEXTS) -> DataFrame:
+    """``(key_a, key_b)``, a < b: different texts that share ``min_chars`` or more consecutive characters."""
+    runs = shared_runs(texts, min_chars, heads=True)
+    heads = runs.join(in_several(runs, "d1", "d2", heads="before"), ["d1", "d2"], "left_semi").select("d1", "d2", F.col("doc_id").alias("key"), "before").distinct()
+    sizes = heads.groupBy("d1", "d2").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = heads.join(sizes, ["d1", "d2"]).withColumn("own", own)
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = rows.select("d1", "d2", F.col("own").alias("i"), every.alias("j"), F.col("key").alias("key_a"), F.col("before").alias("before_a"))
+    b = rows.select("d1", "d2", every.alias("i"), F.col("own").alias("j"), F.col("key").alias("key_b"), F.col("before").alias("before_b"))
+    met = a.join(b, ["d1", "d2", "i", "j"]).where("key_a < key_b and (before_a <> before_b or before_a = -1)")
+    return met.select("key_a", "key_b").distinct()
+
+
 def shared_pairs(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     """``(doc_id_a, doc_id_b)``, a < b: documents of which two different ones share ``min_chars`` or more consecutive characters.
 
     Null ids, null texts and texts shorter than ``min_chars`` are in no pair; repeated deliveries of an id are one document.
-    The rows are the result asked for, one for each pair; what is joined are only the runs at which shared passages begin.
+    The rows are the result asked for, one for each pair, copies included; ``shared_links`` says the same without them.
+    """
+    classes, texts = text_classes(docs.where(F.length("text") >= min_chars))
+    a, b = (classes.select(F.col("text_key").alias(f"key_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
+    across = key_pairs(texts, min_chars).join(a, "key_a").join(b, "key_b").select("doc_a", "doc_b")
+    copied = classes.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key")
+    copies = classes.join(copied, "text_key", "left_semi")
+    within = copies.select("text_key", F.col("doc_id").alias("doc_a")).join(copies.select("text_key", F.col("doc_id").alias("doc_b")), "text_key").where("doc_a < doc_b")
+    both = across.unionByName(within.select("doc_a", "doc_b")).where("doc_a <> doc_b")
+    return both.select(F.least("doc_a", "doc_b").alias("doc_id_a"), F.greatest("doc_a", "doc_b").alias("doc_id_b")).distinct()
+
+
+def shared_links(docs: DataFrame, min_chars: int = 120) -> DataFrame:
+    """``(doc_id, class_id, copies, links)`` for every document with a text: the first document of equal text, how many there are, and with how many other
+    documents it shares ``min_chars`` or more consecutive characters.
+
+    Pairs are formed between classes of equal texts only; copies are counted, not expanded.
     """
-    runs = shared_runs(docs.where("doc_id is not null and text is not null"), min_chars, heads=True)
-    heads = runs.join(in_several(runs, "d1", "d2", heads="before"), ["d1", "d2"], "left_semi").select("d1", "d2", "doc_id", "before")
-    a, b = (heads.select("d1", "d2", F.col("doc_id").alias(f"doc_id_{x}"), F.col("before").alias(f"before_{x}")) for x in "ab")
-    both = a.join(b, ["d1", "d2"]).where("doc_id_a < doc_id_b and (before_a <> before_b or before_a = -1)")
-    return both.select("doc_id_a", "doc_id_b").distinct()
+    classes, texts = text_classes(docs)
+    sizes = classes.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    pairs = key_pairs(texts, min_chars)
+    ends = pairs.select(F.col("key_a").alias("own"), F.col("key_b").alias("text_key")).unionByName(pairs.select(F.col("key_b").alias("own"), F.col("key_a").alias("text_key")))
+    met = ends.join(sizes.select("text_key", "copies"), "text_key").groupBy(F.col("own").alias("text_key")).agg(F.sum("copies").alias("met"))
+    long = docs.where(F.length("text") >= min_chars).select(F.md5("text").alias("text_key")).distinct()
+    own = sizes.join(met, "text_key", "left").join(long.withColumn("long", F.lit(True)), "text_key", "left")
+    links = F.when(F.col("long"), F.col("copies") - 1).otherwise(0) + F.coalesce("met", F.lit(0))
+    return classes.join(own.select("text_key", "class_id", "copies", links.cast("bigint").alias("links")), "text_key").select("doc_id", "class_id", "copies", "links")
 
 
 def shared_share(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     """``(doc_id, n_chars, shared_chars, shared_share)`` for every document: how much of its text stands in runs of ``min_chars``
     or more characters found in another document too. Null or short texts have nothing shared (share null for empty texts).
 
-    No pair is formed: a run counts as shared when its group spans two documents. Runs of one document overlap; the
-    union is summed with one window over a document's runs, of which there are at most as many as characters.
+    No pair is formed: a run counts as shared when its group spans two texts, and a text of several documents is shared as a whole. Runs of one text
+    overlap; each covers what lies before the next one.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    runs = shared_runs(docs.where("text is not null"), min_chars)
-    shared = runs.join(in_several(runs, "d1", "d2"), ["d1", "d2"], "left_semi").select("doc_id", "pos").distinct()
-    spans = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    covered: Column = F.expr(
-        f"aggregate(at, named_struct('sum', 0L, 'upto', 0), (s, p) -> named_struct('sum', s.sum + p + {min_chars} - greatest(p, s.upto), 'upto', p + {min_chars}), s -> s.sum)"
-    )
+    classes, texts = text_classes(docs)
+    runs = shared_runs(texts, min_chars)
+    shared = runs.join(in_several(runs, "d1", "d2"), ["d1", "d2"], "left_semi").select(F.col("doc_id").alias("text_key"), "pos").distinct()
+    gap = F.lead("pos").over(Window.partitionBy("text_key").orderBy("pos")) - F.col("pos")
+    covered = shared.select("text_key", F.least(F.lit(min_chars), F.coalesce(gap, F.lit(min_chars))).alias("c")).groupBy("text_key").agg(F.sum("c").cast("bigint").alias("covered"))
+    copies = classes.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+    known = classes.join(copies.join(covered, "text_key", "left"), "text_key").select("doc_id", "copies", "covered")
     sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("n_chars"))
-    out = sizes.join(spans.select("doc_id", covered.alias("shared_chars")), "doc_id", "left")
-    shared_chars = F.coalesce("shared_chars", F.lit(0).cast("bigint"))
+    whole = (F.col("copies") > 1) & (F.col("n_chars") >= min_chars)
+    shared_chars = F.when(whole, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0).cast("bigint")))
+    out = sizes.join(known, "doc_id", "left")
     return out.select("doc_id", "n_chars", shared_chars.alias("shared_chars"), F.try_divide(shared_chars, F.col("n_chars")).alias("shared_share"))

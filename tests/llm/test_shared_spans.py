@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphmill.llm.shared_spans import chunk_spans, cut_points, gear_hashes, shared_pairs, shared_share
+from glyphmill.llm.shared_spans import chunk_spans, cut_points, gear_hashes, key_pairs, shared_links, shared_pairs, shared_share, text_classes
 
 
 def _brute(texts, n=120):
@@ -55,11 +55,25 @@ def test_pairs_and_shares_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == pairs
     shares = {r.doc_id: r.shared_chars for r in shared_share(df).collect()}
     assert shares == {**share, "null": 0}
+    links = {r.doc_id: (r.class_id, r.copies, r.links) for r in shared_links(df).collect()}
+    same = defaultdict(set)
+    for d, x in texts.items():
+        same[x].add(d)
+    assert links == {d: (min(same[x]), len(same[x]), sum(d in p for p in pairs)) for d, x in texts.items()}
+
+
+def test_passages_of_many_texts_are_joined_in_blocks(spark):
+    texts = {f"t{k:03}": f"{k} " + "boilerplate of every mail, please read it with care. " * 3 + str(k) for k in range(60)}
+    df = spark.createDataFrame([*texts.items()], "doc_id string, text string")
+    found = text_classes(df)[1]
+    whole, parts = ({tuple(r) for r in key_pairs(found, block=b).collect()} for b in (2_000, 7))
+    assert len(whole) == 60 * 59 / 2 and whole == parts
 
 
 def test_nothing_shared_and_nothing_at_all(spark):
     df = spark.createDataFrame([("a", "x" * 119), ("b", "x" * 119)], "doc_id string, text string")
     assert shared_pairs(df).count() == 0 and shared_pairs(df.where("false")).count() == 0 and shared_share(df.where("false")).count() == 0
+    assert [(r.class_id, r.copies, r.links) for r in shared_links(df).collect()] == [("a", 2, 0)] * 2 and shared_links(df.where("false")).count() == 0
     with pytest.raises(ValueError):
         shared_pairs(df, 60)
 
