@@ -2,8 +2,9 @@
 
 Each map task sorts its rows into a run ordered by (bucket, group, score desc, tie, id) and keeps at most N distinct ids of a
 group, so a group of millions sends N rows a run. A run travels as one row of arrays a bucket: its order is kept
-by construction and nothing is sorted again. A bucket's runs are merged by a loser tree; after N outputs of a group every run
-seeks to the next group. The number of buckets follows the number of input partitions, so a bucket's size does not grow with the data.
+by construction and nothing is sorted again. A bucket's runs are merged by a loser tree as they arrive; after N outputs of a group every run
+seeks to the next group. Whenever ``MERGE_ROWS`` are held they become one run of N rows a group, so a bucket of any number of runs takes the room of its result.
+The number of buckets follows the number of input partitions, so that result does not grow with the data.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphmill.session import shuffle_partitions
 
-#: Rows that a map task gathers before it closes a run.
-RUN_ROWS = 250_000
+#: Rows that a map task gathers before it closes a run, and rows of one bucket that a merge holds before it makes one run of them.
+RUN_ROWS, MERGE_ROWS = 250_000, 500_000
 
 
 class LoserTree:
@@ -86,7 +88,7 @@ def merge_top(runs: list[list[tuple]], n: int) -> Iterator[tuple[tuple, int]]:
         tree.next()
 
 
-def top_n(df: DataFrame, group: str, score: str, tie: str, ident: str, n: int = 3, buckets: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, tie: str, ident: str, n: int = 3, buckets: int | None = None, run_rows: int = RUN_ROWS, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """``(group, ident, tie, score, rank)``: the ``n`` best rows of every group by ``score`` descending, then ``tie``
     ascending (binary order), then ``ident`` ascending.
 
@@ -131,16 +133,32 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, ident: str, n: int =
         if count:
             yield run_of(held)
 
-    def merge(t: pa.Table) -> pa.Table:
-        cols = [t.column(c).to_pylist() for c in ("g", "s", "t", "i")]
-        found = list(merge_top([list(zip(*run, strict=True)) for run in zip(*cols, strict=True)], n))
+    types = {c: rows.schema[c].dataType for c in ("g", "i", "t")}
+
+    def merged(runs: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        found = list(merge_top(runs, n))
         k = [[key[j] for key, _ in found] for j in range(4)]
-        types = [t.schema.field(c).type.value_type for c in ("g", "i", "t")]
-        return pa.table([
-            pa.array(k[0], types[0]), pa.array(k[3], types[1]), pa.array(k[2], types[2]),
+        yield pa.RecordBatch.from_arrays([
+            pa.array(k[0], to_arrow_type(types["g"])), pa.array(k[3], to_arrow_type(types["i"])), pa.array(k[2], to_arrow_type(types["t"])),
             pc.negate(pa.array(k[1], pa.float64())), pa.array([r for _, r in found], pa.int32()),
         ], names=["g", "i", "t", "s", "rank"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, count = None, [], 0
+        for x in batches:
+            for k in range(x.num_rows):
+                if (now := x.column(0)[k].as_py()) != bucket:
+                    if held:
+                        yield from merged(held)
+                    bucket, held, count = now, [], 0
+                held.append(list(zip(*(x.column(j)[k].as_py() for j in range(1, 5)), strict=True)))
+                count += len(held[-1])
+                if count >= merge_rows and len(held) > 1:
+                    held = [[key for key, _ in merge_top(held, n)]]
+                    count = len(held[0])
+        if held:
+            yield from merged(held)
+
     stored = rows.mapInArrow(runs, f"bucket int, g array<{kinds[group]}>, s array<double>, t array<{kinds[tie]}>, i array<{kinds[ident]}>")
-    best = stored.groupBy("bucket").applyInArrow(merge, f"g {kinds[group]}, i {kinds[ident]}, t {kinds[tie]}, s double, rank int")
+    best = stored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, f"g {kinds[group]}, i {kinds[ident]}, t {kinds[tie]}, s double, rank int")
     return best.select(F.col("g").alias(group), F.col("i").alias(ident), F.col("t").alias(tie), F.col("s").alias(score), "rank")

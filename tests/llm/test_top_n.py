@@ -47,11 +47,11 @@ def test_top_n_against_sorting(spark):
         rows.append((g, rng.choice(scores), rng.choice([None, "", "a", "B", "ä", "a b"]), i))
     rows += rng.sample(rows, 100)
     df = spark.createDataFrame(rows, "g bigint, s double, t string, i bigint").repartition(5).withColumn("rank", F.lit("clash")).withColumn("bucket", F.lit("clash"))
-    for run_rows, buckets in ((250_000, None), (50, 3), (1, 1)):
+    for run_rows, buckets, merge_rows in ((250_000, None, 500_000), (50, 3, 120), (1, 1, 30)):
         if run_rows == 1:
             df = df.where("g < 12")
             rows = [r for r in rows if r[0] is not None and r[0] < 12]
-        got = [(r.g, r.i, r["rank"]) for r in top_n(df, "g", "s", "t", "i", 3, buckets, run_rows).collect()]
+        got = [(r.g, r.i, r["rank"]) for r in top_n(df, "g", "s", "t", "i", 3, buckets, run_rows, merge_rows).collect()]
         assert len(got) == len(set(got)) and set(got) == _brute(rows)
 
 
