@@ -4,7 +4,7 @@ Everything that decides works on the histogram of lengths, whose size is bounded
 that fill a container are enumerated over ``UNITS`` length classes, their repeat counts are fitted to the histogram by NNLS, rounded,
 and turned into patterns of exact lengths; what is left, first of all short items for the open rooms, is added by
 best-fit-decreasing on the histogram. Items then find their place by arithmetic: the rank among the items of equal length
-selects a slot. Ranks come from counts by (length, hash part), so no length is collected into one task.
+selects a slot. Ranks come from counts by (length, hash part); the parts of a length follow from its items, so no length, however common, is one task.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.session import cut
-
 UNITS = 128  # length classes of a container for the patterns
-PARTS = 64  # hash parts by which the items of one length are numbered
+PART_ITEMS = 100_000  # items of one length that are numbered together; a length has as many parts as its items ask for
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> np.ndarray:
@@ -138,7 +136,7 @@ def _slots(plan: list[tuple[int, dict[int, int]]], capacity: int) -> dict[int, n
     return {n: np.array(rows, np.int64) for n, rows in by.items()}
 
 
-def pack(sizes: DataFrame, capacities: dict[str, int], units: int = UNITS, parts: int = PARTS) -> DataFrame:
+def pack(sizes: DataFrame, capacities: dict[str, int], units: int = UNITS, part_items: int = PART_ITEMS) -> DataFrame:
     """``(pack_name, pack_id, doc_id, piece, tokens, pack_tokens, capacity)``: each item of ``sizes`` (doc_id, tokens) in a container.
 
     An item longer than the capacity is cut into full pieces and a rest, numbered by ``piece`` from 0; all others stay whole. Items of null or
@@ -148,13 +146,16 @@ def pack(sizes: DataFrame, capacities: dict[str, int], units: int = UNITS, parts
     caps = F.explode(F.array(*[F.struct(F.lit(k).alias("pack_name"), F.lit(int(v)).cast("bigint").alias("capacity")) for k, v in sorted(capacities.items())]))
     whole = sizes.where("tokens > 0").select("doc_id", F.col("tokens").cast("bigint").alias("n"), caps.alias("c")).select("doc_id", "n", "c.*")
     pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("cast((n - 1) div capacity as int)")))).select(
-        "pack_name", "capacity", "doc_id", "piece", F.least("capacity", F.expr("n - piece * capacity")).alias("tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int").alias("part"),
+        "pack_name", "capacity", "doc_id", "piece", F.least("capacity", F.expr("n - piece * capacity")).alias("tokens")
     )
-    keys = ["pack_name", "tokens", "part"]
-    counts = cut(pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")))
     # at most one row a length: bounded by the capacities, not by the data
-    histogram = counts.groupBy("pack_name", "tokens").agg(F.sum("c").alias("c")).toPandas()
+    histogram = pieces.groupBy("pack_name", "tokens").agg(F.count(F.lit(1)).alias("c")).toPandas()
+    many = histogram[histogram.c > part_items]
+    parts = spark.createDataFrame([(r.pack_name, int(r.tokens), -(-int(r.c) // part_items)) for r in many.itertuples()], "pack_name string, tokens bigint, parts int")
+    numbered = pieces.join(F.broadcast(parts), ["pack_name", "tokens"], "left")  # at most one row a length
+    pieces = numbered.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    keys = ["pack_name", "tokens", "part"]
+    counts = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
     slots = {}
     for k, v in sorted(capacities.items()):
         h = histogram[histogram.pack_name == k].sort_values("tokens")
@@ -187,7 +188,6 @@ def pack(sizes: DataFrame, capacities: dict[str, int], units: int = UNITS, parts
                 names=["pack_name", "pack_id", "doc_id", "piece", "tokens", "pack_tokens", "capacity"],
             )
 
-    assert spark is not None
     return ranked.mapInArrow(place, f"pack_name string, pack_id bigint, doc_id {id_type}, piece int, tokens bigint, pack_tokens bigint, capacity bigint")
 
 
