@@ -100,7 +100,7 @@ def p6_author_terms(spark, d):  # noqa: ANN001, ANN201
 
 def _sizes(spark, d):  # noqa: ANN001, ANN202
     """Tokens of each document by a public tokenizer, written once since several steps read them."""
-    return cut(table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
+    return cut(table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"), F.md5("text").alias("text_key")))
 
 
 def _capacities(spark, d):  # noqa: ANN001, ANN202

@@ -55,7 +55,7 @@ def test_pack_places_every_item_once(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice([1, 5, 5, 5, 30, 63, 64, 65, 200, rng.randint(1, 64)])) for k in range(600)] + [(1000, None), (1001, 0), (1002, 64 * 50)]
     df = spark.createDataFrame(rows, "doc_id bigint, tokens bigint").withColumn("piece", F.lit("clash")).withColumn("capacity", F.lit("clash"))
-    packed = pack(df, {"s": 64, "l": 256}, units=16, parts=3)
+    packed = pack(df, {"s": 64, "l": 256}, units=16, part_items=40)
     got = packed.collect()
     for name, cap in (("s", 64), ("l", 256)):
         mine = [r for r in got if r.pack_name == name]
@@ -113,6 +113,21 @@ def test_mix_reaches_its_shares(spark):
         assert s["m", source].actual_share == pytest.approx(want, abs=0.002)
     assert s["n", "gone"].tokens == 0 and s["n", "mid"].actual_share == 1.0
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix(df, t).collect()))
+    many = mix(df, t, shard_tokens=2_000, group_shards=4)  # shards in groups
+    s = {(r.mix_name, r.source): r for r in mix_shares(many, t).collect()}
+    for source, want in (("big", 0.2), ("small", 0.5), ("mid", 0.3)):
+        assert s["m", source].actual_share == pytest.approx(want, abs=0.01)
+
+
+def test_no_text_is_drawn_more_often_than_its_repeats(spark):
+    rows = [(k, "a" if k % 2 else "b", 10, "copied" if k < 400 else f"t{k}") for k in range(1000)] + [(2000, "a", 10, None), (2001, "b", 10, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, text_key string")
+    t = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 2), ("n", "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    got, key = mix(df, t).collect(), {r[0]: r[3] or r[0] for r in rows}
+    taken = Counter()
+    for r in got:
+        taken[r.mix_name, key[r.doc_id]] += r.copies
+    assert max(taken.values()) == 2 and taken["m", "copied"] <= 2 and len(taken) > 900 and {n for (m, _), n in taken.items() if m == "n"} == {1}
 
 
 def test_mix_of_nothing(spark):
