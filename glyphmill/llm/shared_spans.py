@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.deliveries import one_delivery
+from glyphmill.session import cut
 
 GEAR = 64  # characters that a 64-bit gear hash sees
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)  # splitmix64
@@ -120,8 +121,8 @@ def in_several(df: DataFrame, *key: str, heads: str | None = None) -> DataFrame:
 
 def shared_runs(docs: DataFrame, min_chars: int = 120, heads: bool = False) -> DataFrame:
     """``(d1, d2, doc, doc_id, pos, before)``: runs of exactly ``min_chars`` characters (by 128-bit digest) that contain a chunk found in several
-    documents; all of them, or with ``heads`` those that may begin a shared passage. ``before`` is the character before the
-    run, -1 at the start of a text."""
+    texts; all of them, or with ``heads`` those that may begin a shared passage. ``before`` is the character before the
+    run, -1 at the start of a text. ``docs`` is (doc_id, text) with equal ids for equal texts; rows of one id are read but once beyond their chunks."""
     found = chunks(docs, min_chars)
     wanted = in_several(found, "digest", heads="prev" if heads else None)
     spots = found.select("digest", "doc", "start", "end").join(wanted, "digest", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spots"))
@@ -148,8 +149,7 @@ def shared_runs(docs: DataFrame, min_chars: int = 120, heads: bool = False) -> D
                         names=["d1", "d2", "doc", "doc_id", "pos", "before"],
                     )
 
-    # a document's repeated deliveries meet its spots once each; the later steps count distinct documents only
-    texts = docs.select(F.xxhash64("doc_id").alias("doc"), "doc_id", "text").join(spots, "doc")
+    texts = one_delivery(docs, "doc_id", "text").select(F.xxhash64("doc_id").alias("doc"), "doc_id", "text").join(spots, "doc")
     return texts.select("doc", "doc_id", "text", "spots").mapInArrow(runs, "d1 bigint, d2 bigint, doc bigint, doc_id string, pos int, before int")
 
 
@@ -158,16 +158,15 @@ BLOCK_TEXTS = 2_000
 
 
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(text_key, doc_id)`` of every document with a text, and ``(doc_id, text)`` of one text a class, called by its key (its MD5)."""
+    """``(text_key, doc_id)`` of every document with a text, and ``(doc_id, text)`` with the text's key (its MD5) for id."""
     there = docs.where("doc_id is not null and text is not null").select(F.md5("text").alias("text_key"), "doc_id", "text")
-    texts = one_delivery(there, "text_key", "text").select(F.col("text_key").alias("doc_id"), "text")
-    return there.select("text_key", "doc_id").distinct(), texts
+    return there.select("text_key", "doc_id").distinct(), there.select(F.col("text_key").alias("doc_id"), "text")
 
 
 def key_pairs(texts: DataFrame, min_chars: int = 120, block: int = BLOCK_TEXTS) -> DataFrame:
     """``(key_a, key_b)``, a < b: different texts that share ``min_chars`` or more consecutive characters."""
-    runs = shared_runs(texts, min_chars, heads=True)
-    heads = runs.join(in_several(runs, "d1", "d2", heads="before"), ["d1", "d2"], "left_semi").select("d1", "d2", F.col("doc_id").alias("key"), "before").distinct()
+    runs = cut(shared_runs(texts, min_chars, heads=True))  # read twice, as are the heads below
+    heads = cut(runs.join(in_several(runs, "d1", "d2", heads="before"), ["d1", "d2"], "left_semi").select("d1", "d2", F.col("doc_id").alias("key"), "before").distinct())
     sizes = heads.groupBy("d1", "d2").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     rows = heads.join(sizes, ["d1", "d2"]).withColumn("own", own)
@@ -185,6 +184,7 @@ def shared_pairs(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     The rows are the result asked for, one for each pair, copies included; ``shared_links`` says the same without them.
     """
     classes, texts = text_classes(docs.where(F.length("text") >= min_chars))
+    classes = cut(classes)
     a, b = (classes.select(F.col("text_key").alias(f"key_{x}"), F.col("doc_id").alias(f"doc_{x}")) for x in "ab")
     across = key_pairs(texts, min_chars).join(a, "key_a").join(b, "key_b").select("doc_a", "doc_b")
     copied = classes.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_key")
@@ -201,8 +201,9 @@ def shared_links(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     Pairs are formed between classes of equal texts only; copies are counted, not expanded.
     """
     classes, texts = text_classes(docs)
+    classes = cut(classes)
     sizes = classes.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    pairs = key_pairs(texts, min_chars)
+    pairs = cut(key_pairs(texts, min_chars))
     ends = pairs.select(F.col("key_a").alias("own"), F.col("key_b").alias("text_key")).unionByName(pairs.select(F.col("key_b").alias("own"), F.col("key_a").alias("text_key")))
     met = ends.join(sizes.select("text_key", "copies"), "text_key").groupBy(F.col("own").alias("text_key")).agg(F.sum("copies").alias("met"))
     long = docs.where(F.length("text") >= min_chars).select(F.md5("text").alias("text_key")).distinct()
@@ -224,6 +225,7 @@ def shared_share(docs: DataFrame, min_chars: int = 120) -> DataFrame:
     shared = runs.join(in_several(runs, "d1", "d2"), ["d1", "d2"], "left_semi").select(F.col("doc_id").alias("text_key"), "pos").distinct()
     gap = F.lead("pos").over(Window.partitionBy("text_key").orderBy("pos")) - F.col("pos")
     covered = shared.select("text_key", F.least(F.lit(min_chars), F.coalesce(gap, F.lit(min_chars))).alias("c")).groupBy("text_key").agg(F.sum("c").cast("bigint").alias("covered"))
+    classes = cut(classes)
     copies = classes.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
     known = classes.join(copies.join(covered, "text_key", "left"), "text_key").select("doc_id", "copies", "covered")
     sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).cast("bigint").alias("n_chars"))
