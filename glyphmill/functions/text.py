@@ -163,3 +163,17 @@ def masked_pos(tokens: Column, spaces: Column, tags: Column, keep: tuple[str, ..
         return F.concat(masked, F.when(r["s"], F.lit(" ")).otherwise(F.lit("")))
 
     return F.array_join(F.transform(rows, one), "")
+
+
+def hashed_vector(tokens: Column, dims: int = 64) -> Column:
+    """Counts of an array's tokens by hash, as an array of doubles: stands where a sentence-embedding model would. Null arrays count as empty ones."""
+    import zlib
+
+    import numpy as np
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def count(s):  # noqa: ANN001, ANN202
+        return s.map(lambda t: np.bincount([zlib.crc32(w.encode()) % dims for w in (t if t is not None else ()) if w is not None], minlength=dims).astype(float))
+
+    return count(tokens)

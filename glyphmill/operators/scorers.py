@@ -7,14 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
-from glyphmill.operators import lm
+from glyphmill.operators import small_models
 from glyphmill.operators.ngrams import token_counts
+from glyphmill.operators.sampling import hash_number
 from glyphmill.session import cut
 
+#: Order of the models and repetitions of the methods.
+ORDER, REPS = 10, 30
+
 #: Scorers by name, for run_method.
 METHODS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -31,76 +37,33 @@ def run_method(name: str, **inputs) -> DataFrame:  # noqa: ANN003
     return f(**{k: v for k, v in inputs.items() if k in wanted})
 
 
-def _query(problems: DataFrame, unknown: DataFrame, model: str, *keys: str) -> DataFrame:
-    """Unknown sentences of each problem, addressed to a model."""
-    u = unknown.select(F.col("doc_id").alias("unknown_id"), "sent_id", "tokens")
-    return problems.select(*dict.fromkeys(["problem_id", *keys]), F.col(model).alias("model_id"), "unknown_id").join(u, "unknown_id").drop("unknown_id")
-
-
-def _probabilities(kind: str, stats: DataFrame, queries: DataFrame, keys: list[str], order: int, discount: float) -> DataFrame:
-    f = lm.simplified_kn if kind == "simplified" else lm.full_kn
-    return f(stats, queries, keys, order, discount)
-
-
-def _ratios(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, order: int, discount: float, kind: str) -> DataFrame:
-    """``(problem_id, rep, sent_id, pos, pk, pr)``: probability of each unknown token under the known model and under each reference model.
-
-    ``refs`` is (problem_id, rep, tokens): the sentences of each reference model.
-    """
-    used = problems.select(F.col("known_id").alias("doc_id")).distinct()
-    known_stats = lm.train(known.join(used, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("model_id"), "tokens"), "model_id", order)
-    asked = problems.select("known_id", "unknown_id").distinct().withColumn("problem_id", F.concat_ws("|", "known_id", "unknown_id"))
-    pk = _probabilities(kind, known_stats, _query(asked, unknown, "known_id"), ["problem_id", "model_id", "sent_id"], order, discount)
-    pk = pk.select(F.col("problem_id").alias("pair"), "sent_id", "pos", F.col("p").alias("pk"))
-    models = refs.select(F.concat_ws("|", F.col("problem_id").cast("string"), F.col("rep").cast("string")).alias("model_id"), "problem_id", "rep", "tokens")
-    ref_stats = lm.train(models.select("model_id", "tokens"), "model_id", order)
-    reps = models.select("model_id", "problem_id", "rep").distinct()
-    q = problems.select("problem_id", "unknown_id").join(reps, "problem_id")
-    pr = _probabilities(kind, ref_stats, _query(q, unknown, "model_id", "rep"), ["problem_id", "rep", "model_id", "sent_id"], order, discount)
-    pairs = problems.select("problem_id", F.concat_ws("|", "known_id", "unknown_id").alias("pair"))
-    return pr.select("problem_id", "rep", "sent_id", "pos", F.col("p").alias("pr")).join(pairs, "problem_id").join(pk, ["pair", "sent_id", "pos"]).select(
-        "problem_id", "rep", "sent_id", "pos", "pk", "pr"
-    )
-
-
-def _log_ratio():  # noqa: ANN202
-    return F.log10(lm.floored(F.col("pk"))) - F.log10(lm.floored(F.col("pr")))
+def _reps(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, order: int, discount: float, kind: str) -> DataFrame:
+    if kind not in ("simplified", "full"):
+        raise ValueError("kind is simplified or full")
+    return small_models.ratios(problems, known, unknown, refs, order, discount, kind == "full")
 
 
 @method
-def lambdag(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, reps: int, order: int = 3, discount: float = 0.75, kind: str = "simplified") -> DataFrame:
+def lambdag(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, reps: int = REPS, order: int = ORDER, discount: float = 0.75, kind: str = "simplified") -> DataFrame:
     """``(problem_id, score)``: sum over the unknown tokens of log10(known / reference probability), averaged over the repetitions.
 
-    With sampled sentences as ``refs`` this is the standard method, with impostor documents or pooled impostor sentences its paraphrase
-    variants; ``kind`` full uses the full Kneser-Ney model. Every repetition counts in the divisor.
+    ``refs`` is (problem_id, rep, tokens), rep from 1. With sampled sentences it is the standard method, with impostor documents, sentences of pooled impostors or the most similar
+    sentences its variants; ``kind`` full with discount 0.5 is its second version. Every repetition counts in the divisor.
     """
-    r = _ratios(problems, known, unknown, refs, order, discount, kind)
-    return r.groupBy("problem_id").agg((F.sum(_log_ratio()) / reps).alias("score"))
+    return _reps(problems, known, unknown, refs, order, discount, kind).groupBy("problem_id").agg((F.sum("ratio") / reps).alias("score"))
 
 
 @method
-def surprisal(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, order: int = 3, discount: float = 0.75) -> DataFrame:
+def surprisal(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, order: int = ORDER, discount: float = 0.75) -> DataFrame:
     """``(problem_id, score)``: share of (token, repetition) where the known model gives more than the reference model."""
-    r = _ratios(problems, known, unknown, refs, order, discount, "simplified")
-    return r.groupBy("problem_id").agg(F.avg((lm.floored(F.col("pk")) > lm.floored(F.col("pr"))).cast("double")).alias("score"))
-
-
-def entropy(sentences: DataFrame, key: str, order: int) -> DataFrame:
-    """``(key, h)``: entropy in bits of the unigrams of padded sentences."""
-    padded = sentences.select(key, X.padded(F.col("tokens"), order).alias("tokens"))
-    return token_counts(padded, key).groupBy(key).agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"))
+    return _reps(problems, known, unknown, refs, order, discount, "simplified").groupBy("problem_id").agg((F.sum("wins") / F.sum("n")).alias("score"))
 
 
 @method
-def entropy_weighted(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, reps: int, order: int = 3, discount: float = 0.75) -> DataFrame:
-    """``(problem_id, score)``: lambdaG of each repetition weighted by reference entropy / known entropy."""
-    per_rep = _ratios(problems, known, unknown, refs, order, discount, "simplified").groupBy("problem_id", "rep").agg(F.sum(_log_ratio()).alias("lr"))
-    model = F.concat_ws("|", F.col("problem_id").cast("string"), F.col("rep").cast("string"))
-    h_ref = entropy(refs.select(model.alias("m"), "tokens"), "m", order).withColumnRenamed("h", "h_ref")
-    used = problems.select(F.col("known_id").alias("doc_id")).distinct()
-    h_known = entropy(known.join(used, "doc_id", "left_semi"), "doc_id", order).select(F.col("doc_id").alias("known_id"), F.col("h").alias("h_known"))
-    rows = per_rep.withColumn("m", model).join(h_ref, "m").join(problems.select("problem_id", "known_id"), "problem_id").join(h_known, "known_id")
-    return rows.groupBy("problem_id").agg((F.sum(F.col("lr") * F.col("h_ref") / (F.col("h_known") + 1e-12)) / reps).alias("score"))
+def entropy_weighted(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, reps: int = REPS, order: int = ORDER, discount: float = 0.75) -> DataFrame:
+    """``(problem_id, score)``: lambdaG of each repetition weighted by reference entropy / known entropy of the padded unigrams."""
+    r = _reps(problems, known, unknown, refs, order, discount, "simplified")
+    return r.groupBy("problem_id").agg((F.sum(F.col("ratio") * F.col("h_ref") / (F.col("h_known") + 1e-12)) / reps).alias("score"))
 
 
 def divergences(pairs: DataFrame, p: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -155,36 +118,40 @@ def unigram_log_probs(sentences: DataFrame) -> DataFrame:
 
 
 @method
-def no_reference(problems: DataFrame, known: DataFrame, unknown: DataFrame, unknown_scores: DataFrame, order: int = 3, discount: float = 0.75) -> DataFrame:
+def no_reference(problems: DataFrame, known: DataFrame, unknown: DataFrame, unknown_scores: DataFrame, order: int = ORDER, discount: float = 0.75) -> DataFrame:
     """``(problem_id, score)``: perplexity of the unknown text under the known full model / its perplexity by the scorer's log-probabilities.
 
     As in the method's definition the latter raises 2, not e, to the mean of natural logs.
     """
-    used = problems.select(F.col("known_id").alias("doc_id")).distinct()
-    stats = lm.train(known.join(used, "doc_id", "left_semi").select(F.col("doc_id").alias("model_id"), "tokens"), "model_id", order)
-    p = lm.full_kn(stats, _query(problems, unknown, "known_id"), ["problem_id", "model_id", "sent_id"], order, discount)
-    mine = lm.perplexity(p, ["problem_id"])
+    mine = small_models.perplexities(problems, known, unknown, order, discount)
     by_scorer = unknown_scores.groupBy("doc_id").agg(F.pow(F.lit(2.0), -F.sum("sum_lp") / F.sum("n")).alias("pp"))
     return mine.join(problems.select("problem_id", F.col("unknown_id").alias("doc_id")), "problem_id").join(by_scorer, "doc_id").select("problem_id", (F.col("perplexity") / F.col("pp")).alias("score"))
 
 
 @method
-def perplexity_rank(problems: DataFrame, known_scores: DataFrame, unknown_scores: DataFrame, refs: DataFrame, reps: int) -> DataFrame:
+def perplexity_rank(problems: DataFrame, known_scores: DataFrame, unknown_scores: DataFrame, refs: DataFrame, reps: int = REPS) -> DataFrame:
     """``(problem_id, score)``: for each unknown sentence the sum over known sentences and repetitions of 1 / (rank x reps x K), where the
     rank is the known difference's place among the reference differences (ties first); the document's score is the median.
 
-    ``refs`` is (problem_id, rep, perplexity).
+    ``refs`` is (problem_id, rep, perplexity), rep from 1. A problem's values come to one task; each repetition is sorted once by its differences to an unknown sentence.
     """
-    k = problems.select("problem_id", F.col("known_id").alias("doc_id")).join(known_scores.select("doc_id", F.col("sent_id").alias("k_sent"), F.col("perplexity").alias("kp")), "doc_id").drop("doc_id")
-    u = problems.select("problem_id", F.col("unknown_id").alias("doc_id")).join(unknown_scores.select("doc_id", "sent_id", F.col("perplexity").alias("up")), "doc_id").drop("doc_id")
-    size = k.groupBy("problem_id").agg(F.count(F.lit(1)).alias("K"))
-    # a repetition's reference values are as many as the known sentences: one sorted array a repetition
-    batches = refs.groupBy("problem_id", "rep").agg(F.sort_array(F.collect_list("perplexity")).alias("rp"))
-    rows = u.join(k, "problem_id").join(batches, "problem_id")
-    d = F.abs(F.col("up") - F.col("kp"))
-    rank = F.size(F.filter("rp", lambda x: F.abs(F.col("up") - x) < d)) + 1
-    per_sentence = rows.join(size, "problem_id").groupBy("problem_id", "sent_id").agg(F.sum(1.0 / (rank * reps * F.col("K"))).alias("s"))
-    return per_sentence.groupBy("problem_id").agg(F.median("s").alias("score"))
+    side = lambda df, doc, rep: problems.select("problem_id", F.col(doc).alias("doc_id")).join(df, "doc_id").select("problem_id", F.lit(rep).alias("rep"), "perplexity")
+    rows = side(unknown_scores, "unknown_id", small_models.UNKNOWN).unionByName(side(known_scores, "known_id", small_models.KNOWN)).unionByName(refs.select("problem_id", F.col("rep").cast("int").alias("rep"), "perplexity"))
+
+    def measure(rep: np.ndarray, values: pa.Array) -> dict[str, np.ndarray]:
+        v = values.to_numpy(zero_copy_only=False)
+        u, k = v[rep == small_models.UNKNOWN], v[rep == small_models.KNOWN]
+        batches = [v[rep == r] for r in np.unique(rep[rep > small_models.KNOWN])]
+        if not len(u) or not len(k) or not batches:
+            return {"score": np.zeros(0)}
+        score = np.zeros(len(u))
+        for j, x in enumerate(u):
+            mine = np.abs(x - k)
+            for b in batches:
+                score[j] += (1.0 / ((np.searchsorted(np.sort(np.abs(x - b)), mine, "left") + 1) * reps * len(k))).sum()
+        return {"score": np.array([np.median(score)])}
+
+    return small_models.by_problem(rows, "perplexity", measure, "score double")
 
 
 @method
@@ -234,81 +201,188 @@ def distribution_distance(problems: DataFrame, known_scores: DataFrame, unknown_
     return emd.join(names, "run").groupBy("problem_id").agg(F.avg("emd").alias("score"))
 
 
+def _emd_matrix(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Distances of two lists of sorted samples (each divided by its sum) from each other: areas between their quantile functions, rounded to 12 places."""
+    out = np.zeros((len(a), len(b)))
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if len(x) == len(y):
+                out[i, j] = np.abs(x - y).mean()
+            else:  # where the quantile functions step
+                q = np.union1d(np.arange(1, len(x) + 1) * len(y), np.arange(1, len(y) + 1) * len(x))
+                width = np.diff(np.r_[0, q]) / (len(x) * len(y))
+                out[i, j] = (np.abs(x[(q - 1) // len(y)] - y[(q - 1) // len(x)]) * width).sum()
+    return np.round(out, 12)
+
+
+def document_distances(left: DataFrame, right: DataFrame, block_docs: int = 256) -> DataFrame:
+    """``(corpus, left_id, right_id, emd)`` of every document of ``left`` (corpus, left_id, value) with every one of ``right`` (corpus, right_id, value) of its corpus.
+
+    Values are samples, divided by their sum. All pairs are the result asked for: the method ranks a document among all impostors. Documents meet in blocks.
+    """
+    def blocks(df: DataFrame, ident: str, block: str) -> DataFrame:
+        docs = df.where("corpus is not null").groupBy("corpus", ident).agg(F.sort_array(F.collect_list("value")).alias("v"))  # a document is bounded
+        sizes = docs.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("_n"))
+        return docs.join(sizes, "corpus").withColumn(block, F.pmod(F.xxhash64(ident), F.col("_n")).cast("int")).groupBy("corpus", block, "_n").agg(F.collect_list(F.struct(ident, "v")).alias(f"{block}_rows"))
+
+    a, b = blocks(left, "left_id", "a").drop("_n"), blocks(right, "right_id", "b").drop("_n")
+    kinds = [left.schema["corpus"].dataType, left.schema["left_id"].dataType, right.schema["right_id"].dataType]
+
+    def measure(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for corpus, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                scaled = lambda rows: [np.asarray(r["v"]) / sum(r["v"]) for r in rows]
+                m = _emd_matrix(scaled(x), scaled(y))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([corpus] * m.size, batch.schema.field(0).type), pa.array([r["left_id"] for r in x for _ in y]), pa.array([r["right_id"] for _ in x for r in y]), pa.array(m.reshape(-1)),
+                ], names=["corpus", "left_id", "right_id", "emd"])
+
+    schema = ", ".join(f"{c} {k.simpleString()}" for c, k in zip(("corpus", "left_id", "right_id"), kinds, strict=True)) + ", emd double"
+    return a.join(b, "corpus").select("corpus", "a_rows", "b_rows").mapInArrow(measure, schema)
+
+
 @method
-def impostor_distances(problems: DataFrame, known_scores: DataFrame, unknown_scores: DataFrame, ref_docs: DataFrame) -> DataFrame:
-    """``(problem_id, emd_known_unknown, score)``: mean over the repetitions of 1 / rank of the known document's distance among the impostors'.
+def impostor_distances(problems: DataFrame, known_scores: DataFrame, unknown_scores: DataFrame, pool: DataFrame, share: float = 0.5, draws: int = 100, tests: int = 5, seed: str = "0") -> DataFrame:
+    """``(problem_id, test, emd_known_unknown, score)``: for each test the mean over ``draws`` of 1 / rank of the known document's distance among a random ``share`` of the impostors'.
 
-    Documents are samples of their sentences' exp(mean log-probability). Each pair of documents is measured once.
+    ``problems`` is (problem_id, corpus, known_id, unknown_id, known_author, unknown_author), ``pool`` (doc_id, corpus, author): impostors are the pool's documents of the problem's corpus but those
+    of its two authors; without any the score is 0. Documents are samples of their sentences' exp(mean log-probability). Every unknown document is measured against its corpus once. The impostors of a problem stand on a
+    ring by md5; a draw is an arc from a place of its own, and how many nearer ones it holds follows from running totals at its two ends.
     """
-    pairs = problems.select("unknown_id", F.col("known_id").alias("other")).unionByName(ref_docs.join(problems, "problem_id").select("unknown_id", F.col("ref_id").alias("other"))).distinct()
-    pairs = pairs.withColumn("pair", F.concat_ws("|", "unknown_id", "other"))
     value = F.exp("avg_lp").alias("value")
-    left = pairs.join(unknown_scores.select(F.col("doc_id").alias("unknown_id"), value), "unknown_id").select("pair", "value")
-    right = pairs.join(known_scores.select(F.col("doc_id").alias("other"), value), "other").select("pair", "value")
-    emd = wasserstein(left, right, "pair")
-    dist = cut(pairs.join(emd, "pair").select("unknown_id", "other", "emd"))
-    mine = problems.join(dist.withColumnRenamed("other", "known_id"), ["unknown_id", "known_id"]).select("problem_id", F.col("emd").alias("emd_known_unknown"))
-    refs = ref_docs.join(problems.select("problem_id", "unknown_id"), "problem_id").join(dist.withColumnRenamed("other", "ref_id"), ["unknown_id", "ref_id"])
-    ranks = refs.join(mine, "problem_id").groupBy("problem_id", "emd_known_unknown", "rep").agg((F.sum((F.col("emd") < F.col("emd_known_unknown")).cast("int")) + 1).alias("rank"))
-    return ranks.groupBy("problem_id", "emd_known_unknown").agg(F.avg(1.0 / F.col("rank")).alias("score"))
+    left = problems.select("corpus", F.col("unknown_id").alias("left_id")).distinct().join(unknown_scores.select(F.col("doc_id").alias("left_id"), value), "left_id")
+    right = pool.select("corpus", F.col("doc_id").alias("right_id")).join(known_scores.select(F.col("doc_id").alias("right_id"), value), "right_id")
+    dist = cut(document_distances(left, right))
+    of = lambda doc, scores: problems.select("problem_id", F.col(doc).alias("doc_id")).join(scores.select("doc_id", value), "doc_id").select("problem_id", "value")
+    ku, uu = cut(of("known_id", known_scores)), cut(of("unknown_id", unknown_scores))
+    own = wasserstein(uu, ku, "problem_id").join(ku.select("problem_id").distinct(), "problem_id", "left_semi").join(uu.select("problem_id").distinct(), "problem_id", "left_semi")
+    mine = cut(own.join(problems, "problem_id").select("problem_id", "corpus", F.col("unknown_id").alias("left_id"), "known_author", "unknown_author", F.col("emd").alias("ku")))
+    every = mine.select("problem_id", "ku", F.explode(F.sequence(F.lit(1), F.lit(tests))).alias("test"))
+    docs = pool.select("corpus", F.col("doc_id").alias("right_id"), "author", F.md5(F.concat_ws("|", F.lit(seed), "doc_id")).alias("_h"))
+    others = mine.join(dist, ["corpus", "left_id"]).join(docs, ["corpus", "right_id"]).where("author is null or ((known_author is null or author <> known_author) and (unknown_author is null or author <> unknown_author))")
+    ring = Window.partitionBy("problem_id").orderBy("_h", "right_id")
+    placed = cut(others.select("problem_id", (F.row_number().over(ring) - 1).alias("pos"), F.sum((F.col("emd") < F.col("ku")).cast("int")).over(ring).alias("upto")))
+    sizes = placed.groupBy("problem_id").agg(F.count(F.lit(1)).alias("m"), F.max("upto").alias("nearer"))
+    k = F.greatest(F.floor(F.col("m") * share + 0.5), F.lit(1))
+    draw = sizes.select("*", k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(draws * tests - 1))).alias("draw"))
+    first = F.pmod(hash_number(F.concat_ws("|", F.lit(seed), F.col("problem_id").cast("string"), F.col("draw").cast("string"))), F.col("m"))
+    draw = draw.withColumn("s", first).withColumn("e", F.col("s") + F.col("k") - 1)
+    at = lambda c, out: placed.select("problem_id", F.col("pos").alias(c), F.col("upto").alias(out))
+    ends = draw.withColumn("_b", F.col("s") - 1).withColumn("_e", F.pmod(F.col("e"), F.col("m"))).join(at("_b", "before"), ["problem_id", "_b"], "left").join(at("_e", "end"), ["problem_id", "_e"])
+    inside = F.col("end") - F.coalesce("before", F.lit(0)) + F.when(F.col("e") >= F.col("m"), F.col("nearer")).otherwise(0)
+    test = (F.floor(F.col("draw") / draws) + 1).cast("int").alias("test")
+    scores = ends.groupBy("problem_id", test).agg((F.sum(1.0 / (1 + inside)) / draws).alias("score"))
+    return every.join(scores, ["problem_id", "test"], "left").select("problem_id", "test", F.col("ku").alias("emd_known_unknown"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
 
+@method
+def verification(problems: DataFrame, known_scores: DataFrame, unknown_scores: DataFrame, ref_docs: DataFrame) -> DataFrame:
+    """``(problem_id, known_llr, unknown_llr)``: mean log-probability of the known document and of the unknown one, each less the mean over the impostor documents' means."""
+    mean = lambda s, name: s.groupBy("doc_id").agg((F.sum("sum_lp") / F.sum("n")).alias(name))
+    km, um = mean(known_scores, "m"), mean(unknown_scores, "u")
+    imp = ref_docs.join(km.withColumnRenamed("doc_id", "ref_id"), "ref_id").groupBy("problem_id").agg(F.avg("m").alias("i"))
+    rows = problems.join(km.select(F.col("doc_id").alias("known_id"), F.col("m").alias("k")), "known_id").join(um.withColumnRenamed("doc_id", "unknown_id"), "unknown_id").join(imp, "problem_id")
+    return rows.select("problem_id", (F.col("k") - F.col("i")).alias("known_llr"), (F.col("u") - F.col("i")).alias("unknown_llr"))
 
-def nearest(queries: DataFrame, pool: DataFrame, n: int = 5, block_rows: int = 2048) -> DataFrame:
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of unit length; a zero vector raises."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    size = np.linalg.norm(m, axis=1)
+    if (size == 0).any():
+        raise ValueError("cosine similarity of a zero vector")
+    return m / size[:, None]
+
+
+def nearest(queries: DataFrame, pool: DataFrame, n: int = 5, block_rows: int = 8192) -> DataFrame:
     """``(query_id, item_id, similarity, rank)``: the n nearest of ``pool`` (item_id, vector) to each of ``queries`` (query_id, vector) by cosine, exactly.
 
-    Ties go to the smaller item; an item never is its own neighbour; zero vectors raise, null ones are left out. The stated queries meet the pool block
-    by block: a task multiplies one block of each, of about ``block_rows`` rows, and keeps n rows a query, which are then merged.
+    Ties (of similarities rounded to 12 places) go to the smaller item; an item never is its own neighbour; zero vectors raise, null ones are left out. If the pool has an ``author`` and the queries ``not_a`` and
+    ``not_b``, items of these authors do not count. The stated queries meet the pool block by block: a task multiplies one block of each, of about ``block_rows`` rows, and keeps
+    n rows a query, which are then merged. The smaller side is the one that is sent to every block of the other.
     """
-    import numpy as np
-    import pandas as pd
+    fenced = "author" in pool.columns and {"not_a", "not_b"} <= set(queries.columns)
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "item_id": pool.schema["item_id"].dataType.simpleString()}
 
-    q_type, i_type = queries.schema["query_id"].dataType.simpleString(), pool.schema["item_id"].dataType.simpleString()
-
-    def blocks(df: DataFrame, ident: str, block: str) -> tuple[DataFrame, int]:
-        rows = df.where(F.col(ident).isNotNull() & F.col("vector").isNotNull()).select(ident, "vector")
+    def blocks(df: DataFrame, ident: str, block: str, *more: str) -> tuple[DataFrame, int]:
+        rows = df.where(F.col(ident).isNotNull() & F.col("vector").isNotNull()).select(ident, "vector", *(more if fenced else ()))
         count = max(1, -(-rows.count() // block_rows))
         part = F.pmod(F.xxhash64(ident), F.lit(count)).cast("int").alias(block)
-        return rows.groupBy(part).agg(F.collect_list(ident).alias(f"{ident}s"), F.collect_list("vector").alias(f"{ident}_vectors")), count
-
-    q, n_blocks = blocks(queries, "query_id", "q_block")
-    p, _ = blocks(pool, "item_id", "p_block")
-    met = p.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(q, "q_block")
+        return rows.groupBy(part).agg(F.collect_list(F.struct(*rows.columns)).alias(f"{block}s")), count
 
-    def unit(rows) -> np.ndarray:  # noqa: ANN001
-        m = np.array([np.asarray(v, float) for v in rows])
-        size = np.linalg.norm(m, axis=1)
-        if (size == 0).any():
-            raise ValueError("cosine similarity of a zero vector")
-        return m / size[:, None]
+    q, n_q = blocks(queries, "query_id", "q", "not_a", "not_b")
+    p, n_p = blocks(pool, "item_id", "p", "author")
+    every = lambda df, c, k: df.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    met = every(q, "p", n_p).join(p, "p") if n_q <= n_p else every(p, "q", n_q).join(q, "q")
 
     def score(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            for q_ids, q_vec, p_ids, p_vec in zip(b.query_ids, b.query_id_vectors, b.item_ids, b.item_id_vectors, strict=True):
-                items = np.asarray(p_ids)
-                for row, who in zip(unit(q_vec) @ unit(p_vec).T, q_ids, strict=True):
-                    row = np.where(items == who, -np.inf, row)
-                    best = np.lexsort((items, -row))[:n]
-                    best = best[np.isfinite(row[best])]
-                    yield pd.DataFrame({"query_id": who, "item_id": items[best], "similarity": row[best]})
-
-    parts = met.select("query_ids", "query_id_vectors", "item_ids", "item_id_vectors").mapInPandas(score, f"query_id {q_type}, item_id {i_type}, similarity double")
+            for k in range(b.num_rows):
+                mine, items = (b.column(j).slice(k, 1).flatten() for j in (0, 1))
+                who, what = mine.field("query_id"), items.field("item_id")
+                names = pa.concat_arrays([what, who.cast(what.type)]).dictionary_encode().indices.to_numpy(zero_copy_only=False) if kinds["query_id"] == kinds["item_id"] else None
+                order = np.argsort(np.array(what.to_pylist(), dtype=object), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                a, c = _matrix(mine.field("vector")), _matrix(items.field("vector"))
+                if fenced:
+                    codes = pa.concat_arrays([items.field("author"), mine.field("not_a"), mine.field("not_b")]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                    author, not_a, not_b = np.split(codes, [len(items), len(items) + len(mine)])
+                for lo in range(0, len(mine), 512):
+                    s = np.round(a[lo : lo + 512] @ c.T, 12)
+                    if names is not None:
+                        s[names[None, : len(what)] == names[len(what) + lo : len(what) + lo + len(s), None]] = -np.inf
+                    if fenced:
+                        for fence in (not_a, not_b):
+                            f = fence[lo : lo + 512, None]
+                            s[(f == author[None, :]) & (f >= 0)] = -np.inf
+                    least = np.partition(s, -n, axis=1)[:, -n] if s.shape[1] > n else np.full(len(s), -np.inf)
+                    row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                    best = np.lexsort((place[col], -s[row, col], row))
+                    row, col = row[best], col[best]
+                    first = np.searchsorted(row, row)
+                    row, col = row[np.arange(len(row)) - first < n], col[np.arange(len(col)) - first < n]
+                    yield pa.RecordBatch.from_arrays([who.take(pa.array(row + lo)), what.take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "item_id", "similarity"])
+
+    parts = met.select("qs", "ps").mapInArrow(score, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0") -> DataFrame:
+def similar_sentences(problems: DataFrame, sentences: DataFrame, n: int = REPS, reps: int = REPS, seed: str = "0", strict: bool = True) -> DataFrame:
+    """``(problem_id, rep, sent_id)``: for each repetition and each sentence of the known document one of its ``n`` nearest sentences of other authors, no text twice in a repetition.
+
+    ``problems`` is (problem_id, known_id, known_author, unknown_author), ``sentences`` (doc_id, author, sent_id, tokens, vector). Problems of one known document and unknown author ask once. A problem whose known
+    sentences cannot all have a text of their own raises or, if not ``strict``, has no row.
+    """
+    rows = cut(sentences.select("doc_id", "author", "sent_id", "vector", F.md5(X.joined(F.col("tokens"))).alias("text")))
+    known = problems.join(rows.select(F.col("doc_id").alias("known_id"), F.col("sent_id").alias("query_sent"), "vector"), "known_id")
+    known = known.withColumn("query_id", F.concat_ws("|", "query_sent", F.coalesce("known_author", F.lit("")), F.coalesce("unknown_author", F.lit(""))))
+    asked = known.select("query_id", F.col("known_author").alias("not_a"), F.col("unknown_author").alias("not_b"), "vector").dropDuplicates(["query_id"])
+    near = cut(nearest(asked, rows.select(F.col("sent_id").alias("item_id"), "author", "vector"), n).select("query_id", F.col("item_id").alias("sent_id")))
+    offered = known.select("problem_id", "query_id").join(near, "query_id").join(rows.select("sent_id", "text"), "sent_id")
+    # of equal texts that a sentence is offered the first stands for all
+    offered = offered.groupBy("problem_id", "query_id", F.col("text").alias("item_id")).agg(F.min("sent_id").alias("sent_id"))
+    offered = cut(offered)
+    picked = similar_references(offered, reps, seed, strict)
+    return picked.join(offered, ["problem_id", "query_id", "item_id"]).select("problem_id", "rep", "sent_id")
+
+
+def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0", strict: bool = True) -> DataFrame:
     """``(problem_id, rep, query_id, item_id)``: for each query of a problem one of its neighbours, no item twice in a repetition.
 
     ``neighbours`` is (problem_id, query_id, item_id). Queries choose in turn in an order given by md5; one left without a free neighbour
-    takes over by augmenting paths, and a repetition without any full assignment raises. A problem's queries are its known
+    takes over by augmenting paths, and a repetition without any full assignment raises, or, if not ``strict``, leaves its problem without any row. A problem's queries are its known
     sentences, so a group is one document's size.
     """
     import hashlib
+    import sys
 
     import pandas as pd
 
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         problem, out = g["problem_id"].iloc[0], []
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * len(g) + 1000))  # a chain of moves may pass every query
         options = {k: x["item_id"].tolist() for k, x in g.groupby("query_id")}
         for rep in range(reps):
             order = lambda *p: hashlib.md5("|".join(map(str, (seed, problem, rep, *p))).encode()).hexdigest()  # noqa: B023, E731
@@ -326,7 +400,9 @@ def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0") ->
 
             for q in sorted(options, key=order):
                 if not place(q, set()):
-                    raise ValueError(f"problem {problem}: no references without repetition")
+                    if strict:
+                        raise ValueError(f"problem {problem}: no references without repetition")
+                    return pd.DataFrame([], columns=["problem_id", "rep", "query_id", "item_id"])
             out += [(problem, rep, q, item) for item, q in taken.items()]
         return pd.DataFrame(out, columns=["problem_id", "rep", "query_id", "item_id"])
 

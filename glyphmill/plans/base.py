@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as X
 from glyphmill.functions.textnorm import clean_key
 from glyphmill.operators.corpus import sentence_rows
-from glyphmill.operators.sampling import sample_for
+from glyphmill.operators.deliveries import one_delivery
+from glyphmill.operators.sampling import sample_for, sample_within
 from glyphmill.session import table
 
 
@@ -19,13 +20,13 @@ def r6(c: Column | str) -> Column:
 
 def known(spark: SparkSession, d: str) -> DataFrame:
     """One row a known document, with its clean author."""
-    k = table(spark, d, "known_texts").dropDuplicates(["doc_id"])
+    k = one_delivery(table(spark, d, "known_texts"), "doc_id", "orig_doc_id", "corpus", "author", "texttype", "text")
     return k.select("doc_id", "orig_doc_id", "corpus", clean_key(F.col("author")).alias("author"), "texttype", "text")
 
 
 def unknown_chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row a chunk of an unknown document, with its clean author."""
-    u = table(spark, d, "unknown_texts").dropDuplicates(["doc_id", "chunk_id"])
+    u = one_delivery(table(spark, d, "unknown_texts"), ["doc_id", "chunk_id"], "corpus", "author", "texttype", "sentence")
     return u.select("doc_id", "corpus", "chunk_id", clean_key(F.col("author")).alias("author"), "texttype", "sentence")
 
 
@@ -59,27 +60,36 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def reference_sentences(spark: SparkSession, d: str, problems: DataFrame, sentences: DataFrame, reps: int) -> DataFrame:
-    """``(problem_id, rep, sent_id, tokens)``: for each repetition as many sentences of other authors as the known document has."""
-    sizes = sentences.groupBy(F.col("doc_id").alias("known_id")).agg(F.count(F.lit(1)).alias("k"))
-    req = problems.join(sizes, "known_id").select("problem_id", "k", F.col("known_author").alias("not_a"), F.col("unknown_author").alias("not_b"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    req = req.withColumn("req_id", F.concat_ws("|", F.col("problem_id").cast("string"), F.col("rep").cast("string")))
-    got = sample_for(req.select("req_id", "k", "not_a", "not_b"), sentences.select(F.col("sent_id").alias("item"), "author"))
+def _split_request(got: DataFrame, *names: str) -> DataFrame:
     ids = F.split("req_id", r"\|")
-    rows = got.select(ids[0].cast("bigint").alias("problem_id"), ids[1].cast("int").alias("rep"), F.col("item").alias("sent_id"))
-    return rows.join(sentences.select("sent_id", "tokens"), "sent_id")
+    return got.select(ids[0].cast("bigint").alias("problem_id"), ids[1].cast("int").alias(names[0]), "item", "rank")
 
 
-def reference_docs(problems: DataFrame, docs: DataFrame, reps: int, each: int = 1) -> DataFrame:
-    """``(problem_id, rep, ref_id)``: ``reps`` documents of other authors for each problem, or as many a trial if ``each`` is above 1."""
-    want = reps if each == 1 else each
-    trials = F.sequence(F.lit(1), F.lit(1 if each == 1 else reps))
-    req = problems.select("problem_id", F.lit(want).alias("k"), F.col("known_author").alias("not_a"), F.col("unknown_author").alias("not_b"), F.explode(trials).alias("trial"))
-    req = req.withColumn("req_id", F.concat_ws("|", F.col("problem_id").cast("string"), F.concat(F.lit("d"), F.col("trial").cast("string"))))
-    got = sample_for(req.select("req_id", "k", "not_a", "not_b"), docs.select(F.col("doc_id").alias("item"), "author"))
-    ids = F.split("req_id", r"\|")
-    rep = F.col("rank") if each == 1 else F.substring(ids[1], 2, 10).cast("int")
-    return got.select(ids[0].cast("bigint").alias("problem_id"), rep.cast("int").alias("rep"), F.col("item").alias("ref_id"))
+def _requests(problems: DataFrame, k: Column, draws: int, name: str = "") -> DataFrame:
+    req = problems.select("problem_id", k.alias("k"), F.col("known_author").alias("not_a"), F.col("unknown_author").alias("not_b"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    return req.select(F.concat_ws("|", F.col("problem_id").cast("string"), F.col("draw").cast("string"), *([F.lit(name)] if name else [])).alias("req_id"), "k", "not_a", "not_b")
+
+
+def reference_sentences(problems: DataFrame, sentences: DataFrame, reps: int) -> DataFrame:
+    """``(problem_id, rep, sent_id)``: for each repetition as many sentences of other authors as the known document has."""
+    sizes = sentences.groupBy(F.col("doc_id").alias("known_id")).agg(F.count(F.lit(1)).alias("k"))
+    got = sample_for(_requests(problems.join(sizes, "known_id"), F.col("k"), reps), sentences.select(F.col("sent_id").alias("item"), "author"))
+    return _split_request(got, "rep").select("problem_id", "rep", F.col("item").alias("sent_id"))
+
+
+def reference_docs(problems: DataFrame, docs: DataFrame, trials: int, each: int, replace: bool = False) -> DataFrame:
+    """``(problem_id, trial, place, ref_id)``: for each trial ``each`` documents of other authors, numbered from 1."""
+    got = sample_for(_requests(problems, F.lit(each), trials, "d"), docs.select(F.col("doc_id").alias("item"), "author"), replace=replace)
+    return _split_request(got, "trial").select("problem_id", "trial", F.col("rank").alias("place"), F.col("item").alias("ref_id"))
+
+
+def pooled_sentences(problems: DataFrame, sentences: DataFrame, impostors: DataFrame, reps: int) -> DataFrame:
+    """``(problem_id, rep, sent_id)``: for each repetition as many sentences of the problem's pooled impostor documents as the known document has."""
+    sizes = sentences.groupBy(F.col("doc_id").alias("known_id")).agg(F.count(F.lit(1)).alias("k"))
+    req = problems.join(sizes, "known_id").select("problem_id", "k", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    req = req.select(F.concat_ws("|", F.col("problem_id").cast("string"), F.col("rep").cast("string"), F.lit("p")).alias("req_id"), F.col("problem_id").alias("grp"), "k")
+    pool = impostors.select(F.col("problem_id").alias("grp"), F.col("ref_id").alias("doc_id")).join(sentences.select("doc_id", F.col("sent_id").alias("item")), "doc_id")
+    return _split_request(sample_within(req, pool), "rep").select("problem_id", "rep", F.col("item").alias("sent_id"))
 
 
 # the same in SQL ------------------------------------------------------------------------------------------------------
@@ -104,27 +114,44 @@ def with_(*names: str) -> str:
     return "WITH " + ",\n".join(CTE.get(n, n) for n in names) + "\n"
 
 
-def sample_sql(name: str, requests: str, pool: str) -> str:
-    """CTEs that draw from a pool as sample_for does; ``requests`` has (req_id, k, not_a, not_b), ``pool`` (item, author)."""
-    h = "(('0x' || substr(md5('0|' || {c}), 1, 7))::BIGINT)"
-    return f"""{name}_size AS (SELECT greatest(1, count(*) // 16) AS b FROM {pool}),
-    {name}_pool AS (SELECT item, author, {h.format(c='item')} % b AS bucket FROM {pool}, {name}_size),
-    {name}_want AS (SELECT req_id, k, not_a, not_b, unnest(list_transform(range(least(b, CAST(ceil(3 * k / 16.0) + 2 AS BIGINT))), lambda x: ({h.format(c='req_id')} % b + x) % b)) AS bucket FROM {requests}, {name}_size WHERE k > 0),
-    {name} AS (SELECT * FROM (SELECT req_id, item, k, row_number() OVER (PARTITION BY req_id ORDER BY md5('0|' || req_id || '|' || item), item) AS rank
-        FROM {name}_want JOIN {name}_pool USING (bucket) WHERE author IS NULL OR ((not_a IS NULL OR author <> not_a) AND (not_b IS NULL OR author <> not_b))) WHERE rank <= k)"""
+def sample_sql(name: str, requests: str, pool: str, share: float | None = None) -> str:
+    """CTEs that draw from a pool as sample_for does; ``requests`` has (req_id, k, not_a, not_b), ``pool`` (item, author). The items free for each pair of authors are numbered, and a request is arithmetic on these numbers."""
+    k = "k" if share is None else f"greatest(CAST(floor(m * {share}::DOUBLE + 0.5) AS BIGINT), 1)"
+    return f"""{name}_ring AS MATERIALIZED (SELECT item, author, row_number() OVER (ORDER BY md5('0|' || item), item) - 1 AS pos FROM {pool}),
+    {name}_pairs AS (SELECT not_a, not_b, row_number() OVER () AS pair FROM (SELECT DISTINCT not_a, not_b FROM {requests})),
+    {name}_free AS MATERIALIZED (SELECT pair, item, pos, row_number() OVER (PARTITION BY pair ORDER BY pos) - 1 AS er, count(*) OVER (PARTITION BY pair) AS m FROM {name}_pairs, {name}_ring
+        WHERE author IS NULL OR ((not_a IS NULL OR author <> not_a) AND (not_b IS NULL OR author <> not_b))),
+    {name}_start AS (SELECT req_id, k, pair, ('0x' || substr(md5('0|' || req_id), 1, 15))::BIGINT % (SELECT count(*) FROM {name}_ring) AS s FROM {requests} r JOIN {name}_pairs p ON r.not_a IS NOT DISTINCT FROM p.not_a AND r.not_b IS NOT DISTINCT FROM p.not_b),
+    {name}_first AS (SELECT req_id, st.pair, st.k, coalesce(f.er, 0) AS e0 FROM {name}_start st ASOF LEFT JOIN {name}_free f ON st.pair = f.pair AND st.s <= f.pos),
+    {name}_size AS (SELECT DISTINCT pair, m FROM {name}_free),
+    {name}_want AS (SELECT req_id, pair, m, e0, unnest(range({k})) AS j FROM {name}_first JOIN {name}_size USING (pair)),
+    {name} AS MATERIALIZED (SELECT req_id, item, j + 1 AS rank FROM {name}_want w JOIN {name}_free f ON f.pair = w.pair AND f.er = (w.e0 + w.j) % w.m)"""
+
+
+_IDS = "CAST(split_part(req_id, '|', 1) AS BIGINT) AS problem_id, CAST(split_part(req_id, '|', 2) AS INTEGER)"
 
 
 def ref_sentences_sql(reps: int) -> str:
+    """CTE ``refs`` (problem_id, rep, sent_id)."""
     return f"""ks_items AS (SELECT sent_id AS item, author FROM ks),
-    rs_req AS (SELECT problem_id || '|' || rep AS req_id, k, known_author AS not_a, unknown_author AS not_b FROM samples JOIN (SELECT doc_id AS known_id, count(*) AS k FROM ks GROUP BY doc_id) USING (known_id), range(1, {reps + 1}) AS t(rep)),
+    kn_size AS (SELECT doc_id AS known_id, count(*) AS k FROM ks GROUP BY doc_id),
+    rs_req AS (SELECT problem_id || '|' || rep AS req_id, k, known_author AS not_a, unknown_author AS not_b FROM samples JOIN kn_size USING (known_id), range(1, {reps + 1}) AS t(rep)),
     {sample_sql('rs', 'rs_req', 'ks_items')},
-    refs AS (SELECT CAST(split_part(req_id, '|', 1) AS BIGINT) AS problem_id, CAST(split_part(req_id, '|', 2) AS INTEGER) AS rep, req_id, item AS sent_id, tokens FROM rs JOIN ks ON item = sent_id)"""
+    refs AS MATERIALIZED (SELECT {_IDS} AS rep, item AS sent_id FROM rs)"""
 
 
-def ref_docs_sql(reps: int, each: int = 1) -> str:
-    trials, want = (1, reps) if each == 1 else (reps, each)
-    rep = "rank" if each == 1 else "CAST(substr(split_part(req_id, '|', 2), 2) AS INTEGER)"
+def ref_docs_sql(trials: int, each: int) -> str:
+    """CTE ``ref_docs`` (problem_id, trial, place, ref_id)."""
     return f"""kd_items AS (SELECT doc_id AS item, any_value(author) AS author FROM ks GROUP BY doc_id),
-    rd_req AS (SELECT problem_id || '|d' || trial AS req_id, {want} AS k, known_author AS not_a, unknown_author AS not_b FROM samples, range(1, {trials + 1}) AS t(trial)),
+    rd_req AS (SELECT problem_id || '|' || trial || '|d' AS req_id, {each} AS k, known_author AS not_a, unknown_author AS not_b FROM samples, range(1, {trials + 1}) AS t(trial)),
     {sample_sql('rd', 'rd_req', 'kd_items')},
-    ref_docs AS (SELECT CAST(split_part(req_id, '|', 1) AS BIGINT) AS problem_id, CAST({rep} AS INTEGER) AS rep, item AS ref_id FROM rd)"""
+    ref_docs AS MATERIALIZED (SELECT {_IDS} AS trial, rank AS place, item AS ref_id FROM rd)"""
+
+
+def pooled_sql(docs: int, reps: int) -> str:
+    """CTE ``refs`` (problem_id, rep, sent_id) from the pooled sentences of ``docs`` impostor documents."""
+    return f"""{ref_docs_sql(1, docs)},
+    pl AS MATERIALIZED (SELECT problem_id, sent_id, row_number() OVER (PARTITION BY problem_id ORDER BY md5('0|' || sent_id), sent_id) - 1 AS pos, count(*) OVER (PARTITION BY problem_id) AS m FROM ref_docs JOIN ks ON ks.doc_id = ref_id),
+    ps AS (SELECT problem_id, rep, k, ('0x' || substr(md5('0|' || problem_id || '|' || rep || '|p'), 1, 15))::BIGINT AS s FROM samples JOIN (SELECT doc_id AS known_id, count(*) AS k FROM ks GROUP BY doc_id) USING (known_id), range(1, {reps + 1}) AS t(rep)),
+    pw AS (SELECT problem_id, rep, s, unnest(range(k)) AS j FROM ps),
+    refs AS MATERIALIZED (SELECT problem_id, CAST(rep AS INTEGER) AS rep, sent_id FROM pw JOIN pl USING (problem_id) WHERE pos = (s % m + j) % m)"""

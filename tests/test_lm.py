@@ -26,7 +26,7 @@ def test_lambdag_golden(spark):
     unknown = spark.createDataFrame([("u", "u1", ["a", "b"]), ("v", "v1", ["c", "z"])], "doc_id string, sent_id string, tokens array<string>")
     problems = spark.createDataFrame([(1, "k", "u"), (2, "k", "v")], "problem_id bigint, known_id string, unknown_id string")
     refs = spark.createDataFrame([(p, 1, t) for p in (1, 2) for t in (["a", "c"], ["c", "b"])], "problem_id bigint, rep int, tokens array<string>")
-    got = {r.problem_id: r.score for r in scorers.lambdag(problems, known, unknown, refs, reps=1).collect()}
+    got = {r.problem_id: r.score for r in scorers.lambdag(problems, known, unknown, refs, reps=1, order=3).collect()}
     assert got[1] == pytest.approx(0.008703814079, abs=1e-9)
     assert got[2] == pytest.approx(-0.801891425452, abs=1e-9)
 
