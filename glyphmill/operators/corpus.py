@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators.numbering import number_rows
+from glyphmill.operators.running import running
 
 
 def apply_temp_doc_id(df: DataFrame) -> DataFrame:
@@ -68,14 +69,10 @@ def concat_text(rows: DataFrame, group: str, order: str, text: str = "text", sep
 
 
 def profile_offsets(docs: DataFrame, keys: list[str], order: str, text: str = "text", sep_chars: int = 1) -> DataFrame:
-    """Where each document begins in its author's joined profile: the profile stays in rows, however large it is."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = docs.where(F.col(text).isNotNull())
-    return rows.select(
-        *keys, order, F.row_number().over(w).alias("ord"), F.coalesce(F.sum(F.length(text) + sep_chars).over(before), F.lit(0)).cast("bigint").alias("start"),
-        F.length(text).alias("n_chars"),
-    )
+    """Where each document begins in its author's joined profile: the profile stays in rows, however large it is, and an author is spread over tasks."""
+    rows = docs.where(F.col(text).isNotNull()).select(*keys, order, F.length(text).alias("n_chars"))
+    placed = running(rows, keys, [order], {"_end": (F.col("n_chars") + sep_chars).cast("bigint")}, "ord")
+    return placed.select(*keys, order, F.col("ord").cast("int").alias("ord"), (F.col("_end") - F.col("n_chars") - sep_chars).alias("start"), "n_chars")
 
 
 def split_description(df: DataFrame, column: str = "description") -> DataFrame:

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.running import running
 from glyphmill.session import cut
 
 EPS = 1e-15  # fixed value: keeps odds of probability 1 finite
@@ -49,24 +51,22 @@ def cllr_min(df: DataFrame, keys: list[str], llr: str = "llr", target: str = "ta
 
 
 def operating_points(df: DataFrame, keys: list[str], score: str = "score", target: str = "target") -> DataFrame:
-    """``(*keys, threshold, tp, fp, n_pos, n_neg, tpr, fpr)`` for every distinct score taken as threshold (score >= threshold).
+    """``(*keys, threshold, pos, neg, tp, fp, n_pos, n_neg, tpr, fpr)`` for every distinct score taken as threshold (score >= threshold); ``pos`` and ``neg`` are the trials of that score.
 
-    Equal scores are counted together before anything is ordered.
+    Equal scores are counted together before anything is ordered; a group of very many scores is spread over tasks.
     """
     per = _usable(df, score, target).groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
-        F.count(F.when(F.col(target), 1)).alias("_p"), F.count(F.when(~F.col(target), 1)).alias("_n")
+        F.count(F.when(F.col(target), 1)).alias("pos"), F.count(F.when(~F.col(target), 1)).alias("neg")
     )
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    whole = Window.partitionBy(*keys)
-    pts = per.select(*keys, "threshold", F.sum("_p").over(w).alias("tp"), F.sum("_n").over(w).alias("fp"), F.sum("_p").over(whole).alias("n_pos"), F.sum("_n").over(whole).alias("n_neg"))
+    pts = running(per, keys, [F.desc("threshold")], {"tp": "pos", "fp": "neg"}, "_rank").drop("_rank")
+    whole = per.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    pts = pts.join(whole, keys) if keys else pts.crossJoin(whole)  # one row a group
     return pts.withColumn("tpr", F.try_divide("tp", "n_pos")).withColumn("fpr", F.try_divide("fp", "n_neg"))
 
 
 def auc(points: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, auc)``: area under the operating points; ties count half. Null where a class is missing."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
-    area = points.select(*keys, "n_pos", "n_neg", ((F.col("fp") - before("fp")) * (F.col("tp") + before("tp")) / 2.0).alias("_a"))
+    area = points.select(*keys, "n_pos", "n_neg", (F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0).alias("_a"))
     return area.groupBy(*keys).agg(F.try_divide(F.sum("_a"), F.max("n_pos") * F.max("n_neg").cast("double")).alias("auc"))
 
 
@@ -81,8 +81,8 @@ def eer(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def eer_interpolated(points: DataFrame, keys: list[str]) -> DataFrame:
     """``(*keys, eer)``: where the line through neighbouring operating points meets 1 - fpr = tpr."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    seg = points.where("n_pos > 0 and n_neg > 0").select(*keys, "tpr", "fpr", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)).alias("t0"), F.coalesce(F.lag("fpr").over(w), F.lit(0.0)).alias("f0"))
+    before = lambda all_, own, n: (F.col(all_) - F.col(own)) / F.col(n)
+    seg = points.where("n_pos > 0 and n_neg > 0").select(*keys, "tpr", "fpr", before("tp", "pos", "n_pos").alias("t0"), before("fp", "neg", "n_neg").alias("f0"))
     a, b = 1 - F.col("f0") - F.col("t0"), 1 - F.col("fpr") - F.col("tpr")
     cross = seg.where((a >= 0) & (b <= 0))
     at = F.col("f0") + (F.col("fpr") - F.col("f0")) * F.coalesce(F.try_divide(a, a - b), F.lit(0.0))
@@ -105,9 +105,8 @@ def youden(points: DataFrame, keys: list[str]) -> DataFrame:
 def tippett(df: DataFrame, keys: list[str], score: str = "score", target: str = "target") -> DataFrame:
     """``(*keys, threshold, share_true_at_least, share_false_at_most)`` for every distinct score."""
     p = operating_points(df, keys, score, target)
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    above = F.coalesce(F.lag("fp").over(w), F.lit(0))
-    return p.select(*keys, "threshold", F.col("tpr").alias("share_true_at_least"), F.try_divide(F.col("n_neg") - above, F.col("n_neg")).alias("share_false_at_most"))
+    below = F.col("n_neg") - F.col("fp") + F.col("neg")
+    return p.select(*keys, "threshold", F.col("tpr").alias("share_true_at_least"), F.try_divide(below, F.col("n_neg")).alias("share_false_at_most"))
 
 
 def confusion(df: DataFrame, keys: list[str], predicted: Column, target: str = "target") -> DataFrame:
@@ -141,20 +140,28 @@ def metrics_by_probability(df: DataFrame, keys: list[str], p: str = "p", target:
     return out
 
 
-def _newton(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float, steps: int = 50) -> tuple[float, float]:
-    """Weight and intercept of the logistic fit on (score, class, times); the intercept is not penalised."""
-    w = b = 0.0
+def _fits(x: np.ndarray, y: np.ndarray, n: np.ndarray, left_out: np.ndarray, penalty: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of the logistic fits on (score, class, times) with one trial of each kind of ``left_out`` (places; -1 for none) taken off; the intercept is not penalised."""
+    w, b = np.zeros(len(left_out)), np.zeros(len(left_out))
+    if len(left_out) > 1 or left_out[0] >= 0:  # they all lie near the fit on all trials
+        w0, b0 = _fits(x, y, n, np.array([-1]), penalty, steps)
+        w, b = w + w0, b + b0
+    off, at = (left_out >= 0).astype(float), np.maximum(left_out, 0)
+    ox, oy = x[at], y[at]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(w * x + b, -500, 500)))
-        g = np.array([(n * (p - y) * x).sum() + penalty * w, (n * (p - y)).sum()])
-        v = n * p * (1 - p)
-        h = np.array([[(v * x * x).sum() + penalty, (v * x).sum()], [(v * x).sum(), v.sum()]]) + 1e-12 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 10.0 / max(1e-300, np.abs(step).max()))
-        w, b = w - step[0], b - step[1]
-        if np.abs(step).max() < 1e-10:
+        p = 1 / (1 + np.exp(-np.clip(w[:, None] * x + b[:, None], -500, 500)))
+        op = p[np.arange(len(at)), at]
+        r, v = n * (p - y), n * p * (1 - p)
+        own, ov = off * (op - oy), off * op * (1 - op)
+        g0, g1 = r @ x - own * ox + penalty * w, r.sum(axis=1) - own
+        h00, h01, h11 = v @ (x * x) - ov * ox * ox + penalty + 1e-12, v @ x - ov * ox, v.sum(axis=1) - ov + 1e-12
+        det = h00 * h11 - h01 * h01
+        dw, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        size = np.maximum(1.0, np.maximum(np.abs(dw), np.abs(db)) / 10.0)
+        w, b = w - dw / size, b - db / size
+        if max(np.abs(dw).max(), np.abs(db).max()) < 1e-10:
             break
-    return float(w), float(b)
+    return w, b
 
 
 def fit_logistic(df: DataFrame, keys: list[str], score: str = "score", target: str = "target", c: float | None = 1.0, steps: int = 30) -> pd.DataFrame:
@@ -198,33 +205,47 @@ def calibrate(train: DataFrame, test: DataFrame, keys: list[str], score: str = "
     return j.withColumn("pred_prob", p).withColumn("pred_llr", log10_odds(F.col("pred_prob"))).drop("w", "b")
 
 
-def calibrate_loo(df: DataFrame, keys: list[str], ident: str, score: str = "score", target: str = "target", c: float | None = 1.0, standardise: bool = False) -> DataFrame:
+#: Kinds of trials left out in one task.
+LEFT_OUT = 512
+
+
+def calibrate_loo(df: DataFrame, keys: list[str], ident: str, score: str = "score", target: str = "target", c: float | None = 1.0, standardise: bool = False, block: int = LEFT_OUT) -> DataFrame:
     """``(*keys, ident, score, target, pred_prob, pred_llr)``: each trial calibrated by a fit on the others of its group.
 
-    Leaving one out needs a fit a trial; equal (score, target) share one. A group is the trials of one corpus and method, and
-    is fitted in one task; with ``standardise`` scores are first brought to mean 0 and population deviation 1 of the whole group.
+    Leaving one out needs a fit a trial; equal (score, target) share one. A task makes the fits of ``block`` kinds against their group's table of (score, class, times), starting from the
+    fit on all; a group of many trials is many tasks. With ``standardise`` scores are first brought to mean 0 and population deviation 1 of the whole group. Where nothing of a class is left
+    the probability is null.
     """
-    columns = [*keys, ident, score, target]
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g[score].to_numpy(float), g[target].to_numpy(bool).astype(float)
-        if standardise:
-            x = (x - x.mean()) / (x.std() or 1.0)
-        kinds, which, times = np.unique(np.stack([x, y]), axis=1, return_inverse=True, return_counts=True)
-        which = np.asarray(which).reshape(-1)
-        prob = np.full(kinds.shape[1], np.nan)
-        for k in range(kinds.shape[1]):
-            n = times.astype(float)
-            n[k] -= 1
-            if n[kinds[1] > 0.5].sum() and n[kinds[1] < 0.5].sum():
-                w, b = _newton(kinds[0], kinds[1], n, 0.0 if c is None else 1.0 / c)
-                prob[k] = 1 / (1 + np.exp(-np.clip(w * kinds[0][k] + b, -500, 500)))
-        return g.assign(pred_prob=prob[which])[[*columns, "pred_prob"]]
-
-    rows = _usable(df, score, target).select(*columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "pred_prob double"])
-    out = rows.groupBy(*keys).applyInPandas(fit, schema)
-    return out.withColumn("pred_prob", F.when(~F.isnan("pred_prob"), F.col("pred_prob"))).withColumn("pred_llr", log10_odds(F.col("pred_prob")))
+    rows = _usable(df, score, target).select(*keys, ident, score, target, F.col(score).cast("double").alias("_x"))
+    if standardise:
+        of = rows.groupBy(*keys).agg(F.avg("_x").alias("_m"), F.nullif(F.stddev_pop("_x"), F.lit(0.0)).alias("_d"))
+        rows = rows.join(of, keys) if keys else rows.crossJoin(of)  # one row a group
+        rows = rows.withColumn("_x", (F.col("_x") - F.col("_m")) / F.coalesce("_d", F.lit(1.0))).drop("_m", "_d")
+    rows = cut(rows)
+    kinds = rows.groupBy(*keys, "_x", F.col(target).alias("_t")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    tables = kinds.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_t", "_n")).alias("_table"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    met = kinds.join(tables, keys) if keys else kinds.crossJoin(tables)  # one row a group
+    met = met.withColumn("_block", F.pmod(F.xxhash64("_x", "_t"), "_blocks")).groupBy(*keys, "_block").agg(F.collect_list(F.struct("_x", "_t")).alias("_out"), F.first("_table").alias("_table"))
+    penalty = 0.0 if c is None else 1.0 / c
+
+    def fit(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for k in range(batch.num_rows):
+                out, table = (batch.column(len(keys) + j).slice(k, 1).flatten() for j in (0, 1))
+                x, n = (table.field(f).to_numpy(zero_copy_only=False) for f in ("_x", "_n"))
+                y = table.field("_t").to_numpy(zero_copy_only=False).astype(float)
+                ox, oy = out.field("_x").to_numpy(zero_copy_only=False), out.field("_t").to_numpy(zero_copy_only=False).astype(float)
+                place = {kind: j for j, kind in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+                at = np.array([place[kind] for kind in zip(ox.tolist(), oy.tolist(), strict=True)])
+                w, b = _fits(x, y, n, at, penalty)
+                p = 1 / (1 + np.exp(-np.clip(w * ox + b, -500, 500)))
+                rest = n[y == 1].sum() - oy, n[y == 0].sum() - (1 - oy)
+                p[(rest[0] <= 0) | (rest[1] <= 0)] = np.nan
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array([k] * len(p))) for j in range(len(keys))), out.field("_x"), out.field("_t"), pa.array(p, from_pandas=True)], names=[*keys, "_x", "_t", "pred_prob"])
+
+    schema = ", ".join([*(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keys), "_x double, _t boolean, pred_prob double"])
+    done = met.select(*keys, "_out", "_table").mapInArrow(fit, schema).withColumnRenamed("_t", target)
+    return rows.join(done, [*keys, "_x", target]).select(*keys, ident, score, target, "pred_prob", log10_odds(F.col("pred_prob")).alias("pred_llr"))
 
 
 def performance(predictions: DataFrame, keys: list[str], target: str = "target", decision_llr: float = 0.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
+from glyphmill.operators.running import running
+from glyphmill.session import cut
 
 
 def token_counts(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -116,50 +119,131 @@ def gram_statistics(sentences: DataFrame, key: str, order: int, tokens: str = "t
     return rows.groupBy(key, "len", "gram").agg(*[F.sum(c).alias(c) for c in ("cnt", "pre", "suc", "presuc", "ctx")])
 
 
-def gram_positions(docs: DataFrame, n: int, ident: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """``(ident, i, g)``: every n-gram of each document with its place, as a string with a separator."""
-    kind = docs.schema[ident].dataType.simpleString()
+class Automaton:
+    """Suffix automaton of a token sequence: every stretch of it is a path from the start. Built and followed in time linear in the tokens."""
+
+    def __init__(self, tokens: list):
+        self.next: list[dict] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for t in tokens:
+            now = len(self.next)
+            self.next.append({})
+            self.length.append(self.length[last] + 1)
+            self.link.append(0)
+            p = last
+            while p >= 0 and t not in self.next[p]:
+                self.next[p][t] = now
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][t]
+                if self.length[p] + 1 == self.length[q]:
+                    self.link[now] = q
+                else:
+                    copy = len(self.next)
+                    self.next.append(dict(self.next[q]))
+                    self.length.append(self.length[p] + 1)
+                    self.link.append(self.link[q])
+                    while p >= 0 and self.next[p].get(t) == q:
+                        self.next[p][t] = copy
+                        p = self.link[p]
+                    self.link[q] = self.link[now] = copy
+            last = now
+
+    def longest_ending_at(self, tokens: list) -> list[int]:
+        """For each place of ``tokens`` the length of the longest stretch ending there that the automaton's sequence has too."""
+        state, length, out = 0, 0, []
+        for t in tokens:
+            while state and t not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if t in self.next[state]:
+                state, length = self.next[state][t], length + 1
+            else:
+                state, length = 0, 0
+            out.append(length)
+        return out
+
+
+def shared_runs(a: list, b: list, n: int, include_subgrams: bool = False) -> set[tuple]:
+    """The n-grams of length ``n`` or more that two sequences share; unless ``include_subgrams`` without those that stand inside a longer one.
+
+    A shared n-gram is inside no longer one only if it is the longest stretch that ends somewhere in ``a`` and cannot be prolonged there, so the quadratic set of all n-grams is not made.
+    """
+    upto = Automaton(b).longest_ending_at(a)
+    runs = {tuple(a[i + 1 - k : i + 1]) for i, k in enumerate(upto) if k >= n and (i + 1 == len(a) or upto[i + 1] <= k)}
+    if include_subgrams:
+        return {r[i : i + k] for r in runs for k in range(n, len(r) + 1) for i in range(len(r) - k + 1)}
+    inner: set[tuple] = set()
+    lengths = sorted({len(r) for r in runs})
+    for r in runs:  # what a longer run holds of the lengths that occur
+        for k in lengths:
+            if k >= len(r):
+                break
+            inner.update(g for i in range(len(r) - k + 1) if (g := r[i : i + k]) in runs)
+    return runs - inner
+
+
+def common_ngrams(pairs: DataFrame, tokens: DataFrame, n: int = 2, include_subgrams: bool = False) -> DataFrame:
+    """``(pair_id, n, gram)``: the n-grams of length ``n`` or more that two documents share; unless ``include_subgrams``, one inside a longer one of the pair is left out.
+
+    ``pairs`` is (pair_id, doc_a, doc_b), ``tokens`` (doc_id, tokens), of words or of any tokenizer. A pair's two documents meet in one row and are compared by a suffix automaton.
+    Documents without tokens share nothing; a null pair id is a pair.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    side = lambda c: tokens.select(F.col("doc_id").alias(f"doc_{c}"), F.col("tokens").alias(f"_{c}"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, grams = [], [], []
+            for k, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for g in sorted(shared_runs(a or [], b or [], n, include_subgrams)):
+                    ids.append(k)
+                    sizes.append(len(g))
+                    grams.append(SEP.join(g))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sizes, pa.int32()), pa.array(grams, pa.string())], names=["pair_id", "n", "gram"])
+
+    met = pairs.select("pair_id", "doc_a", "doc_b").join(side("a"), "doc_a").join(side("b"), "doc_b")
+    return met.select("pair_id", "_a", "_b").mapInArrow(compare, f"pair_id {kind}, n int, gram string")
+
+
+def sharing_pairs(tokens: DataFrame, n: int) -> DataFrame:
+    """``(pair_id, doc_a, doc_b)``: pairs of documents, a < b, that share any n-gram of length ``n``, by 64-bit hashes of their n-grams; a few pairs more may come.
+
+    All such pairs are the result asked for; documents that share nothing are not paired.
+    """
+    kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = Flat(b.column(1))
             at = f.starts(n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(f.rows[at])), pa.array(f.at[at].astype(np.int32)), f.joined(at, n)], names=[ident, "i", "g"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(f.rows[at])), f.joined(at, n)], names=["doc_id", "g"])
 
-    return docs.select(ident, tokens).mapInArrow(grams, f"`{ident}` {kind}, i int, g string")
+    rows = tokens.select("doc_id", "tokens").mapInArrow(grams, f"doc_id {kind}, g string").select(F.xxhash64("g").alias("h"), "doc_id").distinct()
+    several = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
+    shared = cut(rows.join(several, "h", "left_semi"))
+    met = shared.select("h", F.col("doc_id").alias("doc_a")).join(shared.select("h", F.col("doc_id").alias("doc_b")), "h").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    return met.select(F.concat_ws("|", "doc_a", "doc_b").alias("pair_id"), "doc_a", "doc_b")
 
 
-def common_ngrams(pairs: DataFrame, tokens: DataFrame, n: int = 2, include_subgrams: bool = False) -> DataFrame:
-    """``(pair_id, n, gram)``: the n-grams of length ``n`` or more that two documents share.
+def readable(grams: DataFrame, order: str = "count_desc", sep: str = " ", strip: tuple[str, ...] = ()) -> DataFrame:
+    """``(pair_id, place, n, pretty, raw)``: the shared n-grams of each pair in reading order: by how many there are of a length (``count_desc``), or by length (``len_asc``, ``len_desc``), and by tokens within one.
 
-    ``pairs`` is (pair_id, doc_a, doc_b), ``tokens`` (doc_id, tokens). Places of equal n-grams lie on diagonals; an unbroken stretch of a diagonal
-    is one maximal run, so the quadratic set of all n-grams is never made. Unless ``include_subgrams``, a run inside a longer one of
-    the pair is left out; with it, every shared n-gram comes out.
+    ``pretty`` joins the tokens without the marks in ``strip``, ``raw`` shows the token tuple, quoted.
     """
-    if n < 1:
-        raise ValueError("n must be at least 1")
-    grams = gram_positions(tokens, n)
-    a = pairs.join(grams, pairs.doc_a == grams.doc_id).select("pair_id", "doc_a", "g", "i")
-    b = pairs.join(grams, pairs.doc_b == grams.doc_id).select("pair_id", "g", F.col("i").alias("j"))
-    hits = a.join(b, ["pair_id", "g"]).select("pair_id", "doc_a", "i", (F.col("i") - F.col("j")).alias("d"))
-    w = Window.partitionBy("pair_id", "d").orderBy("i")
-    runs = hits.withColumn("island", F.col("i") - F.row_number().over(w)).groupBy("pair_id", "doc_a", "d", "island").agg(
-        F.min("i").alias("start"), (F.count(F.lit(1)) + n - 1).cast("int").alias("len")
-    )
-    spans = runs.select("pair_id", "doc_a", "start", "len").distinct()
-    if include_subgrams:
-        sizes = F.explode(F.sequence(F.lit(n), F.col("len"))).alias("k")
-        spans = spans.select("pair_id", "doc_a", "start", "len", sizes)
-        spans = spans.select("pair_id", "doc_a", F.explode(F.transform(F.sequence(F.lit(0), F.col("len") - F.col("k")), lambda x: F.col("start") + x)).alias("start"), F.col("k").alias("len"))
-    found = spans.join(tokens.select(F.col("doc_id").alias("doc_a"), "tokens"), "doc_a").select(
-        "pair_id", F.col("len").alias("n"), X.joined(F.slice("tokens", F.col("start") + 1, F.col("len"))).alias("gram")
-    ).distinct()
-    if include_subgrams:
-        return found
-    sep = F.lit("\u0001")
-    longer = found.select(F.col("pair_id").alias("p2"), F.col("n").alias("n2"), F.concat(sep, F.col("gram"), sep).alias("around"))
-    inside = (F.col("pair_id") == F.col("p2")) & (F.col("n2") > F.col("n")) & F.contains(F.col("around"), F.concat(sep, F.col("gram"), sep))
-    return found.join(longer, inside, "left_anti")
+    if order not in ("count_desc", "len_asc", "len_desc"):
+        raise ValueError("order is count_desc, len_asc or len_desc")
+    sizes = grams.groupBy("pair_id", "n").agg(F.count(F.lit(1)).alias("_c"))
+    first = {"count_desc": [F.desc("_c"), F.col("n")], "len_asc": [F.col("n")], "len_desc": [F.desc("n")]}[order]
+    placed = running(grams.join(sizes, ["pair_id", "n"]), ["pair_id"], [*first, "gram"], rank="place")
+    parts = F.split("gram", SEP)
+    bare = F.transform(parts, lambda t: functools.reduce(lambda x, m: F.replace(x, F.lit(m), F.lit("")), strip, t))
+    quoted = lambda t: F.concat(F.lit("'"), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    raw = F.concat(F.lit("("), F.array_join(F.transform(parts, quoted), ", "), F.lit(")"))
+    return placed.select("pair_id", F.col("place").cast("int").alias("place"), "n", F.array_join(bare, sep).alias("pretty"), raw.alias("raw"))
 
 
 def filter_ngrams(grams: DataFrame, word_mode: bool = False) -> DataFrame:

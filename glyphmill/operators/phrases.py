@@ -11,6 +11,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.running import running
+
 #: Fixed value: the least probability kept when raw probabilities become logarithms.
 LEAST_PROB = 1e-45
 
@@ -37,46 +39,68 @@ def mass(df: DataFrame, keys: list[str], name: str, log_prob: str = "sum_log_pro
     return sums.withColumn(f"pmf_{name}", pmf).withColumn(f"llr_{name}", F.when(pmf > 0, -F.log10(pmf)).otherwise(0.0)).drop("_ref", "_all")
 
 
+#: Log-probabilities are added up within steps of this width, in which their exponentials neither overflow nor vanish.
+STEP = 200.0
+
+
+def log_sum(df: DataFrame, keys: list[str], value: Column, out: str, *more: Column) -> DataFrame:
+    """``(*keys, out, ...)``: logarithm of the sum of exp(value) by key (null without any value), and further aggregates ``more`` of the form sum, min or max.
+
+    Values are first added up by (key, step) with the step's scale taken off, then the few steps of a key: two map-side combined aggregates, nothing is joined back.
+    """
+    low = F.floor(value / STEP)
+    first = df.groupBy(*keys, low.alias("_step")).agg(F.sum(F.exp(value - low * STEP)).alias("_z"), *more)
+    names = [c for c in first.columns if c not in (*keys, "_step", "_z")]
+    z = F.struct(F.col("_step").alias("s"), F.col("_z").alias("z"))
+    best = first.groupBy(*keys).agg(F.max("_step").alias("_top"), F.collect_list(F.when(F.col("_step").isNotNull(), z)).alias("_parts"), *[F.max(c).alias(c) for c in names])  # a key has few steps
+    scaled = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["z"] * F.exp((p["s"] - F.col("_top")) * STEP))
+    return best.select(*keys, F.when(F.col("_top").isNotNull(), F.col("_top") * STEP + F.log(scaled)).alias(out), *names)
+
+
 def softmax(df: DataFrame, keys: list[str], log_prob: str = "sum_log_probs", prior: str | None = None) -> DataFrame:
-    """``df`` with ``pmf``: each row's share of its group, by a shift to the group's maximum; null log-probabilities weigh nothing.
+    """``df`` with ``pmf``: each row's share of its group; null log-probabilities weigh nothing. With ``prior`` probabilities are weighted by that column.
 
-    The groups' maxima and sums are aggregates joined back, so a large group is not sorted or held anywhere.
+    A group's sum is one row, joined back once.
     """
     lp = F.col(log_prob) + (F.log(F.col(prior)) if prior else F.lit(0.0))
-    rows = df.withColumn("_lp", lp)
-    top = rows.groupBy(*keys).agg(F.max("_lp").alias("_top"))
-    shifted = rows.join(top, keys).withColumn("_w", F.coalesce(F.exp(F.col("_lp") - F.col("_top")), F.lit(0.0)))
-    sums = shifted.groupBy(*keys).agg(F.sum("_w").alias("_z"))
-    return shifted.join(sums, keys).withColumn("pmf", F.coalesce(F.try_divide(F.col("_w"), F.col("_z")), F.lit(0.0))).drop("_lp", "_top", "_w", "_z")
+    sums = log_sum(df, keys, lp, "_all")
+    return df.join(sums, keys).withColumn("pmf", F.coalesce(F.exp(lp - F.col("_all")), F.lit(0.0))).drop("_all")
 
 
 def excluded_ratio(df: DataFrame, keys: list[str], log_prob: str = "sum_log_probs") -> DataFrame:
-    """``(*keys, llr_excl_nats, llr_excl_log10, odds, p_two_bin)``: reference against all paraphrases together.
+    """``(*keys, p_ref, log_z, llr_excl_nats, llr_excl_log10, odds, p_two_bin)``: reference against all paraphrases together.
 
-    Without paraphrases the ratio is infinite and p is 1; without a reference all are null. Sums are shifted to the group's maximum.
+    ``p_ref`` is the reference's share of all rows, ``log_z`` the logarithm of their summed probability. Without paraphrases the ratio is infinite and p is 1; without a reference all but log_z are null.
     """
     is_ref = F.col("phrase_type") == "reference"
     rows = df.where(F.col(log_prob).isNotNull())
-    top = rows.groupBy(*keys).agg(F.max(F.when(~is_ref, F.col(log_prob))).alias("_top"), F.max(F.when(is_ref, F.col(log_prob))).alias("_ref"))
-    total = rows.where(~is_ref).join(top, keys).groupBy(*keys).agg(F.sum(F.exp(F.col(log_prob) - F.col("_top"))).alias("_z"))
+    best = log_sum(rows, keys, F.when(~is_ref, F.col(log_prob)), "_rest", F.max(F.when(is_ref, F.col(log_prob))).alias("_ref"))
     inf = F.lit(float("inf"))
-    nats = F.when(F.col("_ref").isNull(), None).when(F.col("_top").isNull(), inf).otherwise(F.col("_ref") - F.col("_top") - F.log("_z"))
+    nats = F.when(F.col("_ref").isNull(), None).when(F.col("_rest").isNull(), inf).otherwise(F.col("_ref") - F.col("_rest"))
+    high = F.greatest("_ref", "_rest")
+    log_z = high + F.log(F.coalesce(F.exp(F.col("_ref") - high), F.lit(0.0)) + F.coalesce(F.exp(F.col("_rest") - high), F.lit(0.0)))
     # the two-bin probability is 1 / (1 + e^-llr), which does not overflow
-    return top.join(total, keys, "left").select(*keys, nats.alias("llr_excl_nats")).select(
-        *keys, "llr_excl_nats", (F.col("llr_excl_nats") / F.log(F.lit(10.0))).alias("llr_excl_log10"), F.exp("llr_excl_nats").alias("odds"),
+    return best.select(*keys, "_ref", log_z.alias("log_z"), nats.alias("llr_excl_nats")).select(
+        *keys, F.exp(F.col("_ref") - F.col("log_z")).alias("p_ref"), "log_z", "llr_excl_nats", (F.col("llr_excl_nats") / F.log(F.lit(10.0))).alias("llr_excl_log10"), F.exp("llr_excl_nats").alias("odds"),
         F.when(F.col("llr_excl_nats").isNotNull(), 1 / (1 + F.exp(-F.col("llr_excl_nats")))).alias("p_two_bin"),
     )
 
 
-def rank_candidates(df: DataFrame, keys: list[str], raw: str, ties: list[str]) -> DataFrame:
-    """``df`` with ``rank``: 0 for reference rows, paraphrases 1.. by ``raw`` descending, ties by the given columns.
+def included_ratio(df: DataFrame, keys: list[str], log_prob: str = "sum_log_probs") -> DataFrame:
+    """``(*keys, p_incl, llr_incl_nats, llr_incl_log10)``: the reference's share of all rows and its negative logarithm; null without a reference."""
+    e = excluded_ratio(df, keys, log_prob)
+    return e.select(*keys, F.col("p_ref").alias("p_incl"), (-F.log("p_ref")).alias("llr_incl_nats"), (-F.log10("p_ref")).alias("llr_incl_log10"))
 
-    The number of rows ahead of each is the result, so a group's rows are numbered by a window over (keys, type).
-    """
-    from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys, "phrase_type").orderBy(F.desc_nulls_last(raw), *ties)
-    return df.withColumn("rank", F.when(F.col("phrase_type") == "reference", 0).otherwise(F.row_number().over(w)).cast("int"))
+def rank_candidates(df: DataFrame, keys: list[str], raw: str, ties: list[str], with_reference: bool = False) -> DataFrame:
+    """``df`` with ``rank``: 0 for reference rows, paraphrases 1.. by ``raw`` descending, ties by the given columns; ``with_reference`` all rows compete, from 1.
+
+    A phrase of any number of candidates is spread over tasks.
+    """
+    if with_reference:
+        return running(df, keys, [F.desc_nulls_last(raw), *ties]).withColumn("rank", F.col("rank").cast("int"))
+    placed = running(df.withColumn("_ref", F.coalesce(F.col("phrase_type") == "reference", F.lit(False))), [*keys, "_ref"], [F.desc_nulls_last(raw), *ties])
+    return placed.withColumn("rank", F.when(F.col("_ref"), 0).otherwise(F.col("rank")).cast("int")).drop("_ref")
 
 
 def against_best(df: DataFrame, keys: list[str], log_prob: str = "sum_log_probs") -> DataFrame:
@@ -194,10 +218,8 @@ def beam(masks: DataFrame, key: str, beam_size: int = 30, floor: float = -7.0) -
 
 def pseudo_log_likelihood(spans: DataFrame, key: list[str]) -> DataFrame:
     """``(*key, pll, rank)`` of same-length candidates at a span from per-position log-probabilities (rows of (key, candidate, log_prob)); sums are rounded to 12 places, so equal ones tie."""
-    from pyspark.sql import Window
-
     total = spans.groupBy(*key, "candidate").agg(F.round(F.sum("log_prob"), 12).alias("pll"))
-    return total.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("pll"), "candidate")))
+    return running(total, key, [F.desc("pll"), "candidate"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def join_all(frames: list[DataFrame], keys: list[str], how: str = "full") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.operators.phrases import join_all
+from glyphmill.operators.running import running
 
 
 def mean_scores(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -43,10 +47,23 @@ def mean_then_sum(df: DataFrame, inner: list[str], outer: list[str], value: str,
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, mean, std, min, quartiles (linear interpolation) and max of a column by key."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("_q"), F.max(value).alias("max"))
-    return d.select(*keys, "count", "mean", "std", "min", F.get("_q", F.lit(0)).alias("q25"), F.get("_q", F.lit(1)).alias("q50"), F.get("_q", F.lit(2)).alias("q75"), "max")
+    """count, mean, std, min, quartiles (exact, linear interpolation) and max of a column by key. Null values count nowhere.
+
+    Equal values are counted together and ranked by range partitions; a quartile is made of the one or two values at its place.
+    """
+    d = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = per.groupBy(*keys).agg(F.sum("_c").alias("_size"))
+    placed = running(per, keys, ["_x"], {"_upto": "_c"}, "_rank")
+    placed = placed.join(sizes, keys) if keys else placed.crossJoin(sizes)  # one row a group
+    picks = []
+    for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        at = (F.col("_size") - 1) * q
+        holds = lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c"))
+        low, high = (F.max(F.when(holds(r), F.col("_x"))) for r in (F.floor(at), F.ceil(at)))
+        picks.append((low + (high - low) * (F.max(at) - F.max(F.floor(at)))).alias(name))
+    out = d.join(placed.groupBy(*keys).agg(*picks), keys, "left") if keys else d.crossJoin(placed.groupBy().agg(*picks))
+    return out.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: str | None = None) -> DataFrame:
@@ -73,8 +90,8 @@ def labelled_errors(df: DataFrame, truth: str = "y_true", predicted: str = "y_pr
 
 def stratified(df: DataFrame, strata: list[str], ident: str, share: float = 0.6, seed: str = "42") -> DataFrame:
     """``df`` with ``part``: of each stratum the first ``share`` by md5 order is ``train``, the rest ``test``."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(ident).cast("string"))), ident)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    return df.withColumn("part", F.when(F.row_number().over(w) <= F.floor(n * share + 0.5), "train").otherwise("test"))
+    placed = running(df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(ident).cast("string")))), strata, ["_h", ident], rank="_rank")
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size")).withColumnsRenamed({c: f"_k_{c}" for c in strata})
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in strata])
+    out = placed.join(sizes, same)
+    return out.select(*df.columns, F.when(F.col("_rank") <= F.floor(F.col("_size") * share + 0.5), "train").otherwise("test").alias("part"))

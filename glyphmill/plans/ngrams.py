@@ -46,6 +46,16 @@ def largest_common_ngram(spark, d):  # noqa: ANN001, ANN201
     return N.highest_common(_common(spark, d))
 
 
+def largest_common_ngram_files(spark, d):  # noqa: ANN001, ANN201
+    """All pairs of unknown documents that share eight words in a row, with the longest run they share."""
+    t = _pair_tokens(spark, d).where("doc_id like 'u:%'")
+    return N.highest_common(N.common_ngrams(N.sharing_pairs(t, 8), t, 8))
+
+
+def common_ngrams_readable(spark, d):  # noqa: ANN001, ANN201
+    return N.readable(_common(spark, d))
+
+
 def filter_ngrams(spark, d):  # noqa: ANN001, ANN201
     """Candidates whose token arrays, as given, hold more than one word."""
     p = table(spark, d, "paraphrases").where("tokens is not null").dropDuplicates(["cand_id"])
@@ -119,7 +129,7 @@ def kn_generate(spark, d):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (
-    token_counts, ngram_counts, continuation_counts, common_ngrams, largest_common_ngram, filter_ngrams, phrase_occurrences, phrase_spans, coverage_runs, skn_probs, fkn_probs,
+    token_counts, ngram_counts, continuation_counts, common_ngrams, largest_common_ngram, largest_common_ngram_files, common_ngrams_readable, filter_ngrams, phrase_occurrences, phrase_spans, coverage_runs, skn_probs, fkn_probs,
     lm_perplexity, next_words, kn_generate,
 )}
 
@@ -190,6 +200,11 @@ _COMMON = _DOCS + """,
     common AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found l WHERE l.pair_id = f.pair_id AND l.n > f.n AND contains(' ' || l.gram || ' ', ' ' || f.gram || ' '))),
     best AS (SELECT pair_id, max(n) AS highest_common_count FROM common GROUP BY pair_id),
     tops AS (SELECT pair_id, highest_common_count, array_to_string(min(string_split(gram, ' ')), ' ') AS ngram FROM common JOIN best USING (pair_id) WHERE n = highest_common_count GROUP BY ALL)"""
+_FILES = """,
+    g8 AS MATERIALIZED (SELECT doc_id, i, list_slice(tokens, i + 1, i + 8) AS g FROM (SELECT *, unnest(range(0, len(tokens) - 7)) AS i FROM ud WHERE len(tokens) >= 8)),
+    h8 AS (SELECT a.doc_id AS x, b.doc_id AS y, a.i, a.i - b.i AS diag FROM g8 a JOIN g8 b ON a.g = b.g AND a.doc_id < b.doc_id),
+    r8 AS (SELECT x, y, min(i) AS start, count(*) + 7 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y, diag ORDER BY i) AS island FROM h8) GROUP BY x, y, diag, island),
+    m8 AS (SELECT x, y, max(n) AS n FROM r8 GROUP BY x, y)"""
 _BASE = ("known", "unknown_chunks", "known_rows", "ks", "us", "samples")
 _SPANS = "list_filter(range(0, len(tokens) - len(ph) + 1), lambda i: list_slice(tokens, i + 1, i + len(ph)) = ph)"
 _AUTHOR_MODEL = "src AS (SELECT author AS model_id, tokens FROM ks WHERE author IS NOT NULL),\n" + model_sql("m", "src", ORDER) + ",\nasked AS (SELECT author AS model_id, sent_id, tokens FROM us WHERE author IS NOT NULL),\n" + positions_sql("q", "asked", "model_id, sent_id", ORDER)
@@ -204,6 +219,9 @@ SQL = {
         + "SELECT corpus, word, left_contexts, CAST(sum(left_contexts) OVER (PARTITION BY corpus) AS BIGINT) AS distinct_bigrams FROM w",
     "common_ngrams": _W(*_BASE, _COMMON) + "SELECT pair_id, n, gram FROM common",
     "largest_common_ngram": _W(*_BASE, _COMMON) + "SELECT pair_id, highest_common_count, ngram FROM tops",
+    "largest_common_ngram_files": _W(*_BASE, _DOCS + _FILES) + "SELECT x || '|' || y AS pair_id, CAST(n AS INTEGER) AS highest_common_count, array_to_string(min(list_slice(tokens, start + 1, start + n)), ' ') AS ngram FROM m8 JOIN r8 USING (x, y, n) JOIN ud ON doc_id = x GROUP BY x, y, n",
+    "common_ngrams_readable": _W(*_BASE, _COMMON, "z AS (SELECT *, count(*) OVER (PARTITION BY pair_id, n) AS c FROM common)")
+        + "SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY c DESC, n, string_split(gram, ' ')) AS INTEGER) AS place, n, gram AS pretty, '(' || chr(39) || array_to_string(string_split(gram, ' '), chr(39) || ', ' || chr(39)) || chr(39) || ')' AS raw FROM z",
     "filter_ngrams": f"""WITH p AS (SELECT cand_id, any_value(tokens) AS tokens FROM paraphrases WHERE tokens IS NOT NULL GROUP BY cand_id),
         w AS (SELECT *, len(list_filter(tokens, lambda t: NOT regexp_full_match(replace(replace(t, 'Ġ', ''), 'Ċ', ''), '{_PUNCT}*'))) AS words FROM p)
         SELECT cand_id, CAST(len(tokens) AS INTEGER) AS n FROM w WHERE len(tokens) >= 2 AND words > 1 AND len(list_filter(list_slice(tokens, 2, len(tokens)), lambda t: starts_with(t, 'Ġ') OR starts_with(t, '▁'))) > 0""",

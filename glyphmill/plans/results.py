@@ -23,7 +23,7 @@ def trials(spark, d):  # noqa: ANN001, ANN201
 
 
 def _r(df):  # noqa: ANN001, ANN202
-    return df.select(*[B.r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[B.r6(c).alias(c) if t == "double" and not c.endswith(("threshold", "score")) else F.col(c) for c, t in df.dtypes])
 
 
 def av_results(spark, d):  # noqa: ANN001, ANN201
@@ -100,7 +100,7 @@ def _points(spark, d):  # noqa: ANN001, ANN202
 
 
 def roc(spark, d):  # noqa: ANN001, ANN201
-    return _r(_points(spark, d))
+    return _r(_points(spark, d).drop("pos", "neg"))
 
 
 def auc(spark, d):  # noqa: ANN001, ANN201
@@ -179,6 +179,47 @@ _MERGE = """a AS (SELECT sample_id, round(avg(lp), 10) AS s, count(*) AS n FROM
     j AS (SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, a.s AS score_mask_fill, coalesce(a.n, 0) AS n_mask_fill, b.s AS score_varlen_fill, coalesce(b.n, 0) AS n_varlen_fill FROM a FULL JOIN b ON a.sample_id IS NOT DISTINCT FROM b.sample_id)"""
 _EER = "SELECT corpus, CASE WHEN g < 1 THEN round(fpr, 6) + 0.0 ELSE 0.0::DOUBLE END AS eer FROM (SELECT corpus, abs(1 - tpr - fpr) AS g, fpr, row_number() OVER (PARTITION BY corpus ORDER BY abs(1 - tpr - fpr), threshold DESC) AS k FROM roc WHERE n_pos > 0 AND n_neg > 0) WHERE k = 1"
 _AUC = "SELECT corpus, round(sum((fp - f0) * (tp + t0) / 2.0) / nullif(max(n_pos) * max(n_neg), 0), 6) + 0.0 AS auc FROM (SELECT *, coalesce(lag(tp) OVER w, 0) AS t0, coalesce(lag(fp) OVER w, 0) AS f0 FROM roc WINDOW w AS (PARTITION BY corpus ORDER BY threshold DESC)) GROUP BY corpus"
+
+
+def _newton(rows: str, key: str, penalty: float, steps: int = 40) -> str:
+    """CTEs down to ``fit`` (key, w, b): logistic fits on ``rows`` (key, x, y, n) by Newton steps from 0, each one statement."""
+    parts = [f"n0 AS (SELECT DISTINCT {key}, 0::DOUBLE AS w, 0::DOUBLE AS b FROM {rows})"]
+    for k in range(1, steps + 1):
+        parts.append(f"""n{k} AS MATERIALIZED (SELECT {key}, w - dw / greatest(1, greatest(abs(dw), abs(db)) / 10) AS w, b - db / greatest(1, greatest(abs(dw), abs(db)) / 10) AS b FROM (
+            SELECT {key}, w, b, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS dw, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS db FROM (
+                SELECT {key}, w, b, sum(n * (p - y) * x) + {penalty} * w AS g0, sum(n * (p - y)) AS g1, sum(n * p * (1 - p) * x * x) + {penalty} + 1e-12 AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p)) + 1e-12 AS h11
+                FROM (SELECT *, 1 / (1 + exp(-greatest(-500, least(500, w * x + b)))) AS p FROM {rows} JOIN n{k - 1} USING ({key})) GROUP BY {key}, w, b)))""")
+    return ",\n".join([*parts, f"fit AS (SELECT * FROM n{steps})"])
+
+
+def _loo(trials: str, group: str = "corpus", penalty: float = 1.0, scaled: bool = False) -> str:
+    """CTEs down to ``pr`` (group, sample_id, target, score, p, l): each trial of ``trials`` by the fit on the others of its group."""
+    x = "(score - avg(score) OVER w) / coalesce(nullif(stddev_pop(score) OVER w, 0), 1)" if scaled else "score"
+    return f"""tx AS MATERIALIZED (SELECT {group}, sample_id, target, score, {x} AS x FROM {trials} WINDOW w AS (PARTITION BY {group})),
+    lr AS MATERIALIZED (SELECT a.sample_id || '|' || a.{group} AS k, b.x, CAST(b.target AS INTEGER)::DOUBLE AS y, 1::DOUBLE AS n FROM tx a JOIN tx b ON a.{group} = b.{group} AND a.sample_id <> b.sample_id),
+    ok AS (SELECT k FROM lr GROUP BY k HAVING min(y) < max(y)), {_newton('lr', 'k', penalty)},
+    pr AS MATERIALIZED (SELECT {group}, sample_id, target, score, CASE WHEN ok.k IS NOT NULL THEN 1 / (1 + exp(-(w * x + b))) END AS p FROM tx LEFT JOIN fit ON k = sample_id || '|' || {group} LEFT JOIN ok USING (k))"""
+
+
+_PL = "log10(p / (1 - p + 1e-15))"
+
+
+def _performance(pred: str, group: str) -> str:
+    """CTEs down to ``pf``: all metrics of ``pred`` (group, target, p) by group."""
+    return f"""pq AS MATERIALIZED (SELECT {group}, target, p, {_PL} AS llr FROM {pred} WHERE p IS NOT NULL),
+    pm AS (SELECT {group}, avg(llr) FILTER (target) AS mean_true_llr, avg(llr) FILTER (NOT target) AS mean_false_llr, count(*) FILTER (target) AS true_trials, count(*) FILTER (NOT target) AS false_trials, {_COST.format(y='llr')} AS cllr, {_COUNTS.format(c='llr > 0')} FROM pq GROUP BY {group}),
+    pc AS (SELECT {group}, min(x) AS cllr_min FROM (SELECT {group}, k, {_COST.format(y='(llr - 10 + k * 0.02::DOUBLE)')} AS x FROM pq, range(1001) AS r(k) GROUP BY {group}, k) GROUP BY {group}),
+    pg AS (SELECT {group}, p AS threshold, count(*) FILTER (target) AS np, count(*) FILTER (NOT target) AS nn FROM pq GROUP BY ALL),
+    po AS (SELECT {group}, threshold, np, nn, sum(np) OVER w AS tp, sum(nn) OVER w AS fp, sum(np) OVER (PARTITION BY {group}) AS n_pos, sum(nn) OVER (PARTITION BY {group}) AS n_neg FROM pg WINDOW w AS (PARTITION BY {group} ORDER BY threshold DESC)),
+    pa AS (SELECT {group}, sum(nn * (2 * tp - np) / 2.0) / max(n_pos * n_neg) AS auc FROM po GROUP BY {group}),
+    pe AS (SELECT {group}, CASE WHEN gap < 1 THEN f ELSE 0 END AS eer FROM (SELECT {group}, abs(1 - tp / n_pos - fp / n_neg) AS gap, fp / n_neg AS f, row_number() OVER (PARTITION BY {group} ORDER BY abs(1 - tp / n_pos - fp / n_neg), threshold DESC) AS k FROM po WHERE n_pos > 0 AND n_neg > 0) WHERE k = 1),
+    pf AS (SELECT {group}, round(mean_true_llr, 6) + 0.0 AS mean_true_llr, round(mean_false_llr, 6) + 0.0 AS mean_false_llr, true_trials, false_trials, round(cllr, 6) + 0.0 AS cllr, round(cllr_min, 6) + 0.0 AS cllr_min, round(eer, 6) + 0.0 AS eer, round(auc, 6) + 0.0 AS auc,
+        tp, fp, fn, tn, {_CONF} FROM pm JOIN pc USING ({group}) JOIN pa USING ({group}) JOIN pe USING ({group}))"""
+
+
+_PRED = f"sample_id, target, score, round(p, 6) + 0.0 AS pred_prob, round({_PL}, 6) + 0.0 AS pred_llr FROM pr"
+_TWO = "mt AS (SELECT m AS model, sample_id, corpus, target, score FROM (SELECT sample_id, phrase_method AS m, round(avg(lp), 10) AS score FROM c WHERE sample_id IS NOT NULL AND phrase_method IN ('mask_fill', 'varlen_fill') GROUP BY ALL) JOIN (SELECT sample_id, corpus, target FROM t) USING (sample_id)), gt AS (SELECT model || '|' || corpus AS g, * FROM mt)"
+_ERR = "CASE WHEN target AND {l} > 0 THEN 'TP' WHEN {l} > 0 THEN 'FP' WHEN target THEN 'FN' ELSE 'TN' END"
 SQL = {
     "av_results": _T + "SELECT sample_id, corpus, problem, target, score FROM t",
     "mean_scores": _T + "SELECT problem, target, round(avg(score), 9) AS score FROM t WHERE problem IS NOT NULL GROUP BY problem, target",
@@ -215,4 +256,14 @@ SQL = {
         er AS (SELECT corpus, min(fp0 / n_neg + (fpr - fp0 / n_neg) * coalesce(a / nullif(a - b, 0), 0)) AS eer FROM (SELECT *, 1 - fp0 / n_neg - tp0 / n_pos AS a, 1 - fpr - tpr AS b FROM seg) WHERE a >= 0 AND b <= 0 GROUP BY corpus)
         SELECT corpus, round(mean_true_llr, 6) + 0.0 AS mean_true_llr, round(mean_false_llr, 6) + 0.0 AS mean_false_llr, true_trials, false_trials, round(cllr, 6) AS cllr,
             round((ln(1 + exp(-mean_true_llr)) + ln(1 + exp(-mean_false_llr))) * 0.5, 6) AS cllr_min, tp, fp, fn, tn, {_CONF}, round(auc, 6) + 0.0 AS auc, round(eer, 6) + 0.0 AS eer FROM cost JOIN au USING (corpus) JOIN er USING (corpus)""",
+    "calibrate_loo": _T + "," + _loo("t") + f" SELECT corpus, {_PRED}",
+    "calibrate_loo_paraphrase": _T + "," + _loo("t", penalty=0.0, scaled=True) + f" SELECT corpus, {_PRED}",
+    "calibrate_train_test": _T + """, sp AS (SELECT *, row_number() OVER (PARTITION BY corpus, target ORDER BY md5('42|' || sample_id), sample_id) <= floor(count(*) OVER (PARTITION BY corpus, target) * 0.6::DOUBLE + 0.5) AS train FROM t),
+        lr AS (SELECT corpus, score AS x, CAST(target AS INTEGER)::DOUBLE AS y, 1::DOUBLE AS n FROM sp WHERE train), """ + _newton("lr", "corpus", 1.0)
+        + f" SELECT corpus, {_PRED.replace('FROM pr', 'FROM (SELECT *, 1 / (1 + exp(-(w * score + b))) AS p FROM sp JOIN fit USING (corpus) WHERE NOT train)')}",
+    "performance": _T + "," + _loo("t") + "," + _performance("pr", "corpus") + " SELECT * FROM pf",
+    "model_predictions": _T + "," + _TWO + "," + _loo("gt", "g") + f""", e AS (SELECT split_part(g, '|', 1) AS model, sample_id, target, score, {_PL} AS l FROM pr WHERE p IS NOT NULL)
+        SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(a.target, b.target) AS target, {", ".join(f"{x}.score AS {m}_score, round({x}.l, 6) + 0.0 AS {m}_llr, CASE WHEN {x}.l IS NOT NULL THEN {_ERR.format(l=f'{x}.l').replace('target', f'{x}.target')} END AS {m}_error" for x, m in (("a", "mask_fill"), ("b", "varlen_fill")))}
+        FROM (SELECT * FROM e WHERE model = 'mask_fill') a FULL JOIN (SELECT * FROM e WHERE model = 'varlen_fill') b ON a.sample_id = b.sample_id""",
+    "model_performance": _T + "," + _TWO + "," + _loo("gt", "g") + "," + _performance("pr", "g") + " SELECT split_part(g, '|', 1) AS model, split_part(g, '|', 2) AS corpus, * EXCLUDE g FROM pf",
 }

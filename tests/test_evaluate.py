@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.operators import evaluate as E
 from glyphmill.operators import phrases as P
@@ -27,11 +28,15 @@ def test_leave_one_out_equals_separate_fits(spark):
     x = np.round(rng.normal(size=24) + np.repeat([0, 1], 12), 2)
     y = np.repeat([False, True], 12)
     df = spark.createDataFrame([("g", k, float(a), bool(b)) for k, (a, b) in enumerate(zip(x, y))], "g string, i int, score double, target boolean")
-    got = {r.i: r.pred_prob for r in E.calibrate_loo(df, ["g"], "i").collect()}
-    for k in (0, 7, 23):
-        keep = np.arange(24) != k
-        w, b = E._newton(x[keep], y[keep].astype(float), np.ones(23), 1.0)
-        assert got[k] == pytest.approx(1 / (1 + np.exp(-(w * x[k] + b))), abs=1e-9)
+    for block in (512, 5):  # all kinds in one task, or spread
+        got = {r.i: r.pred_prob for r in E.calibrate_loo(df, ["g"], "i", block=block).collect()}
+        assert len(got) == 24
+        for k in (0, 7, 23):
+            rest = df.where(F.col("i") != k)
+            fit = E.fit_logistic(rest, ["g"])
+            assert got[k] == pytest.approx(1 / (1 + np.exp(-(fit.w[0] * x[k] + fit.b[0]))), abs=1e-7)
+    z = E.calibrate_loo(df.union(df.limit(0)), [], "i", standardise=True).count()
+    assert z == 24 and E.calibrate_loo(df.where("i = 0"), ["g"], "i").first().pred_prob is None and E.calibrate_loo(df.where("false"), ["g"], "i").count() == 0
 
 
 def test_auc_and_eer_with_ties(spark):

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
@@ -87,3 +89,32 @@ def test_json_and_paraphrases(spark):
     answers = ["first", 'say {"paraphrases": ["One", "two", "ONE", "Phrase"]} end', "{broken", None]
     df = spark.createDataFrame([(answers, "phrase")], "a array<string>, p string")
     assert df.select(X.parse_paraphrases(F.col("a"), F.col("p")).alias("x")).first().x == ["one", "two"]
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.integers(1, 3))
+@settings(max_examples=400, deadline=None)
+def test_shared_runs_against_all_ngrams(a, b, n):
+    grams = lambda x: {tuple(x[i : i + k]) for k in range(n, len(x) + 1) for i in range(len(x) - k + 1)}
+    every = grams(a) & grams(b)
+    inside = lambda s, l: len(l) > len(s) and any(l[i : i + len(s)] == s for i in range(len(l) - len(s) + 1))
+    assert N.shared_runs(a, b, n, include_subgrams=True) == every
+    assert N.shared_runs(a, b, n) == {s for s in every if not any(inside(s, x) for x in every)}
+
+
+def test_shared_runs_of_long_repetitive_texts():
+    import time
+
+    began = time.process_time()
+    n = 5_000
+    assert {len(r) for r in N.shared_runs(["a", "b"] * n, ["b", "a"] * n, 2)} == {2 * n - 1}
+    assert time.process_time() - began < 5
+
+
+def test_sharing_pairs_and_reading_order(spark):
+    docs = spark.createDataFrame([("x", "a b c d".split()), ("y", "z a b c".split()), ("w", "q".split()), ("v", None), ("u", [])], "doc_id string, tokens array<string>")
+    pairs = N.sharing_pairs(docs, 3)
+    assert [tuple(r) for r in pairs.collect()] == [("x|y", "x", "y")]
+    grams = spark.createDataFrame([("p", 2, "b\u0001c"), ("p", 2, "a\u0001b"), ("p", 3, "Ġx\u0001y'\u0001z")], "pair_id string, n int, gram string")
+    got = [(r.pretty, r.raw) for r in N.readable(grams, strip=("Ġ",)).orderBy("place").collect()]
+    assert got == [("x y' z", "('Ġx', 'y\\'', 'z')"), ("a b", "('a', 'b')"), ("b c", "('b', 'c')")][1:] + [("x y' z", "('Ġx', 'y\\'', 'z')")]
+    assert [r.n for r in N.readable(grams, "len_desc").orderBy("place").collect()] == [3, 2, 2]
