@@ -23,9 +23,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
-def split_sentences(text: Column) -> Column:
-    """Parts between sentence marks followed by white space, or line ends; blank parts removed."""
-    return F.filter(F.split(text, r"[.!?]\s+|\n", -1), lambda s: s.rlike(r"[^\s\p{Z}]"))
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = "capt dr mr mrs prof rev sr jr e.g i.e etc et al a.m p.m vs cf viz ca vol pp fig".replace("et al", "et_al").split()
+#: Pattern of an abbreviation with its full stop, after a place where a word may begin.
+ABBREVIATION = r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(a.replace(".", r"\.").replace("_", " ") for a in ABBREVIATIONS) + r")\."
+#: What stands for a sentence mark that ends no sentence while a text is split.
+_MARKS, _STAND_INS = ".!?\n", "\u0002\u0003\u0004\u0005"
+#: Words that stand for a backslash and for a broken reference in prepared texts.
+PLACEHOLDERS = {"\\": "__BACKSLASH_PLACEHOLDER__", "(??)": "__REF_ERROR__"}
+
+
+def split_sentences(text: Column, entities: Column | None = None) -> Column:
+    """Parts between sentence marks followed by white space, or line ends; blank parts removed.
+
+    The full stops of known abbreviations end nothing, nor do marks inside the named ``entities`` (array of strings), the longest first.
+    """
+    if entities is not None:
+        longest = F.array_sort(F.filter(F.array_distinct(entities), lambda e: e.isNotNull() & (e != "")), lambda x, y: F.length(y) - F.length(x))
+        text = F.aggregate(longest, text, lambda t, e: F.replace(t, e, F.translate(e, _MARKS, _STAND_INS)))
+    safe = F.regexp_replace(text, ABBREVIATION, "$1$2\u0002")
+    parts = F.filter(F.split(safe, r"[.!?]\s+|\n", -1), lambda s: s.rlike(r"[^\s\p{Z}]"))
+    return F.transform(parts, lambda s: F.translate(s, _STAND_INS, _MARKS))
+
+
+def with_placeholders(text: Column) -> Column:
+    """Backslashes and broken references replaced by words, before a text goes to a tool that cannot take them."""
+    return functools.reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), PLACEHOLDERS.items(), text)
+
+
+def without_placeholders(text: Column) -> Column:
+    return functools.reduce(lambda t, kv: F.replace(t, F.lit(kv[1]), F.lit(kv[0])), PLACEHOLDERS.items(), text)
 
 
 def temp_doc_id(raw: Column) -> Column:
@@ -148,23 +175,46 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.raise_error(F.lit("cosine similarity of a zero vector")).cast("double"))
 
 
-def masked_pos(tokens: Column, spaces: Column, tags: Column, keep: tuple[str, ...], symbols: dict[str, str]) -> Column:
-    """Content words replaced by the symbol of their tag; kept words, other tags and the white space after each token stay.
+#: Symbols of open word classes, and clitics that are kept.
+POS_SYMBOLS = {"NOUN": "#", "PROPN": "§", "VERB": "Ø", "ADJ": "@", "ADV": "©", "NUM": "µ", "SYM": "$", "X": "¥"}
+CLITICS = ("'m", "'d", "'s", "'re", "'ve", "'ll", "n't", "'t")
 
-    Numbers are masked only when they hold a digit or are a single Roman letter.
+
+def masked_pos(tokens: Column, spaces: Column, tags: Column, keep: tuple[str, ...] = (), symbols: dict[str, str] = POS_SYMBOLS, clitics: tuple[str, ...] = CLITICS) -> Column:
+    """Content words replaced by the symbol of their tag; ``keep`` (function words, without regard to case), clitics, other tags and the white space after each token stay.
+
+    ``tags`` are universal part-of-speech tags, as any tagger gives them. Numbers are masked only when they are all digits or a single Roman letter.
     """
     table = F.create_map(*[F.lit(x) for kv in symbols.items() for x in kv])
     rows = F.arrays_zip(tokens.alias("t"), spaces.alias("s"), tags.alias("p"))
 
     def one(r: Column) -> Column:
         word, tag = r["t"], r["p"]
-        numeric = (tag != "NUM") | word.rlike(r"[0-9]") | word.rlike(r"^[IVXLCDMivxlcdm]$")
-        masked = F.when(F.lower(word).isin(list(keep)) | ~numeric, word).otherwise(F.coalesce(F.element_at(table, tag), word))
+        numeric = (tag != "NUM") | word.rlike(r"^\p{Nd}+$") | word.rlike(r"^[IVXLCDMivxlcdm]$")
+        kept = F.lower(word).isin(list(keep)) | word.isin(list(clitics)) | ~numeric
+        masked = F.when(kept, word).otherwise(F.coalesce(F.try_element_at(table, tag), word))
         return F.concat(masked, F.when(r["s"], F.lit(" ")).otherwise(F.lit("")))
 
     return F.array_join(F.transform(rows, one), "")
 
 
+def token_repr(tokens: Column) -> Column:
+    """A token tuple as it is written in workbooks: quoted, in brackets."""
+    quoted = lambda t: F.concat(F.lit("'"), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.concat(F.lit("("), F.array_join(F.transform(tokens, quoted), ", "), F.lit(")"))
+
+
+def user_prompt(phrase: Column, raw: Column, context: Column) -> Column:
+    """The request for paraphrases of a phrase in its text, with the phrase as its tokens are written."""
+    part = lambda name, x, q: F.concat(F.lit(f"<{name}>\n{q}"), x, F.lit(f"{q}\n</{name}>\n"))
+    return F.concat(F.lit("\n"), part("DOC", context, ""), part("RAW NGRAM", raw, '"'), part("NGRAM", phrase, '"'))
+
+
+def fill_in_prompt(before: Column, after: Column, marks: tuple[str, str, str] = ("<|fim_prefix|>", "<|fim_suffix|>", "<|fim_middle|>")) -> Column:
+    """Text before and after a gap in the order in which a fill-in-the-middle model takes them."""
+    return F.concat(F.lit(marks[0]), before, F.lit(marks[1]), after, F.lit(marks[2]))
+
+
 def hashed_vector(tokens: Column, dims: int = 64) -> Column:
     """Counts of an array's tokens by hash, as an array of doubles: stands where a sentence-embedding model would. Null arrays count as empty ones."""
     import zlib

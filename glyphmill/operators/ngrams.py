@@ -241,9 +241,7 @@ def readable(grams: DataFrame, order: str = "count_desc", sep: str = " ", strip:
     placed = running(grams.join(sizes, ["pair_id", "n"]), ["pair_id"], [*first, "gram"], rank="place")
     parts = F.split("gram", SEP)
     bare = F.transform(parts, lambda t: functools.reduce(lambda x, m: F.replace(x, F.lit(m), F.lit("")), strip, t))
-    quoted = lambda t: F.concat(F.lit("'"), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
-    raw = F.concat(F.lit("("), F.array_join(F.transform(parts, quoted), ", "), F.lit(")"))
-    return placed.select("pair_id", F.col("place").cast("int").alias("place"), "n", F.array_join(bare, sep).alias("pretty"), raw.alias("raw"))
+    return placed.select("pair_id", F.col("place").cast("int").alias("place"), "n", F.array_join(bare, sep).alias("pretty"), X.token_repr(parts).alias("raw"))
 
 
 def filter_ngrams(grams: DataFrame, word_mode: bool = False) -> DataFrame:

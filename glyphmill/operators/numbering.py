@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.running import running
 from glyphmill.session import cut
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row within the partition below
@@ -28,3 +29,8 @@ def number_rows(df: DataFrame, out: str, *order: str) -> DataFrame:
         return df.withColumn(out, F.lit(None).cast("bigint"))
     first = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in offsets for x in pair]), part)
     return marked.withColumn(out, first + F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1) + 1).drop("_m")
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], out: str = "impostor_id") -> DataFrame:
+    """``df`` with ``out`` = 1, 2, ... within each group of ``keys``: the running id of a document's impostors or chunks. A group of any size is spread over tasks."""
+    return running(df, keys, order, rank=out)

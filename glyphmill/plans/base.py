@@ -100,8 +100,8 @@ _WORDS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
 CTE = {
     "known": "known AS (SELECT doc_id, any_value(orig_doc_id) AS orig_doc_id, any_value(corpus) AS corpus, " + _CLEAN.format(c="any_value(author)") + " AS author, any_value(texttype) AS texttype, any_value(text) AS text FROM known_texts GROUP BY doc_id)",
     "unknown_chunks": "unknown_chunks AS (SELECT doc_id, chunk_id, any_value(corpus) AS corpus, " + _CLEAN.format(c="any_value(author)") + " AS author, any_value(texttype) AS texttype, any_value(sentence) AS sentence FROM unknown_texts GROUP BY doc_id, chunk_id)",
-    "known_rows": r"""known_rows AS (SELECT doc_id, author, corpus, texttype, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS chunk_id, s AS sentence
-        FROM (SELECT doc_id, author, corpus, texttype, unnest(regexp_split_to_array(text, '[.!?]\s+|\n')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]\s+|\n'), 1) AS p FROM known WHERE text IS NOT NULL)
+    "known_rows": r"""known_rows AS (SELECT doc_id, author, corpus, texttype, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS chunk_id, replace(s, chr(2), '.') AS sentence
+        FROM (SELECT doc_id, author, corpus, texttype, unnest(parts) AS s, generate_subscripts(parts, 1) AS p FROM (SELECT *, regexp_split_to_array(regexp_replace(text, '""" + X.ABBREVIATION + r"""', '\1\2' || chr(2), 'g'), '[.!?]\s+|\n') AS parts FROM known WHERE text IS NOT NULL))
         WHERE regexp_matches(s, '[^\s\p{Z}]'))""",
     "ks": "ks AS (SELECT * FROM (SELECT doc_id, author, corpus, doc_id || ':' || chunk_id AS sent_id, chunk_id, " + _WORDS.format(c="sentence") + " AS tokens FROM known_rows) WHERE len(tokens) > 0)",
     "us": "us AS (SELECT * FROM (SELECT doc_id, author, corpus, doc_id || ':' || chunk_id AS sent_id, chunk_id, " + _WORDS.format(c="sentence") + " AS tokens FROM unknown_chunks WHERE sentence IS NOT NULL) WHERE len(tokens) > 0)",

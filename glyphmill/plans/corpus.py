@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators import corpus as C
+from glyphmill.operators.numbering import number_within
 from glyphmill.plans import base as B
 from glyphmill.session import table
 
@@ -77,9 +78,48 @@ def token_measures(spark, d):  # noqa: ANN001, ANN201
     return m.select("sent_id", F.col("m.num_tokens").alias("num_tokens"), *[B.r6(F.col(f"m.{c}")).alias(c) for c in ("sum_log_prob", "avg_log_prob", "mean_diff", "mean_abs_diff", "perplexity")])
 
 
+def protected_sentences(spark, d):  # noqa: ANN001, ANN201
+    """Sentences of documents, in which names of two capitalised words and initials hold their full stop."""
+    t = table(spark, d, "documents").where("text is not null")
+    names = F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+)"), F.lit(1))
+    rows = t.select("doc_id", F.posexplode(X.split_sentences(F.col("text"), names)).alias("k", "sentence"))
+    return rows.select("doc_id", F.col("k").alias("chunk"), F.length("sentence").alias("n"), F.md5("sentence").alias("digest"))
+
+
+def placeholders(spark, d):  # noqa: ANN001, ANN201
+    """Unknown sentences with their placeholder words resolved, and put back."""
+    s = B.unknown_chunks(spark, d).where("sentence is not null")
+    plain = X.without_placeholders(F.col("sentence"))
+    return s.select("doc_id", "chunk_id", F.md5(plain).alias("plain"), F.md5(X.with_placeholders(plain)).alias("prepared"))
+
+
+def posnoise(spark, d):  # noqa: ANN001, ANN201
+    """Unknown sentences with content words masked. Tags come from a rule in place of a tagger: digits, capitals, endings; the common English words are kept."""
+    keep = tuple(r.word for r in table(spark, d, "common_words").where("lang = 'en'").select(F.lower("word").alias("word")).distinct().collect())  # a fixed table
+    t = F.split("sentence", " ")
+    tag = lambda w: F.when(w.rlike("^[0-9]+$"), "NUM").when(w.rlike("^[A-Z]"), "PROPN").when(w.rlike("ly$"), "ADV").when(w.rlike("ed$"), "VERB").when(w.rlike("^[a-z]+$"), "NOUN").otherwise("PUNCT")
+    rows = B.unknown_chunks(spark, d).where("sentence is not null").select("doc_id", "chunk_id", t.alias("t"))
+    last = F.size("t") - 1
+    rows = rows.select("doc_id", "chunk_id", "t", F.transform("t", lambda w, k: k < last).alias("s"), F.transform("t", tag).alias("p"))
+    return rows.select("doc_id", "chunk_id", X.masked_pos(F.col("t"), F.col("s"), F.col("p"), keep).alias("masked"))
+
+
+def impostor_ids(spark, d):  # noqa: ANN001, ANN201
+    """The candidates of each sample numbered from 1, as a document's impostors are."""
+    p = table(spark, d, "paraphrases").where("sample_id is not null").select("sample_id", "cand_id").distinct()
+    return number_within(p, ["sample_id"], ["cand_id"])
+
+
+def prompts(spark, d):  # noqa: ANN001, ANN201
+    """Requests for paraphrases and gaps to be filled, one for each unknown chunk's first word."""
+    s = B.unknown_chunks(spark, d).where("sentence is not null")
+    first, rest = F.element_at(F.split("sentence", " "), 1), F.regexp_replace("sentence", "^[^ ]*", "")
+    return s.select("doc_id", "chunk_id", F.md5(X.user_prompt(first, X.token_repr(F.array(first)), F.col("sentence"))).alias("request"), F.md5(X.fill_in_prompt(first, rest)).alias("gap"), X.token_repr(F.array(first)).alias("raw"))
+
+
 QUERIES = {f.__name__: f for f in (
     temp_doc_ids, build_metadata, problem_pairs_meta, problem_pairs_single, sentence_chunks, problem_doc_list, job_list, pending_jobs, concat_text, profile_offsets, clean_text,
-    split_description, token_measures,
+    split_description, token_measures, protected_sentences, placeholders, posnoise, impostor_ids, prompts,
 )}
 
 _W = B.with_
@@ -105,6 +145,22 @@ SQL = {
     "clean_text": r"SELECT doc_id, CAST(length(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) AS INTEGER) AS n_clean, md5(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) AS digest FROM documents",
     "split_description": """SELECT cand_id, 'gpt2' AS model, coalesce(any_value(phrase_method), 'none') AS para_method, coalesce(CAST(any_value(num_tokens) AS VARCHAR), '0') AS top_k, '0.7' AS temperature,
         coalesce(any_value(phrase_method), 'none') || '_t_0.7' AS para_method_t_temp FROM paraphrases GROUP BY cand_id""",
+    "protected_sentences": r"""WITH d AS (SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+'))) AS names FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT doc_id, list_reduce(list_concat([text], list_sort(list_transform(names, lambda n: lpad(CAST(100000 - length(n) AS VARCHAR), 6, '0') || n))), lambda t, n: replace(t, substr(n, 7), replace(substr(n, 7), '.', chr(2)))) AS text FROM d),
+        s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '""" + X.ABBREVIATION + r"""', '\1\2' || chr(2), 'g'), '[.!?]\s+|\n') AS parts FROM e),
+        f AS (SELECT doc_id, list_filter(parts, lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS parts FROM s),
+        u AS (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS k FROM f)
+        SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk, CAST(length(x) AS INTEGER) AS n, md5(replace(x, chr(2), '.')) AS digest FROM u""",
+    "placeholders": _W("unknown_chunks", r"""p AS (SELECT doc_id, chunk_id, replace(replace(sentence, '__BACKSLASH_PLACEHOLDER__', chr(92)), '__REF_ERROR__', '(??)') AS s FROM unknown_chunks WHERE sentence IS NOT NULL)""")
+        + "SELECT doc_id, chunk_id, md5(s) AS plain, md5(replace(replace(s, chr(92), '__BACKSLASH_PLACEHOLDER__'), '(??)', '__REF_ERROR__')) AS prepared FROM p",
+    "posnoise": _W("unknown_chunks", "k AS (SELECT list(DISTINCT lower(word)) AS keep FROM common_words WHERE lang = 'en')", "w AS (SELECT doc_id, chunk_id, string_split(sentence, ' ') AS t FROM unknown_chunks WHERE sentence IS NOT NULL)")
+        + """SELECT doc_id, chunk_id, array_to_string(list_transform(t, lambda w: CASE WHEN list_contains(keep, lower(w)) OR replace(w, chr(39), '~') IN ('~m', '~d', '~s', '~re', '~ve', '~ll', 'n~t', '~t') THEN w
+            WHEN regexp_full_match(w, '[0-9]+') THEN 'µ' WHEN regexp_matches(w, '^[A-Z]') THEN '§' WHEN regexp_matches(w, 'ly$') THEN '©' WHEN regexp_matches(w, 'ed$') THEN 'Ø' WHEN regexp_full_match(w, '[a-z]+') THEN '#' ELSE w END), ' ') AS masked FROM w, k""",
+    "impostor_ids": "SELECT sample_id, cand_id, row_number() OVER (PARTITION BY sample_id ORDER BY cand_id) AS impostor_id FROM (SELECT DISTINCT sample_id, cand_id FROM paraphrases WHERE sample_id IS NOT NULL)",
+    "prompts": _W("unknown_chunks", "f AS (SELECT doc_id, chunk_id, sentence, split_part(sentence, ' ', 1) AS w FROM unknown_chunks WHERE sentence IS NOT NULL)")
+        + """SELECT doc_id, chunk_id, md5(chr(10) || '<DOC>' || chr(10) || sentence || chr(10) || '</DOC>' || chr(10) || '<RAW NGRAM>' || chr(10) || '"' || raw || '"' || chr(10) || '</RAW NGRAM>' || chr(10) || '<NGRAM>' || chr(10) || '"' || w || '"' || chr(10) || '</NGRAM>' || chr(10)) AS request,
+            md5('<|fim_prefix|>' || w || '<|fim_suffix|>' || substr(sentence, length(w) + 1) || '<|fim_middle|>') AS gap, raw
+            FROM (SELECT *, '(' || chr(39) || replace(replace(w, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) || ')' AS raw FROM f)""",
     "token_measures": _W("unknown_chunks", "us", "l AS (SELECT sent_id, list_transform(tokens, lambda t: CAST(-1.0 AS DOUBLE) / (length(t) + 1)) AS lp FROM us)",
         "m AS (SELECT *, list_sort(lp)[CAST((len(lp) - 1) // 2 AS BIGINT) + 1] AS mid FROM l)")
         + """SELECT sent_id, CAST(len(lp) AS INTEGER) AS num_tokens, round(list_sum(lp), 6) + 0.0 AS sum_log_prob, round(list_avg(lp), 6) + 0.0 AS avg_log_prob,

@@ -239,7 +239,7 @@ SQL = {
     "fkn_probs": _W(*_LM, fkn_sql("a", "m", "q", "model_id, sent_id", ORDER, 0.5)) + "SELECT model_id, sent_id, CAST(pos AS INTEGER) AS pos, token, round(p, 6) + 0.0 AS p FROM a",
     "lm_perplexity": _W(*_LM, fkn_sql("a", "m", "q", "model_id, sent_id", ORDER, 0.5)) + "SELECT model_id, sent_id, count(*) AS n, round(pow(2, -avg(log2(CASE WHEN p > 0 THEN p ELSE 2.2250738585072014e-308 END))), 6) AS perplexity FROM a GROUP BY model_id, sent_id",
     "next_words": _W(*_KS, "src AS (SELECT corpus AS model_id, tokens FROM ks)", model_sql("m", "src", 2),
-        """b AS (SELECT c.model_id, c.g[1] AS context, c.g[2] AS word, greatest(c.c - 0.75::DOUBLE, 0) / s.ctx + 0.75::DOUBLE * s.suc / s.ctx * p.pre / t.mid AS p FROM m_cnt c
-            JOIN m_suc s ON s.model_id = c.model_id AND s.g = [c.g[1]] JOIN m_pre p ON p.model_id = c.model_id AND p.g = [c.g[2]] JOIN m_mid t ON t.model_id = c.model_id AND t.g = [] WHERE len(c.g) = 2)""")
+        """cx AS (SELECT model_id, g[1] AS context, suc, ctx FROM m_suc WHERE len(g) = 1), vo AS (SELECT c.model_id, c.g[1] AS word, coalesce(p.pre, 0) / t.mid AS u FROM m_cnt c LEFT JOIN m_pre p ON p.model_id = c.model_id AND p.g = c.g JOIN m_mid t ON t.model_id = c.model_id AND t.g = [] WHERE len(c.g) = 1),
+        b AS (SELECT cx.model_id, context, word, greatest(coalesce(n.c, 0) - 0.75::DOUBLE, 0) / ctx + 0.75::DOUBLE * suc / ctx * u AS p FROM cx JOIN vo USING (model_id) LEFT JOIN m_cnt n ON n.model_id = cx.model_id AND n.g = [context, word])""")
         + "SELECT model_id, context, word, round(p, 6) AS p, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model_id, context ORDER BY p DESC, word) AS k FROM b) WHERE k <= 3",
 }
