@@ -145,6 +145,42 @@ def by_min_tokens(rows: DataFrame, keys: list[str], size: str, columns: list[str
     return per_size.select(*keys, t, "n_rows", *columns).groupBy(*keys, "min_tokens").agg(F.sum("n_rows").alias("n_rows"), *[F.sum(c).alias(c) for c in columns])
 
 
+def with_occurrences(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """``df`` with ``phrase_occurence`` = 1, 2, ... for the distinct places of each phrase in their order (rows without a place get none)."""
+    at = df.where(F.col(place).isNotNull()).select(*keys, place).distinct()
+    numbered = running(at, keys, [place], rank="phrase_occurence")
+    return df.join(numbered, [*keys, place], "left")
+
+
+def occurrence_llr(no_context: DataFrame, in_context: DataFrame, keys: list[str], name: str = "known") -> DataFrame:
+    """``(*keys, phrase_occurence, ...)``: the tables of ``mass`` without context and at each occurrence side by side, with the reference's log-probability in context relative to that without, in nats and
+    in log10."""
+    out = in_context.join(no_context, keys, "left")
+    diff = F.col(f"{name}_log_prob") - F.col("no_context_log_prob")
+    return out.withColumns({f"{name}_vs_no_context_nats": diff, f"{name}_vs_no_context_log10": diff / F.log(F.lit(10.0))})
+
+
+def summary_by_occurrence(llr: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``(*by, num_phrases, phrases_kept, llr_no_context, llr_no_context_once, <sums>, normalised_<sums>)``: sums over all occurrences; ``llr_no_context_once`` counts each phrase at its first
+    occurrence only, as the workbook does, ``llr_no_context`` at every one."""
+    once = llr.withColumn("llr_no_context_once", F.when(F.col("phrase_occurence") == 1, F.col("llr_no_context")))
+    return summary(once, by, ["llr_no_context", "llr_no_context_once", *columns])
+
+
+def include_lookup(df: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``include_phrase`` from the reviewed rows of the same ``keys``; null where there is none. A key reviewed several times counts by its greatest value."""
+    return df.join(reviewed.groupBy(*keys).agg(F.max("include_phrase").alias("include_phrase")), keys, "left")
+
+
+def with_metadata(df: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Every row of a result with the columns of its metadata, which must be one row."""
+    rows = metadata.limit(2).count()
+    if rows != 1:
+        raise ValueError("the metadata of a result is one row")
+    new = [c for c in metadata.columns if c not in df.columns]
+    return df.crossJoin(F.broadcast(metadata.select(*new)))  # one row
+
+
 def merged_methods(df: DataFrame, keys: list[str], text: str = "phrase", method: str = "phrase_method", order: str = "cand_id") -> DataFrame:
     """One row for each text of a group: ``method`` is ``both`` where several methods found it, tokens are the first row's."""
     return df.groupBy(*keys, text).agg(
@@ -189,8 +225,14 @@ def saturation(rounds: DataFrame, key: str, eps: float = 0.01, patience: int = 2
     return stop.join(z, key).where("round = stop_round").select(key, "stop_round", F.col("total").alias("n_candidates"))
 
 
+def mask_candidates(rows: DataFrame, key: list[str], token: str, log_prob: str, top: int = 25) -> DataFrame:
+    """``(*key, candidates)``: the ``top`` likeliest tokens of each mask, ties by token. A mask of any number of candidates is ranked over tasks; what is gathered are ``top`` of them."""
+    best = running(rows.where(F.col(token).isNotNull() & F.col(log_prob).isNotNull()), key, [F.desc(log_prob), token], rank="_rank").where(F.col("_rank") <= top)
+    return best.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(token).alias("token"), F.col(log_prob).alias("log_prob")))).alias("candidates"))
+
+
 def beam(masks: DataFrame, key: str, beam_size: int = 30, floor: float = -7.0) -> DataFrame:
-    """``(key, tokens, log_prob)``: best fillings of several masks from the candidates of each, joint score the sum.
+    """``(key, tokens, log_prob)``: best fillings of several masks from the candidates of each, one mask after another, joint score the sum.
 
     ``masks`` is (key, candidates: array of arrays of (token, log_prob)), one inner array a mask. Candidates under ``floor`` are dropped; after each mask the
     best ``beam_size`` partial fillings are kept, ties by tokens. The beam is the method's own limit, as is each mask's candidate list.
@@ -204,8 +246,7 @@ def beam(masks: DataFrame, key: str, beam_size: int = 30, floor: float = -7.0) -
                 paths = [((), 0.0)]
                 for mask in options or ():
                     good = [(c["token"], c["log_prob"]) for c in mask or () if c["log_prob"] is not None and c["log_prob"] >= floor]
-                    paths = sorted(((*t, w), s + p) for t, s in paths for w, p in good)
-                    paths = sorted(paths, key=lambda x: -x[1])[:beam_size]
+                    paths = sorted((((*t, w), round(s + p, 12)) for t, s in paths for w, p in good), key=lambda x: (-x[1], x[0]))[:beam_size]
                 if paths and paths[0][0]:
                     keys += [k] * len(paths)
                     tokens += [list(t) for t, _ in paths]
@@ -216,6 +257,19 @@ def beam(masks: DataFrame, key: str, beam_size: int = 30, floor: float = -7.0) -
     return masks.select(key, "candidates").mapInArrow(fill, f"{key} {kind}, tokens array<string>, log_prob double")
 
 
+def filled_phrases(fillings: DataFrame, key: str, original: str | None = None, sep: str = " ") -> DataFrame:
+    """``(key, text, tokens, log_prob, score)``: fillings of masks as phrases, of any number of masks: the score is the mean log-probability a mask.
+
+    Of phrases equal without regard to case the best stays (ties: fewer masks, then tokens); blank ones, and those equal to column ``original``, are dropped.
+    """
+    text = F.array_join("tokens", sep)
+    rows = fillings.withColumn("text", text).withColumn("score", F.col("log_prob") / F.size("tokens")).where(F.trim("text") != "")
+    if original is not None:
+        rows = rows.where(F.col(original).isNull() | (F.lower("text") != F.lower(original)))
+    best = F.max(F.struct(F.col("score").alias("s"), (-F.size("tokens")).alias("m"), F.struct("text", "tokens", "log_prob", "score").alias("r"))).alias("b")
+    return rows.groupBy(key, F.lower("text").alias("_low")).agg(best).select(key, "b.r.*")
+
+
 def pseudo_log_likelihood(spans: DataFrame, key: list[str]) -> DataFrame:
     """``(*key, pll, rank)`` of same-length candidates at a span from per-position log-probabilities (rows of (key, candidate, log_prob)); sums are rounded to 12 places, so equal ones tie."""
     total = spans.groupBy(*key, "candidate").agg(F.round(F.sum("log_prob"), 12).alias("pll"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hotkeys", "corpus", "ngrams", "scorers", "phrases", "results")
+MODULES = ("hotkeys", "corpus", "ngrams", "scorers", "phrases", "results", "sources")
 
 
 def collect() -> tuple[dict, dict]:

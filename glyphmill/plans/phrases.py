@@ -34,7 +34,11 @@ def phrase_softmax(spark, d):  # noqa: ANN001, ANN201
 
 def llr_excluded(spark, d):  # noqa: ANN001, ANN201
     e = P.excluded_ratio(candidates(spark, d), ["phrase_num"])
-    return _r(e.select("phrase_num", "llr_excl_nats", "llr_excl_log10", "p_two_bin"))
+    return _r(e.select("phrase_num", "p_ref", "log_z", "llr_excl_nats", "llr_excl_log10", "p_two_bin"))
+
+
+def llr_included(spark, d):  # noqa: ANN001, ANN201
+    return _r(P.included_ratio(candidates(spark, d), ["phrase_num"]))
 
 
 def rank_vs_best(spark, d):  # noqa: ANN001, ANN201
@@ -47,6 +51,42 @@ def candidate_ranks(spark, d):  # noqa: ANN001, ANN201
     return P.rank_candidates(c, ["sample_id", "phrase_num"], "sum_log_probs", ["cand_id"]).select("sample_id", "phrase_num", "cand_id", "rank")
 
 
+def candidate_ranks_all(spark, d):  # noqa: ANN001, ANN201
+    """Place of each candidate among all of its phrase, the reference included."""
+    return P.rank_candidates(candidates(spark, d), ["phrase_num"], "sum_log_probs", ["cand_id"], with_reference=True).select("phrase_num", "cand_id", "rank")
+
+
+def _occurrences(spark, d):  # noqa: ANN001, ANN202
+    """A sample stands for an occurrence of its phrase."""
+    c = P.with_occurrences(candidates(spark, d).where("sample_id is not null"), ["phrase_num"], "sample_id")
+    known = P.mass(c, ["phrase_num", "phrase_occurence"], "known").drop("num_phrases", "phrases_kept")
+    return P.occurrence_llr(P.mass(c, ["phrase_num"], "no_context"), known, ["phrase_num"])
+
+
+def llr_occurrences(spark, d):  # noqa: ANN001, ANN201
+    return _r(_occurrences(spark, d).select("phrase_num", "phrase_occurence", "llr_no_context", "llr_known", "known_vs_no_context_nats", "known_vs_no_context_log10"))
+
+
+def llr_occurrence_summary(spark, d):  # noqa: ANN001, ANN201
+    """Sums by the leading digit of the phrase number: every occurrence, and each phrase once."""
+    t = _occurrences(spark, d).withColumn("part", F.substring(F.col("phrase_num").cast("string"), 1, 1))
+    return _r(P.summary_by_occurrence(t, ["part"], ["llr_known"]))
+
+
+def include_phrase(spark, d):  # noqa: ANN001, ANN201
+    """Candidates with the review of their text: texts of two or more tokens are included."""
+    c = candidates(spark, d).where("phrase is not null")
+    reviewed = c.where("tokens is not null").select("phrase_num", "phrase", (F.size("tokens") >= 2).alias("include_phrase"))
+    return P.include_lookup(c.select("cand_id", "phrase_num", "phrase"), reviewed, ["phrase_num", "phrase"]).select("cand_id", F.coalesce(F.col("include_phrase").cast("string"), F.lit("")).alias("include_phrase"))
+
+
+def token_level_raw(spark, d):  # noqa: ANN001, ANN201
+    """Each phrase's ratio with the metadata of its run."""
+    meta = spark.createDataFrame([("mlm", "unigram", "all", "test")], "paraphrasing_model string, scoring_model string, corpus string, data_type string")
+    t = P.mass(candidates(spark, d), ["phrase_num"], "no_context").select("phrase_num", "num_phrases", "llr_no_context")
+    return _r(P.with_metadata(t, meta))
+
+
 def _llr(spark, d):  # noqa: ANN001, ANN202
     """A sheet for each method that made the paraphrases: its candidates and all references."""
     c = candidates(spark, d)
@@ -106,15 +146,30 @@ def pseudo_ll(spark, d):  # noqa: ANN001, ANN201
     return _r(P.pseudo_log_likelihood(t, ["phrase_num", "n"]))
 
 
+def _position_candidates(c, at, k):  # noqa: ANN001, ANN202
+    """The tokens at one place with the logarithm of their share as score."""
+    n = c.select("phrase_num", at.alias("token")).groupBy("phrase_num", "token").agg(F.count(F.lit(1)).alias("n"))
+    s = n.groupBy("phrase_num").agg(F.sum("n").alias("s"))
+    return P.mask_candidates(n.join(s, "phrase_num").withColumn("lp", F.log(F.col("n") / F.col("s"))), ["phrase_num"], "token", "lp").withColumnRenamed("candidates", f"m{k}")
+
+
+def _two_masks(c):  # noqa: ANN001, ANN202
+    m = _position_candidates(c, F.element_at("tokens", 1), 0).join(_position_candidates(c, F.element_at("tokens", -1), 1), "phrase_num")
+    return m.select("phrase_num", F.array("m0", "m1").alias("candidates"))
+
+
 def beam_infill(spark, d):  # noqa: ANN001, ANN201
-    """Two masks a phrase: candidates are the first and the last tokens of its paraphrases with their share as score."""
+    """Two masks a phrase: candidates are the first and the last tokens of its paraphrases."""
+    c = candidates(spark, d).where("size(tokens) >= 2")
+    return P.beam(_two_masks(c), "phrase_num", 5).select("phrase_num", F.array_join("tokens", " ").alias("filled"), B.r6("log_prob").alias("log_prob"))
+
+
+def variable_infill(spark, d):  # noqa: ANN001, ANN201
+    """One mask and two masks a phrase together, by mean score a mask, without what only differs in case."""
     c = candidates(spark, d).where("size(tokens) >= 2")
-    def side(e, k):  # noqa: ANN001, ANN202
-        n = c.select("phrase_num", e.alias("token")).groupBy("phrase_num", "token").agg(F.count(F.lit(1)).alias("n"))
-        s = n.groupBy("phrase_num").agg(F.sum("n").alias("s"))
-        return n.join(s, "phrase_num").groupBy("phrase_num").agg(F.sort_array(F.collect_list(F.struct("token", F.log(F.col("n") / F.col("s")).alias("log_prob")))).alias(f"m{k}"))
-    masks = side(F.element_at("tokens", 1), 0).join(side(F.element_at("tokens", -1), 1), "phrase_num").select("phrase_num", F.array("m0", "m1").alias("candidates"))
-    return P.beam(masks, "phrase_num", 5).select("phrase_num", F.array_join("tokens", " ").alias("filled"), B.r6("log_prob").alias("log_prob"))
+    one = _position_candidates(c, F.element_at("tokens", 1), 0).select("phrase_num", F.array("m0").alias("candidates"))
+    both = P.beam(one, "phrase_num", 5).unionByName(P.beam(_two_masks(c), "phrase_num", 5))
+    return P.filled_phrases(both, "phrase_num").select("phrase_num", F.lower("text").alias("text"), B.r6("score").alias("score"))
 
 
 def phrase_search(spark, d):  # noqa: ANN001, ANN201
@@ -134,8 +189,8 @@ def json_paraphrases(spark, d):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (
-    phrase_pmf_llr, phrase_softmax, llr_excluded, rank_vs_best, candidate_ranks, llr_table, llr_summary, token_threshold_rollup, merged_methods, phrase_list, kept_phrases, saturation,
-    pseudo_ll, beam_infill, phrase_search, json_paraphrases,
+    phrase_pmf_llr, phrase_softmax, llr_excluded, llr_included, rank_vs_best, candidate_ranks, candidate_ranks_all, llr_occurrences, llr_occurrence_summary, include_phrase, token_level_raw, llr_table, llr_summary, token_threshold_rollup, merged_methods, phrase_list, kept_phrases, saturation,
+    pseudo_ll, beam_infill, variable_infill, phrase_search, json_paraphrases,
 )}
 
 C = """c AS (SELECT * FROM (SELECT cand_id, any_value(sample_id) AS sample_id, TRY_CAST(nullif(regexp_extract(any_value(phrase_num), '[0-9]+'), '') AS BIGINT) AS phrase_num, any_value(phrase_type) AS phrase_type, any_value(phrase_method) AS phrase_method,
@@ -152,13 +207,32 @@ _SHEETS = ",\n".join([_mass("m0"), *[_mass(f"s_{m}", f"(phrase_type = 'reference
 _TABLE = "t AS (SELECT m0.phrase_num, m0.num_phrases, m0.phrases_kept, " + _LLR.format(p="m0.pmf") + " AS llr_no_context, " + ", ".join(f"CASE WHEN s_{m}.phrase_num IS NOT NULL THEN {_LLR.format(p=f's_{m}.pmf')} END AS llr_{m}" for m in METHODS) + " FROM m0 " + " ".join(f"LEFT JOIN s_{m} ON s_{m}.phrase_num = m0.phrase_num" for m in METHODS) + ")"
 _COLS = ("llr_no_context", *[f"llr_{m}" for m in METHODS])
 _LIST = "l AS (SELECT DISTINCT phrase, tokens, coalesce(len(tokens), 0) AS num_tokens FROM paraphrases WHERE phrase_type = 'reference' AND phrase IS NOT NULL)"
+_EXCL = """t AS (SELECT phrase_num, max(CASE WHEN phrase_type = 'reference' THEN lp END) AS r, max(CASE WHEN phrase_type <> 'reference' THEN lp END) AS m, max(lp) AS top FROM c GROUP BY phrase_num),
+        z AS (SELECT phrase_num, sum(CASE WHEN phrase_type <> 'reference' THEN exp(lp - m) END) AS z FROM c JOIN t USING (phrase_num) GROUP BY phrase_num),
+        x AS (SELECT phrase_num, r, top + ln(coalesce(exp(r - top), 0) + coalesce(exp(m + ln(z) - top), 0)) AS log_z, CASE WHEN r IS NULL THEN NULL WHEN m IS NULL THEN CAST('infinity' AS DOUBLE) ELSE r - m - ln(z) END AS v FROM t LEFT JOIN z USING (phrase_num))"""
+_SUMS = "coalesce(sum(CASE WHEN phrase_type = 'reference' THEN exp(lp) END) / nullif(sum(exp(lp)), 0), 0) AS pmf, max(CASE WHEN phrase_type = 'reference' THEN lp END) AS ref_lp"
+_OCC = f"""cs AS (SELECT *, dense_rank() OVER (PARTITION BY phrase_num ORDER BY sample_id) AS phrase_occurence FROM c WHERE sample_id IS NOT NULL),
+    n AS (SELECT phrase_num, count(*) AS kept, {_SUMS.replace('AS pmf', 'AS n_pmf').replace('AS ref_lp', 'AS n_lp')} FROM cs GROUP BY phrase_num),
+    o AS (SELECT * FROM (SELECT phrase_num, phrase_occurence, {_SUMS} FROM cs GROUP BY ALL) JOIN n USING (phrase_num))"""
+_BEAM = """w AS (SELECT phrase_num, tokens[1] AS t0, tokens[-1] AS t1 FROM c WHERE len(tokens) >= 2),
+    p0 AS (SELECT phrase_num, t0 AS t, ln(count(*) / sum(count(*)) OVER (PARTITION BY phrase_num)) AS lp FROM w GROUP BY phrase_num, t0), p1 AS (SELECT phrase_num, t1 AS t, ln(count(*) / sum(count(*)) OVER (PARTITION BY phrase_num)) AS lp FROM w GROUP BY phrase_num, t1),
+    c0 AS (SELECT * FROM p0 WHERE t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY phrase_num ORDER BY lp DESC, t) <= 25), c1 AS (SELECT * FROM p1 WHERE t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY phrase_num ORDER BY lp DESC, t) <= 25),
+    b1 AS (SELECT phrase_num, t AS t0, round(lp, 12) AS lp FROM c0 WHERE lp >= -7 QUALIFY row_number() OVER (PARTITION BY phrase_num ORDER BY round(lp, 12) DESC, t) <= 5),
+    b2 AS (SELECT phrase_num, t0, t AS t1, round(b1.lp + c1.lp, 12) AS lp FROM b1 JOIN c1 USING (phrase_num) WHERE c1.lp >= -7 QUALIFY row_number() OVER (PARTITION BY phrase_num ORDER BY round(b1.lp + c1.lp, 12) DESC, t0, t) <= 5)"""
 SQL = {
     "phrase_pmf_llr": f"WITH {C}, {_mass('m', inc='tokens IS NOT NULL')} SELECT phrase_num, num_phrases, phrases_kept, round(ref_lp, 6) + 0.0 AS no_context_log_prob, round(pmf, 6) + 0.0 AS pmf_no_context, round({_LLR.format(p='pmf')}, 6) + 0.0 AS llr_no_context FROM m",
     "phrase_softmax": f"WITH {C} SELECT cand_id, phrase_num, round(exp(lp - m) / sum(exp(lp - m)) OVER (PARTITION BY phrase_num), 6) + 0.0 AS pmf FROM (SELECT *, max(lp) OVER (PARTITION BY phrase_num) AS m FROM c)",
-    "llr_excluded": f"""WITH {C}, t AS (SELECT phrase_num, max(CASE WHEN phrase_type = 'reference' THEN lp END) AS r, max(CASE WHEN phrase_type <> 'reference' THEN lp END) AS m FROM c GROUP BY phrase_num),
-        z AS (SELECT phrase_num, sum(exp(lp - m)) AS z FROM c JOIN t USING (phrase_num) WHERE phrase_type <> 'reference' GROUP BY phrase_num),
-        x AS (SELECT phrase_num, CASE WHEN r IS NULL THEN NULL WHEN m IS NULL THEN CAST('infinity' AS DOUBLE) ELSE r - m - ln(z) END AS v FROM t LEFT JOIN z USING (phrase_num))
-        SELECT phrase_num, round(v, 6) + 0.0 AS llr_excl_nats, round(v / ln(10), 6) + 0.0 AS llr_excl_log10, round(1 / (1 + exp(-v)), 6) + 0.0 AS p_two_bin FROM x""",
+    "llr_excluded": f"""WITH {C}, {_EXCL} SELECT phrase_num, round(exp(r - log_z), 6) + 0.0 AS p_ref, round(log_z, 6) + 0.0 AS log_z, round(v, 6) + 0.0 AS llr_excl_nats, round(v / ln(10), 6) + 0.0 AS llr_excl_log10, round(1 / (1 + exp(-v)), 6) + 0.0 AS p_two_bin FROM x""",
+    "llr_included": f"WITH {C}, {_EXCL} SELECT phrase_num, round(exp(r - log_z), 6) + 0.0 AS p_incl, round(log_z - r, 6) + 0.0 AS llr_incl_nats, round((log_z - r) / ln(10), 6) + 0.0 AS llr_incl_log10 FROM x",
+    "candidate_ranks_all": f"WITH {C} SELECT phrase_num, cand_id, CAST(row_number() OVER (PARTITION BY phrase_num ORDER BY lp DESC, cand_id) AS INTEGER) AS rank FROM c",
+    "llr_occurrences": f"WITH {C}, {_OCC} SELECT phrase_num, phrase_occurence, round({_LLR.format(p='n_pmf')}, 6) + 0.0 AS llr_no_context, round({_LLR.format(p='pmf')}, 6) + 0.0 AS llr_known, round(ref_lp - n_lp, 6) + 0.0 AS known_vs_no_context_nats, round((ref_lp - n_lp) / ln(10), 6) + 0.0 AS known_vs_no_context_log10 FROM o",
+    "llr_occurrence_summary": f"""WITH {C}, {_OCC}, v AS (SELECT *, {_LLR.format(p='n_pmf')} AS a, {_LLR.format(p='pmf')} AS k FROM o),
+        w AS (SELECT left(CAST(phrase_num AS VARCHAR), 1) AS part, count(DISTINCT phrase_num) AS num_phrases, count(DISTINCT CASE WHEN kept > 0 THEN phrase_num END) AS phrases_kept, sum(a) AS llr_no_context, sum(CASE WHEN phrase_occurence = 1 THEN a END) AS llr_no_context_once, sum(k) AS llr_known FROM v GROUP BY part)
+        SELECT part, num_phrases, phrases_kept, """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}, round({c} / nullif(phrases_kept, 0), 6) + 0.0 AS normalised_{c}" for c in ("llr_no_context", "llr_no_context_once", "llr_known")) + " FROM w",
+    "include_phrase": f"WITH {C}, r AS (SELECT phrase_num, phrase, bool_or(len(tokens) >= 2) AS include_phrase FROM c WHERE tokens IS NOT NULL AND phrase IS NOT NULL GROUP BY ALL) SELECT cand_id, coalesce(CAST(include_phrase AS VARCHAR), '') AS include_phrase FROM c LEFT JOIN r USING (phrase_num, phrase) WHERE phrase IS NOT NULL",
+    "token_level_raw": f"WITH {C}, {_mass('m')} SELECT phrase_num, num_phrases, round({_LLR.format(p='pmf')}, 6) + 0.0 AS llr_no_context, 'mlm' AS paraphrasing_model, 'unigram' AS scoring_model, 'all' AS corpus, 'test' AS data_type FROM m",
+    "beam_infill": f"WITH {C}, {_BEAM} SELECT phrase_num, t0 || ' ' || t1 AS filled, round(lp, 6) + 0.0 AS log_prob FROM b2",
+    "variable_infill": f"WITH {C}, {_BEAM}, a AS (SELECT phrase_num, t0 AS text, lp AS score FROM b1 UNION ALL SELECT phrase_num, t0 || ' ' || t1, lp / 2 FROM b2) SELECT phrase_num, lower(text) AS text, round(max(score), 6) + 0.0 AS score FROM a WHERE trim(text) <> '' GROUP BY phrase_num, lower(text)",
     "rank_vs_best": f"WITH {C} SELECT phrase_num, round(max(CASE WHEN phrase_type = 'reference' THEN lp END) - max(lp), 6) + 0.0 AS ref_vs_top_rank, round(max(CASE WHEN phrase_type = 'reference' THEN lp END) - max(CASE WHEN phrase_type <> 'reference' THEN lp END), 6) + 0.0 AS ref_vs_best_rest FROM c GROUP BY phrase_num",
     "candidate_ranks": f"WITH {C} SELECT sample_id, phrase_num, cand_id, CAST(CASE WHEN phrase_type = 'reference' THEN 0 ELSE row_number() OVER (PARTITION BY sample_id, phrase_num, phrase_type ORDER BY lp DESC, cand_id) END AS INTEGER) AS rank FROM c WHERE sample_id IS NOT NULL",
     "llr_table": f"WITH {C}, {_SHEETS}, {_TABLE} SELECT phrase_num, num_phrases, phrases_kept, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _COLS) + " FROM t",

@@ -19,6 +19,10 @@ METADATA = StructType([StructField(c, _S) for c in ("problem", "corpus", "known_
 SHEETS = ("docs", "known", "unknown", "metadata", "no_context", "LLR")
 
 
+#: Stands for null in CSV files.
+NULL_MARK = "\\N"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, bad: str | None = None) -> DataFrame:
     """One JSON object a line, or a list of one object; the schema is given, never inferred.
 
@@ -42,7 +46,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    """CSV files with header as ``write_csv`` makes them; an unquoted empty value is null."""
+    return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"', nullValue=NULL_MARK, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1, lineSep="\n")
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
+    """A folder of CSV files with header; line breaks and quotes inside values are kept, nulls are written as a mark of their own."""
+    df.write.mode(mode).csv(path, header=True, escape='"', quoteAll=True, nullValue=NULL_MARK, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
 
 
 def read_tagged(spark: SparkSession, folders: dict[str, str], schema: StructType, tag: str = "source") -> DataFrame:
@@ -82,6 +92,14 @@ def write_bundle(sheets: dict[str, DataFrame], path: str, mode: str = "overwrite
         df.write.mode(mode).parquet(f"{path}/{sheet_name(name)}")
 
 
+def write_result(path: str, known: DataFrame, unknown: DataFrame, no_context: DataFrame, docs: DataFrame, metadata: DataFrame, llr: DataFrame | None = None, mode: str = "overwrite") -> None:
+    """A finished result as a bundle of its six sheets; without ``llr`` that sheet is the list of phrases and occurrences to be filled in."""
+    if llr is None:
+        keys = [c for c in ("phrase_num", "phrase_occurence", "original_phrase") if c in known.columns and c in unknown.columns]
+        llr = known.select(*keys).unionByName(unknown.select(*keys)).distinct()
+    write_bundle({"docs": docs, "known": known, "unknown": unknown, "no_context": no_context, "metadata": metadata, "LLR": llr}, path, mode)
+
+
 def read_bundle(spark: SparkSession, path: str, names: list[str] | None = None, required: bool = True) -> dict[str, DataFrame | None]:
     """Sheets of a bundle by name (all if none are named). A missing one raises, or is None if not required."""
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
