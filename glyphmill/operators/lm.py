@@ -29,14 +29,14 @@ def train(sentences: DataFrame, model: str = "model_id", order: int = 3, tokens:
 
 
 def _asked(queries: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """``(*keys, pos, token, len, gram)``: the grams of length 1..order that end at each position; position -1 is the last start mark."""
+    """``(*keys, pos, token, len, gram)``: the grams of length 1..order that end at each position, and once a sentence the empty one; position -1 is the last start mark."""
     kinds = [queries.schema[k].dataType.simpleString() for k in keys]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = Flat(b.column(len(keys)), order - 1, 1)
-            for n in range(1, order + 1):
-                last = np.flatnonzero((f.at >= order - 2) & (f.at >= n - 1))
+            for n in range(order + 1):
+                last = np.flatnonzero((f.at >= order - 2) & (f.at >= n - 1) if n else f.at == order - 2)
                 rows = pa.array(f.rows[last])
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(k).take(rows) for k in range(len(keys))), pa.array((f.at[last] - order + 1).astype(np.int32)), f.take(last), pa.array(np.full(len(last), n, np.int32)), f.joined(last - n + 1, n)],
@@ -49,14 +49,14 @@ def _asked(queries: DataFrame, keys: list[str], order: int) -> DataFrame:
 
 def _answers(stats: DataFrame, queries: DataFrame, keys: list[str], order: int, model: str) -> DataFrame:
     asked = _asked(queries, keys, order)
-    joined = asked.join(stats.where("len > 0"), [model, "len", "gram"], "left")
+    joined = asked.join(stats, [model, "len", "gram"], "left")
     # rows meet by sentence, which serves the aggregate by position and the window alike
-    picks = [F.max(F.when(F.col("len") == n, F.col(s))).alias(f"g{n}_{s}") for n in range(1, order + 1) for s in STATS]
+    picks = [F.max(F.when(F.col("len") == n, F.col(s))).alias(f"g{n}_{s}") for n in range(order + 1) for s in STATS]
     at = joined.repartition(*keys).groupBy(*keys, "pos", "token").agg(*picks)
     w = Window.partitionBy(*keys).orderBy("pos")
     contexts = [F.lag(f"g{n}_{s}").over(w).alias(f"c{n}_{s}") for n in range(1, order) for s in STATS]
-    rows = at.select("*", *contexts).where("pos >= 0")
-    return rows.join(stats.where("len = 0").select(model, *[F.col(s).alias(f"c0_{s}") for s in STATS]), model, "left")
+    whole = [F.max(f"g0_{s}").over(Window.partitionBy(*keys)).alias(f"c0_{s}") for s in STATS]
+    return at.select("*", *contexts, *whole).where("pos >= 0")
 
 
 def _zero(name: str) -> Column:
