@@ -129,5 +129,13 @@ SQL = {
         UNION ALL SELECT 'metadata', count(*) FROM agg_metadata UNION ALL SELECT 'no_context', count(*) FROM c UNION ALL SELECT 'LLR', count(DISTINCT phrase_num) FROM c""",
     "source_combined_results": _R + " SELECT m.m AS method, problem, target, round(avg(score * m.f), 6) AS score FROM r, (VALUES ('a', 1), ('b', 2)) AS m(m, f) WHERE problem IS NOT NULL GROUP BY ALL",
     "source_good_inputs": _R + " SELECT CASE WHEN target THEN 'one' ELSE 'two' END AS input, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'missing', -1 UNION ALL SELECT 'short', -1",
+    "av_run": B.with_("known", "unknown_chunks", "known_rows", "ks", "us", "samples", B.ref_docs_sql(2, 5), """c AS (SELECT 'u:' || doc_id AS id, token, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS token FROM us) GROUP BY ALL UNION ALL SELECT 'k:' || doc_id, token, count(*) FROM (SELECT doc_id, unnest(tokens) AS token FROM ks) GROUP BY ALL),
+        p AS MATERIALIZED (SELECT id, token, n / sum(n) OVER (PARTITION BY id) AS p FROM c),
+        nm AS (SELECT problem_id, 0 AS trial, 'u:' || unknown_id AS l, 'k:' || known_id AS r FROM samples UNION ALL SELECT problem_id, trial, 'u:' || unknown_id, 'k:' || ref_id FROM ref_docs JOIN samples USING (problem_id)),
+        pr AS (SELECT DISTINCT l, r FROM nm WHERE l IN (SELECT id FROM p) OR r IN (SELECT id FROM p)),
+        uv AS (SELECT l, r, token, sum(u) AS u, sum(v) AS v FROM (SELECT l, r, token, p AS u, 0 AS v FROM pr JOIN p ON id = l UNION ALL SELECT l, r, token, 0, p FROM pr JOIN p ON id = r) GROUP BY ALL),
+        dv AS (SELECT l, r, sum(CASE WHEN u > 0 THEN u * log2(u / ((u + v) / 2)) ELSE 0 END + CASE WHEN v > 0 THEN v * log2(v / ((u + v) / 2)) ELSE 0 END) / 2 AS jsd FROM uv GROUP BY ALL),
+        m AS (SELECT problem_id, trial, avg(jsd) AS jsd FROM nm JOIN dv USING (l, r) GROUP BY ALL)""")
+        + "SELECT problem, target, round(avg(m.jsd - k.jsd), 6) + 0.0 AS jsd FROM m JOIN m k ON k.problem_id = m.problem_id AND k.trial = 0 JOIN samples s ON s.problem_id = m.problem_id WHERE m.trial > 0 AND problem IS NOT NULL AND target IS NOT NULL GROUP BY problem, target",
     "source_appended": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
 }
