@@ -1,4 +1,4 @@
-"""Token counts by a public tokenizer's rank file. The folder is a parameter; nothing of it is kept in the repository."""
+"""Token counts by a public tokenizer's rank file. The folder is a parameter; the file is shipped with the job and nothing of it is kept in the repository."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-#: Where the machine has its tokenizer files, and the one to use.
+#: Where the driver's machine has its tokenizer files, and the one to use; executors get it with the job.
 TOKENIZER_DIR, TOKENIZER_FILE = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 
 #: Fixed value: the public split pattern of this byte-level vocabulary.
@@ -52,10 +53,11 @@ def count_tokens(text: str, path: str) -> int:
 
 def token_count(text: Column, folder: str = TOKENIZER_DIR, file: str = TOKENIZER_FILE) -> Column:
     """Tokens of each whole text as bigint; null for null."""
-    path = f"{folder}/{file}"
+    SparkSession.active().sparkContext.addFile(f"{folder}/{file}")
 
     @F.pandas_udf(LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        path = SparkFiles.get(file)
         for s in batches:
             yield s.map(lambda t: count_tokens(t, path), na_action="ignore").astype("Int64")
 
