@@ -54,20 +54,36 @@ def sentence_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(X.split_sentences(F.col(text))).alias("_p", "sentence")).select(*keep, (F.col("_p") + 1).alias("chunk_id"), "sentence")
 
 
-def concat_text(rows: DataFrame, group: str, order: str, text: str = "text", sep: str = "\n", out: str = "concat_text", ids: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """``(group, out)``: texts of each group joined in order; nulls are dropped. Meant for documents, whose size is bounded.
+def concat_text(rows: DataFrame, group: str | list[str], order: str, text: str = "text", sep: str = "\n", out: str = "concat_text", ids: DataFrame | None = None, strict: bool = False, dropna: bool = True) -> DataFrame:
+    """``(*group, out)``: texts of each group joined in order. Meant for documents, whose size is bounded. Nulls are dropped, or count as empty texts if not ``dropna``.
 
     ``ids`` restricts the groups; with ``strict`` a listed id without rows raises.
     """
+    keys = [group] if isinstance(group, str) else group
     if ids is not None:
-        rows = rows.join(ids.select(group).distinct(), group, "left_semi")
-    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    out_df = rows.where(F.col(text).isNotNull()).groupBy(group).agg(F.array_join(F.transform(pieces, lambda s: s["t"]), sep).alias(out))
-    if ids is not None and strict and (missing := ids.select(group).distinct().join(out_df, group, "left_anti").limit(5).collect()):
+        rows = rows.join(ids.select(*keys).distinct(), keys, "left_semi")
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))
+    there = rows.where(F.col(text).isNotNull()) if dropna else rows
+    out_df = there.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda s: s["t"]), sep).alias(out))
+    if ids is not None and strict and (missing := ids.select(*keys).distinct().join(out_df, keys, "left_anti").limit(5).collect()):
         raise ValueError(f"no text for {[r[0] for r in missing]}")
     return out_df
 
 
+def concat_listed(lists: DataFrame, docs: DataFrame, sep: str = "\n", unique: bool = False, strict: bool = False) -> DataFrame:
+    """``(list_id, concat_text, missing)``: the texts of each list of documents in the list's order, and how many of its documents have no text.
+
+    ``lists`` is (list_id, ord, doc_id), ``docs`` (doc_id, text) with one row a document. A document listed twice comes twice unless ``unique``; with ``strict`` a missing one raises.
+    """
+    asked = lists.groupBy("list_id", "doc_id").agg(F.min("ord").alias("ord")) if unique else lists
+    rows = asked.join(docs.where("text is not null").select("doc_id", "text"), "doc_id", "left")
+    pieces = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text"))))
+    out = rows.groupBy("list_id").agg(F.array_join(F.transform(pieces, lambda s: s["text"]), sep).alias("concat_text"), F.count(F.when(F.col("text").isNull(), 1)).alias("missing"))
+    if strict and (bad := out.where("missing > 0").limit(5).collect()):
+        raise ValueError(f"documents without text in {[r.list_id for r in bad]}")
+    return out
+
+
 def profile_offsets(docs: DataFrame, keys: list[str], order: str, text: str = "text", sep_chars: int = 1) -> DataFrame:
     """Where each document begins in its author's joined profile: the profile stays in rows, however large it is, and an author is spread over tasks."""
     rows = docs.where(F.col(text).isNotNull()).select(*keys, order, F.length(text).alias("n_chars"))

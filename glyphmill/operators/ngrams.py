@@ -229,6 +229,65 @@ def sharing_pairs(tokens: DataFrame, n: int) -> DataFrame:
     return met.select(F.concat_ws("|", "doc_a", "doc_b").alias("pair_id"), "doc_a", "doc_b")
 
 
+def profile_tokens(rows: DataFrame, owner: str, order: list[str], tokens: str = "tokens") -> DataFrame:
+    """``(owner, pos, token)``: every token of an owner's rows, laid end to end in their order, with its place in the whole. An owner of any size stays in rows and is spread over tasks."""
+    kept = rows.where(F.col(owner).isNotNull() & F.col(tokens).isNotNull()).select(F.col(owner).alias("owner"), *order, F.col(tokens).alias("_t"))
+    placed = running(kept, ["owner"], order, {"_end": F.size("_t").cast("bigint")}, "_rank")
+    return placed.select("owner", (F.col("_end") - F.size("_t")).alias("_from"), F.posexplode("_t").alias("_k", "token")).select("owner", (F.col("_from") + F.col("_k")).alias("pos"), "token")
+
+
+def largest_common_run(pairs: DataFrame, left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
+    """``(pair_id, highest_common_count, ngram)``: the greatest number of tokens in a row, ``least`` or more, that two profiles share, and the first such run by its tokens; pairs that share none give no row.
+
+    ``pairs`` is (pair_id, left_id, right_id), the profiles are (owner, pos, token), of any size. Runs are known by 64-bit hashes. Their length is first doubled while any is shared, each doubling a join of places with the
+    places so much further on, then refined by halves: only places that are shared so far are taken on, so after the first step the tables are small.
+    """
+    def hashes(t: DataFrame) -> DataFrame:
+        return cut(t.select("owner", "pos", F.xxhash64("token").alias("h")))
+
+    def doubled(t: DataFrame, step: int) -> DataFrame:
+        ahead = t.select("owner", (F.col("pos") - step).alias("pos"), F.col("h").alias("_h"))
+        return cut(t.join(ahead, ["owner", "pos"]).select("owner", "pos", F.xxhash64("h", "_h").alias("h")))
+
+    def on_left(rows: DataFrame, grams: DataFrame) -> DataFrame:
+        return rows.join(grams.select(F.col("owner").alias("left_id"), "h").distinct(), ["left_id", "h"], "left_semi")
+
+    lefts, rights = [hashes(left)], [hashes(right)]
+    found = cut(on_left(pairs.select("pair_id", "left_id", F.col("right_id")).join(rights[0].withColumnRenamed("owner", "right_id"), "right_id"), lefts[0]))
+    levels = [found]
+    while True:
+        step = 1 << (len(lefts) - 1)
+        lefts.append(doubled(lefts[-1], step))
+        rights.append(doubled(rights[-1], step))
+        at = levels[-1].drop("h").join(rights[-1].withColumnRenamed("owner", "right_id"), ["right_id", "pos"])
+        found = cut(on_left(at, lefts[-1]))
+        if not found.limit(1).count():
+            break
+        levels.append(found)
+    now_r = now_l = None
+    above: DataFrame | None = None  # pairs that share longer runs
+    for k in reversed(range(len(levels))):
+        mine = levels[k] if above is None else levels[k].join(above, "pair_id", "left_anti")
+        r = mine.select("pair_id", "left_id", "right_id", "pos", "h", F.lit(1 << k).cast("bigint").alias("n"))
+        shared = r.select("pair_id", "left_id", "h", "n").distinct()
+        lrows = shared.join(lefts[k].withColumnRenamed("owner", "left_id"), ["left_id", "h"]).select("pair_id", "left_id", "pos", "h", "n")
+        now_r, now_l = (r, lrows) if now_r is None else (now_r.unionByName(r), now_l.unionByName(lrows))
+        own = levels[k].select("pair_id").distinct()
+        above = own if above is None else above.unionByName(own).distinct()
+    now_r, now_l = cut(now_r), cut(now_l)
+    for k in reversed(range(len(levels) - 1)):
+        longer = lambda rows, t, c: rows.withColumn("_p", F.col("pos") + F.col("n")).join(t.select(F.col("owner").alias(c), F.col("pos").alias("_p"), F.col("h").alias("_h")), [c, "_p"]).withColumn("h", F.xxhash64("h", "_h")).withColumn("n", F.col("n") + (1 << k)).drop("_p", "_h")  # noqa: B023, E731
+        r, lrows = longer(now_r, rights[k], "right_id"), longer(now_l, lefts[k], "left_id")
+        r = cut(r.join(lrows.select("pair_id", "h").distinct(), ["pair_id", "h"], "left_semi"))
+        lrows = lrows.join(r.select("pair_id", "h").distinct(), ["pair_id", "h"], "left_semi")
+        better = r.select("pair_id").distinct()
+        now_r, now_l = (cut(old.join(better, "pair_id", "left_anti").unionByName(new)) for old, new in ((now_r, r), (now_l, lrows)))
+    runs = now_r.where(F.col("n") >= least).groupBy("pair_id", "right_id", "h", "n").agg(F.min("pos").alias("pos"))
+    places = runs.select("pair_id", "right_id", "h", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("_k"), "pos").withColumn("pos", F.col("pos") + F.col("_k"))
+    words = places.join(right.withColumnRenamed("owner", "right_id"), ["right_id", "pos"]).groupBy("pair_id", "h", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "token"))), lambda x: x["token"]).alias("g"))
+    return words.groupBy("pair_id", F.col("n").cast("int").alias("highest_common_count")).agg(F.array_join(F.min("g"), " ").alias("ngram"))
+
+
 def readable(grams: DataFrame, order: str = "count_desc", sep: str = " ", strip: tuple[str, ...] = ()) -> DataFrame:
     """``(pair_id, place, n, pretty, raw)``: the shared n-grams of each pair in reading order: by how many there are of a length (``count_desc``), or by length (``len_asc``, ``len_desc``), and by tokens within one.
 

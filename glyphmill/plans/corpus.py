@@ -53,6 +53,12 @@ def concat_text(spark, d):  # noqa: ANN001, ANN201
     return C.concat_text(B.unknown_chunks(spark, d), "doc_id", "chunk_id", "sentence")
 
 
+def concat_listed(spark, d):  # noqa: ANN001, ANN201
+    """The known documents of each problem, in the order of their samples, each once."""
+    m = B.samples(spark, d).where("problem is not null").select(F.col("problem").alias("list_id"), F.col("problem_id").alias("ord"), F.col("known_id").alias("doc_id"))
+    return C.concat_listed(m, B.known(spark, d), unique=True).select("list_id", F.md5("concat_text").alias("digest"), "missing")
+
+
 def profile_offsets(spark, d):  # noqa: ANN001, ANN201
     return C.profile_offsets(B.known(spark, d).where("author is not null"), ["corpus", "author"], "doc_id")
 
@@ -118,7 +124,7 @@ def prompts(spark, d):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (
-    temp_doc_ids, build_metadata, problem_pairs_meta, problem_pairs_single, sentence_chunks, problem_doc_list, job_list, pending_jobs, concat_text, profile_offsets, clean_text,
+    temp_doc_ids, build_metadata, problem_pairs_meta, problem_pairs_single, sentence_chunks, problem_doc_list, job_list, pending_jobs, concat_text, concat_listed, profile_offsets, clean_text,
     split_description, token_measures, protected_sentences, placeholders, posnoise, impostor_ids, prompts,
 )}
 
@@ -140,6 +146,8 @@ SQL = {
     "job_list": _W("samples") + "SELECT problem, known_id, unknown_id, CAST(row_number() OVER (PARTITION BY problem ORDER BY known_id, unknown_id) AS INTEGER) AS job FROM (SELECT DISTINCT problem, known_id, unknown_id FROM samples)",
     "pending_jobs": "SELECT DISTINCT sample_id, problem FROM agg_metadata WHERE sample_id NOT IN (SELECT sample_id FROM paraphrases WHERE sum_log_probs IS NOT NULL AND sample_id IS NOT NULL)",
     "concat_text": _W("unknown_chunks") + "SELECT doc_id, string_agg(sentence, chr(10) ORDER BY chunk_id) AS concat_text FROM unknown_chunks WHERE sentence IS NOT NULL GROUP BY doc_id",
+    "concat_listed": _W("known", "samples", "l AS (SELECT problem, known_id, min(problem_id) AS o FROM samples WHERE problem IS NOT NULL GROUP BY ALL)")
+        + "SELECT problem AS list_id, md5(coalesce(string_agg(text, chr(10) ORDER BY o), '')) AS digest, count(*) FILTER (text IS NULL) AS missing FROM l LEFT JOIN known ON doc_id = known_id GROUP BY problem",
     "profile_offsets": _W("known") + """SELECT corpus, author, doc_id, CAST(row_number() OVER w AS INTEGER) AS ord, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY corpus, author ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
         CAST(length(text) AS INTEGER) AS n_chars FROM known WHERE author IS NOT NULL AND text IS NOT NULL WINDOW w AS (PARTITION BY corpus, author ORDER BY doc_id)""",
     "clean_text": r"SELECT doc_id, CAST(length(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) AS INTEGER) AS n_clean, md5(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) AS digest FROM documents",

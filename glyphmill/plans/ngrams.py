@@ -52,6 +52,16 @@ def largest_common_ngram_files(spark, d):  # noqa: ANN001, ANN201
     return N.highest_common(N.common_ngrams(N.sharing_pairs(t, 8), t, 8))
 
 
+def largest_common_ngram_profiles(spark, d):  # noqa: ANN001, ANN201
+    """For each problem the longest run of words that all texts of its known author and all of its unknown author share."""
+    chunk = F.regexp_extract("sent_id", "([0-9]+)$", 1).cast("int")
+    profile = lambda s: N.profile_tokens(s.withColumn("chunk", chunk), "author", ["doc_id", "chunk"])
+    m = table(spark, d, "agg_metadata").where("known_author is not null and unknown_author is not null").select("problem", "known_author", "unknown_author").distinct()
+    pairs = m.select(F.col("known_author").alias("left_id"), F.col("unknown_author").alias("right_id")).distinct().withColumn("pair_id", F.concat_ws("|", "left_id", "right_id"))
+    best = N.largest_common_run(pairs, cut(profile(B.known_sentences(spark, d))), cut(profile(B.unknown_sentences(spark, d))))
+    return m.withColumn("pair_id", F.concat_ws("|", "known_author", "unknown_author")).join(best, "pair_id", "left").drop("pair_id").fillna(0, ["highest_common_count"])
+
+
 def common_ngrams_readable(spark, d):  # noqa: ANN001, ANN201
     return N.readable(_common(spark, d))
 
@@ -129,7 +139,7 @@ def kn_generate(spark, d):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (
-    token_counts, ngram_counts, continuation_counts, common_ngrams, largest_common_ngram, largest_common_ngram_files, common_ngrams_readable, filter_ngrams, phrase_occurrences, phrase_spans, coverage_runs, skn_probs, fkn_probs,
+    token_counts, ngram_counts, continuation_counts, common_ngrams, largest_common_ngram, largest_common_ngram_files, largest_common_ngram_profiles, common_ngrams_readable, filter_ngrams, phrase_occurrences, phrase_spans, coverage_runs, skn_probs, fkn_probs,
     lm_perplexity, next_words, kn_generate,
 )}
 
@@ -205,6 +215,17 @@ _FILES = """,
     h8 AS (SELECT a.doc_id AS x, b.doc_id AS y, a.i, a.i - b.i AS diag FROM g8 a JOIN g8 b ON a.g = b.g AND a.doc_id < b.doc_id),
     r8 AS (SELECT x, y, min(i) AS start, count(*) + 7 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y, diag ORDER BY i) AS island FROM h8) GROUP BY x, y, diag, island),
     m8 AS (SELECT x, y, max(n) AS n FROM r8 GROUP BY x, y)"""
+_PROFILES = """m AS (SELECT DISTINCT problem, known_author, unknown_author FROM agg_metadata WHERE known_author IS NOT NULL AND unknown_author IS NOT NULL),
+    pr AS (SELECT DISTINCT known_author AS x, unknown_author AS y FROM m),
+    kp AS MATERIALIZED (SELECT author, flatten(list(tokens ORDER BY doc_id, chunk_id)) AS t FROM ks WHERE author IS NOT NULL GROUP BY author), up AS MATERIALIZED (SELECT author, flatten(list(tokens ORDER BY doc_id, chunk_id)) AS t FROM us WHERE author IS NOT NULL GROUP BY author),
+    kg AS MATERIALIZED (SELECT DISTINCT author, n, list_slice(t, i, i + n - 1) AS g FROM (SELECT author, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM kp, range(2, 9) AS r(n) WHERE len(t) >= n)),
+    ug AS MATERIALIZED (SELECT DISTINCT author, n, list_slice(t, i, i + n - 1) AS g FROM (SELECT author, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM up, range(2, 9) AS r(n) WHERE len(t) >= n)),
+    sh AS MATERIALIZED (SELECT x, y, u.n AS n, min(u.g) AS g FROM pr JOIN ug u ON u.author = y JOIN kg k ON k.author = x AND k.n = u.n AND k.g = u.g GROUP BY x, y, u.n),
+    k8 AS (SELECT author, i, list_slice(t, i, i + 7) AS g FROM (SELECT author, t, unnest(range(1, len(t) - 6)) AS i FROM kp WHERE len(t) >= 8)), u8 AS (SELECT author, i, list_slice(t, i, i + 7) AS g FROM (SELECT author, t, unnest(range(1, len(t) - 6)) AS i FROM up WHERE len(t) >= 8)),
+    hi AS (SELECT x, y, u.i, u.i - k.i AS diag FROM pr JOIN u8 u ON u.author = y JOIN k8 k ON k.author = x AND k.g = u.g),
+    ru AS MATERIALIZED (SELECT x, y, min(i) AS s, count(*) + 7 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y, diag ORDER BY i) AS island FROM hi) GROUP BY x, y, diag, island),
+    lg AS (SELECT x, y, n, min(list_slice(t, s, s + n - 1)) AS g FROM (SELECT *, max(n) OVER (PARTITION BY x, y) AS top FROM ru) JOIN up ON author = y WHERE n = top GROUP BY x, y, n),
+    be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY n DESC) AS k FROM (SELECT x, y, n, g FROM sh UNION ALL SELECT x, y, n, g FROM lg)) WHERE k = 1)"""
 _BASE = ("known", "unknown_chunks", "known_rows", "ks", "us", "samples")
 _SPANS = "list_filter(range(0, len(tokens) - len(ph) + 1), lambda i: list_slice(tokens, i + 1, i + len(ph)) = ph)"
 _AUTHOR_MODEL = "src AS (SELECT author AS model_id, tokens FROM ks WHERE author IS NOT NULL),\n" + model_sql("m", "src", ORDER) + ",\nasked AS (SELECT author AS model_id, sent_id, tokens FROM us WHERE author IS NOT NULL),\n" + positions_sql("q", "asked", "model_id, sent_id", ORDER)
@@ -220,6 +241,7 @@ SQL = {
     "common_ngrams": _W(*_BASE, _COMMON) + "SELECT pair_id, n, gram FROM common",
     "largest_common_ngram": _W(*_BASE, _COMMON) + "SELECT pair_id, highest_common_count, ngram FROM tops",
     "largest_common_ngram_files": _W(*_BASE, _DOCS + _FILES) + "SELECT x || '|' || y AS pair_id, CAST(n AS INTEGER) AS highest_common_count, array_to_string(min(list_slice(tokens, start + 1, start + n)), ' ') AS ngram FROM m8 JOIN r8 USING (x, y, n) JOIN ud ON doc_id = x GROUP BY x, y, n",
+    "largest_common_ngram_profiles": _W("known", "unknown_chunks", "known_rows", "ks", "us", _PROFILES) + "SELECT problem, known_author, unknown_author, CAST(coalesce(n, 0) AS INTEGER) AS highest_common_count, array_to_string(g, ' ') AS ngram FROM m LEFT JOIN be ON x = known_author AND y = unknown_author",
     "common_ngrams_readable": _W(*_BASE, _COMMON, "z AS (SELECT *, count(*) OVER (PARTITION BY pair_id, n) AS c FROM common)")
         + "SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY c DESC, n, string_split(gram, ' ')) AS INTEGER) AS place, n, gram AS pretty, '(' || chr(39) || array_to_string(string_split(gram, ' '), chr(39) || ', ' || chr(39)) || chr(39) || ')' AS raw FROM z",
     "filter_ngrams": f"""WITH p AS (SELECT cand_id, any_value(tokens) AS tokens FROM paraphrases WHERE tokens IS NOT NULL GROUP BY cand_id),

@@ -118,3 +118,21 @@ def test_sharing_pairs_and_reading_order(spark):
     got = [(r.pretty, r.raw) for r in N.readable(grams, strip=("Ġ",)).orderBy("place").collect()]
     assert got == [("x y' z", "('Ġx', 'y\\'', 'z')"), ("a b", "('a', 'b')"), ("b c", "('b', 'c')")][1:] + [("x y' z", "('Ġx', 'y\\'', 'z')")]
     assert [r.n for r in N.readable(grams, "len_desc").orderBy("place").collect()] == [3, 2, 2]
+
+
+def test_largest_common_run_of_profiles(spark):
+    rng = random.Random(5)
+    known = {a: [[rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(6)] for a in "pqr"}
+    unknown = {a: [[rng.choice("abcdx") for _ in range(rng.randint(0, 9))] for _ in range(4)] for a in "uv"} | {"none": [["z"], ["y", "z"]], "single": [["a"]]}
+    table = lambda d: N.profile_tokens(spark.createDataFrame([(a, k, t) for a, docs in d.items() for k, t in enumerate(docs)] + [(None, 1, ["a"])], "author string, ord int, tokens array<string>"), "author", ["ord"])
+    pairs = spark.createDataFrame([(f"{a}{b}", a, b) for a in "pqr" for b in unknown] + [("lost", "nobody", "u")], "pair_id string, left_id string, right_id string")
+    flat = lambda d: {a: sum(docs, []) for a, docs in d.items()}
+    got = {r.pair_id: (r.highest_common_count, r.ngram) for r in N.largest_common_run(pairs, table(known), table(unknown)).collect()}
+    k, u, want = flat(known), flat(unknown), {}
+    for a in k:
+        for b in u:
+            runs = N.shared_runs(u[b], k[a], 2, include_subgrams=True)
+            if runs:
+                n = max(map(len, runs))
+                want[a + b] = (n, " ".join(min(r for r in runs if len(r) == n)))
+    assert got == want and not {"pnone", "psingle", "lost"} & set(got)
