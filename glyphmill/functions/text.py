@@ -216,14 +216,36 @@ def fill_in_prompt(before: Column, after: Column, marks: tuple[str, str, str] =
 
 
 def hashed_vector(tokens: Column, dims: int = 64) -> Column:
-    """Counts of an array's tokens by hash, as an array of doubles: stands where a sentence-embedding model would. Null arrays count as empty ones."""
-    import zlib
+    """Counts of an array's tokens by md5, as an array of doubles: stands where a sentence-embedding model would. Null arrays count as empty ones."""
+    import hashlib
 
     import numpy as np
     from pyspark.sql.types import ArrayType, DoubleType
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def count(s):  # noqa: ANN001, ANN202
-        return s.map(lambda t: np.bincount([zlib.crc32(w.encode()) % dims for w in (t if t is not None else ()) if w is not None], minlength=dims).astype(float))
+        place: dict[str, int] = {}
+
+        def of(w: str) -> int:
+            if w not in place:
+                if len(place) > 200_000:
+                    place.clear()
+                place[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dims
+            return place[w]
+
+        return s.map(lambda t: np.bincount([of(w) for w in (t if t is not None else ()) if w is not None], minlength=dims).astype(float))
 
     return count(tokens)
+
+
+def changed_tokens(before: Column, after: Column) -> Column:
+    """Of two token arrays the places at which they differ, with both tokens: ``array<struct<at, was, now>>``. A place that only one has differs."""
+    rows = F.arrays_zip(before.alias("was"), after.alias("now"))
+    placed = F.transform(rows, lambda r, k: F.struct(k.alias("at"), r["was"].alias("was"), r["now"].alias("now")))
+    return F.filter(placed, lambda r: ~r["was"].eqNullSafe(r["now"]))
+
+
+def leading_mark(token: Column) -> Column:
+    """The first character of a token if it is no letter, mark, digit or ASCII character: what a tokenizer shows for a blank or another special character; else null."""
+    first = F.substring(token, 1, 1)
+    return F.when(first.rlike(r"[^\p{L}\p{M}\p{N}\x00-\x7F]") | first.isin("Ġ", "Ċ", "ĉ", "Č", "▁"), first)

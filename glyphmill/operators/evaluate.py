@@ -249,7 +249,7 @@ def calibrate_loo(df: DataFrame, keys: list[str], ident: str, score: str = "scor
 
 
 def performance(predictions: DataFrame, keys: list[str], target: str = "target", decision_llr: float = 0.0) -> DataFrame:
-    """All metrics of calibrated predictions by group: Cllr, least Cllr, EER, mean ratios, trials, AUC and the decision metrics."""
+    """All metrics of calibrated predictions by group: Cllr, least Cllr, EER, mean ratios, trials, AUC and the decision metrics. A group that a metric cannot be had for (a class is missing) has null there and keeps the others."""
     t = F.col(target)
     means = predictions.groupBy(*keys).agg(
         F.avg(F.when(t, F.col("pred_llr"))).alias("mean_true_llr"), F.avg(F.when(~t, F.col("pred_llr"))).alias("mean_false_llr"),
@@ -258,7 +258,7 @@ def performance(predictions: DataFrame, keys: list[str], target: str = "target",
     points = operating_points(predictions, keys, "pred_prob", target)
     out = means
     for part in (cllr(predictions, keys, "pred_llr", target), cllr_min(predictions, keys, "pred_llr", target), eer(points, keys), auc(points, keys), confusion(predictions, keys, F.col("pred_llr") > decision_llr, target)):
-        out = out.join(part, keys) if keys else out.crossJoin(part)  # without keys each side is a single row
+        out = out.join(part, keys, "left") if keys else out.crossJoin(part)  # without keys each side is a single row
     return out
 
 

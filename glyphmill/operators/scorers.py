@@ -202,16 +202,24 @@ def distribution_distance(problems: DataFrame, known_scores: DataFrame, unknown_
 
 
 def _emd_matrix(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Distances of two lists of sorted samples (each divided by its sum) from each other: areas between their quantile functions, rounded to 12 places."""
+    """Distances of two lists of sorted samples (each divided by its sum) from each other: areas between their quantile functions, rounded to 12 places. Samples of one size are taken together."""
     out = np.zeros((len(a), len(b)))
+    sizes: dict[int, list[int]] = {}
+    for j, y in enumerate(b):
+        sizes.setdefault(len(y), []).append(j)
+    stacks = {n: np.stack([b[j] for j in at]) for n, at in sizes.items()}
+    grids: dict[tuple[int, int], tuple] = {}
     for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            if len(x) == len(y):
-                out[i, j] = np.abs(x - y).mean()
-            else:  # where the quantile functions step
-                q = np.union1d(np.arange(1, len(x) + 1) * len(y), np.arange(1, len(y) + 1) * len(x))
-                width = np.diff(np.r_[0, q]) / (len(x) * len(y))
-                out[i, j] = (np.abs(x[(q - 1) // len(y)] - y[(q - 1) // len(x)]) * width).sum()
+        for n, at in sizes.items():
+            m = len(x)
+            if m == n:
+                out[i, at] = np.abs(stacks[n] - x).mean(axis=1)
+                continue
+            if (m, n) not in grids:  # where either quantile function steps
+                q = np.union1d(np.arange(1, m + 1) * n, np.arange(1, n + 1) * m)
+                grids[m, n] = (q - 1) // n, (q - 1) // m, np.diff(np.r_[0, q]) / (m * n)
+            on_x, on_y, width = grids[m, n]
+            out[i, at] = np.abs(stacks[n][:, on_y] - x[on_x]) @ width
     return np.round(out, 12)
 
 

@@ -32,6 +32,30 @@ def score_texts(df: DataFrame, text: str, factory: Callable[[], Scorer], key: st
     return df.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, tokens array<string>, log_probs array<double>, med_log_prob array<double>")
 
 
+def embed_texts(df: DataFrame, text: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], key: str, out: str = "embedding") -> DataFrame:
+    """``(key, out)``: the vector of each text by an embedding model, made by its factory on the executor; null texts count as empty ones."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for b in batches:
+            yield pd.DataFrame({key: b[key], out: model([t if isinstance(t, str) else "" for t in b["_text"]])})
+
+    return df.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, `{out}` array<double>")
+
+
+def candidate_round(rows: DataFrame, key: str, least: int = 1, most: int | None = None, prompt: str | None = None) -> DataFrame:
+    """``(key, text, total_logprob, token_count)``: one round of generated candidates of each gap: texts trimmed and each once, those of too few or too many tokens dropped.
+
+    ``rows`` is (key, ord, text, log_probs); with ``prompt``, a column of the number of prompt tokens, only the log-probabilities after these count. Of equal texts the first by ``ord`` stays.
+    """
+    span = F.col("log_probs") if prompt is None else F.slice("log_probs", F.col(prompt) + 1, F.greatest(F.size("log_probs") - F.col(prompt), F.lit(0)))
+    scored = rows.select(key, "ord", X.collapsed(F.col("text")).alias("text"), F.aggregate(span, F.lit(0.0), lambda a, x: a + x).alias("total_logprob"), F.size(span).alias("token_count"))
+    kept = scored.where((F.col("text") != "") & (F.col("token_count") >= least) & (F.col("token_count") <= most if most is not None else F.lit(True)))
+    first = kept.groupBy(key, "text").agg(F.min(F.struct("ord", "total_logprob", "token_count")).alias("f"))
+    return first.select(key, "text", "f.total_logprob", "f.token_count")
+
+
 def scored_sentences(df: DataFrame, text: str, factory: Callable[[], Scorer], key: str) -> DataFrame:
     """``df`` with the scorer's arrays and the measures taken from them (differences to the median, sums, means, perplexity)."""
     s = score_texts(df, text, factory, key).withColumn("_m", X.token_differences(F.col("log_probs"), F.col("med_log_prob")))

@@ -74,6 +74,12 @@ def split_description(spark, d):  # noqa: ANN001, ANN201
     return C.split_description(p.select("cand_id", text.alias("description"))).drop("description")
 
 
+def sentence_vectors(spark, d):  # noqa: ANN001, ANN201
+    """Vectors of unknown sentences, by their places that are not zero."""
+    v = B.unknown_sentences(spark, d).select("sent_id", F.posexplode(X.hashed_vector(F.col("tokens"))).alias("dim", "value"))
+    return v.where("value <> 0")
+
+
 def token_measures(spark, d):  # noqa: ANN001, ANN201
     """Scored sentences: each unknown chunk's tokens with log-probabilities -1/(length + 1) and their median as the reference value."""
     s = B.unknown_sentences(spark, d)
@@ -125,7 +131,7 @@ def prompts(spark, d):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     temp_doc_ids, build_metadata, problem_pairs_meta, problem_pairs_single, sentence_chunks, problem_doc_list, job_list, pending_jobs, concat_text, concat_listed, profile_offsets, clean_text,
-    split_description, token_measures, protected_sentences, placeholders, posnoise, impostor_ids, prompts,
+    split_description, sentence_vectors, token_measures, protected_sentences, placeholders, posnoise, impostor_ids, prompts,
 )}
 
 _W = B.with_
@@ -153,6 +159,7 @@ SQL = {
     "clean_text": r"SELECT doc_id, CAST(length(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) AS INTEGER) AS n_clean, md5(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) AS digest FROM documents",
     "split_description": """SELECT cand_id, 'gpt2' AS model, coalesce(any_value(phrase_method), 'none') AS para_method, coalesce(CAST(any_value(num_tokens) AS VARCHAR), '0') AS top_k, '0.7' AS temperature,
         coalesce(any_value(phrase_method), 'none') || '_t_0.7' AS para_method_t_temp FROM paraphrases GROUP BY cand_id""",
+    "sentence_vectors": _W("unknown_chunks", "us", "t AS (SELECT sent_id, unnest(tokens) AS w FROM us)") + "SELECT sent_id, CAST(('0x' || substr(md5(w), 1, 7))::BIGINT % 64 AS INTEGER) AS dim, CAST(count(*) AS DOUBLE) AS value FROM t GROUP BY ALL",
     "protected_sentences": r"""WITH d AS (SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+'))) AS names FROM documents WHERE text IS NOT NULL),
         e AS (SELECT doc_id, list_reduce(list_concat([text], list_sort(list_transform(names, lambda n: lpad(CAST(100000 - length(n) AS VARCHAR), 6, '0') || n))), lambda t, n: replace(t, substr(n, 7), replace(substr(n, 7), '.', chr(2)))) AS text FROM d),
         s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '""" + X.ABBREVIATION + r"""', '\1\2' || chr(2), 'g'), '[.!?]\s+|\n') AS parts FROM e),

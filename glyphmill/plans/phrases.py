@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as X
 from glyphmill.functions.textnorm import number_in
 from glyphmill.operators import phrases as P
+from glyphmill.operators.deliveries import one_delivery
+from glyphmill.operators.scoring import candidate_round
 from glyphmill.plans import base as B
 from glyphmill.session import table
 
@@ -179,6 +181,30 @@ def phrase_search(spark, d):  # noqa: ANN001, ANN201
     return P.find_phrase(c.where("sample_id is not null"), "sample_id", top.p if top else "")
 
 
+def generated_round(spark, d):  # noqa: ANN001, ANN201
+    """Each sample's candidates as one round of generation: tokens score -1/(length + 1), texts of two to eight tokens stay."""
+    p = one_delivery(table(spark, d, "paraphrases"), "cand_id", "sample_id", "phrase", "tokens").where("sample_id is not null and phrase is not null and tokens is not null")
+    rows = p.select("sample_id", F.col("cand_id").alias("ord"), F.col("phrase").alias("text"), F.transform("tokens", lambda t: -1.0 / (F.length(t) + 1)).alias("log_probs"))
+    r = candidate_round(rows, "sample_id", 2, 8)
+    return r.select("sample_id", "text", B.r6("total_logprob").alias("total_logprob"), "token_count")
+
+
+def changed_tokens(spark, d):  # noqa: ANN001, ANN201
+    """What paraphrases change in the first reference of their phrase, for those of as many tokens."""
+    c = candidates(spark, d).where("tokens is not null")
+    ref = c.where("phrase_type = 'reference'").groupBy("phrase_num").agg(F.min_by("tokens", "cand_id").alias("ref"))
+    p = c.where("phrase_type = 'paraphrase'").join(ref, "phrase_num").where(F.size("tokens") == F.size("ref"))
+    rows = p.select("cand_id", F.explode(X.changed_tokens(F.col("ref"), F.col("tokens"))).alias("x"))
+    return rows.groupBy("cand_id").agg(F.count(F.lit(1)).alias("changed"), F.min("x.at").alias("first"), F.max("x.at").alias("last"))
+
+
+def special_marks(spark, d):  # noqa: ANN001, ANN201
+    """What the tokenizers of the candidates put before tokens."""
+    p = one_delivery(table(spark, d, "paraphrases"), "cand_id", "tokens")
+    mark = p.select(F.explode("tokens").alias("t")).select(X.leading_mark(F.col("t")).alias("mark"))
+    return mark.where("mark is not null").groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+
+
 def json_paraphrases(spark, d):  # noqa: ANN001, ANN201
     """Answers as a service would give them, put together from the table and parsed again."""
     c = candidates(spark, d).where("sample_id is not null and phrase is not null")
@@ -190,7 +216,7 @@ def json_paraphrases(spark, d):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     phrase_pmf_llr, phrase_softmax, llr_excluded, llr_included, rank_vs_best, candidate_ranks, candidate_ranks_all, llr_occurrences, llr_occurrence_summary, include_phrase, token_level_raw, llr_table, llr_summary, token_threshold_rollup, merged_methods, phrase_list, kept_phrases, saturation,
-    pseudo_ll, beam_infill, variable_infill, phrase_search, json_paraphrases,
+    pseudo_ll, beam_infill, variable_infill, phrase_search, json_paraphrases, generated_round, changed_tokens, special_marks,
 )}
 
 C = """c AS (SELECT * FROM (SELECT cand_id, any_value(sample_id) AS sample_id, TRY_CAST(nullif(regexp_extract(any_value(phrase_num), '[0-9]+'), '') AS BIGINT) AS phrase_num, any_value(phrase_type) AS phrase_type, any_value(phrase_method) AS phrase_method,
@@ -251,6 +277,14 @@ SQL = {
         SELECT phrase_num, CAST(stop_round AS INTEGER) AS stop_round, CAST(total AS BIGINT) AS n_candidates FROM e JOIN q USING (phrase_num) WHERE round = stop_round""",
     "pseudo_ll": f"""WITH {C}, t AS (SELECT phrase_num, len(tokens) AS n, cand_id AS candidate, round(sum(-1.0::DOUBLE / (length(u) + 1)), 12) AS pll FROM (SELECT phrase_num, tokens, cand_id, unnest(tokens) AS u FROM c WHERE tokens IS NOT NULL AND phrase_type = 'paraphrase') GROUP BY ALL)
         SELECT phrase_num, CAST(n AS INTEGER) AS n, candidate, round(pll, 6) + 0.0 AS pll, CAST(row_number() OVER (PARTITION BY phrase_num, n ORDER BY pll DESC, candidate) AS INTEGER) AS rank FROM t""",
+    "generated_round": r"""WITH p AS (SELECT cand_id, any_value(sample_id) AS sample_id, any_value(phrase) AS phrase, any_value(tokens) AS tokens FROM paraphrases GROUP BY cand_id),
+        r AS (SELECT sample_id, cand_id, trim(regexp_replace(phrase, '\s+', ' ', 'g')) AS text, list_sum(list_transform(tokens, lambda t: CAST(-1.0 AS DOUBLE) / (length(t) + 1))) AS lp, len(tokens) AS n FROM p WHERE sample_id IS NOT NULL AND phrase IS NOT NULL AND tokens IS NOT NULL)
+        SELECT sample_id, text, round(arg_min(lp, cand_id), 6) + 0.0 AS total_logprob, CAST(arg_min(n, cand_id) AS INTEGER) AS token_count FROM r WHERE text <> '' AND n BETWEEN 2 AND 8 GROUP BY sample_id, text""",
+    "changed_tokens": f"""WITH {C}, rf AS (SELECT phrase_num, arg_min(tokens, cand_id) AS ref FROM c WHERE phrase_type = 'reference' AND tokens IS NOT NULL GROUP BY phrase_num),
+        x AS (SELECT cand_id, unnest(list_filter(range(len(tokens)), lambda i: tokens[i + 1] IS DISTINCT FROM ref[i + 1])) AS i FROM c JOIN rf USING (phrase_num) WHERE phrase_type = 'paraphrase' AND tokens IS NOT NULL AND len(tokens) = len(ref))
+        SELECT cand_id, count(*) AS changed, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last FROM x GROUP BY cand_id""",
+    "special_marks": r"""WITH p AS (SELECT unnest(any_value(tokens)) AS t, cand_id FROM paraphrases GROUP BY cand_id), m AS (SELECT substr(t, 1, 1) AS mark FROM p WHERE t <> '')
+        SELECT mark, count(*) AS n FROM m WHERE regexp_matches(mark, '[^\p{L}\p{M}\p{N}\x00-\x7F]') OR mark IN ('Ġ', 'Ċ', 'ĉ', 'Č', '▁') GROUP BY mark""",
     "phrase_search": f"WITH {C}, t AS (SELECT lower(phrase) AS p FROM c WHERE phrase IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT sample_id, count(*) AS n FROM c JOIN t ON lower(phrase) = p WHERE sample_id IS NOT NULL GROUP BY sample_id",
     "json_paraphrases": f"""WITH {C}, g AS (SELECT sample_id, phrase_num, list(DISTINCT phrase) AS l, min(phrase) AS phrase FROM c WHERE sample_id IS NOT NULL AND phrase IS NOT NULL GROUP BY ALL),
         q AS (SELECT sample_id, phrase_num, list_sort(list_distinct(list_filter(list_transform(l, lambda s: lower(s)), lambda s: s <> lower(phrase)))) AS p FROM g)

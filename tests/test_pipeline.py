@@ -103,3 +103,17 @@ def test_text_functions(spark):
 def test_numbers_within_groups(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 9), (None, 2)], "k string, i int")
     assert {(r.k, r.i): r.impostor_id for r in number_within(df, ["k"], ["i"]).collect()} == {("a", 1): 1, ("a", 3): 2, ("b", 9): 1, (None, 2): 1}
+
+
+def test_rounds_vectors_and_changes(spark):
+    from glyphmill.operators.scoring import candidate_round, embed_texts
+
+    rows = [(1, 0, " a  b ", [-1.0, -2.0]), (1, 1, "a b", [-9.0]), (1, 2, "", [-1.0]), (1, 3, "long", [-1.0] * 5), (2, 0, None, [-1.0])]
+    df = spark.createDataFrame(rows, "k int, ord int, text string, log_probs array<double>").withColumn("p", F.lit(1))
+    assert [tuple(r) for r in candidate_round(df, "k", 1, 4).collect()] == [(1, "a b", -3.0, 2)]
+    assert [tuple(r) for r in candidate_round(df, "k", 1, 3, "p").collect()] == [(1, "a b", -2.0, 1)]
+    got = embed_texts(df, "text", lambda: lambda texts: [[float(len(x))] for x in texts], "ord").collect()
+    assert sorted(r.embedding[0] for r in got) == [0.0, 0.0, 3.0, 4.0, 6.0]
+    one = spark.createDataFrame([(["a", "b", "c"], ["a", "x"], "Ġa", "—b", "é")], "a array<string>, b array<string>, m string, n string, o string")
+    r = one.select(X.changed_tokens(F.col("a"), F.col("b")).alias("c"), X.leading_mark(F.col("m")).alias("m"), X.leading_mark(F.col("n")).alias("n"), X.leading_mark(F.col("o")).alias("o")).first()
+    assert [tuple(c) for c in r.c] == [(1, "b", "x"), (2, "c", None)] and (r.m, r.n, r.o) == ("Ġ", "—", None)
