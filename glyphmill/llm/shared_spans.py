@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators.deliveries import one_delivery
+from glyphmill.operators.deliveries import bitmap, one_delivery, with_bit
 from glyphmill.session import cut
 
 GEAR = 64  # characters that a 64-bit gear hash sees
@@ -124,8 +124,10 @@ def shared_runs(docs: DataFrame, min_chars: int = 120, heads: bool = False) -> D
     texts; all of them, or with ``heads`` those that may begin a shared passage. ``before`` is the character before the
     run, -1 at the start of a text. ``docs`` is (doc_id, text) with equal ids for equal texts; rows of one id are read but once beyond their chunks."""
     found = chunks(docs, min_chars)
-    wanted = in_several(found, "digest", heads="prev" if heads else None)
-    spots = found.select("digest", "doc", "start", "end").join(wanted, "digest", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spots"))
+    wanted = cut(in_several(found, "digest", heads="prev" if heads else None))
+    # a bitmap of fixed size keeps most chunks and texts out of the shuffles; what passes it is joined exactly
+    likely = with_bit(found.select("digest", "doc", "start", "end"), "digest", bitmap(wanted, "digest"), "_maybe").where("_maybe")
+    spots = cut(likely.join(wanted, "digest", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spots")))
     reach = window(min_chars) - 1 if heads else min_chars  # a passage begins within one window before its first chunk
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,8 @@ def shared_runs(docs: DataFrame, min_chars: int = 120, heads: bool = False) -> D
                         names=["d1", "d2", "doc", "doc_id", "pos", "before"],
                     )
 
-    texts = one_delivery(docs, "doc_id", "text").select(F.xxhash64("doc_id").alias("doc"), "doc_id", "text").join(spots, "doc")
+    asked = with_bit(docs.withColumn("doc", F.xxhash64("doc_id")), "doc", bitmap(spots, "doc"), "_maybe").where("_maybe")
+    texts = one_delivery(asked, "doc_id", "text").select(F.xxhash64("doc_id").alias("doc"), "doc_id", "text").join(spots, "doc")
     return texts.select("doc", "doc_id", "text", "spots").mapInArrow(runs, "d1 bigint, d2 bigint, doc bigint, doc_id string, pos int, before int")
 
 
