@@ -79,7 +79,7 @@ def good_inputs(spark, d):  # noqa: ANN001, ANN201
     r.where("not target").write.parquet(f"{path}/two")
     r.drop("score").write.parquet(f"{path}/short")
     names = [f"{path}/{n}" for n in ("one", "missing", "short", "two")]
-    rows, bad = pipeline.each_input(spark, names, lambda p: spark.read.parquet(p).select("problem", "score"))
+    rows, bad = pipeline.each_input(spark, names, lambda p: files.required(spark.read.parquet(p), "problem", "score"))
     good = rows.groupBy(F.element_at(F.split("filename", "/"), -1).alias("input")).agg(F.count(F.lit(1)).alias("n"))
     return good.unionByName(spark.createDataFrame([(n.split("/")[-1], -1) for n in bad], "input string, n bigint"))
 

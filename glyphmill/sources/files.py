@@ -55,6 +55,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).csv(path, header=True, escape='"', quoteAll=True, nullValue=NULL_MARK, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
 
 
+def required(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns; raises where one is missing."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise KeyError(f"no columns {missing}")
+    return df.select(*columns)
+
+
 def read_tagged(spark: SparkSession, folders: dict[str, str], schema: StructType, tag: str = "source") -> DataFrame:
     """JSON-lines folders under one roof, each row with its folder's name; missing folders are skipped."""
     frames = []
