@@ -112,9 +112,9 @@ def unigram_log_probs(sentences: DataFrame) -> DataFrame:
     freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     total = freq.agg(F.sum("c").alias("s")).scalar()
     lp = freq.select("token", F.log(F.col("c") / total).alias("lp"))
-    return rows.join(lp, "token").groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n"), F.sum("lp").alias("sum_lp"), F.avg("lp").alias("avg_lp")).withColumn(
-        "perplexity", F.exp(-F.col("avg_lp"))
-    )
+    # rounded, so that equal sentences have equal scores whatever the order of summation
+    sums = rows.join(lp, "token").groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lp"), 12).alias("sum_lp"), F.round(F.avg("lp"), 12).alias("avg_lp"))
+    return sums.withColumn("perplexity", F.exp(-F.col("avg_lp")))
 
 
 @method
@@ -136,7 +136,7 @@ def perplexity_rank(problems: DataFrame, known_scores: DataFrame, unknown_scores
     ``refs`` is (problem_id, rep, perplexity), rep from 1. A problem's values come to one task; each repetition is sorted once by its differences to an unknown sentence.
     """
     side = lambda df, doc, rep: problems.select("problem_id", F.col(doc).alias("doc_id")).join(df, "doc_id").select("problem_id", F.lit(rep).alias("rep"), "perplexity")
-    rows = side(unknown_scores, "unknown_id", small_models.UNKNOWN).unionByName(side(known_scores, "known_id", small_models.KNOWN)).unionByName(refs.select("problem_id", F.col("rep").cast("int").alias("rep"), "perplexity"))
+    rows = side(unknown_scores, "unknown_id", small_models.UNKNOWN).unionByName(side(known_scores, "known_id", small_models.KNOWN)).unionByName(refs.select("problem_id", small_models.counted(F.col("rep")).alias("rep"), "perplexity"))
 
     def measure(rep: np.ndarray, values: pa.Array) -> dict[str, np.ndarray]:
         v = values.to_numpy(zero_copy_only=False)
@@ -158,9 +158,9 @@ def perplexity_rank(problems: DataFrame, known_scores: DataFrame, unknown_scores
 def impostors(problems: DataFrame, known_scores: DataFrame, unknown_scores: DataFrame, ref_docs: DataFrame) -> DataFrame:
     """``(problem_id, score)``: mean over the trials of rank / (impostors + 1) of mean(known) - mean(unknown) among the impostors' (1: highest).
 
-    ``ref_docs`` is (problem_id, rep, ref_id); means are over all tokens. Lower means closer to the top.
+    ``ref_docs`` is (problem_id, rep, ref_id); means are over all tokens, rounded to 12 places so that equal texts tie. Lower means closer to the top.
     """
-    mean = lambda s, name: s.groupBy("doc_id").agg((F.sum("sum_lp") / F.sum("n")).alias(name))
+    mean = lambda s, name: s.groupBy("doc_id").agg(F.round(F.sum("sum_lp") / F.sum("n"), 12).alias(name))
     km, um = mean(known_scores, "m"), mean(unknown_scores, "um")
     base = problems.join(um.withColumnRenamed("doc_id", "unknown_id"), "unknown_id").join(km.select(F.col("doc_id").alias("known_id"), F.col("m").alias("km")), "known_id")
     rows = ref_docs.join(km.select(F.col("doc_id").alias("ref_id"), F.col("m").alias("rm")), "ref_id").join(base, "problem_id")
@@ -337,7 +337,7 @@ def nearest(queries: DataFrame, pool: DataFrame, n: int = 5, block_rows: int = 8
                     codes = pa.concat_arrays([items.field("author"), mine.field("not_a"), mine.field("not_b")]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                     author, not_a, not_b = np.split(codes, [len(items), len(items) + len(mine)])
                 for lo in range(0, len(mine), 512):
-                    s = np.round(a[lo : lo + 512] @ c.T, 12)
+                    s = a[lo : lo + 512] @ c.T
                     if names is not None:
                         s[names[None, : len(what)] == names[len(what) + lo : len(what) + lo + len(s), None]] = -np.inf
                     if fenced:
@@ -345,12 +345,14 @@ def nearest(queries: DataFrame, pool: DataFrame, n: int = 5, block_rows: int = 8
                             f = fence[lo : lo + 512, None]
                             s[(f == author[None, :]) & (f >= 0)] = -np.inf
                     least = np.partition(s, -n, axis=1)[:, -n] if s.shape[1] > n else np.full(len(s), -np.inf)
-                    row, col = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                    best = np.lexsort((place[col], -s[row, col], row))
-                    row, col = row[best], col[best]
+                    row, col = np.nonzero((s >= least[:, None] - 1e-9) & np.isfinite(s))
+                    near = np.round(s[row, col], 12)
+                    best = np.lexsort((place[col], -near, row))
+                    row, col, near = row[best], col[best], near[best]
                     first = np.searchsorted(row, row)
-                    row, col = row[np.arange(len(row)) - first < n], col[np.arange(len(col)) - first < n]
-                    yield pa.RecordBatch.from_arrays([who.take(pa.array(row + lo)), what.take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "item_id", "similarity"])
+                    kept = np.arange(len(row)) - first < n
+                    row, col, near = row[kept], col[kept], near[kept]
+                    yield pa.RecordBatch.from_arrays([who.take(pa.array(row + lo)), what.take(pa.array(col)), pa.array(near)], names=["query_id", "item_id", "similarity"])
 
     parts = met.select("qs", "ps").mapInArrow(score, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
@@ -377,9 +379,9 @@ def similar_sentences(problems: DataFrame, sentences: DataFrame, n: int = REPS,
 
 
 def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0", strict: bool = True) -> DataFrame:
-    """``(problem_id, rep, query_id, item_id)``: for each query of a problem one of its neighbours, no item twice in a repetition.
+    """``(problem_id, rep, query_id, item_id)``, rep from 1: for each query of a problem one of its neighbours, no item twice in a repetition.
 
-    ``neighbours`` is (problem_id, query_id, item_id). Queries choose in turn in an order given by md5; one left without a free neighbour
+    ``neighbours`` is (problem_id, query_id, item_id). Queries choose in turn in an order given by md5, from a place of their own in their neighbours' order; one left without a free neighbour
     takes over by augmenting paths, and a repetition without any full assignment raises, or, if not ``strict``, leaves its problem without any row. A problem's queries are its known
     sentences, so a group is one document's size.
     """
@@ -391,13 +393,15 @@ def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0", st
     def assign(g: pd.DataFrame) -> pd.DataFrame:
         problem, out = g["problem_id"].iloc[0], []
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * len(g) + 1000))  # a chain of moves may pass every query
-        options = {k: x["item_id"].tolist() for k, x in g.groupby("query_id")}
-        for rep in range(reps):
-            order = lambda *p: hashlib.md5("|".join(map(str, (seed, problem, rep, *p))).encode()).hexdigest()  # noqa: B023, E731
+        number = lambda *p: int(hashlib.md5("|".join(map(str, (seed, problem, *p))).encode()).hexdigest()[:15], 16)
+        options = {k: sorted(x["item_id"].tolist(), key=lambda i: number(k, i)) for k, x in g.groupby("query_id")}  # noqa: B023
+        for rep in range(1, reps + 1):
+            first = {q: number(rep, q) for q in options}
             taken: dict = {}
 
             def place(q, seen: set) -> bool:  # noqa: ANN001
-                for item in sorted(options[q], key=lambda i: order(q, i)):  # noqa: B023
+                at = first[q] % len(options[q])  # noqa: B023
+                for item in options[q][at:] + options[q][:at]:
                     if item in seen:
                         continue
                     seen.add(item)
@@ -406,7 +410,7 @@ def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0", st
                         return True
                 return False
 
-            for q in sorted(options, key=order):
+            for q in sorted(options, key=first.__getitem__):
                 if not place(q, set()):
                     if strict:
                         raise ValueError(f"problem {problem}: no references without repetition")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import FLOOR, PAD_END, PAD_START
@@ -156,6 +156,11 @@ def _padded(model: np.ndarray, tokens: pa.Array, order: int) -> Padded:
     return Padded(model, pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64), codes, order)
 
 
+def counted(rep: Column) -> Column:
+    """A repetition's number, which must be 1 or more."""
+    return F.when(rep >= 1, rep.cast("int")).otherwise(F.raise_error(F.lit("repetitions count from 1")).cast("int"))
+
+
 def ratios(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: DataFrame, order: int = 10, discount: float = 0.75, full: bool = False) -> DataFrame:
     """``(problem_id, rep, n, ratio, wins, h_ref, h_known)`` of every repetition: unknown tokens and end marks, the sum of log10(known / reference probability) over them, how often the
     known model gives more, and the entropy of both models' padded tokens.
@@ -166,7 +171,7 @@ def ratios(problems: DataFrame, known: DataFrame, unknown: DataFrame, refs: Data
     if order < 2:
         raise ValueError("order must be at least 2")
     side = lambda df, doc, rep: problems.select("problem_id", F.col(doc).alias("doc_id")).join(df.select("doc_id", "tokens"), "doc_id").select("problem_id", F.lit(rep).alias("rep"), "tokens")
-    rows = side(unknown, "unknown_id", UNKNOWN).unionByName(side(known, "known_id", KNOWN)).unionByName(refs.select("problem_id", F.col("rep").cast("int").alias("rep"), "tokens"))
+    rows = side(unknown, "unknown_id", UNKNOWN).unionByName(side(known, "known_id", KNOWN)).unionByName(refs.select("problem_id", counted(F.col("rep")).alias("rep"), "tokens"))
 
     def measure(rep: np.ndarray, tokens: pa.Array) -> dict[str, np.ndarray]:
         reps, model = np.unique(rep, return_inverse=True)

@@ -199,8 +199,8 @@ _SENT = B.ref_sentences_sql(REPS)
 _DOCREFS = B.ref_docs_sql(1, REPS) + ",\nrefs AS MATERIALIZED (SELECT problem_id, CAST(place AS INTEGER) AS rep, sent_id FROM ref_docs JOIN ks ON ks.doc_id = ref_id)"
 _LP = """tk AS (SELECT 'k' AS side, doc_id, sent_id, unnest(tokens) AS token FROM ks UNION ALL SELECT 'u', doc_id, sent_id, unnest(tokens) FROM us),
     fr AS (SELECT token, ln(count(*) / (SELECT count(*) FROM tk)) AS lp FROM tk GROUP BY token),
-    sc AS MATERIALIZED (SELECT side, doc_id, sent_id, count(*) AS n, sum(lp) AS sum_lp, avg(lp) AS avg_lp, exp(-avg(lp)) AS perplexity FROM tk JOIN fr USING (token) GROUP BY ALL),
-    dm AS MATERIALIZED (SELECT side, doc_id, sum(sum_lp) / sum(n) AS m FROM sc GROUP BY ALL)"""
+    sc AS MATERIALIZED (SELECT side, doc_id, sent_id, count(*) AS n, round(sum(lp), 12) AS sum_lp, round(avg(lp), 12) AS avg_lp, exp(-round(avg(lp), 12)) AS perplexity FROM tk JOIN fr USING (token) GROUP BY ALL),
+    dm AS MATERIALIZED (SELECT side, doc_id, round(sum(sum_lp) / sum(n), 12) AS m FROM sc GROUP BY ALL)"""
 
 
 def _emd(name: str, source: str, key: str) -> str:

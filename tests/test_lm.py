@@ -163,7 +163,8 @@ def test_nearest_against_brute_force(spark):
 def test_references_without_repetition(spark):
     n = spark.createDataFrame([(1, q, i) for q, items in ((1, "ab"), (2, "a"), (3, "bc")) for i in items], "problem_id int, query_id int, item_id string")
     rows = scorers.similar_references(n, reps=2).collect()
-    for rep in (0, 1):
+    assert {r.rep for r in rows} == {1, 2}
+    for rep in (1, 2):
         used = [r.item_id for r in rows if r.rep == rep]
         assert len(used) == len(set(used)) == 3
     short = spark.createDataFrame([(1, 1, "a"), (1, 2, "a")], "problem_id int, query_id int, item_id string")

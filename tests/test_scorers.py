@@ -129,3 +129,24 @@ def test_impostor_distances_against_loops(spark):
             total += 1 / (1 + sum(emd(scaled["u"], scaled[(ring + ring)[i]]) < ku for i in range(s, s + n)))
         want.append((1, test + 1, pytest.approx(ku), pytest.approx(total / 20)))
     assert got == want
+
+
+def test_max_similarity_against_plain_models(spark):
+    """References come from the nearest sentences of other authors, one for each known sentence, and are scored as any others."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("a b c d e f g h".split())
+    rows = [(f"d{k}", rng.choice("xyz") if k else "k", f"d{k}:{j}", [word() for _ in range(rng.randint(2, 6))]) for k in range(12) for j in range(4)]
+    known = spark.createDataFrame(rows, "doc_id string, author string, sent_id string, tokens array<string>")
+    from glyphmill.functions import text as X
+
+    problems = spark.createDataFrame([(1, "d0", "u", "k", "x")], "problem_id bigint, known_id string, unknown_id string, known_author string, unknown_author string")
+    picks = scorers.similar_sentences(problems, known.withColumn("vector", X.hashed_vector(F.col("tokens"))), 6, 3).collect()
+    author, tokens = {r[2]: r[1] for r in rows}, {r[2]: r[3] for r in rows}
+    for rep in (1, 2, 3):
+        mine = [r.sent_id for r in picks if r.rep == rep]
+        assert len(mine) == 4 and len({tuple(tokens[s]) for s in mine}) == 4 and not {author[s] for s in mine} & {"k", "x"}
+    unknown = spark.createDataFrame([("u", "u0", ["a", "b", "c"])], "doc_id string, sent_id string, tokens array<string>")
+    refs = spark.createDataFrame([(1, r.rep, tokens[r.sent_id]) for r in picks], "problem_id bigint, rep int, tokens array<string>")
+    assert small_models.ratios(problems, known, unknown, refs, 3).count() == 3
+    with pytest.raises(Exception, match="count from 1"):
+        small_models.ratios(problems, known, unknown, refs.withColumn("rep", F.col("rep") - 1), 3).collect()
