@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators.running import running
-from glyphmill.session import cut
+from glyphmill.session import cut, shuffle_partitions
 
 
 def token_counts(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -288,6 +288,127 @@ def largest_common_run(pairs: DataFrame, left: DataFrame, right: DataFrame, leas
     return words.groupBy("pair_id", F.col("n").cast("int").alias("highest_common_count")).agg(F.array_join(F.min("g"), " ").alias("ngram"))
 
 
+#: Tokens of a profile up to which it is laid out in one task; larger ones stay in rows.
+PROFILE_TOKENS = 1 << 22
+#: Stands for a null token in joined tokens.
+NULL_TOKEN = "\u0002"
+
+
+def _longest_shared(left: np.ndarray, rights: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For each of ``rights`` the greatest length of a run that ``left`` has too and the place of the first such run by its codes. Codes are 0 or more.
+
+    All sequences are laid end to end and their suffixes ranked by doubling; the longest match of a suffix is with the nearest suffix of ``left`` on either side of it.
+    """
+    if not len(left):
+        return [(0, 0)] * len(rights)
+    top = max(int(x.max()) for x in (left, *rights) if len(x)) + 1
+    parts = [left, *rights]
+    text = np.concatenate([np.append(x, top + k) for k, x in enumerate(parts)])  # each ends with a mark of its own
+    total = len(text)
+    ids = [np.unique(text, return_inverse=True)[1].reshape(-1).astype(np.int32)]
+    while (most := int(ids[-1].max()) + 1) < total:
+        step = 1 << (len(ids) - 1)
+        key = ids[-1] * np.int64(most + 1)
+        key[: max(total - step, 0)] += ids[-1][step:] + 1
+        ids.append(np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int32))
+    order = np.argsort(ids[-1])
+    mine = order < len(left)
+    spot, length = np.arange(total), np.zeros(total, np.int64)
+    before = np.maximum.accumulate(np.where(mine, spot, -1))
+    after = np.minimum.accumulate(np.where(mine, spot, total)[::-1])[::-1]
+    other = order > len(left)
+    for near in (before, after):
+        ok = other & (near >= 0) & (near < total)
+        a, b = order[ok], order[near[ok]]
+        shared = np.zeros(len(a), np.int64)
+        for k in reversed(range(len(ids))):
+            x, y = a + shared, b + shared
+            fits = (x < total) & (y < total)
+            same = fits & (ids[k][np.minimum(x, total - 1)] == ids[k][np.minimum(y, total - 1)])
+            shared += same * (1 << k)
+        length[a] = np.maximum(length[a], shared)
+    out, begin = [], len(left) + 1
+    for x in rights:
+        own = length[begin : begin + len(x)]
+        best = int(own.max(initial=0))
+        at = np.flatnonzero(own == best)
+        out.append((best, int(at[np.argmin(ids[-1][begin + at])]) if best else 0))
+        begin += len(x) + 1
+    return out
+
+
+def largest_common_run_of_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, owner: str, order: list[str], tokens: str = "tokens", least: int = 2, most: int = PROFILE_TOKENS) -> DataFrame:
+    """``(pair_id, highest_common_count, ngram)`` as ``largest_common_run`` gives, from the owners' texts (owner, *order, tokens), laid end to end in their order.
+
+    The smaller profile of a pair is sent to the larger one, and all that one profile is compared with meet it in one task. Pairs with a profile of more than ``most`` tokens are compared in rows of tokens.
+    """
+    sides = [t.where(F.col(owner).isNotNull() & F.col(tokens).isNotNull()).select(F.col(owner).alias("owner"), *order, F.col(tokens).alias("_t")) for t in (left, right)]
+    lead = order[:-1] or order  # what is sent are joined tokens of whole documents, which stand with their owners
+    lines = sides[0].withColumn("_s", F.lit(0)).unionByName(sides[1].withColumn("_s", F.lit(1))).where(F.size("_t") > 0)
+    lines = lines.select("_s", "owner", *order, F.size("_t").alias("_k"), F.array_join("_t", SEP, NULL_TOKEN).alias("_t")).repartition(shuffle_partitions(pairs.sparkSession), "_s", "owner")
+    parts = lines.groupBy("_s", "owner", *lead).agg(F.sort_array(F.collect_list(F.struct(order[-1], "_t"))).alias("_p"), F.sum("_k").alias("_k"))
+    texts = cut(parts.select("_s", "owner", *lead, "_k", F.array_join(F.transform("_p", lambda x: x["_t"]), SEP).alias("_t")))
+    sizes = [texts.where(f"_s = {k}").groupBy(F.col("owner").alias(f"{c}_id")).agg(F.sum("_k").alias(f"_{c}")) for k, c in enumerate(("left", "right"))]
+    asked = cut(pairs.select("pair_id", "left_id", "right_id").join(sizes[0], "left_id").join(sizes[1], "right_id"))
+    rows, fits = None, F.greatest("_left", "_right") <= most
+    if (far := asked.where(~fits)).limit(1).count():
+        named = [t.join(far.select(F.col(c).alias("owner")).distinct(), "owner", "left_semi") for t, c in zip(sides, ("left_id", "right_id"), strict=True)]
+        rows = largest_common_run(far.select("pair_id", "left_id", "right_id"), *[cut(profile_tokens(t, "owner", order, "_t")) for t in named], least)
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    at = lambda s, c: F.struct(F.lit(s).alias("s"), F.col(c).alias("owner"))
+    turned = F.col("_left") < F.col("_right")
+    ends = asked.where(fits).select("pair_id", F.when(turned, at(1, "right_id")).otherwise(at(0, "left_id")).alias("_to"), F.when(turned, at(0, "left_id")).otherwise(at(1, "right_id")).alias("_of"))
+    wanted = ends.select("_to", F.lit(1).alias("_side"), "pair_id", "_of").unionByName(ends.select("_to", F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("pair_id"), F.col("_to").alias("_of")).distinct())
+    met = wanted.select(F.concat_ws("|", "_to.s", "_to.owner").alias("_to"), "_side", "pair_id", F.col("_of.s").alias("_s"), F.col("_of.owner").alias("owner")).join(texts.drop("_k"), ["_s", "owner"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            x = pa.Table.from_batches(held).combine_chunks()
+            side, texts = x.column(1).to_numpy(), pc.split_pattern(pa.concat_arrays(x.column(3).chunks), SEP)
+            if side[0] or not side[-1]:
+                return
+            names_of = pc.fill_null(pa.concat_arrays(x.column(2).chunks).dictionary_encode().indices, -1).to_numpy()
+            first = np.r_[0, np.flatnonzero((names_of[1:] != names_of[:-1]) | (side[1:] != side[:-1])) + 1]
+            words = pc.list_flatten(texts).dictionary_encode()
+            by = pc.sort_indices(words.dictionary)
+            names = words.dictionary.take(by).to_pylist()
+            code = np.zeros(len(names), np.int64)
+            code[by.to_numpy()] = np.arange(len(names))
+            codes = code[words.indices.to_numpy()]
+            sizes = np.add.reduceat(pc.list_value_length(texts).to_numpy().astype(np.int64), first)
+            profiles = np.split(codes, np.cumsum(sizes)[:-1])
+            lo, best = 1, []
+            while lo < len(profiles):
+                hi, size = lo + 1, len(profiles[lo])
+                while hi < len(profiles) and size + len(profiles[hi]) <= max(len(profiles[0]) // 2, 1 << 16):
+                    size += len(profiles[hi])
+                    hi += 1
+                best += _longest_shared(profiles[0], profiles[lo:hi])
+                lo = hi
+            kept = [(k + 1, n, [names[c] for c in profiles[k + 1][at : at + n]]) for k, (n, at) in enumerate(best) if n >= least]
+            ids = pa.concat_arrays(x.column(2).chunks).take(pa.array([first[k] for k, _, _ in kept], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([n for _, n, _ in kept], pa.int32()), pa.array([" ".join(w for w in g if w != NULL_TOKEN) for _, _, g in kept], pa.string())], names=["pair_id", "highest_common_count", "ngram"])
+
+        for b in batches:
+            of = b.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, b.num_rows]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if hi == lo:
+                    continue
+                if held and held[0].column(0)[0].as_py() != b.column(0)[lo].as_py():
+                    yield from give()
+                    held.clear()
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from give()
+
+    ordered = met.select("_to", "_side", "pair_id", "_t", *lead).repartition("_to").sortWithinPartitions("_to", "_side", "pair_id", *lead)
+    runs = ordered.select("_to", "_side", "pair_id", "_t").mapInArrow(compare, f"pair_id {kind}, highest_common_count int, ngram string")
+    return runs if rows is None else runs.unionByName(rows)
+
+
 def readable(grams: DataFrame, order: str = "count_desc", sep: str = " ", strip: tuple[str, ...] = ()) -> DataFrame:
     """``(pair_id, place, n, pretty, raw)``: the shared n-grams of each pair in reading order: by how many there are of a length (``count_desc``), or by length (``len_asc``, ``len_desc``), and by tokens within one.
 

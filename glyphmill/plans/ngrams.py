@@ -55,10 +55,10 @@ def largest_common_ngram_files(spark, d):  # noqa: ANN001, ANN201
 def largest_common_ngram_profiles(spark, d):  # noqa: ANN001, ANN201
     """For each problem the longest run of words that all texts of its known author and all of its unknown author share."""
     chunk = F.regexp_extract("sent_id", "([0-9]+)$", 1).cast("int")
-    profile = lambda s: N.profile_tokens(s.withColumn("chunk", chunk), "author", ["doc_id", "chunk"])
+    texts = lambda s: s.select("author", "doc_id", chunk.alias("chunk"), "tokens")
     m = table(spark, d, "agg_metadata").where("known_author is not null and unknown_author is not null").select("problem", "known_author", "unknown_author").distinct()
     pairs = m.select(F.col("known_author").alias("left_id"), F.col("unknown_author").alias("right_id")).distinct().withColumn("pair_id", F.concat_ws("|", "left_id", "right_id"))
-    best = N.largest_common_run(pairs, cut(profile(B.known_sentences(spark, d))), cut(profile(B.unknown_sentences(spark, d))))
+    best = N.largest_common_run_of_texts(pairs, texts(B.known_sentences(spark, d)), texts(B.unknown_sentences(spark, d)), "author", ["doc_id", "chunk"])
     return m.withColumn("pair_id", F.concat_ws("|", "known_author", "unknown_author")).join(best, "pair_id", "left").drop("pair_id").fillna(0, ["highest_common_count"])
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -136,3 +137,21 @@ def test_largest_common_run_of_profiles(spark):
                 n = max(map(len, runs))
                 want[a + b] = (n, " ".join(min(r for r in runs if len(r) == n)))
     assert got == want and not {"pnone", "psingle", "lost"} & set(got)
+
+
+@pytest.mark.parametrize("most", [1 << 18, 20])
+def test_largest_common_run_of_texts_equals_the_rows(spark, most):
+    """Profiles in one row, in rows of tokens, or some of each; the task that holds them needs no join by length."""
+    rng = random.Random(11)
+    texts = lambda owners, words, n: spark.createDataFrame([(a, f"d{rng.randint(1, 3)}", k, [rng.choice(words) for _ in range(rng.randint(0, 9))]) for a in owners for k in range(rng.randint(1, n))] + [(None, "d", 1, ["a"])], "author string, doc_id string, chunk int, tokens array<string>")
+    known, unknown = texts("pqrs", ["a", "b", "c", "é", "z"], 8), texts("uvwxy", ["a", "b", "é", "q"], 5)
+    pairs = spark.createDataFrame([(f"{a}{b}", a, b) for a in "pqrs" for b in "uvwxy"] + [("again", "p", "u"), ("lost", "nobody", "u")], "pair_id string, left_id string, right_id string")
+    order = ["doc_id", "chunk"]
+    want = sorted(tuple(r) for r in N.largest_common_run(pairs, *(N.profile_tokens(t, "author", order) for t in (known, unknown))).collect())
+    assert sorted(tuple(r) for r in N.largest_common_run_of_texts(pairs, known, unknown, "author", order, most=most).collect()) == want and len(want) > 5
+
+
+def test_longest_shared_takes_repetitive_profiles():
+    a, b = np.zeros(3000, np.int64), np.r_[np.zeros(700, np.int64), 1, np.zeros(900, np.int64)]
+    assert N._longest_shared(a, [b, np.array([2, 1]), np.zeros(0, np.int64), a]) == [(900, 701), (0, 0), (0, 0), (3000, 0)]
+    assert N._longest_shared(np.array([3, 1, 2, 3, 1, 1]), [np.array([3, 1, 1, 0, 1, 2, 3])]) == [(3, 4)]
