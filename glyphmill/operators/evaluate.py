@@ -5,6 +5,8 @@ Group keys are always a list of columns (may be empty); targets are booleans. Ro
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -164,6 +166,56 @@ def _fits(x: np.ndarray, y: np.ndarray, n: np.ndarray, left_out: np.ndarray, pen
     return w, b
 
 
+#: Terms of the series that leave-one-out fits use, and how far a trial's log-odds may move from the fit on all for it to hold to the last digits (it converges up to pi).
+TERMS, NEAR = 14, 0.25
+
+
+def _near_fits(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(w, b, ok)``: for every kind the fit with one of its trials taken off, in time linear in the kinds.
+
+    Such fits lie near the fit on all, so the sums over all trials are a polynomial in how far weight and intercept move: the Taylor series of the logistic function, with moments of the scores
+    as coefficients. ``ok`` is false where a fit has not converged or moves any trial's log-odds by more than ``NEAR``; these are to be made in full.
+    """
+    (w0,), (b0,) = _fits(x, y, n, np.array([-1]), penalty, steps)
+    mean, scale = np.average(x, weights=n), max(float(np.abs(x - np.average(x, weights=n)).max()), 1e-300)
+    z, p = (x - mean) / scale, 1 / (1 + np.exp(-np.clip(w0 * x + b0, -500, 500)))
+    # derivatives of the logistic function are polynomials in its value
+    poly, terms = np.array([0.0, 1.0]), [p - y]
+    for k in range(1, TERMS + 1):
+        poly = np.polynomial.polynomial.polymul(np.polynomial.polynomial.polyder(poly), [0.0, 1.0, -1.0]) / k
+        terms.append(np.polynomial.polynomial.polyval(p, poly))
+    powers = np.stack([z**j for j in range(TERMS + 3)])
+    moments = np.stack([powers @ (n * t) for t in terms])  # [k, j]: sum of n * (k-th coefficient) * z^j
+    choose = [[float(math.comb(k, j)) for j in range(k + 1)] for k in range(TERMS + 1)]
+
+    def sums(u: np.ndarray, v: np.ndarray, a: int, derived: int) -> np.ndarray:
+        """Sum of n * z^a * (value, or slope if ``derived``) at weight and intercept moved by u and v."""
+        out = np.zeros(len(u))
+        for k in range(TERMS + 1 - derived):
+            row = moments[k + derived] * (k + 1 if derived else 1)
+            for j in range(k + 1):
+                out += choose[k][j] * row[a + j] * u**j * v ** (k - j)
+        return out
+
+    u, v, done = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), bool)
+    soft = penalty / scale**2  # weights are in units of the scaled scores
+    for _ in range(steps):
+        q = 1 / (1 + np.exp(-np.clip(w0 * x + b0 + u * z + v, -500, 500)))
+        r, s = q - y, q * (1 - q)
+        g0, g1 = sums(u, v, 1, 0) - r * z + soft * (w0 * scale + u), sums(u, v, 0, 0) - r
+        h00, h01, h11 = sums(u, v, 2, 1) - s * z * z + soft, sums(u, v, 1, 1) - s * z, sums(u, v, 0, 1) - s
+        with np.errstate(all="ignore"):
+            det = h00 * h11 - h01 * h01
+            du, dv = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        good = np.isfinite(du) & np.isfinite(dv) & (np.abs(u - du) + np.abs(v - dv) <= 4 * NEAR)
+        u, v = np.where(good, u - du, u), np.where(good, v - dv, v)
+        done = good & (np.maximum(np.abs(du), np.abs(dv)) < 1e-11)
+        if (done | ~good).all():
+            break
+    ok = done & (np.abs(u) + np.abs(v) <= NEAR)  # no scaled score is beyond 1
+    return w0 + u / scale, b0 + v - u * mean / scale, ok
+
+
 def fit_logistic(df: DataFrame, keys: list[str], score: str = "score", target: str = "target", c: float | None = 1.0, steps: int = 30) -> pd.DataFrame:
     """Weight and intercept by group, one row a group, by Newton steps whose sums are distributed aggregates.
 
@@ -207,14 +259,16 @@ def calibrate(train: DataFrame, test: DataFrame, keys: list[str], score: str = "
 
 #: Kinds of trials left out in one task.
 LEFT_OUT = 512
+#: Cells of (fit, kind) held at once.
+CELLS = 1 << 20
 
 
 def calibrate_loo(df: DataFrame, keys: list[str], ident: str, score: str = "score", target: str = "target", c: float | None = 1.0, standardise: bool = False, block: int = LEFT_OUT) -> DataFrame:
     """``(*keys, ident, score, target, pred_prob, pred_llr)``: each trial calibrated by a fit on the others of its group.
 
-    Leaving one out needs a fit a trial; equal (score, target) share one. A task makes the fits of ``block`` kinds against their group's table of (score, class, times), starting from the
-    fit on all; a group of many trials is many tasks. With ``standardise`` scores are first brought to mean 0 and population deviation 1 of the whole group. Where nothing of a class is left
-    the probability is null.
+    Leaving one out needs a fit a trial; equal (score, target) share one. A group of more than ``block`` kinds is fitted by a series about the fit on all (``_near_fits``), in time linear in its kinds; the
+    fits of smaller groups, and those that the series does not hold for, are made in full, ``block`` kinds a task against their group's table of (score, class, times), a part of them at once. With ``standardise`` scores
+    are first brought to mean 0 and population deviation 1 of the whole group. Where nothing of a class is left the probability is null.
     """
     rows = _usable(df, score, target).select(*keys, ident, score, target, F.col(score).cast("double").alias("_x"))
     if standardise:
@@ -223,29 +277,47 @@ def calibrate_loo(df: DataFrame, keys: list[str], ident: str, score: str = "scor
         rows = rows.withColumn("_x", (F.col("_x") - F.col("_m")) / F.coalesce("_d", F.lit(1.0))).drop("_m", "_d")
     rows = cut(rows)
     kinds = rows.groupBy(*keys, "_x", F.col(target).alias("_t")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    tables = kinds.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_t", "_n")).alias("_table"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    met = kinds.join(tables, keys) if keys else kinds.crossJoin(tables)  # one row a group
-    met = met.withColumn("_block", F.pmod(F.xxhash64("_x", "_t"), "_blocks")).groupBy(*keys, "_block").agg(F.collect_list(F.struct("_x", "_t")).alias("_out"), F.first("_table").alias("_table"))
+    tables = cut(kinds.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_t", "_n")).alias("_table")))
     penalty = 0.0 if c is None else 1.0 / c
+    schema = ", ".join([*(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keys), "_x double, _t boolean, pred_prob double, _ok boolean"])
+
+    def full(x: np.ndarray, y: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = max(1, CELLS // len(x))
+        parts = [_fits(x, y, n, at[k : k + size], penalty) for k in range(0, len(at), size)]
+        return np.concatenate([w for w, _ in parts]), np.concatenate([b for _, b in parts])
 
     def fit(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for k in range(batch.num_rows):
-                out, table = (batch.column(len(keys) + j).slice(k, 1).flatten() for j in (0, 1))
+                columns = [batch.column(len(keys) + j).slice(k, 1).flatten() for j in range(batch.num_columns - len(keys))]
+                table, out = columns[0], columns[-1]  # without kinds of its own all of the table
                 x, n = (table.field(f).to_numpy(zero_copy_only=False) for f in ("_x", "_n"))
                 y = table.field("_t").to_numpy(zero_copy_only=False).astype(float)
                 ox, oy = out.field("_x").to_numpy(zero_copy_only=False), out.field("_t").to_numpy(zero_copy_only=False).astype(float)
-                place = {kind: j for j, kind in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
-                at = np.array([place[kind] for kind in zip(ox.tolist(), oy.tolist(), strict=True)])
-                w, b = _fits(x, y, n, at, penalty)
+                ok = np.ones(len(ox), bool)
+                if len(columns) > 1:
+                    place = {kind: j for j, kind in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+                    w, b = full(x, y, n, np.array([place[kind] for kind in zip(ox.tolist(), oy.tolist(), strict=True)]))
+                elif len(x) <= block:
+                    w, b = full(x, y, n, np.arange(len(x)))
+                else:
+                    w, b, ok = _near_fits(x, y, n, penalty)
                 p = 1 / (1 + np.exp(-np.clip(w * ox + b, -500, 500)))
                 rest = n[y == 1].sum() - oy, n[y == 0].sum() - (1 - oy)
-                p[(rest[0] <= 0) | (rest[1] <= 0)] = np.nan
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array([k] * len(p))) for j in range(len(keys))), out.field("_x"), out.field("_t"), pa.array(p, from_pandas=True)], names=[*keys, "_x", "_t", "pred_prob"])
-
-    schema = ", ".join([*(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keys), "_x double, _t boolean, pred_prob double"])
-    done = met.select(*keys, "_out", "_table").mapInArrow(fit, schema).withColumnRenamed("_t", target)
-    return rows.join(done, [*keys, "_x", target]).select(*keys, ident, score, target, "pred_prob", log10_odds(F.col("pred_prob")).alias("pred_llr"))
+                bare = (rest[0] <= 0) | (rest[1] <= 0)
+                p[bare] = np.nan
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(j).take(pa.array([k] * len(p))) for j in range(len(keys))), out.field("_x"), out.field("_t"), pa.array(p, from_pandas=True), pa.array(ok | bare)], names=[*keys, "_x", "_t", "pred_prob", "_ok"]
+                )
+
+    done = cut(tables.select(*keys, "_table").mapInArrow(fit, schema))
+    if (open_ := done.where("not _ok")).limit(1).count():
+        sizes = tables.select(*keys, F.ceil(F.size("_table") / block).cast("int").alias("_blocks"))
+        left = open_.join(sizes, keys) if keys else open_.crossJoin(sizes)  # one row a group
+        left = left.groupBy(*keys, F.pmod(F.xxhash64("_x", "_t"), "_blocks").alias("_block")).agg(F.collect_list(F.struct("_x", "_t")).alias("_out"))
+        met = left.join(tables, keys) if keys else left.crossJoin(tables)
+        done = done.where("_ok").unionByName(met.select(*keys, "_table", "_out").mapInArrow(fit, schema))
+    return rows.join(done.withColumnRenamed("_t", target), [*keys, "_x", target]).select(*keys, ident, score, target, "pred_prob", log10_odds(F.col("pred_prob")).alias("pred_llr"))
 
 
 def performance(predictions: DataFrame, keys: list[str], target: str = "target", decision_llr: float = 0.0) -> DataFrame:

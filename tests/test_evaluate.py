@@ -39,6 +39,42 @@ def test_leave_one_out_equals_separate_fits(spark):
     assert z == 24 and E.calibrate_loo(df.where("i = 0"), ["g"], "i").first().pred_prob is None and E.calibrate_loo(df.where("false"), ["g"], "i").count() == 0
 
 
+@pytest.mark.parametrize("penalty", [0.0, 1.0])
+def test_near_fits_equal_full_fits(penalty):
+    """Leave-one-out fits of a large group by series are those made in full, outliers and repeated trials included, without a table of fits by kinds."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(-40, 3, 900), 25.0, -90.0]
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-(x + 40) / 3))).astype(float)
+    n = rng.integers(1, 4, len(x)).astype(float)
+    w, b, ok = E._near_fits(x, y, n, penalty)
+    v, c = E._fits(x, y, n, np.arange(len(x)), penalty)
+    assert ok.mean() > 0.99 and np.abs(w - v)[ok].max() < 1e-9 and np.abs(w * x + b - v * x - c)[ok].max() < 1e-9
+    apart = np.arange(40.0)
+    assert not E._near_fits(apart, (apart > 20).astype(float), np.ones(40), 0.0)[2].any()  # no finite fit: made in full
+
+
+def test_leave_one_out_of_a_large_group_holds_few_cells(spark, monkeypatch):
+    """Memory does not grow with fits by kinds; what the series does not hold for is made in full."""
+    rng = np.random.default_rng(5)
+    rows = [("g", k, float(rng.normal() + k % 2), k % 2 == 1) for k in range(700)] + [("apart", k, float(k), k >= 350) for k in range(700)]
+    df = spark.createDataFrame(rows, "g string, i int, score double, target boolean")
+    cells = []
+    fits = E._fits
+    monkeypatch.setattr(E, "_fits", lambda x, y, n, out, *more: cells.append(len(x) * len(out)) or fits(x, y, n, out, *more))
+    x, y = np.array([r[2] for r in rows[:700]]), np.array([float(r[3]) for r in rows[:700]])
+    E._near_fits(x, y, np.ones(700), 1.0)
+    assert max(cells) <= 700
+    monkeypatch.undo()
+    for c in (1.0, None):
+        got = {(r.g, r.i): r.pred_prob for r in E.calibrate_loo(df, ["g"], "i", c=c).collect()}
+        for g, lo in (("g", 0), ("apart", 700)):
+            x, y = np.array([r[2] for r in rows[lo : lo + 700]]), np.array([float(r[3]) for r in rows[lo : lo + 700]])
+            w, b = fits(x, y, np.ones(700), np.arange(0, 700, 50), 0.0 if c is None else 1.0)
+            for j, k in enumerate(range(0, 700, 50)):
+                assert got[g, k] == pytest.approx(1 / (1 + np.exp(-np.clip(w[j] * x[k] + b[j], -500, 500))), abs=1e-9)
+        assert len(got) == 1400
+
+
 def test_auc_and_eer_with_ties(spark):
     rows = [(0.9, True), (0.5, True), (0.5, False), (0.5, False), (0.1, False), (0.1, True)]
     df = spark.createDataFrame([("g", s, t) for s, t in rows], "g string, score double, target boolean")
