@@ -75,6 +75,19 @@ def test_leave_one_out_of_a_large_group_holds_few_cells(spark, monkeypatch):
         assert len(got) == 1400
 
 
+def test_models_of_large_groups_need_little_memory():
+    """Both models of a comparison are calibrated by the series: memory grows with the kinds, not with fits times kinds."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=6000)
+    tracemalloc.start()
+    for y in (rng.random(6000) < 0.4, x + rng.normal(size=6000) > 0):
+        assert E._near_fits(x, y.astype(float), np.ones(6000), 1.0)[2].all()
+    assert tracemalloc.get_traced_memory()[1] < 16e6  # 512 fits on 6000 kinds take 24 MB for one array alone
+    tracemalloc.stop()
+
+
 def test_auc_and_eer_with_ties(spark):
     rows = [(0.9, True), (0.5, True), (0.5, False), (0.5, False), (0.1, False), (0.1, True)]
     df = spark.createDataFrame([("g", s, t) for s, t in rows], "g string, score double, target boolean")
