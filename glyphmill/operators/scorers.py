@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators import small_models
-from glyphmill.operators.ngrams import token_counts
+from glyphmill.operators.ngrams import NULL_TOKEN, SEP, token_counts
 from glyphmill.operators.sampling import hash_number
 from glyphmill.session import cut
 
@@ -86,21 +87,76 @@ def divergences(pairs: DataFrame, p: DataFrame, alpha: float = 0.5) -> DataFrame
     )
 
 
+#: Known documents of a block that the texts compared with them are sent to.
+BLOCK_DOCS = 4096
+
+
 @method
 def divergence_scores(problems: DataFrame, known: DataFrame, unknown: DataFrame, ref_docs: DataFrame, alpha: float = 0.5) -> DataFrame:
     """``(problem_id, jsd, renyi, hellinger)``: mean over the reference documents of divergence(unknown, reference) - divergence(unknown, known).
 
-    ``ref_docs`` is (problem_id, rep, ref_id) with ref_id in ``known``. Each pair of documents is measured once, however many problems name it.
+    ``ref_docs`` is (problem_id, rep, ref_id) with ref_id in ``known``. Known documents stand in blocks by md5, in the order of the ring that samples are arcs of, so a problem's unknown
+    text is sent to one or two blocks with the 64-bit hashes of its reference documents' names, and no token of a pair is shuffled. A document that is missing on one side has no tokens.
     """
-    side = lambda s, d: token_counts(d, "doc_id").select(F.concat(F.lit(s), "doc_id").alias("id"), "token", "p")
-    p = cut(side("u:", unknown).unionByName(side("k:", known)))
-    uk = problems.select("problem_id", F.lit(-1).alias("rep"), F.concat(F.lit("u:"), "unknown_id").alias("left_id"), F.concat(F.lit("k:"), "known_id").alias("right_id"))
-    ur = ref_docs.join(problems, "problem_id").select("problem_id", F.col("rep").cast("int").alias("rep"), F.concat(F.lit("u:"), "unknown_id").alias("left_id"), F.concat(F.lit("k:"), "ref_id").alias("right_id"))
-    named = uk.unionByName(ur).withColumn("pair_id", F.concat_ws("|", "left_id", "right_id"))
-    d = divergences(named.select("pair_id", "left_id", "right_id").distinct(), p, alpha)
-    rows = named.join(d, "pair_id")
-    ref, kn = F.col("rep") >= 0, F.col("rep") < 0
-    return rows.groupBy("problem_id").agg(*[(F.avg(F.when(ref, F.col(c))) - F.max(F.when(kn, F.col(c)))).alias(c) for c in ("jsd", "renyi", "hellinger")])
+    def texts(df: DataFrame) -> DataFrame:
+        rows = df.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", SEP, NULL_TOKEN).alias("_t"))
+        return rows.groupBy("doc_id").agg(F.array_join(F.collect_list("_t"), SEP).alias("text"))
+
+    docs = cut(texts(known))
+    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    block = lambda doc: F.floor(hash_number(F.concat_ws("|", F.lit("0"), doc)) / float(1 << 60) * blocks).cast("int").alias("_block")
+    row = lambda text, ident, problem, own, refs: F.struct(text.alias("text"), ident.alias("id"), problem.alias("problem_id"), own.alias("own"), refs.alias("refs"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = problems.schema["problem_id"].dataType.simpleString()
+    named = ref_docs.select("problem_id", F.lit(False).alias("own"), F.col("ref_id").alias("_doc")).unionByName(problems.select("problem_id", F.lit(True).alias("own"), F.col("known_id").alias("_doc"))).where("_doc is not null")
+    lists = named.select("problem_id", "own", block("_doc"), F.xxhash64("_doc").alias("_h")).repartition("problem_id").groupBy("problem_id", "own", "_block").agg(F.collect_list("_h").alias("refs"))
+    asked = lists.join(problems.select("problem_id", F.col("unknown_id").alias("doc_id")), "problem_id").join(texts(unknown), "doc_id", "left")
+    rows = docs.select(block("doc_id"), F.lit(0).alias("rep"), row(F.col("text"), F.xxhash64("doc_id"), none(kind), none("boolean"), none("array<bigint>")).alias("v"))
+    rows = rows.unionByName(asked.select("_block", F.lit(1).alias("rep"), row(F.col("text"), none("bigint"), F.col("problem_id"), F.col("own"), F.col("refs")).alias("v")))
+
+    def measure(rep: np.ndarray, v: pa.Array) -> dict[str, np.ndarray | list]:
+        lists = pc.split_pattern(v.field("text"), SEP)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.list_flatten(lists).dictionary_encode()
+        kinds = max(1, len(words.dictionary))
+        pairs, n = np.unique(np.repeat(np.arange(len(rep)), size) * kinds + words.indices.to_numpy().astype(np.int64), return_counts=True)
+        of, code = pairs // kinds, pairs % kinds
+        p = n / size[of]
+        begin = np.searchsorted(of, np.arange(len(rep) + 1))
+        there = int((rep == 0).sum())
+        ids = v.field("id").slice(0, there).to_numpy(zero_copy_only=False).astype(np.int64)
+        by = np.argsort(ids)
+        refs, whose = v.field("refs").slice(there), v.field("problem_id").slice(there)
+        wanted = pc.list_flatten(refs).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.r_[0, np.cumsum(pc.list_value_length(refs).to_numpy(zero_copy_only=False).astype(np.int64))] if len(refs) else np.zeros(1, np.int64)
+        spot = by[np.minimum(np.searchsorted(ids, wanted, sorter=by), there - 1)] if there else np.zeros(len(wanted), np.int64)
+        found = ids[spot] == wanted if there else np.zeros(len(wanted), bool)
+        dense = np.zeros(kinds)
+        out = np.zeros((len(refs), 4))
+        for k in range(len(refs)):
+            mine = slice(begin[there + k], begin[there + k + 1])
+            has = bool(size[there + k])
+            at, ok = spot[upto[k] : upto[k + 1]], found[upto[k] : upto[k + 1]]
+            counted = len(at) if has else int(ok.sum())  # a pair of two missing documents is none
+            first, many = begin[at], np.where(ok, begin[at + 1] - begin[at], 0) if len(at) else np.zeros(0, np.int64)
+            place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            dense[code[mine]] = p[mine]
+            x, y = dense[code[place]], p[place]
+            dense[code[mine]] = 0.0
+            both = x > 0
+            x, y, g = x[both], y[both], np.repeat(np.arange(len(at)), many)[both]
+            total = lambda z: np.bincount(g, z, len(at))  # noqa: B023, E731
+            jsd = (float(has) + ok + total(x * np.log2(x / (x + y)) + y * np.log2(y / (x + y)))) / 2
+            renyi = np.log2(np.maximum(total(x**alpha * y ** (1 - alpha)), X.FLOOR)) / (alpha - 1)
+            hellinger = np.sqrt(np.maximum(1 - total(np.sqrt(x * y)), 0.0))
+            use = ok | has
+            out[k] = counted, jsd[use].sum(), renyi[use].sum(), hellinger[use].sum()
+        kept = np.flatnonzero(out[:, 0] > 0)
+        return {"problem_id": whose.take(pa.array(kept)), "own": v.field("own").slice(there).take(pa.array(kept)), "n": out[kept, 0], **{c: out[kept, j + 1] for j, c in enumerate(("jsd", "renyi", "hellinger"))}}
+
+    sums = small_models.by_problem(rows, "v", measure, f"problem_id {kind}, own boolean, n double, jsd double, renyi double, hellinger double", "_block")
+    mean = lambda own, c: F.try_divide(F.sum(F.when(F.col("own") == own, F.col(c))), F.sum(F.when(F.col("own") == own, F.col("n"))))
+    return sums.groupBy("problem_id").agg(*[(mean(False, c) - mean(True, c)).alias(c) for c in ("jsd", "renyi", "hellinger")])
 
 
 def unigram_log_probs(sentences: DataFrame) -> DataFrame:

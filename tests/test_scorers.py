@@ -150,3 +150,27 @@ def test_max_similarity_against_plain_models(spark):
     assert small_models.ratios(problems, known, unknown, refs, 3).count() == 3
     with pytest.raises(Exception, match="count from 1"):
         small_models.ratios(problems, known, unknown, refs.withColumn("rep", F.col("rep") - 1), 3).collect()
+
+
+def test_divergence_scores_send_no_tokens_of_pairs(spark, monkeypatch):
+    """Means of the pairs' divergences as ``divergences`` has them, missing documents included; the plan explodes no tokens."""
+    rng = random.Random(12)
+    schema = "doc_id string, sent_id string, tokens array<string>"
+    known, unknown = spark.createDataFrame(_texts(rng, [f"k{j}" for j in range(9)]), schema), spark.createDataFrame(_texts(rng, ["u1", "u2"]), schema)
+    rows = [(1, "k0", "u1"), (2, "k1", "u2"), (3, "none", "u1"), (4, "k2", "none"), (5, "none", "none")]
+    problems = spark.createDataFrame(rows, "problem_id bigint, known_id string, unknown_id string")
+    refs = [(p, r, rng.choice([f"k{j}" for j in range(9)] + ["gone"])) for p, _, _ in rows for r in range(1, 6)]
+    monkeypatch.setattr(scorers, "BLOCK_DOCS", 3)
+    df = scorers.divergence_scores(problems, known, unknown, spark.createDataFrame(refs, "problem_id bigint, rep int, ref_id string"))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    side = lambda s, d: scorers.token_counts(d, "doc_id").select(F.concat(F.lit(s), "doc_id").alias("id"), "token", "p")
+    of = {p: u for p, _, u in rows}
+    named = [(p, 0, k, u) for p, k, u in rows] + [(p, r, k, of[p]) for p, r, k in refs]
+    pairs = spark.createDataFrame([(f"{p}|{r}", f"u:{u}", f"k:{k}") for p, r, k, u in named], "pair_id string, left_id string, right_id string")
+    d = {r.pair_id: (r.jsd, r.renyi, r.hellinger) for r in scorers.divergences(pairs, side("u:", unknown).unionByName(side("k:", known))).collect()}
+    for r in df.collect():
+        mine = [d[f"{r.problem_id}|{j}"] for j in range(1, 6) if f"{r.problem_id}|{j}" in d]
+        own = d.get(f"{r.problem_id}|0")
+        want = tuple(pytest.approx(np.mean([m[i] for m in mine]) - own[i], abs=1e-9) for i in range(3)) if own and mine else (None,) * 3
+        assert (r.jsd, r.renyi, r.hellinger) == want
+    assert {r.problem_id for r in df.collect()} == {int(x.split("|")[0]) for x in d}
