@@ -5,6 +5,8 @@ Problems, repetitions and reference samples are columns of one plan, never loops
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -159,17 +161,33 @@ def divergence_scores(problems: DataFrame, known: DataFrame, unknown: DataFrame,
     return sums.groupBy("problem_id").agg(*[(mean(False, c) - mean(True, c)).alias(c) for c in ("jsd", "renyi", "hellinger")])
 
 
+#: Tokens whose log-probabilities are broadcast, the commonest ones.
+HOT_TOKENS = 100_000
+
+
 def unigram_log_probs(sentences: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, n, sum_lp, avg_lp, perplexity)``: sentences scored by the unigram model of all of them (natural logs).
 
-    Stands where a neural scorer would; a table of another scorer's log-probabilities of the same shape can be used in its place.
+    Stands where a neural scorer would; a table of another scorer's log-probabilities of the same shape can be used in its place. The commonest tokens are looked up where the sentences stand and
+    added up there; only the places of rarer ones are shuffled.
     """
     rows = sentences.select("doc_id", "sent_id", F.explode("tokens").alias("token"))
-    freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    freq = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")))
     total = freq.agg(F.sum("c").alias("s")).scalar()
     lp = freq.select("token", F.log(F.col("c") / total).alias("lp"))
+    if freq.count() > HOT_TOKENS:
+        hot = cut(freq.orderBy(F.desc("c"), "token").limit(HOT_TOKENS)).select("token", F.log(F.col("c") / total).alias("lp"))
+        rare = rows.join(F.broadcast(hot.select("token")), "token", "left_anti").join(lp.join(F.broadcast(hot.select("token")), "token", "left_anti"), "token")
+    else:
+        hot, rare = lp, None
+    add = lambda df: df.groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n"), F.sum("lp").alias("s"))
+    parts = rows.join(F.broadcast(hot), "token").select("doc_id", "sent_id", "lp")
+    if rare is None:
+        sums = add(parts)
+    else:
+        sums = add(parts).unionByName(add(rare)).groupBy("doc_id", "sent_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # rounded, so that equal sentences have equal scores whatever the order of summation
-    sums = rows.join(lp, "token").groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lp"), 12).alias("sum_lp"), F.round(F.avg("lp"), 12).alias("avg_lp"))
+    sums = sums.select("doc_id", "sent_id", "n", F.round("s", 12).alias("sum_lp"), F.round(F.col("s") / F.col("n"), 12).alias("avg_lp"))
     return sums.withColumn("perplexity", F.exp(-F.col("avg_lp")))
 
 
@@ -257,52 +275,41 @@ def distribution_distance(problems: DataFrame, known_scores: DataFrame, unknown_
     return emd.join(names, "run").groupBy("problem_id").agg(F.avg("emd").alias("score"))
 
 
-def _emd_matrix(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Distances of two lists of sorted samples (each divided by its sum) from each other: areas between their quantile functions, rounded to 12 places. Samples of one size are taken together."""
-    out = np.zeros((len(a), len(b)))
-    sizes: dict[int, list[int]] = {}
-    for j, y in enumerate(b):
-        sizes.setdefault(len(y), []).append(j)
-    stacks = {n: np.stack([b[j] for j in at]) for n, at in sizes.items()}
-    grids: dict[tuple[int, int], tuple] = {}
-    for i, x in enumerate(a):
-        for n, at in sizes.items():
-            m = len(x)
-            if m == n:
-                out[i, at] = np.abs(stacks[n] - x).mean(axis=1)
-                continue
-            if (m, n) not in grids:  # where either quantile function steps
-                q = np.union1d(np.arange(1, m + 1) * n, np.arange(1, n + 1) * m)
-                grids[m, n] = (q - 1) // n, (q - 1) // m, np.diff(np.r_[0, q]) / (m * n)
-            on_x, on_y, width = grids[m, n]
-            out[i, at] = np.abs(stacks[n][:, on_y] - x[on_x]) @ width
-    return np.round(out, 12)
+class _Samples:
+    """Sorted samples (each divided by its sum), laid end to end, to measure others against. Samples of one size are taken together."""
 
+    #: Cells that are measured in one step rather than quantile by quantile.
+    SMALL = 1 << 15
 
-def document_distances(left: DataFrame, right: DataFrame, block_docs: int = 256) -> DataFrame:
-    """``(corpus, left_id, right_id, emd)`` of every document of ``left`` (corpus, left_id, value) with every one of ``right`` (corpus, right_id, value) of its corpus.
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        begin = np.cumsum(sizes) - sizes
+        self.count = len(sizes)
+        self.stacks = [(int(n), (at := np.flatnonzero(sizes == n)), values[begin[at][None, :] + np.arange(n)[:, None]]) for n in np.unique(sizes)]  # quantiles by samples
+        self.grids: dict[tuple[int, int], tuple] = {}
 
-    Values are samples, divided by their sum. All pairs are the result asked for: the method ranks a document among all impostors. Documents meet in blocks.
-    """
-    def blocks(df: DataFrame, ident: str, block: str) -> DataFrame:
-        docs = df.where("corpus is not null").groupBy("corpus", ident).agg(F.sort_array(F.collect_list("value")).alias("v"))  # a document is bounded
-        sizes = docs.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("_n"))
-        return docs.join(sizes, "corpus").withColumn(block, F.pmod(F.xxhash64(ident), F.col("_n")).cast("int")).groupBy("corpus", block, "_n").agg(F.collect_list(F.struct(ident, "v")).alias(f"{block}_rows"))
-
-    a, b = blocks(left, "left_id", "a").drop("_n"), blocks(right, "right_id", "b").drop("_n")
-    kinds = [left.schema["corpus"].dataType, left.schema["left_id"].dataType, right.schema["right_id"].dataType]
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Distances of samples of one size (rows of ``x``) from each of these: areas between their quantile functions."""
+        m, out = x.shape[1], np.empty((len(x), self.count))
+        for n, at, y in self.stacks:
+            if (m, n) not in self.grids:  # where either quantile function steps
+                q = np.union1d(np.arange(1, m + 1) * n, np.arange(1, n + 1) * m)
+                self.grids[m, n] = (q - 1) // n, (q - 1) // m, np.diff(np.r_[0, q]) / (m * n)
+            on_x, on_y, width = self.grids[m, n]
+            a, b = x[:, on_x] * width, y[on_y] * width[:, None]
+            if a.shape[1] * len(x) * len(at) <= self.SMALL:
+                out[:, at] = np.abs(a[:, :, None] - b).sum(axis=1)
+                continue
+            area = np.zeros((len(x), len(at)))
+            part = np.empty_like(area)
+            for k in range(len(width)):
+                np.subtract(a[:, k, None], b[k], out=part)
+                area += np.abs(part, out=part)
+            out[:, at] = area
+        return out
 
-    def measure(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            for corpus, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                scaled = lambda rows: [np.asarray(r["v"]) / sum(r["v"]) for r in rows]
-                m = _emd_matrix(scaled(x), scaled(y))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([corpus] * m.size, batch.schema.field(0).type), pa.array([r["left_id"] for r in x for _ in y]), pa.array([r["right_id"] for _ in x for r in y]), pa.array(m.reshape(-1)),
-                ], names=["corpus", "left_id", "right_id", "emd"])
 
-    schema = ", ".join(f"{c} {k.simpleString()}" for c, k in zip(("corpus", "left_id", "right_id"), kinds, strict=True)) + ", emd double"
-    return a.join(b, "corpus").select("corpus", "a_rows", "b_rows").mapInArrow(measure, schema)
+#: Unknown documents that meet the documents of their corpus in one task, documents of the ring in a row, and cells of (unknown document, document) held at once.
+ASKING_DOCS, RING_DOCS, PAIRS = 1024, 4096, 1 << 20
 
 
 @method
@@ -312,30 +319,90 @@ def impostor_distances(problems: DataFrame, known_scores: DataFrame, unknown_sco
     ``problems`` is (problem_id, corpus, known_id, unknown_id, known_author, unknown_author), ``pool`` (doc_id, corpus, author): impostors are the pool's documents of the problem's corpus but those
     of its two authors; without any the score is 0. Documents are samples of their sentences' exp(mean log-probability). Every unknown document is measured against its corpus once. The impostors of a problem stand on a
     ring by md5; a draw is an arc from a place of its own, and how many nearer ones it holds follows from running totals at its two ends.
+
+    Every unknown document against all of its corpus is the method's work, but no pair is a row: unknown documents come to a task in blocks with the samples of their corpus in ring order, and
+    what leaves it are the tests' scores. A task holds its corpus's samples (some hundred bytes a document) and the distances of a part of its unknown documents.
     """
     value = F.exp("avg_lp").alias("value")
-    left = problems.select("corpus", F.col("unknown_id").alias("left_id")).distinct().join(unknown_scores.select(F.col("doc_id").alias("left_id"), value), "left_id")
-    right = pool.select("corpus", F.col("doc_id").alias("right_id")).join(known_scores.select(F.col("doc_id").alias("right_id"), value), "right_id")
-    dist = cut(document_distances(left, right))
     of = lambda doc, scores: problems.select("problem_id", F.col(doc).alias("doc_id")).join(scores.select("doc_id", value), "doc_id").select("problem_id", "value")
     ku, uu = cut(of("known_id", known_scores)), cut(of("unknown_id", unknown_scores))
     own = wasserstein(uu, ku, "problem_id").join(ku.select("problem_id").distinct(), "problem_id", "left_semi").join(uu.select("problem_id").distinct(), "problem_id", "left_semi")
-    mine = cut(own.join(problems, "problem_id").select("problem_id", "corpus", F.col("unknown_id").alias("left_id"), "known_author", "unknown_author", F.col("emd").alias("ku")))
+    mine = cut(own.join(problems, "problem_id").select("problem_id", "corpus", F.col("unknown_id").alias("doc_id"), "known_author", "unknown_author", F.col("emd").alias("ku")))
+    sample = lambda scores: scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(value)).alias("v"))
+    author = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    asked = F.struct("problem_id", F.concat_ws("|", F.lit(seed), F.col("problem_id").cast("string")).alias("name"), "ku", author("known_author").alias("a"), author("unknown_author").alias("b"))
+    asking = mine.where("corpus is not null").groupBy("corpus", "doc_id").agg(F.collect_list(asked).alias("asked"))
+    blocks = cut(asking.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / ASKING_DOCS).cast("int").alias("_n")))  # one row a corpus
+    parts = 4 * (blocks.agg(F.sum("_n")).first()[0] or 1)
+    block = lambda k: F.concat_ws("|", k.cast("string"), "corpus").alias("_block")
+    row = lambda v, a, asked: F.struct(v.alias("v"), a.alias("a"), asked.alias("asked")).alias("v")
+    left = asking.join(sample(unknown_scores), "doc_id").join(blocks, "corpus")
+    left = left.select(block(F.pmod(F.xxhash64("doc_id"), F.col("_n"))), F.lit(0).alias("rep"), row(F.array("v"), F.lit(None).cast("array<bigint>"), F.col("asked")))
+    docs = pool.where("corpus is not null").join(sample(known_scores), "doc_id").select("corpus", F.struct(F.md5(F.concat_ws("|", F.lit(seed), "doc_id")).alias("h"), "doc_id", "v", author("author").alias("a")).alias("doc"))
+    pieces = docs.groupBy("corpus").agg(F.ceil(F.count(F.lit(1)) / RING_DOCS).cast("int").alias("_pieces"))  # one row a corpus
+    piece = F.floor(F.conv(F.substring("doc.h", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.col("_pieces")).cast("int")  # an arc of the ring
+    ring = docs.join(pieces, "corpus").groupBy("corpus", (piece + 1).alias("rep")).agg(F.sort_array(F.collect_list("doc")).alias("docs")).join(blocks, "corpus")
+    ring = ring.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    right = ring.select(block(F.col("_k")), "rep", row(F.col("docs.v"), F.col("docs.a"), F.lit(None).cast(asking.schema["asked"].dataType)))
+    each = [f"|{k}".encode() for k in range(draws * tests)]
+
+    def measure(rep: np.ndarray, v: pa.Array) -> dict[str, np.ndarray | list]:
+        there = int((rep == 0).sum())
+        samples = pc.list_flatten(v.field("v"))
+        sizes = pc.list_value_length(samples).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.list_flatten(samples).to_numpy(zero_copy_only=False)
+        values = values / np.repeat(np.add.reduceat(values, np.cumsum(sizes) - sizes), sizes)
+        upto = int(sizes[:there].sum())
+        docs = _Samples(values[upto:], sizes[there:])
+        whose = pc.list_flatten(v.field("a").slice(there))
+        named = np.flatnonzero(whose.is_valid().to_numpy(zero_copy_only=False))
+        codes = whose.fill_null(0).to_numpy(zero_copy_only=False)
+        named = named[np.argsort(codes[named], kind="stable")]  # places on the ring by author
+        codes = codes[named]
+        lists = v.field("asked").slice(0, there)
+        asked = pc.list_flatten(lists)
+        first = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))]
+        names, near_to = asked.field("name").to_pylist(), asked.field("ku").to_numpy(zero_copy_only=False) - 5e-13  # both distances count to 12 places
+        fences = list(zip(asked.field("a").to_pylist(), asked.field("b").to_pylist(), strict=True))
+        scores = np.zeros((len(names), tests))
+        met = np.zeros(len(names), bool)
+        begin = np.cumsum(sizes[:there]) - sizes[:there]
+
+        def score(j: int, far: np.ndarray) -> None:
+            fenced = [named[np.searchsorted(codes, c, "left") : np.searchsorted(codes, c, "right")] for c in dict.fromkeys(fences[j]) if c is not None]
+            out = np.sort(np.concatenate([*fenced, np.zeros(0, np.int64)]))
+            m = docs.count - len(out)
+            if m == 0:
+                return
+            near = far < near_to[j]
+            near[out] = False
+            total = np.cumsum(near, dtype=np.int32)
+            before = out - np.arange(len(out))
+            at = lambda place: total[place + np.searchsorted(before, place, "right")]  # noqa: E731  # place among the impostors to place on the ring
+            k = max(math.floor(m * share + 0.5), 1)
+            name = names[j].encode()
+            number = np.frombuffer(b"".join([hashlib.md5(name + x).digest() for x in each]), ">u8")[::2] >> np.uint64(4)  # as hash_number
+            s = (number % np.uint64(m)).astype(np.int64)
+            e = s + k - 1
+            inside = at(e % m) - np.where(s > 0, at(np.maximum(s - 1, 0)), 0) + np.where(e >= m, total[-1], 0)
+            scores[j] = (1.0 / (1 + inside)).reshape(tests, draws).sum(axis=1) / draws
+            met[j] = True
+
+        if docs.count:
+            size = max(1, min(32, PAIRS // docs.count))
+            for n in np.unique(sizes[:there]):
+                same = np.flatnonzero(sizes[:there] == n)
+                for lo in range(0, len(same), size):
+                    some = same[lo : lo + size]
+                    for i, far in zip(some.tolist(), docs.distances(values[begin[some][:, None] + np.arange(n)]), strict=True):
+                        for j in range(first[i], first[i + 1]):
+                            score(j, far)
+        kept = np.flatnonzero(met)
+        return {"problem_id": asked.field("problem_id").take(pa.array(np.repeat(kept, tests))), "test": np.tile(np.arange(1, tests + 1, dtype=np.int32), len(kept)), "score": scores[kept].reshape(-1)}
+
+    kind = problems.schema["problem_id"].dataType.simpleString()
+    scores = small_models.by_problem(left.unionByName(right), "v", measure, f"problem_id {kind}, test int, score double", "_block", parts).drop("_block")
     every = mine.select("problem_id", "ku", F.explode(F.sequence(F.lit(1), F.lit(tests))).alias("test"))
-    docs = pool.select("corpus", F.col("doc_id").alias("right_id"), "author", F.md5(F.concat_ws("|", F.lit(seed), "doc_id")).alias("_h"))
-    others = mine.join(dist, ["corpus", "left_id"]).join(docs, ["corpus", "right_id"]).where("author is null or ((known_author is null or author <> known_author) and (unknown_author is null or author <> unknown_author))")
-    ring = Window.partitionBy("problem_id").orderBy("_h", "right_id")
-    placed = cut(others.select("problem_id", (F.row_number().over(ring) - 1).alias("pos"), F.sum((F.col("emd") < F.col("ku")).cast("int")).over(ring).alias("upto")))
-    sizes = placed.groupBy("problem_id").agg(F.count(F.lit(1)).alias("m"), F.max("upto").alias("nearer"))
-    k = F.greatest(F.floor(F.col("m") * share + 0.5), F.lit(1))
-    draw = sizes.select("*", k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(draws * tests - 1))).alias("draw"))
-    first = F.pmod(hash_number(F.concat_ws("|", F.lit(seed), F.col("problem_id").cast("string"), F.col("draw").cast("string"))), F.col("m"))
-    draw = draw.withColumn("s", first).withColumn("e", F.col("s") + F.col("k") - 1)
-    at = lambda c, out: placed.select("problem_id", F.col("pos").alias(c), F.col("upto").alias(out))
-    ends = draw.withColumn("_b", F.col("s") - 1).withColumn("_e", F.pmod(F.col("e"), F.col("m"))).join(at("_b", "before"), ["problem_id", "_b"], "left").join(at("_e", "end"), ["problem_id", "_e"])
-    inside = F.col("end") - F.coalesce("before", F.lit(0)) + F.when(F.col("e") >= F.col("m"), F.col("nearer")).otherwise(0)
-    test = (F.floor(F.col("draw") / draws) + 1).cast("int").alias("test")
-    scores = ends.groupBy("problem_id", test).agg((F.sum(1.0 / (1 + inside)) / draws).alias("score"))
     return every.join(scores, ["problem_id", "test"], "left").select("problem_id", "test", F.col("ku").alias("emd_known_unknown"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -441,7 +508,6 @@ def similar_references(neighbours: DataFrame, reps: int = 3, seed: str = "0", st
     takes over by augmenting paths, and a repetition without any full assignment raises, or, if not ``strict``, leaves its problem without any row. A problem's queries are its known
     sentences, so a group is one document's size.
     """
-    import hashlib
     import sys
 
     import pandas as pd

@@ -114,10 +114,11 @@ def entropies(x: Padded, models: int) -> np.ndarray:
     return -np.bincount(who, share * np.log2(share), models)
 
 
-def by_problem(rows: DataFrame, value: str, measure: Callable[[np.ndarray, pa.Array], dict[str, np.ndarray | list]], schema: str, key: str = "problem_id") -> DataFrame:
+def by_problem(rows: DataFrame, value: str, measure: Callable[[np.ndarray, pa.Array], dict[str, np.ndarray | list]], schema: str, key: str = "problem_id", parts: int | None = None) -> DataFrame:
     """Runs ``measure`` on each problem's rows (``key``, rep, ``value``), which come to one task in the order of ``rep``; a problem is read as it streams by and given up at its end.
 
-    ``measure`` takes the repetitions and the values and gives columns after ``key`` by name, all of one length.
+    ``measure`` takes the repetitions and the values and gives columns after ``key`` by name, all of one length. Few rows that ask for much work are spread over ``parts`` tasks, which adaptive
+    execution would else join by their size.
     """
     kind = rows.schema[key].dataType.simpleString()
     names = [c.split()[0] for c in schema.split(", ")]
@@ -144,7 +145,7 @@ def by_problem(rows: DataFrame, value: str, measure: Callable[[np.ndarray, pa.Ar
         if held:
             yield give()
 
-    ordered = rows.select(key, "rep", value).repartition(key).sortWithinPartitions(key, "rep")
+    ordered = rows.select(key, "rep", value).repartition(*([parts] if parts else []), key).sortWithinPartitions(key, "rep")
     return ordered.mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 

@@ -131,6 +131,37 @@ def test_impostor_distances_against_loops(spark):
     assert got == want
 
 
+def test_impostor_distances_write_no_pairs(spark, monkeypatch):
+    """Unknown documents meet their corpus in blocks; what is written grows with documents and problems, not with pairs, and doesn't depend on the blocks."""
+    rng = random.Random(12)
+    docs = [(f"d{k}", rng.choice(["c", "o"]), rng.choice(["x", "y", "z", None])) for k in range(60)]
+    lp = {d: [rng.uniform(-5, -1) for _ in range(rng.randint(1, 5))] for d in [*(d for d, _, _ in docs), *(f"u{k}" for k in range(60))]}
+    frame = lambda c: spark.createDataFrame([(d, v) for d in lp if d[0] == c for v in lp[d]], "doc_id string, avg_lp double")
+    asked = [(k, rng.choice(["c", "o", "none", None]), f"d{rng.randrange(60)}", f"u{rng.randrange(60)}", rng.choice("xy"), rng.choice(["x", "z", None])) for k in range(80)]
+    problems = spark.createDataFrame(asked, "problem_id bigint, corpus string, known_id string, unknown_id string, known_author string, unknown_author string")
+    written = []
+    whole = scorers.cut
+    monkeypatch.setattr(scorers, "cut", lambda df: (x := whole(df), written.append(x.count()))[0])
+    run = lambda: sorted(map(tuple, scorers.impostor_distances(problems, frame("d"), frame("u"), spark.createDataFrame(docs, "doc_id string, corpus string, author string"), draws=10, tests=2).collect()))
+    got = run()
+    assert len(got) == 160 and max(written) < 500  # 60 x 30 pairs
+    assert all((s == 0) == (asked[p][1] in ("none", None)) for p, _, _, s in got)
+    for name, size in (("ASKING_DOCS", 7), ("RING_DOCS", 5), ("PAIRS", 100)):
+        monkeypatch.setattr(scorers, name, size)
+    assert run() == got
+
+
+def test_rare_tokens_are_scored_as_common_ones(spark, monkeypatch):
+    rows = [("d", f"d:{k}", t.split()) for k, t in enumerate(["a b a", "c", "a d e", "b b", "e f"])]
+    sentences = spark.createDataFrame(rows, "doc_id string, sent_id string, tokens array<string>")
+    run = lambda: sorted(map(tuple, scorers.unigram_log_probs(sentences).collect()))
+    every = run()
+    n = {x: sum(r[2].count(x) for r in rows) for x in "abcdef"}
+    assert [r[3] for r in every] == [pytest.approx(sum(math.log(n[x] / 11) for x in r[2])) for r in rows]
+    monkeypatch.setattr(scorers, "HOT_TOKENS", 2)
+    assert run() == every
+
+
 def test_max_similarity_against_plain_models(spark):
     """References come from the nearest sentences of other authors, one for each known sentence, and are scored as any others."""
     rng = random.Random(9)
