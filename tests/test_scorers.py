@@ -162,6 +162,28 @@ def test_rare_tokens_are_scored_as_common_ones(spark, monkeypatch):
     assert run() == every
 
 
+def test_near_items_against_all_pairs(spark, monkeypatch):
+    """Vectors that ask in blocks while the pool passes by in pieces find what plain sorting finds: ties to the smaller item, two authors fenced off, several fences of one vector."""
+    import numpy as np
+
+    monkeypatch.setattr(scorers, "ASKING_VECTORS", 20)
+    monkeypatch.setattr(scorers, "PIECE_ITEMS", 37)
+    r = np.random.default_rng(3)
+    vectors = [r.integers(0, 3, 8).astype(float) + np.eye(8)[k % 8] * (0.5 if k % 17 == 0 else 1) for k in range(400)]
+    items = [(k + 1, random.Random(k).choice(["x", "y", "z", None]), v.tolist()) for k, v in enumerate(vectors)]
+    asked = [(q, random.Random(-q).choice(["x", "y", None]), random.Random(q).choice(["z", "y", None]), vectors[q // 2 * 7].tolist()) for q in range(100)]
+    pool = scorers._packed(spark.createDataFrame(items, "item bigint, author string, vector array<double>"))
+    queries = scorers._packed(spark.createDataFrame(asked, "query bigint, not_a string, not_b string, vector array<double>"))
+    got: dict[int, set] = {}
+    for x in scorers.near_items(queries, pool, 6).collect():
+        got.setdefault(x.query, set()).add(x.item)
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    for q, a, b, v in asked:
+        near = np.round(unit @ (np.array(v) / np.linalg.norm(v)), 12)
+        free = [(-near[i - 1], i) for i, author, _ in items if author is None or author not in (a, b)]
+        assert got[q] == {i for _, i in sorted(free)[:6]}
+
+
 def test_max_similarity_against_plain_models(spark):
     """References come from the nearest sentences of other authors, one for each known sentence, and are scored as any others."""
     rng = random.Random(9)
