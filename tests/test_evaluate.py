@@ -88,6 +88,34 @@ def test_models_of_large_groups_need_little_memory():
     tracemalloc.stop()
 
 
+def test_workers_that_compare_models_stay_small(spark):
+    """The comparison as model_performance runs it, measured in the Python workers: what they hold at most is little more than before it."""
+    rng = np.random.default_rng(7)
+    of = lambda shift: spark.createDataFrame([("g", k, float(rng.normal() + shift * (k % 2)), k % 2 == 1) for k in range(8000)], "g string, i int, score double, target boolean")
+
+    def peaks(afresh: bool) -> list[int]:
+        def read(batches):  # noqa: ANN001, ANN202
+            import time
+            from pathlib import Path
+
+            import pyarrow as pa
+
+            for _ in batches:
+                pass
+            if afresh:
+                Path("/proc/self/clear_refs").write_text("5")  # the peak counts from here
+            time.sleep(0.2)  # else one worker may serve several tasks
+            peak = next(x for x in Path("/proc/self/status").read_text().splitlines() if x.startswith("VmHWM"))
+            yield pa.RecordBatch.from_pydict({"kb": [int(peak.split()[1])]})
+
+        return [r.kb for r in spark.range(0, 16, 1, 16).mapInArrow(read, "kb long").collect()]  # more tasks than idle workers
+
+    before = max(peaks(True))
+    both = E.compare_models({"a": of(1), "b": of(2)}, ["g"], "i")[1].select("model", "true_trials", "false_trials").collect()
+    assert {(r.model, r.true_trials, r.false_trials) for r in both} == {("a", 4000, 4000), ("b", 4000, 4000)}
+    assert max(peaks(False)) - before < 100_000  # KB; 512 fits on 8000 kinds take 33 MB for one array alone, a table beside every kind takes gigabytes of heap
+
+
 def test_auc_and_eer_with_ties(spark):
     rows = [(0.9, True), (0.5, True), (0.5, False), (0.5, False), (0.1, False), (0.1, True)]
     df = spark.createDataFrame([("g", s, t) for s, t in rows], "g string, score double, target boolean")
